@@ -18,10 +18,10 @@ same doc_id follow each other by text; other columns are dropped; an empty table
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,11 @@ BLOCK = 256
 #: Share of a block's differences that fit its width.
 WITHIN = 0.92
 SEGMENT_IDS = 1 << 19
-KEPT_PIECES = 400_000
+KEPT_PIECES, KEPT_WORDS = 300_000, 1_000_000
+#: Letters before this one are composed, and lower case keeps them so.
+LATIN = "\u0250"
+#: Each is one the vocabulary takes as a sign, and none begins a contraction.
+SIGNS = "!#$%&*+,-./:;<=>?@|~()[]{}"
 MAGIC = b"PFB1"
 
 
@@ -104,27 +108,84 @@ def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     return flat[: min(n, last * BLOCK) - first * BLOCK]
 
 
+def _latin(x: str) -> bool:
+    """Composed Latin letters and signs that lower case leaves as many."""
+    low = x.lower()
+    return len(low) == len(x) and max(x) < LATIN and max(low) < LATIN
+
+
 class _Pieces:
-    """Ids of the pieces between blanks that this worker has met; the vocabulary's rules never look across one."""
+    """Ids of the pieces between blanks that this worker has met, up to a bound.
+
+    The vocabulary's rules never look across a blank. A new piece of Latin letters that lower case
+    leaves as long and as composed is split on by the vocabulary's own pattern, so that a word is
+    encoded once whatever signs stand beside it; any other piece is encoded whole. New words go to the
+    tokenizer many at a time, blanks between them: the token that ends each word tells them apart.
+    """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ids: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+        with open(path) as f:
+            spec = json.load(f)
+        split, end = spec["pre_tokenizer"]["pretokenizers"][0], spec["model"]["end_of_word_suffix"]
+        self.split = regex.compile(split["pattern"]["Regex"]).findall if end and split["behavior"] == "Removed" and split["invert"] else None
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if end and t.endswith(end)]] = True
+
+    def _add_words(self, words: list[str]) -> None:
+        for k in range(0, len(words), 20_000):
+            some = words[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cuts) != len(some) + 1:
+                raise ValueError("the tokenizer does not end each word with one token")
+            raw = ids.tobytes()
+            self.words.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+
+    def _add(self, fresh: set[str]) -> None:
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
+            self.words[""] = b""
+        words, ended, parts, whole, new = self.words, [], {}, [], set()
+        for p in fresh:
+            stem = p.rstrip(SIGNS)
+            if self.split and stem.isalpha() and (stem.isascii() or _latin(stem)):  # a word with signs after it
+                low, signs = stem.lower(), p[len(stem) :]
+                ended.append((p, low, signs))
+                if low not in words:
+                    new.add(low)
+                if signs not in words:
+                    new.add(signs)
+            elif self.split and p and _latin(p):
+                parts[p] = found = self.split(p.lower())
+                new.update(w for w in found if w not in words)
+            else:
+                whole.append(p)
+        new.discard("")
+        self._add_words(list(new))
+        for p, low, signs in ended:
+            self.pieces[p] = words[low] + words[signs]
+        for p, found in parts.items():
+            self.pieces[p] = b"".join(map(words.__getitem__, found))
+        for k in range(0, len(whole), 20_000):
+            some = whole[k : k + 20_000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.pieces[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         split = [t.decode().replace("\n", " ").split(" ") for t in texts]
-        wanted = set(chain.from_iterable(split))
-        if len(self.ids) + len(wanted) > KEPT_PIECES:
-            self.ids.clear()
-        fresh = [p for p in wanted if p not in self.ids]
-        for k in range(0, len(fresh), 20_000):
-            some = fresh[k : k + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.ids[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.ids.__getitem__, s)) + end for s in split]
+        known = self.pieces
+        if len(known) > KEPT_PIECES:
+            known.clear()
+        if fresh := {p for s in split for p in s if p not in known}:
+            self._add(fresh)
+        return [b"".join(map(known.__getitem__, s)) + end for s in split]
 
 
 @lru_cache(2)
@@ -198,7 +259,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("part_ids").over(before), F.lit(0)).alias("before"))
-    placed = segments.join(parts, F.col("part") == F.col("p")).select("doc_ids", "lengths", "image", (F.col("before") + F.col("part_start")).alias("start"))
+    # As many parts as the write had tasks, of two numbers each.
+    placed = segments.join(F.broadcast(parts), F.col("part") == F.col("p")).select("doc_ids", "lengths", "image", (F.col("before") + F.col("part_start")).alias("start"))
     columns = "doc_id long, start long, n_tokens long, ids_crc32 long"
     return placed.mapInArrow(_documents, columns + ", ids array<int>") if with_ids else placed.mapInArrow(_digests, columns)
 

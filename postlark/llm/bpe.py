@@ -2,7 +2,7 @@
 
 Encoding: a text is split by the public pattern; each new piece becomes token-position rows that a
 recursive query joins with the merge table, contracting each piece's leftmost pair of least rank
-until no pair has a rank. Pieces are kept with their ids for the life of a worker, up to a bound.
+until no pair has a rank. Pieces are kept with their ids for the life of a worker, up to a bound, and so are the runs between blanks.
 Decoding: token rows join the vocabulary, an ordered aggregation strings their bytes together.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded
@@ -27,28 +27,32 @@ from pyspark.sql import functions as F
 from ._text import slices, texts_of
 
 LONG_PIECE = 64
-#: Pieces that a worker keeps.
-KEPT_PIECES = 400_000
+#: Pieces, and runs between blanks, that a worker keeps.
+KEPT_PIECES, KEPT_UNITS = 700_000, 150_000
+#: Signs after a word make one piece with each other: no apostrophe, which may begin a contraction.
+SIGNS = "!#$%&*+,-./:;<=>?@|~()[]{}"
 #: Pieces contracted by one query.
-QUERY_PIECES = 40_000
-ENCODE_BYTES, DECODE_TOKENS = 4 << 20, 400_000
-
-_CONTRACT = """
-WITH RECURSIVE step(piece, pos, tok, round) AS (
-    SELECT piece, pos, tok, 0 FROM start_rows
+QUERY_PIECES = 20_000
+ENCODE_BYTES, DECODE_TOKENS = 2 << 20, 200_000
+
+#: A row's place holds its piece's number and, in the low PLACE_BITS bits, its position.
+PLACE_BITS = 12
+_CONTRACT = f"""
+WITH RECURSIVE step(place, tok, round) AS (
+    SELECT place, tok, 0 FROM start_rows
   UNION ALL (
-    WITH pairs AS (
-      SELECT piece, pos, tok, round, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos
-      FROM step WINDOW w AS (PARTITION BY piece ORDER BY pos)
-    ), best AS (
-      SELECT piece, min(rank) AS rank, arg_min(pos, rank * 4096 + pos) AS pos, arg_min(next_pos, rank * 4096 + pos) AS next_pos
-      FROM pairs JOIN merges ON tok = l AND next_tok = r GROUP BY piece
+    WITH pairs AS MATERIALIZED (
+      SELECT place, tok, round, lead(tok) OVER w AS next_tok, lead(place) OVER w AS next_place FROM step WINDOW w AS (ORDER BY place)
+    ), best AS MATERIALIZED (
+      SELECT place >> {PLACE_BITS} AS piece, min((rank << {PLACE_BITS}) + (place & {2**PLACE_BITS - 1})) AS least,
+             arg_min(next_place, (rank << {PLACE_BITS}) + (place & {2**PLACE_BITS - 1})) AS next_place
+      FROM pairs JOIN merges ON tok = l AND next_tok = r WHERE next_place >> {PLACE_BITS} = place >> {PLACE_BITS} GROUP BY place >> {PLACE_BITS}
     )
-    SELECT p.piece, p.pos, CASE WHEN p.pos = b.pos THEN b.rank ELSE p.tok END, p.round + 1
-    FROM pairs p JOIN best b ON p.piece = b.piece WHERE p.pos <> b.next_pos
+    SELECT p.place, CASE WHEN (p.place & {2**PLACE_BITS - 1}) = (b.least & {2**PLACE_BITS - 1}) THEN b.least >> {PLACE_BITS} ELSE p.tok END, p.round + 1
+    FROM pairs p JOIN best b ON p.place >> {PLACE_BITS} = b.piece WHERE p.place <> b.next_place
   )
-), final AS (SELECT piece, max(round) AS round FROM step GROUP BY piece)
-SELECT piece, list(tok ORDER BY pos) AS ids FROM step JOIN final USING (piece, round) GROUP BY piece ORDER BY piece
+), final AS (SELECT place >> {PLACE_BITS} AS piece, max(round) AS round FROM step GROUP BY piece)
+SELECT f.piece, list(tok ORDER BY place) AS ids FROM step s JOIN final f ON s.place >> {PLACE_BITS} = f.piece AND s.round = f.round GROUP BY f.piece ORDER BY f.piece
 """
 
 _DECODE = """
@@ -68,7 +72,7 @@ def _database():
     import duckdb
 
     db = duckdb.connect()
-    db.execute(f"SET threads = 1; SET memory_limit = '300MB'; SET temp_directory = '{tempfile.gettempdir()}/duckdb'")
+    db.execute(f"SET threads = 1; SET memory_limit = '160MB'; SET temp_directory = '{tempfile.gettempdir()}/duckdb'")
     return db
 
 
@@ -80,7 +84,8 @@ class Encoder:
 
         self.split = regex.compile(pattern).findall
         self.ranks = read_ranks(path)
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {"": b""}
+        self.units: dict[str, bytes | None] = {}
         self.db = _database()
         halves = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.merges = pa.table(dict(zip("lr", np.array(halves, np.int64).T[:2], strict=True)) | {"rank": np.array(halves, np.int64)[:, 2]})
@@ -112,22 +117,16 @@ class Encoder:
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         at = np.repeat(np.arange(len(raw)), lengths)
         pos = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.db.register("start_rows", pa.table({"piece": at, "pos": pos, "tok": self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]}))
+        self.db.register("start_rows", pa.table({"place": (at << PLACE_BITS) + pos, "tok": self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]}))
         got = self.db.sql(_CONTRACT).to_arrow_table().column("ids").combine_chunks()
         cut, flat = got.offsets.to_numpy(), got.values.to_numpy().astype("<i4")
         for p, a, b in zip(pieces, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             self.ids[p] = flat[a:b].tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [self.split(t.decode()) for t in texts]
-        wanted = set(chain.from_iterable(split))
-        if len(self.ids) + len(wanted) > KEPT_PIECES:
-            self.ids.clear()
+    def _resolve(self, pieces: set[str]) -> None:
+        """Ids of new pieces of the pattern."""
         fresh = []
-        for p in wanted:
-            if p in self.ids:
-                continue
+        for p in pieces:
             b = p.encode()
             if (r := self.ranks.get(b)) is not None:
                 self.ids[p] = r.to_bytes(4, "little")
@@ -137,7 +136,45 @@ class Encoder:
                 fresh.append(p)
         for k in range(0, len(fresh), QUERY_PIECES):
             self._contract(fresh[k : k + QUERY_PIECES])
-        return [b"".join(map(self.ids.__getitem__, s)) for s in split]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text.
+
+        Between single blanks the pattern's matches do not depend on what stands beyond: the blank
+        belongs to what follows it. Such units are kept with their ids; a text with other blanks next
+        to blanks is split by the pattern as a whole.
+        """
+        units, ids = self.units, self.ids
+        if len(units) > KEPT_UNITS:
+            units.clear()
+        if len(ids) > KEPT_PIECES:
+            ids.clear()
+            ids[""] = b""
+        split = [t.decode().split(" ") for t in texts]
+        new: dict[str, list[str] | None] = {}
+        for row in split:
+            for u in row[1:]:
+                if u in units or u in new:
+                    continue
+                stem = u.rstrip(SIGNS)
+                if stem.isalpha():
+                    new[u] = [" " + stem, u[len(stem) :]]
+                elif not u or u[0].isspace() or u[-1].isspace():
+                    new[u] = None
+                else:
+                    new[u] = self.split(" " + u)
+        odd = [any((units[u] if u in units else new[u]) is None for u in row[1:]) for row in split]
+        whole = [self.split(" ".join(row)) if o else self.split(row[0]) for row, o in zip(split, odd, strict=True)]
+        wanted = {p for pieces in new.values() if pieces for p in pieces}
+        wanted.update(chain.from_iterable(whole))
+        self._resolve({p for p in wanted if p not in ids})
+        for u, pieces in new.items():
+            units[u] = None if pieces is None else b"".join(map(ids.__getitem__, pieces))
+        out = []
+        for row, o, pieces in zip(split, odd, whole, strict=True):
+            head = b"".join(map(ids.__getitem__, pieces))
+            out.append(head if o else head + b"".join(map(units.__getitem__, row[1:])))
+        return out
 
 
 @lru_cache(2)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, main_text, pii, repetition, token_store, toxicity
+from . import bpe, main_text, passages, pii, repetition, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("hits")
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeated(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_text(_table(spark, sf_dir, "pages"))
 
@@ -58,7 +62,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repetition, op3_token_store, op4_byte_bpe, op5_toxicity, op7_main_text, op9_pii)
+    f.__name__: f for f in (op1_repetition, op3_token_store, op4_byte_bpe, op5_toxicity, op6_passages, op7_main_text, op9_pii)
 }
 
 SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, main_text, passages, pii, repetition, token_store, toxicity
+from . import bpe, main_text, passages, pii, repetition, site_quality, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(*first, *(c for c in got.columns if c not in first))
 
 
+def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return site_quality.score(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,7 +67,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repetition, op3_token_store, op4_byte_bpe, op5_toxicity, op6_passages, op7_main_text, op9_pii)
+    f.__name__: f for f in (op1_repetition, op2_site_quality, op3_token_store, op4_byte_bpe, op5_toxicity, op6_passages, op7_main_text, op9_pii)
 }
 
 SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, main_text, passages, pii, repetition, site_quality, token_store, toxicity
+from . import bpe, decontamination, main_text, passages, pii, repetition, site_quality, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
 
@@ -67,7 +71,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repetition, op2_site_quality, op3_token_store, op4_byte_bpe, op5_toxicity, op6_passages, op7_main_text, op9_pii)
+    f.__name__: f for f in (op1_repetition, op2_site_quality, op3_token_store, op4_byte_bpe, op5_toxicity, op6_passages, op7_main_text, op8_decontamination, op9_pii)
 }
 
 SQL: dict[str, str] = {}

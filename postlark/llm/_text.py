@@ -128,3 +128,15 @@ def kept(df, name: str):
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bitmap(hashes, bits: int) -> bytes:
+    """Which upper bits of column hash occur: 2**bits bits, however many rows there are, so it may go to every task."""
+    from pyspark.sql import functions as F
+
+    slot = f"shiftrightunsigned(hash, {64 - bits})"
+    words = hashes.select(F.expr(f"cast({slot} div 32 as int)").alias("word"), F.expr(f"shiftleft(1L, cast({slot} % 32 as int))").alias("bit"))
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return np.packbits(np.unpackbits(out.view(np.uint8), bitorder="little")).tobytes()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, mix, rolled, slices, texts_of, windows
+from ._text import Words, bitmap, mix, rolled, slices, texts_of, windows
 
 WINDOW, FIXED = 8, 4
 SHARE = 0.5
@@ -151,20 +151,10 @@ def _windows(rows: DataFrame, ident: str, bitmap: bytes | None) -> DataFrame:
     return rows.select(F.col(ident).cast("long").alias("id"), text_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_found, bitmap=bitmap), _ROWS)
 
 
-def _bitmap(hashes: DataFrame) -> bytes:
-    """Which upper bits of the hashes occur: 2**BITMAP_BITS bits, however many hashes there are."""
-    slot = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
-    words = hashes.select(F.floor(slot / 32).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITMAP_BITS}) % 32 as int))").alias("bit"))
-    out = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
-    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        out[r["word"]] = r["bits"]
-    return np.packbits(np.unpackbits(out.view(np.uint8), bitorder="little")).tobytes()
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, key, item_id, share of the item's windows, parameters changed (0: word for word), for every text and item it leaks."""
     items = _windows(benchmark, "item_id", None)
-    found = _windows(docs, "doc_id", _bitmap(items.select("hash").distinct()))
+    found = _windows(docs, "doc_id", bitmap(items.select("hash").distinct(), BITMAP_BITS))
     theirs = items.select(F.col("id").alias("item_id"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), F.col("total").alias("item_total"))
     ours = found.select(F.col("id").alias("doc_id"), "key", "hash", "place", "slots")
     both = ours.join(theirs, "hash")

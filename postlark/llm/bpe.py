@@ -28,7 +28,7 @@ from ._text import slices, texts_of
 
 LONG_PIECE = 64
 #: Pieces, and runs between blanks, that a worker keeps.
-KEPT_PIECES, KEPT_UNITS = 700_000, 150_000
+KEPT_PIECES, KEPT_UNITS = 500_000, 150_000
 #: Signs after a word make one piece with each other: no apostrophe, which may begin a contraction.
 SIGNS = "!#$%&*+,-./:;<=>?@|~()[]{}"
 #: Pieces contracted by one query.
@@ -231,3 +231,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (doc_id, ids) with the bytes that the ids stand for, in decoded."""
     return encoded.select("doc_id", "ids").mapInArrow(partial(_decoded, path=path), "doc_id long, ids array<int>, decoded binary")
+
+
+def _both(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    return _decoded(_encoded(batches, path, pattern), path)
+
+
+def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """encode, then decode of the ids, in one worker instead of two: doc_id, ids, decoded."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(partial(_both, path=path, pattern=pattern), "doc_id long, ids array<int>, decoded binary")

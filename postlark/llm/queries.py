@@ -35,7 +35,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    both = bpe.encode_decode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -1,12 +1,57 @@
-"""The corpus pipeline: stages on documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: five stages on documents, each written as Parquet and reread by the next.
+
+All stages but the last return the columns of documents; each works on all that the one before kept.
+SQL cannot express them (a fitted classifier, exact similarity joins, byte-pair merges), so ORACLE_SQL is
+None and tests/llm compare the stages with brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from postlark.llm import bpe, decontamination, jaccard, pii, site_quality
 from postlark.llm._text import kept
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the site-quality score accepts."""
+    scored = site_quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one of the smallest doc_id, and of its rows one."""
+    return jaccard.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontamination.drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether they decode to its text."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    both = bpe.encode_decode(docs, path, public_tokenizers.PATTERN, with_text=True)
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("exact"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("personal data", personal_data),
+    ("byte-level BPE", tokens),
+]
 ORACLE_SQL = None
 
 

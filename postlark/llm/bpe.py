@@ -237,6 +237,11 @@ def _both(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterato
     return _decoded(_encoded(batches, path, pattern), path)
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """encode, then decode of the ids, in one worker instead of two: doc_id, ids, decoded."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(partial(_both, path=path, pattern=pattern), "doc_id long, ids array<int>, decoded binary")
+def encode_decode(docs: DataFrame, path: str, pattern: str, with_text: bool = False) -> DataFrame:
+    """encode, then decode of the ids, in one worker instead of two: doc_id, ids, decoded and, if asked for, the text."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    columns = "doc_id long, ids array<int>, decoded binary"
+    if with_text:  # _encoded hands on all columns but the last
+        texts, columns = texts.withColumn("t", F.col("text")).select("doc_id", "text", "t").toDF("doc_id", "kept_text", "text"), "doc_id long, kept_text string, ids array<int>, decoded binary"
+    out = texts.mapInArrow(partial(_both, path=path, pattern=pattern), columns)
+    return out.withColumnRenamed("kept_text", "text") if with_text else out

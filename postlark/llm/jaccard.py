@@ -26,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import Words, bitmap, kept, mix, rolled, slices, texts_of, windows
@@ -307,8 +307,7 @@ def _across(sets: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    spark = docs.sparkSession
-    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
     chunks = texts.mapInArrow(partial(_chunks, buckets=buckets), "bucket int, chunk long, docs int, data binary, more binary")
     counted = chunks.groupBy("bucket").applyInArrow(_shared, "chunk long, ids binary, counts binary")
@@ -338,3 +337,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select(
         F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "n_shingles", F.when(F.coalesce("comp", "doc") < LAST, F.coalesce("comp", "doc")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without the documents that a link, or a chain of links, leads to one of a smaller doc_id; of rows with one doc_id one stays.
+
+    Documents without shingles and rows without a doc_id, which nothing tells apart, all stay. Which of
+    several rows of a kept doc_id stays is settled by the least text.
+    """
+    found = jaccard_components(docs)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    again = found.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    if not again.limit(1).count():
+        return left
+    lead = Window.partitionBy(F.col("doc_id").cast("long")).orderBy(F.col("text").asc_nulls_last())
+    twice = left.join(again, F.col("doc_id").cast("long") == F.col("__again"), "left_semi").withColumn("__n", F.row_number().over(lead)).where("__n = 1").drop("__n")
+    return left.join(again, F.col("doc_id").cast("long") == F.col("__again"), "left_anti").unionByName(twice)

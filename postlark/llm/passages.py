@@ -32,13 +32,32 @@ STRING_WINDOWS = 512
 #: Bytes of strings that a task holds before it packs them.
 CHUNK_BYTES = 24 << 20
 LAST = (1 << 63) - 1
-_HEAD = np.dtype([("doc", "<i8"), ("text", "<i8"), ("first", "<i4"), ("windows", "<i4"), ("bytes", "<i4")])
+#: Columns before the strings of a packed row, one after the other; doc holds differences, its rows ascend.
+_COLUMNS = {"doc": "<i8", "text": "<u2", "first": "<i4", "windows": "<u2", "bytes": "<i4"}
 PACKED = "bucket int, size long, data binary"
 
 
 def text_key(text: bytes) -> int:
-    """Tells rows of one doc_id apart when results come back."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+    """Tells rows of one doc_id apart when results come back: 16 bits are enough for the few that share one."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=2).digest(), "little")
+
+
+def _pack(heads: list[tuple[int, int, int, int, int]], bodies: list[bytes]) -> bytes:
+    order = sorted(range(len(heads)), key=heads.__getitem__)
+    columns = [np.array(c, k) for c, k in zip(zip(*(heads[i] for i in order), strict=True), _COLUMNS.values(), strict=True)]
+    columns[0] = np.diff(columns[0], prepend=np.int64(0))
+    return len(heads).to_bytes(8, "little") + b"".join(c.tobytes() for c in columns) + b"".join(bodies[i] for i in order)
+
+
+def _unpack(raw: bytes) -> tuple[dict[str, np.ndarray], list[bytes]]:
+    """The columns, and the strings of rows that have one."""
+    n, at, head = int.from_bytes(raw[:8], "little"), 8, {}
+    for name, kind in _COLUMNS.items():
+        head[name] = np.frombuffer(raw, kind, n, at)
+        at += head[name].nbytes
+    head["doc"] = np.cumsum(head["doc"])
+    ends = (at + np.cumsum(head["bytes"])).tolist()
+    return head, [raw[e - k : e] for e, k in zip(ends, head["bytes"].tolist(), strict=True) if k]
 
 
 def super_windows(hashes: np.ndarray, text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,10 +113,12 @@ class _Chunk:
                 heads.append((doc, key, first, count, len(body)))
                 bodies.append(body)
         for doc, key, first, count in self.decided:  # nothing left to compare: dealt out evenly
-            rows[key % self.buckets][0].append((doc, key, first, count, 0))
+            heads, bodies = rows[(doc ^ key) % self.buckets]
+            heads.append((doc, key, first, count, 0))
+            bodies.append(b"")
         codec, out = pa.Codec("zstd", 3), []
         for bucket, (heads, bodies) in rows.items():
-            raw = len(heads).to_bytes(8, "little") + np.array(heads, _HEAD).tobytes() + b"".join(bodies)
+            raw = _pack(heads, bodies)
             out.append((bucket, len(raw), codec.compress(raw, asbytes=True)))
         self.__init__(self.buckets)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["bucket", "size", "data"])
@@ -159,17 +180,13 @@ def _bucket(table: pa.Table, window: int) -> pa.Table:
     """doc, text, and the words from start to stop (exclusive) to be removed."""
     codec, heads, bodies = pa.Codec("zstd"), [], []
     for size, data in zip(table.column("size").to_pylist(), table.column("data").to_pylist(), strict=True):
-        raw = codec.decompress(data, size, asbytes=True)
-        n = int.from_bytes(raw[:8], "little")
-        head = np.frombuffer(raw, _HEAD, n, 8)
-        at = 8 + n * _HEAD.itemsize
-        ends = (at + np.cumsum(head["bytes"])).tolist()
-        bodies += [raw[e - k : e] for e, k in zip(ends, head["bytes"].tolist(), strict=True) if k]
+        head, strings = _unpack(codec.decompress(data, size, asbytes=True))
         heads.append(head)
-    head = np.concatenate(heads)
-    decided, open_ = head[head["bytes"] == 0], head[head["bytes"] > 0]
+        bodies += strings
+    head = {k: np.concatenate([h[k] for h in heads]).astype(np.int64) for k in _COLUMNS}
+    decided, open_ = ({k: v[pick] for k, v in head.items()} for pick in (head["bytes"] == 0, head["bytes"] > 0))
     out = [(decided["doc"], decided["text"], decided["first"], decided["first"] + decided["windows"] + window - 1)]
-    if len(open_):
+    if len(bodies):
         string, place = later_windows(open_["doc"], bodies, window)
         place = place + open_["first"][string]
         new = np.ones(len(place), bool)

@@ -1,4 +1,503 @@
-"""Registered queries of the posting operators and their SQL."""
+"""Registered queries of the posting operators over the given tables, and SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import classify, vectors
+from ..functions import text as T
+from ..operators import companies, crawl, reports, retention, scoring, search
+from ..sources import pages
+from .views import table, view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+AS_OF = "2024-01-15 12:00:00"
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = with_views(sql)
+        return f
+
+    return keep
+
+
+def at(text: str = AS_OF) -> Column:
+    return F.lit(text).cast("timestamp")
+
+
+def _star(spark: SparkSession, d: str) -> DataFrame:
+    return search.star(*(view(spark, d, v) for v in ("v_matches", "v_postings", "v_companies", "v_sources", "v_roles", "v_feedback")))
+
+
+_STAR_SQL = """
+  star AS (
+    SELECT m.job_id, m.target_role_id, m.final_score, p.company_id, p.title, p.normalized_title, c.normalized_name, p.region, p.status, p.first_seen_at, p.source_published_at,
+           coalesce(p.source_published_at, p.first_seen_at) AS posted_at, f.action,
+           CASE WHEN p.seniority IN ('senior','staff','principal','lead','manager','director') THEN 'experienced' WHEN p.seniority = 'intern' THEN 'student'
+                WHEN p.experience_min_years > coalesce(r.max_expected_years, 2) THEN 'experienced' WHEN p.experience_min_years IS NOT NULL THEN 'fit'
+                WHEN p.seniority = 'junior' THEN 'fit' ELSE 'unknown' END AS seniority_fit
+    FROM v_matches m JOIN v_postings p ON m.job_id = p.id JOIN v_companies c ON p.company_id = c.id JOIN v_sources s ON p.career_source_id = s.id
+    JOIN v_roles r ON m.target_role_id = r.id LEFT JOIN (SELECT job_id, arg_max(action, id) AS action FROM v_feedback GROUP BY job_id) f ON f.job_id = m.job_id
+  ), open_ AS (SELECT * FROM star WHERE status = 'active' AND (action IS NULL OR action NOT IN ('not_relevant','too_senior','wrong_field','wrong_location','rejected')))
+"""
+_PAGE = ("job_id", "target_role_id", "company_id", "final_score", "posted_at", "action", "seniority_fit")
+_PAGE_SQL = "SELECT job_id, target_role_id, company_id, final_score, posted_at, action, seniority_fit"
+
+
+@query(f"WITH {_STAR_SQL} {_PAGE_SQL} FROM open_ WHERE final_score >= 20 ORDER BY posted_at DESC, final_score DESC, job_id, target_role_id LIMIT 50")
+def top_matches_recent(spark, d):
+    return search.top_matches(_star(spark, d), search.Filters(min_score=20), at()).select(*_PAGE)
+
+
+@query(f"WITH {_STAR_SQL} {_PAGE_SQL} FROM open_ WHERE seniority_fit NOT IN ('experienced','student') ORDER BY final_score DESC, posted_at DESC, job_id, target_role_id LIMIT 40 OFFSET 20")
+def top_matches_score(spark, d):
+    return search.top_matches(_star(spark, d), search.Filters(sort="score", seniority="not_experienced", limit=40, offset=20), at()).select(*_PAGE)
+
+
+@query(f"""WITH {_STAR_SQL}, hits AS (SELECT *, CASE WHEN normalized_title ILIKE '%urgent%' OR normalized_name ILIKE '%urgent%' THEN 1 ELSE 0 END
+  + CASE WHEN normalized_title ILIKE '%machinery%' OR normalized_name ILIKE '%machinery%' THEN 1 ELSE 0 END AS matched_words FROM open_)
+  {_PAGE_SQL}, matched_words FROM hits WHERE matched_words > 0""")
+def top_matches_text(spark, d):
+    return search.top_matches(_star(spark, d), search.Filters(query="the urgent machinery", limit=None), at()).select(*_PAGE, "matched_words")
+
+
+@query(f"""WITH {_STAR_SQL}, q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+  near AS (SELECT vec_id, 1 - list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))) AS distance FROM embeddings, q),
+  hits AS (SELECT o.*, n.distance, CASE WHEN normalized_title ILIKE '%building%' OR normalized_name ILIKE '%building%' THEN 1 ELSE 0 END AS matched_words FROM open_ o LEFT JOIN near n ON n.vec_id = o.job_id % 500)
+  {_PAGE_SQL}, matched_words, round(distance, 6) AS distance FROM hits WHERE matched_words > 0 OR distance <= 0.75""")
+def top_matches_hybrid(spark, d):
+    e = table(spark, d, "embeddings")
+    one = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]
+    rows = _star(spark, d).join(e.select("vec_id", "embedding"), F.col("job_id") % 500 == F.col("vec_id"), "left")
+    got = search.top_matches(rows, search.Filters(query="building", query_embedding=one, limit=None), at())
+    return got.select(*_PAGE, "matched_words", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_STAR_SQL} SELECT count(*) AS n FROM open_ WHERE final_score >= 20 AND target_role_id = 3 AND (first_seen_at >= TIMESTAMP '2000-01-01' OR source_published_at >= TIMESTAMP '2000-01-01')")
+def count_top_matches(spark, d):
+    return search.count_top_matches(_star(spark, d), search.Filters(min_score=20, target_role_id=3, within_days=1), at("2000-01-02 12:00:00"))
+
+
+@query("SELECT * FROM v_matches QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY final_score DESC, target_role_id) = 1")
+def best_match_per_job(spark, d):
+    return search.best_per_job(view(spark, d, "v_matches"))
+
+
+@query(f"WITH {_STAR_SQL} SELECT target_role_id, seniority_fit, count(*) AS n FROM star GROUP BY ALL")
+def seniority_fit(spark, d):
+    fit = classify.level_fit(F.col("seniority"), F.col("experience_min_years"), F.col("max_expected_years"))
+    return _star(spark, d).groupBy("target_role_id", fit.alias("seniority_fit")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, company_id, title, location_text, first_seen_at FROM v_postings WHERE status = 'active' AND title ILIKE '%furniture%' AND first_seen_at >= TIMESTAMP '1996-01-01' ORDER BY first_seen_at DESC, id LIMIT 200")
+def list_jobs(spark, d):
+    got = search.list_jobs(view(spark, d, "v_postings"), status="active", title="furniture", discovered_since=at("1996-01-01 00:00:00"), limit=200)
+    return got.select("id", "company_id", "title", "location_text", "first_seen_at")
+
+
+@query("SELECT id, country, location_text FROM v_postings WHERE country = 'Israel' OR location_text IS NULL OR NOT regexp_matches(location_text, '(?i)nation_1[0-9]')")
+def home_only_filter(spark, d):
+    keep = classify.home_only(F.col("country"), F.col("location_text"), abroad="(?i)nation_1[0-9]")
+    return view(spark, d, "v_postings").where(keep).select("id", "country", "location_text")
+
+
+@query("SELECT job_id, arg_max(action, id) AS action FROM v_feedback GROUP BY job_id")
+def latest_feedback(spark, d):
+    return search.latest_feedback(view(spark, d, "v_feedback"))
+
+
+@query("""SELECT p.id, f.action FROM v_postings p LEFT JOIN (SELECT job_id, arg_max(action, id) AS action FROM v_feedback GROUP BY job_id) f ON p.id = f.job_id
+  WHERE f.action IS NULL OR f.action NOT IN ('not_relevant','too_senior','wrong_field','wrong_location','rejected')""")
+def hide_dismissed(spark, d):
+    last = search.latest_feedback(view(spark, d, "v_feedback"))
+    p = view(spark, d, "v_postings").join(last, F.col("id") == F.col("job_id"), "left")
+    return p.where(F.col("action").isNull() | ~F.col("action").isin(*search.DISMISSING)).select("id", "action")
+
+
+@query("""SELECT job_id, target_role_id, round(100 * (0.2 + 0.8 * greatest(skill_score, 0.6 * intent_semantic_score))
+  * (0.45 * skill_score + 0.30 * candidate_semantic_score + 0.12 * candidate_semantic_score + 0.08 * intent_semantic_score + 0.03 * skill_score + 0.02 * intent_semantic_score), 4) AS score FROM v_matches""")
+def match_score(spark, d):
+    m = view(spark, d, "v_matches")
+    a, b, c = F.col("skill_score"), F.col("candidate_semantic_score"), F.col("intent_semantic_score")
+    w = scoring.Weights()
+    fit = scoring.role_fit(a, F.lit(False), c, w)
+    return m.select("job_id", "target_role_id", F.round(100 * (w.gate_floor + (1 - w.gate_floor) * fit) * scoring.quality(a, b, b, c, a, c, w=w), 4).alias("score"))
+
+
+@query()
+def score_pairs(spark, d):
+    """Every open posting against the seven roles and a candidate from the embeddings: places, levels, ages and vectors."""
+    e = table(spark, d, "embeddings")
+    p = view(spark, d, "v_postings").join(e.select("vec_id", "embedding"), F.col("id") % 500 == F.col("vec_id"), "left")
+    none = F.lit(None).cast("string")
+    p = p.withColumns({"department": none, "qualifications": none, "responsibilities": none, "normalized_description": F.col("description"), "remote_type": F.lit("unknown"), "required_skills": F.array(F.lower("description")), "preferred_skills": F.array().cast("array<string>")})
+    terms = lambda *t: F.array(*map(F.lit, t)).cast("array<string>")
+    r = view(spark, d, "v_roles").join(e.select("vec_id", "embedding"), F.col("id") == F.col("vec_id"), "left")
+    r = r.withColumns({"aliases": terms("machinery"), "positive_keywords": terms("urgent", "high"), "negative_keywords": terms("low")})
+    c = e.where("vec_id = 9").select(F.lit(1).cast("long").alias("candidate_id"), terms("machinery", "building").alias("skills"), "embedding")
+    return scoring.score_pairs(p, r, c, at("2001-08-01 00:00:00"))
+
+
+@query("""SELECT coalesce(n.target_role_id, o.target_role_id) AS target_role_id, coalesce(n.job_id, o.job_id) AS job_id, coalesce(n.candidate_profile_id, o.candidate_profile_id) AS candidate_profile_id,
+  CASE WHEN n.job_id IS NOT NULL THEN n.final_score ELSE o.final_score END AS final_score, o.fit
+  FROM (SELECT *, concat('seen ', CAST(job_id AS VARCHAR)) AS fit FROM v_matches WHERE job_id % 3 <> 0) o FULL JOIN (SELECT * REPLACE (final_score + 1 AS final_score) FROM v_matches WHERE job_id % 2 = 0) n
+  ON o.job_id = n.job_id AND o.target_role_id = n.target_role_id AND o.candidate_profile_id = n.candidate_profile_id""")
+def upsert_matches(spark, d):
+    m = view(spark, d, "v_matches").select("candidate_profile_id", "target_role_id", "job_id", "final_score")
+    old = m.where("job_id % 3 <> 0").withColumn("fit", F.concat(F.lit("seen "), F.col("job_id").cast("string")))
+    new = m.where("job_id % 2 = 0").withColumn("final_score", F.col("final_score") + 1)
+    return scoring.upsert_matches(old, new)
+
+
+_COS = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])))"
+
+
+@query(f"""SELECT q.vec_id AS query_id, e.vec_id AS row_id, round(1 - {_COS.format(a='e.embedding', b='q.embedding')}, 6) AS distance
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - {_COS.format(a='e.embedding', b='q.embedding')}, e.vec_id) <= 10""")
+def cosine_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    got = vectors.nearest(e, e.where("vec_id < 5"), 10, "vec_id", "vec_id", "embedding")
+    return got.select("query_id", "row_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT e.vec_id, round(greatest(0, least(1, (greatest(0, least(1, {_COS.format(a='e.embedding', b='q.embedding')})) - 0.15) / (0.55 - 0.15))), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q")
+def calibrated_similarity(spark, d):
+    e = table(spark, d, "embeddings")
+    one = F.broadcast(e.where("vec_id = 1").select(F.col("embedding").alias("q")))
+    s = vectors.calibrate(vectors.cosine_similarity(F.col("embedding"), F.col("q")), 0.15, 0.55)
+    return e.crossJoin(one).select("vec_id", F.round(s, 6).alias("score"))
+
+
+@query("""SELECT label, pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 5) AS x FROM (
+  SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos)""")
+def mean_pool_by_label(spark, d):
+    got = vectors.mean_pool(table(spark, d, "embeddings"), "label", "embedding")
+    return got.select("label", F.posexplode("embedding").alias("pos", "x")).select("label", "pos", F.round("x", 5).alias("x"))
+
+
+@query(r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t ]+', ' ', 'g') AS t FROM documents),
+  b AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda l: trim(l)), chr(10)) AS t FROM a)
+  SELECT doc_id, md5(trim(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ')) AS h FROM b""")
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.normalize_whitespace(F.coalesce("text", F.lit(""))).cast("binary")).alias("h"))
+
+
+@query("""SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(lower(l),
+  'equal opportunity employer|equal employment opportunity|does not discriminate|committed to diversity|reasonable accommodation|privacy policy|privacy notice|cookie policy|all rights reserved|e-verify')), chr(10))) AS h
+  FROM documents WHERE text IS NOT NULL""")
+def strip_boilerplate(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.strip_boilerplate(F.col("text")).cast("binary")).alias("h"))
+
+
+@query("SELECT doc_id, sha256(text) AS h FROM documents")
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("h"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') AS w, text FROM documents WHERE text IS NOT NULL),
+  c AS (SELECT doc_id, unnest(range(0, greatest(len(w), 1), 220)) AS k, w, text FROM w)
+  SELECT doc_id, CAST(k // 220 AS INT) AS chunk, md5(CASE WHEN len(w) > 220 THEN array_to_string(w[k + 1 : k + 220], ' ') ELSE text END) AS h FROM c""")
+def chunk_words(spark, d):
+    got = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(T.chunk_words(F.col("text"))).alias("chunk", "x"))
+    return got.select("doc_id", "chunk", F.md5(F.col("x").cast("binary")).alias("h"))
+
+
+@query("""SELECT n.doc_id, sha256(n.text) AS content_hash FROM documents n LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(lang) ELSE sha256(text) END AS h,
+  CASE WHEN doc_id % 7 = 0 THEN 1 END AS gone FROM documents WHERE doc_id % 5 <> 0) o ON n.doc_id = o.doc_id WHERE sha256(n.text) IS DISTINCT FROM o.h OR o.gone IS NOT NULL""")
+def hash_gate(spark, d):
+    docs = table(spark, d, "documents")
+    new = docs.select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+    old = docs.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.sha2("lang", 256)).otherwise(F.sha2("text", 256)).alias("content_hash"), F.when(F.col("doc_id") % 7 == 0, at()).alias("archived_at"))
+    return crawl.hash_gate(new, old, ["doc_id"])
+
+
+@query("""SELECT doc_id, md5(concat_ws(chr(10), source, 'Team: ' || lang, CASE WHEN doc_id % 2 = 0 THEN 'Location: ' || lang END, 'Employment type: full_time', CASE WHEN doc_id % 3 = 0 THEN 'Required skills: ' || lang || ', ' || source END)) AS h FROM documents""")
+def embedding_text(spark, d):
+    docs = table(spark, d, "documents")
+    none = F.lit(None).cast("string")
+    skills = F.when(F.col("doc_id") % 3 == 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>"))
+    t = T.embedding_text(F.col("source"), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.lit("full_time"), skills, F.array().cast("array<string>"), none, none, none)
+    return docs.select("doc_id", F.md5(t.cast("binary")).alias("h"))
+
+
+@query()
+def page_text(spark, d):
+    return table(spark, d, "pages").select("page_id", pages.page_text(F.col("html")).alias("text"))
+
+
+@query(r"""SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1\s*>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages WHERE regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1\s*>', 1) <> '' AND length(trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1\s*>', 1))) <= 120""")
+def page_title(spark, d):
+    p = table(spark, d, "pages").where(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1\s*>", 1) != "").where(F.length(F.trim(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1\s*>", 1))) <= 120)
+    return p.select("page_id", pages.page_title(F.col("html")).alias("title"))
+
+
+_LINKS_SQL = r"""links AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*href="([^"]*)"[^>]*>.*?</a\s*>', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*href="([^"]*)"[^>]*>.*?</a\s*>', 1), 1) - 1 AS ordinal FROM pages)"""
+
+
+@query(f"WITH {_LINKS_SQL} SELECT page_id, ordinal, href, concat(regexp_extract(base, '^[a-z]+://[^/?#]+', 0), href) AS url FROM links WHERE href LIKE '/%'")
+def page_links(spark, d):
+    return pages.page_links(table(spark, d, "pages")).where("href like '/%'").select("page_id", "ordinal", "href", "url")
+
+
+@query()
+def link_groups(spark, d):
+    return pages.link_groups(table(spark, d, "pages"))
+
+
+@query(r"""WITH h AS (SELECT page_id, string_split(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '.') AS p FROM pages)
+  SELECT page_id, array_to_string(CASE WHEN len(p) >= 3 AND p[-2] IN ('co','com','org','net','ac','gov') THEN p[-3:] WHEN len(p) >= 2 THEN p[-2:] ELSE p END, '.') AS host FROM h""")
+def host_key(spark, d):
+    return table(spark, d, "pages").select("page_id", T.registrable_host(companies.host_of(F.col("url"))).alias("host"))
+
+
+@query("SELECT page_id, substr(sha256(url), 1, 32) AS job_id FROM pages")
+def url_id(spark, d):
+    return table(spark, d, "pages").select("page_id", T.url_id(F.col("url")).alias("job_id"))
+
+
+@query(r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS h FROM pages)
+  SELECT page_id, CASE WHEN h = 'example.com' OR h LIKE '%.example.com' THEN 'greenhouse' WHEN h = 'example.net' OR h LIKE '%.example.net' THEN 'lever' ELSE 'generic_html' END AS kind FROM h""")
+def classify_source(spark, d):
+    return table(spark, d, "pages").select("page_id", companies.classify_source(F.col("url"), [("example.com", "greenhouse"), ("example.net", "lever")]).alias("kind"))
+
+
+@query("SELECT event_id, 0 AS at, json_extract_string(props, '$.k') AS k FROM events")
+def feed_rows(spark, d):
+    """The value under a key, whatever its case, of every loaded document."""
+    e = table(spark, d, "events")
+    got = pages.feed_rows(e.withColumn("body", F.replace("props", F.lit('"k"'), F.lit('"ID"'))), "event_id", "body")
+    return got.select("event_id", "at", F.col("id").alias("k"))
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS parsed FROM events")
+def parse_timestamp(spark, d):
+    text = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.unix_timestamp("ts").cast("string"))
+    return table(spark, d, "events").select("event_id", T.parse_timestamp(text).alias("parsed"))
+
+
+@query("SELECT user_id % 20 AS source_id, CAST(extract(day FROM ts) AS BIGINT) AS crawl_id, event_type AS external_job_id, min(event_id) AS ordinal FROM events GROUP BY ALL")
+def first_of_each_id(spark, d):
+    e = table(spark, d, "events").select((F.col("user_id") % 20).alias("source_id"), F.dayofmonth("ts").cast("long").alias("crawl_id"), F.col("event_type").alias("external_job_id"), F.col("event_id").alias("ordinal"))
+    return crawl.first_of_each_id(e)
+
+
+@query("""WITH b AS (SELECT source_id, external_job_id, min(crawl_no) AS born FROM v_snapshots GROUP BY ALL), c AS (SELECT DISTINCT source_id, crawl_no FROM v_snapshots),
+  g AS (SELECT b.source_id, b.external_job_id, c.crawl_no, s.crawl_no AS seen FROM b JOIN c ON b.source_id = c.source_id AND c.crawl_no >= b.born
+  LEFT JOIN v_snapshots s ON s.source_id = b.source_id AND s.external_job_id = b.external_job_id AND s.crawl_no = c.crawl_no),
+  l AS (SELECT *, max(seen) OVER (PARTITION BY source_id, external_job_id ORDER BY crawl_no) AS last FROM g)
+  SELECT source_id, external_job_id, crawl_no, (SELECT count(*) FROM c WHERE c.source_id = l.source_id AND c.crawl_no > l.last AND c.crawl_no <= l.crawl_no) AS missing_streak FROM l""")
+def missing_streak(spark, d):
+    s = view(spark, d, "v_snapshots")
+    return crawl.missing_streaks(s, s.select("source_id", "crawl_no").distinct())
+
+
+@query("""SELECT source_id, run_id, started_at FROM (SELECT *, sum(jobs_seen) OVER w AS seen, count(*) OVER w AS n FROM v_runs WHERE status = 'success'
+  WINDOW w AS (PARTITION BY source_id ORDER BY started_at, run_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE seen = 0 AND n = 3""")
+def empty_streak(spark, d):
+    return crawl.empty_streak(view(spark, d, "v_runs"))
+
+
+_CRAWL_SQL = """
+  stored AS (SELECT source_id, external_job_id, max(crawl_no) AS last FROM v_snapshots WHERE crawl_no <= 10 GROUP BY ALL),
+  listed AS (SELECT source_id, external_job_id FROM v_snapshots WHERE crawl_no = 11), runs AS (SELECT DISTINCT source_id FROM listed),
+  both_ AS (SELECT coalesce(l.source_id, s.source_id) AS source_id, coalesce(l.external_job_id, s.external_job_id) AS external_job_id, l.source_id IS NOT NULL AS listed, s.source_id IS NOT NULL AS known,
+     s.last, r.source_id IS NOT NULL AS ran, CASE WHEN s.last % 4 = 0 THEN 'closed' ELSE 'active' END AS s_status, CAST(10 - s.last AS INT) AS streak
+     FROM listed l FULL JOIN stored s ON l.source_id = s.source_id AND l.external_job_id = s.external_job_id LEFT JOIN runs r ON r.source_id = coalesce(l.source_id, s.source_id)),
+  acted AS (SELECT *, CASE WHEN NOT ran THEN 'untouched' WHEN listed AND NOT known THEN 'created' WHEN listed AND last % 3 = 0 THEN 'updated' WHEN listed THEN 'seen' WHEN s_status = 'closed' THEN 'still_closed'
+     WHEN streak + 1 >= 3 THEN 'missing_closed' ELSE 'missing' END AS action FROM both_)
+"""
+
+
+def _crawl(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = view(spark, d, "v_snapshots")
+    old = s.where("crawl_no <= 10").groupBy("source_id", "external_job_id").agg(F.max("crawl_no").alias("last"))
+    stored = old.select(
+        "source_id", "external_job_id", F.lit("t").alias("title"), F.when(F.col("last") % 3 == 0, "old").otherwise("new").alias("content_hash"), F.when(F.col("last") % 4 == 0, "closed").otherwise("active").alias("status"),
+        (10 - F.col("last")).cast("int").alias("missing_streak"), at("2024-01-01 00:00:00").alias("first_seen_at"), at("2024-01-10 00:00:00").alias("last_seen_at"), F.lit(None).cast("timestamp").alias("archived_at"),
+    )
+    listing = s.where("crawl_no = 11").select("source_id", F.lit(11).alias("crawl_id"), F.lit(0).alias("ordinal"), "external_job_id", F.lit("t").alias("title"), F.lit("new").alias("content_hash"), F.lit(None).cast("string").alias("fetch_error"), F.lit(False).alias("unavailable"))
+    runs = listing.select("source_id", "crawl_id").distinct().withColumn("listing_error", F.lit(None).cast("string"))
+    return crawl.apply_crawl(listing, stored, runs, at("2024-01-11 00:00:00"))
+
+
+@query(f"""WITH {_CRAWL_SQL} SELECT source_id, external_job_id, action, CASE WHEN action IN ('created','updated','seen') THEN 'active' WHEN action = 'missing_closed' THEN 'closed' ELSE s_status END AS status,
+  CAST(CASE WHEN action IN ('created','updated','seen') THEN 0 WHEN action IN ('missing','missing_closed') THEN streak + 1 ELSE streak END AS INT) AS missing_streak FROM acted""")
+def apply_crawl(spark, d):
+    return _crawl(spark, d)[0].select("source_id", "external_job_id", "action", "status", "missing_streak")
+
+
+@query(f"""WITH {_CRAWL_SQL} SELECT source_id, count(*) FILTER (listed) AS jobs_seen, count(*) FILTER (action = 'created') AS jobs_created, count(*) FILTER (action = 'updated') AS jobs_updated,
+  count(*) FILTER (action = 'missing_closed') AS jobs_closed FROM acted WHERE ran GROUP BY source_id""")
+def crawl_counters(spark, d):
+    return _crawl(spark, d)[1].select("source_id", "jobs_seen", "jobs_created", "jobs_updated", "jobs_closed")
+
+
+@query("""SELECT id AS source_id, CAST(CASE WHEN enabled THEN 0 ELSE consecutive_failures + 1 END AS INT) AS consecutive_failures,
+  CAST(CASE WHEN enabled THEN 5 ELSE least(5 * pow(2, consecutive_failures + 1), 1440) END AS DOUBLE) AS wait_minutes FROM v_sources""")
+def schedule_next(spark, d):
+    s = view(spark, d, "v_sources").select(F.col("id").alias("source_id"), F.col("enabled").alias("ok"), F.col("poll_interval_minutes").alias("poll_minutes"), "consecutive_failures")
+    return crawl.schedule_next(s, at()).drop("next_check_at")
+
+
+@query("""SELECT s.id, s.source_type, s.next_check_at FROM v_sources s WHERE s.enabled AND s.company_id IN (SELECT id FROM v_companies WHERE enabled) AND (s.next_check_at IS NULL OR s.next_check_at <= TIMESTAMP '2024-01-15 12:00:00')
+  ORDER BY CASE WHEN s.source_type IN ('generic_html','playwright') THEN 1 ELSE 0 END, s.next_check_at NULLS FIRST, s.id LIMIT 40""")
+def due_sources(spark, d):
+    return crawl.due_sources(view(spark, d, "v_sources"), view(spark, d, "v_companies"), at(), 40).select("id", "source_type", "next_check_at")
+
+
+@query("""SELECT id, CASE WHEN h THEN 'playwright' ELSE source_type END AS source_type, CAST(CASE WHEN h THEN 60 ELSE poll_interval_minutes END AS INT) AS poll_interval_minutes FROM (
+  SELECT *, source_type = 'generic_html' AND id IN (SELECT source_id FROM (SELECT *, sum(jobs_seen) OVER w AS seen, count(*) OVER w AS n FROM v_runs WHERE status = 'success'
+  WINDOW w AS (PARTITION BY source_id ORDER BY started_at, run_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE seen = 0 AND n = 3 UNION SELECT id FROM v_sources WHERE id % 13 = 0) AS h FROM v_sources)""")
+def escalate_sources(spark, d):
+    s = view(spark, d, "v_sources")
+    refused = s.where("id % 13 = 0").select(F.col("id").alias("source_id"))
+    return crawl.escalate_sources(s, view(spark, d, "v_runs"), refused).select("id", "source_type", "poll_interval_minutes")
+
+
+_SHEET_SQL = "sheet AS (SELECT lower(s_name) AS k, s_name AS name, NULL AS url FROM supplier UNION ALL SELECT lower(c_name), c_name, 'https://x' FROM customer WHERE c_custkey % 2 = 0)"
+
+
+@query(f"""WITH {_SHEET_SQL} SELECT coalesce(s.k, c.normalized_name) AS normalized_name, s.k IS NOT NULL AS enabled, CASE WHEN c.id IS NULL THEN 'created' WHEN s.k IS NULL AND c.enabled THEN 'disabled' WHEN s.k IS NULL THEN 'absent'
+  WHEN s.name IS DISTINCT FROM c.name OR s.url IS DISTINCT FROM c.original_sheet_url OR NOT c.enabled THEN 'updated' ELSE 'unchanged' END AS action FROM sheet s FULL JOIN v_companies c ON s.k = c.normalized_name""")
+def sync_companies(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("url"))
+    c = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("name"), F.lit("https://x").alias("url"))
+    got = companies.sync_companies(companies.company_rows(s.union(c)), view(spark, d, "v_companies"))
+    return got.select("normalized_name", "enabled", "action")
+
+
+@query("""WITH r AS (SELECT id AS company_id, concat('Supplier#', lpad(CAST(id + id % 2 AS VARCHAR), 9, '0')) AS url, CASE WHEN id % 3 = 0 THEN 'lever' ELSE 'generic_html' END AS board_type, CASE WHEN id % 3 = 0 THEN external_identifier END AS identifier FROM v_sources),
+  m AS (SELECT r.*, s.id AS sid, CASE WHEN s.source_type = r.board_type AND s.external_identifier = r.identifier THEN 1 WHEN r.board_type = 'generic_html' AND s.enabled AND s.source_type NOT IN ('generic_html','playwright','unsupported') THEN 2
+  WHEN s.source_url = r.url THEN 3 END AS rule FROM r LEFT JOIN v_sources s ON s.company_id = r.company_id)
+  SELECT company_id, url, CASE WHEN rule IS NOT NULL THEN sid END AS source_id, CAST(rule AS INT) AS rule FROM m QUALIFY row_number() OVER (PARTITION BY company_id, url ORDER BY rule NULLS LAST, sid) = 1""")
+def match_source(spark, d):
+    s = view(spark, d, "v_sources")
+    lever = F.col("id") % 3 == 0
+    url = F.concat(F.lit("Supplier#"), F.lpad((F.col("id") + F.col("id") % 2).cast("string"), 9, "0"))
+    r = s.select(F.col("id").alias("company_id"), url.alias("url"), F.when(lever, "lever").otherwise("generic_html").alias("board_type"), F.when(lever, F.col("external_identifier")).alias("identifier"))
+    return companies.match_source(r, s).select("company_id", "url", "source_id", "rule")
+
+
+_PRUNE_SQL = """fate AS (SELECT p.id, CASE WHEN NOT (first_seen_at < TIMESTAMP '2001-01-01' AND coalesce(source_published_at, first_seen_at) < TIMESTAMP '2001-01-01') OR p.id IN (SELECT job_id FROM v_feedback) OR p.id IN (SELECT id FROM v_postings WHERE id % 50 = 0) THEN 'keep'
+  WHEN status = 'active' THEN 'archive' WHEN status = 'closed' THEN 'delete' ELSE 'keep' END AS fate FROM v_postings p)"""
+
+
+def _prune(spark: SparkSession, d: str):
+    p = view(spark, d, "v_postings")
+    applied = p.where("id % 50 = 0").select(F.col("id").alias("job_id"))
+    return retention.prune(p, view(spark, d, "v_matches"), view(spark, d, "v_feedback"), applied, at("2001-01-11 00:00:00"))
+
+
+@query(f"WITH {_PRUNE_SQL} SELECT f.id, fate = 'archive' AS archived, CASE WHEN fate <> 'archive' THEN p.description END AS description FROM fate f JOIN v_postings p ON p.id = f.id WHERE fate <> 'delete'")
+def prune(spark, d):
+    return _prune(spark, d)[0].select("id", F.col("archived_at").isNotNull().alias("archived"), "description")
+
+
+@query(f"WITH {_PRUNE_SQL} SELECT count(*) FILTER (fate = 'archive') AS archived, count(*) FILTER (fate = 'delete') AS deleted FROM fate")
+def prune_counters(spark, d):
+    return _prune(spark, d)[2]
+
+
+@query(f"WITH {_PRUNE_SQL} SELECT m.job_id, m.target_role_id FROM v_matches m WHERE m.job_id NOT IN (SELECT id FROM fate WHERE fate <> 'keep')")
+def prune_matches(spark, d):
+    return _prune(spark, d)[1].select("job_id", "target_role_id")
+
+
+@query("""SELECT (SELECT count(*) FROM v_companies WHERE enabled) AS companies, (SELECT count(*) FROM v_sources WHERE enabled) AS sources, (SELECT count(*) FROM v_postings WHERE status = 'active') AS active,
+  (SELECT count(*) FROM v_postings WHERE status = 'active') AS active_listed, (SELECT count(*) FROM v_postings WHERE status = 'active' AND country = 'Israel') AS active_home,
+  (SELECT count(*) FROM v_postings WHERE status = 'active' AND location_text IS NULL) AS active_no_location, (SELECT count(*) FROM v_postings WHERE first_seen_at >= TIMESTAMP '2000-01-14 12:00:00') AS found_24h,
+  (SELECT count(*) FROM v_postings WHERE first_seen_at >= TIMESTAMP '2000-01-15') AS found_today, (SELECT count(*) FROM v_matches) AS matches,
+  (SELECT count(*) FROM v_runs WHERE started_at >= TIMESTAMP '2000-01-15 11:00:00') AS runs_hour, (SELECT count(*) FROM v_runs WHERE started_at >= TIMESTAMP '2000-01-15 11:00:00' AND status = 'failed') AS failed_hour""")
+def dashboard_counts(spark, d):
+    return reports.dashboard_counts(*(view(spark, d, v) for v in ("v_companies", "v_sources", "v_postings", "v_matches", "v_runs")), at("2000-01-15 12:00:00"))
+
+
+@query("""SELECT s.source_type, count(DISTINCT s.id) AS sources, count(*) FILTER (p.status = 'active') AS active, count(*) FILTER (p.status = 'active' AND p.country = 'Israel') AS active_home
+  FROM v_sources s LEFT JOIN v_postings p ON p.career_source_id = s.id GROUP BY s.source_type""")
+def by_source_type(spark, d):
+    return reports.by_source_type(view(spark, d, "v_sources"), view(spark, d, "v_postings"))
+
+
+@query("SELECT source_type, count(*) AS n FROM v_sources WHERE enabled GROUP BY source_type")
+def sources_per_type(spark, d):
+    return reports.sources_per_type(view(spark, d, "v_sources"))
+
+
+@query("""SELECT s.id, c.name AS company, s.source_type, s.consecutive_failures, r.run_id, r.error_type FROM v_sources s JOIN v_companies c ON c.id = s.company_id
+  LEFT JOIN (SELECT source_id, arg_max(error_type, run_id) AS error_type, max(run_id) AS run_id FROM v_runs WHERE status = 'failed' GROUP BY source_id) r ON r.source_id = s.id
+  WHERE s.enabled AND s.consecutive_failures >= 2 ORDER BY s.consecutive_failures DESC, c.name, s.id LIMIT 30""")
+def failing_sources(spark, d):
+    return reports.failing_sources(view(spark, d, "v_sources"), view(spark, d, "v_companies"), view(spark, d, "v_runs"))
+
+
+@query("""SELECT r.run_id, c.name AS company, s.source_type, r.status, r.jobs_seen, r.started_at FROM v_runs r JOIN v_sources s ON s.id = r.source_id JOIN v_companies c ON c.id = s.company_id
+  ORDER BY r.started_at DESC, r.run_id DESC LIMIT 25""")
+def recent_runs(spark, d):
+    return reports.recent_runs(view(spark, d, "v_runs"), view(spark, d, "v_sources"), view(spark, d, "v_companies"))
+
+
+@query("SELECT status, count(*) AS n FROM v_runs WHERE started_at >= TIMESTAMP '2024-01-15 12:00:00' GROUP BY status")
+def runs_by_status(spark, d):
+    return reports.runs_by_status(view(spark, d, "v_runs"), at("2024-01-15 12:15:00"))
+
+
+@query("SELECT action AS status, count(*) AS n FROM v_feedback GROUP BY action")
+def application_counts(spark, d):
+    return reports.application_counts(view(spark, d, "v_feedback").withColumnRenamed("action", "status"))
+
+
+@query("SELECT p.seniority, round(median(m.final_score), 6) AS median_score, count(*) AS n FROM v_matches m JOIN v_postings p ON p.id = m.job_id GROUP BY p.seniority")
+def median_by_class(spark, d):
+    m = view(spark, d, "v_matches").join(view(spark, d, "v_postings").select(F.col("id").alias("job_id"), "seniority"), "job_id")
+    return reports.median_by_class(m, "seniority", "final_score").withColumn("median_score", F.round("median_score", 6))
+
+
+@query("""WITH r AS (SELECT l.quality = 1 AS pos, n_chars AS s FROM labels l JOIN documents d ON l.doc_id = d.doc_id), k AS (SELECT pos, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM r)
+  SELECT count(*) FILTER (pos) AS positives, count(*) FILTER (NOT pos) AS negatives, round((sum(r) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)), 9) AS accuracy FROM k""")
+def pairwise_accuracy(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select((F.col("quality") == 1).alias("pos"), "n_chars")
+    return reports.pairwise_accuracy(rows, "n_chars", "pos").withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query("""WITH f AS (SELECT job_id, arg_max(action, id) AS a FROM v_feedback GROUP BY job_id), r AS (SELECT a IN ('interested','applied','saved') AS liked, m.final_score, m.skill_score FROM f JOIN v_matches m USING (job_id)),
+  x AS (SELECT sum(CASE WHEN p.final_score > n.final_score THEN 1.0 WHEN p.final_score = n.final_score THEN 0.5 ELSE 0 END) / count(*) AS a, sum(CASE WHEN p.skill_score > n.skill_score THEN 1.0 WHEN p.skill_score = n.skill_score THEN 0.5 ELSE 0 END) / count(*) AS b
+  FROM r p, r n WHERE p.liked AND NOT n.liked)
+  SELECT count(*) FILTER (liked) AS positives, count(*) FILTER (NOT liked) AS negatives, round(max(a), 9) AS rules_pairwise, count(*) FILTER (liked) AS judged_positives, count(*) FILTER (NOT liked) AS judged_negatives, round(max(b), 9) AS judged_pairwise FROM r, x""")
+def agreement_report(spark, d):
+    got = reports.agreement_report(view(spark, d, "v_feedback"), view(spark, d, "v_matches"), "final_score", "skill_score")
+    return got.withColumns({c: F.round(c, 9) for c in ("rules_pairwise", "judged_pairwise")})
+
+
+@query("SELECT job_id, target_role_id, CASE WHEN final_score >= 75 THEN 'great' WHEN final_score >= 65 THEN 'good' WHEN final_score >= 50 THEN 'fair' ELSE 'low' END AS tone FROM v_matches")
+def score_tone(spark, d):
+    return view(spark, d, "v_matches").select("job_id", "target_role_id", reports.score_tone(F.col("final_score")).alias("tone"))
+
+
+@query("""SELECT id, CAST(CASE WHEN h < 24 THEN 1.0 WHEN h < 72 THEN 0.85 WHEN h < 168 THEN 0.65 WHEN h < 336 THEN 0.4 WHEN h < 720 THEN 0.2 ELSE 0.1 END AS DOUBLE) AS score
+  FROM (SELECT id, (epoch(TIMESTAMP '1998-06-15 12:00:00') - epoch(first_seen_at)) / 3600 AS h FROM v_postings)""")
+def recency_score(spark, d):
+    return view(spark, d, "v_postings").select("id", classify.recency_score(F.col("first_seen_at"), at("1998-06-15 12:00:00"))["score"].cast("decimal(3,2)").cast("double").alias("score"))
+
+
+@query()
+def posting_reading(spark, d):
+    """Level, years, skills and place read from every document: its source as the title, its text as requirements and location."""
+    docs = table(spark, d, "documents")
+    read = classify.assess_level(F.col("source"), F.col("text"))
+    place = F.substr("text", F.lit(1), F.lit(80))
+    return docs.select("doc_id", read["level"].alias("level"), read["years"].alias("years"), classify.extract_skills(F.col("text")).alias("skills"), classify.country(place).alias("country"), classify.region(place).alias("region"))
+
+
+@query(r"""SELECT p_partkey, CAST(CASE WHEN regexp_matches(p_name, '(?i)\b(small)\b') THEN 0.1 WHEN regexp_matches(p_name, '(?i)\bred widget\b') OR regexp_matches(p_name, '(?i)\bgizmo\b') THEN 1.0
+  ELSE CASE CAST(regexp_matches(concat(p_name, ' ', p_type), '(?i)\bblue\b') AS INT) + CAST(regexp_matches(concat(p_name, ' ', p_type), '(?i)\beconomy\b') AS INT) WHEN 0 THEN 0.3 WHEN 1 THEN 0.8 ELSE 1.0 END END AS DOUBLE) AS score FROM part""")
+def role_score(spark, d):
+    terms = lambda *t: F.array(*map(F.lit, t))
+    s = classify.role_score(F.col("p_name"), F.col("p_type"), F.lit("Red Widget"), terms("gizmo"), terms("blue", "Economy"), terms("small"))
+    return table(spark, d, "part").select("p_partkey", F.round(s["score"], 2).alias("score"))

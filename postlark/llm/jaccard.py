@@ -26,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import Words, bitmap, kept, mix, rolled, slices, texts_of, windows
@@ -265,11 +265,17 @@ def _opened(left: pa.Table, right: pa.Table) -> pa.Table:
     """Links of queries with the members of one block of a group."""
     out: list[tuple[int, int]] = []
     if left.num_rows and right.num_rows:
-        queries, members = ([np.frombuffer(x, "<u8") for x in t.column("tokens").to_pylist()] for t in (left, right))
-        q, m = left.column("rep").to_numpy(), right.column("rep").to_numpy()
+        queries, members = ([(np.frombuffer(x, "<u8"), r) for x, r in zip(t.column("tokens").to_pylist(), t.column("rep").to_pylist(), strict=True)] for t in (left, right))
+        for side in (queries, members):
+            side.sort(key=lambda s: len(s[0]))
+        q, m = (np.array([r for _, r in side], np.int64) for side in (queries, members))
+        queries, members = ([s for s, _ in side] for side in (queries, members))
         for i in range(0, len(q), BLOCK):
             for j in range(0, len(m), BLOCK):
-                x, y = np.nonzero(_linked(queries[i : i + BLOCK], members[j : j + BLOCK]))
+                large, small = queries[i : i + BLOCK], members[j : j + BLOCK]
+                if len(small[0]) > len(large[-1]) or 100 * len(small[-1]) < SIMILAR * len(large[0]):
+                    continue  # members of such sizes are no smaller set of these queries
+                x, y = np.nonzero(_linked(large, small))
                 out += zip(q[i + x].tolist(), m[j + y].tolist(), strict=True)
     return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
@@ -288,9 +294,18 @@ def _across(sets: DataFrame) -> DataFrame:
     often = matrix.groupBy("token").agg(F.sum("times").alias("df"), F.count("*").alias("groups")).where("groups > 1")
     ranked = rows.join(often.select("token", "df"), "token").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by"))
     # Of a set's shingles, those of its own group alone come first: they are rarest for others and match nobody.
-    prefix = F.col("n") - need + 1 - (F.col("n") - F.size("by"))
-    first = ranked.where(prefix > 0).select("rep", F.col("comp").alias("own"), "n", F.explode(F.slice("by", 1, prefix.cast("int"))).alias("x")).select("rep", "own", "n", "x.token")
-    candidates = first.join(matrix.select("token", "comp"), "token").where("comp <> own").select("rep", "own", "n", "comp").distinct()
+    # A larger set needs SIMILAR / 100 of its shingles in common, a smaller one 2 t / (1 + t) of them for t of that:
+    # so a smaller one is found by the first ninth of its shingles, and a shingle that very many share is seldom there.
+    alone = F.col("n") - F.size("by")
+    probe, index = F.col("n") - need + 1 - alone, F.col("n") - F.ceil(F.col("n") * 2 * SIMILAR / (100 + SIMILAR)) + 1 - alone
+
+    def first(upto: Column, *columns: str) -> DataFrame:
+        return ranked.where(upto > 0).select(*columns, "n", F.explode(F.slice("by", 1, upto.cast("int"))).alias("x")).select(*columns, "n", "x.token")
+
+    found = first(index, "comp").groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    asked = first(probe, "rep", "comp").withColumnRenamed("comp", "own")
+    fits = (F.col("comp") != F.col("own")) & (F.col("least") <= F.col("n")) & (100 * F.col("most") >= SIMILAR * F.col("n"))
+    candidates = asked.join(found, (asked["token"] == found["token"]) & fits).select("rep", "own", "n", "comp").distinct()
     tokens = rows.select("rep", "token")
     bound = candidates.join(tokens, "rep").join(matrix.select("token", "comp"), ["token", "comp"]).groupBy("rep", "n", "comp").agg(F.count("*").alias("most"))
     open_ = kept(bound.where(F.col("most") >= need).select("rep", F.col("comp").alias("group")), "open")

@@ -44,7 +44,8 @@ def collapsed_text(x: Column) -> Column:
 
 
 def normalize_whitespace(x: Column) -> Column:
-    x = F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")  # carriage returns go with the other controls
+    x = F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    x = F.regexp_replace(x, r"\r\n?", "\n")
     x = F.regexp_replace(x, r"[ \t ]+", " ")
     x = F.regexp_replace(x, r"(?mU)^[^\S\n]+|[^\S\n]+$", "")
     x = F.regexp_replace(x, r"\n{3,}", "\n\n")

@@ -60,14 +60,14 @@ _GREENHOUSE = "id:string,title:string,location:struct<name:string>,absolute_url:
 
 def greenhouse_listing(p: DataFrame) -> DataFrame:
     x = F.col("x")
-    return _listing(_rows(p, f"jobs array<struct<{_GREENHOUSE}>>", "jobs"), x["id"], x["title"], x["location.name"], x["absolute_url"], x["absolute_url"], T.parse_timestamp(x["updated_at"]))
+    return _listing(_rows(p, f"jobs array<struct<{_GREENHOUSE}>>", "jobs"), x["id"], x["title"], x["location"]["name"], x["absolute_url"], x["absolute_url"], T.parse_timestamp(x["updated_at"]))
 
 
 def greenhouse_details(p: DataFrame) -> DataFrame:
     x = F.col("x")
     rows = _rows(p, ", ".join(f.replace(":", " ", 1) for f in ("id:string", "title:string", "location:struct<name:string>", "absolute_url:string", "updated_at:string", "content:string", "departments:array<struct<name:string>>")), None)
     return _details(
-        rows, x["id"], x["title"], department=_some(F.get(x["departments"], 0)["name"]), location_text=x["location.name"], description=_html(T.unescape(x["content"])),
+        rows, x["id"], x["title"], department=_some(F.get(x["departments"], 0)["name"]), location_text=x["location"]["name"], description=_html(T.unescape(x["content"])),
         source_url=x["absolute_url"], apply_url=x["absolute_url"], source_updated_at=T.parse_timestamp(x["updated_at"]),
     )
 
@@ -82,7 +82,7 @@ _LEVER = (
 
 def lever_listing(p: DataFrame) -> DataFrame:
     x = F.col("x")
-    return _listing(_rows(p, _LEVER), x["id"], x["text"], x["categories.location"], x["hostedUrl"], x["applyUrl"])
+    return _listing(_rows(p, _LEVER), x["id"], x["text"], x["categories"]["location"], x["hostedUrl"], x["applyUrl"])
 
 
 def lever_details(p: DataFrame) -> DataFrame:
@@ -92,8 +92,8 @@ def lever_details(p: DataFrame) -> DataFrame:
     last = F.coalesce(_some(x["additionalPlain"]), _html(x["additional"]))
     parts = F.filter(F.concat(F.array(first), sections, F.array(last)), lambda s: s.isNotNull() & (s != ""))
     return _details(
-        _rows(p, _LEVER), x["id"], x["text"], department=F.coalesce(_some(x["categories.team"]), _some(x["categories.department"])), location_text=x["categories.location"],
-        employment_type=T.employment_type(x["categories.commitment"]), description=_some(F.array_join(parts, "\n\n")), source_url=x["hostedUrl"], apply_url=x["applyUrl"],
+        _rows(p, _LEVER), x["id"], x["text"], department=F.coalesce(_some(x["categories"]["team"]), _some(x["categories"]["department"])), location_text=x["categories"]["location"],
+        employment_type=T.employment_type(x["categories"]["commitment"]), description=_some(F.array_join(parts, "\n\n")), source_url=x["hostedUrl"], apply_url=x["applyUrl"],
         source_published_at=T.parse_timestamp(x["createdAt"]),
     )
 
@@ -143,12 +143,12 @@ def smartrecruiters_details(p: DataFrame) -> DataFrame:
         f"jobAd struct<sections:struct<companyDescription:{part},jobDescription:{part},additionalInformation:{part},qualifications:{part}>>",
         None,
     )
-    s = x["jobAd.sections"]
+    s = x["jobAd"]["sections"]
     return _details(
-        rows, x["id"], F.trim(x["name"]), department=x["department.label"], location_text=_smart_place(x["location"]),
-        remote_type=F.when(x["location.remote"], "remote").when(x["location.hybrid"], "hybrid").otherwise("unknown"), employment_type=T.employment_type(x["typeOfEmployment.label"]),
-        description=_joined(T.html_to_text(s["companyDescription.text"]), T.html_to_text(s["jobDescription.text"]), T.html_to_text(s["additionalInformation.text"]), by="\n\n"),
-        qualifications=_html(s["qualifications.text"]), source_url=x["postingUrl"], apply_url=F.coalesce(x["applyUrl"], x["postingUrl"]), source_published_at=T.parse_timestamp(x["releasedDate"]),
+        rows, x["id"], F.trim(x["name"]), department=x["department"]["label"], location_text=_smart_place(x["location"]),
+        remote_type=F.when(x["location"]["remote"], "remote").when(x["location"]["hybrid"], "hybrid").otherwise("unknown"), employment_type=T.employment_type(x["typeOfEmployment"]["label"]),
+        description=_joined(T.html_to_text(s["companyDescription"]["text"]), T.html_to_text(s["jobDescription"]["text"]), T.html_to_text(s["additionalInformation"]["text"]), by="\n\n"),
+        qualifications=_html(s["qualifications"]["text"]), source_url=x["postingUrl"], apply_url=F.coalesce(x["applyUrl"], x["postingUrl"]), source_published_at=T.parse_timestamp(x["releasedDate"]),
     )
 
 
@@ -175,7 +175,7 @@ def workable_details(p: DataFrame) -> DataFrame:
     benefits = _html(x["benefits"])
     remote = F.when(T.remote_type(x["workplace"]) != "unknown", T.remote_type(x["workplace"])).when(x["remote"], "remote").otherwise("unknown")
     return _details(
-        rows, x["shortcode"], x["title"], department=_some(F.array_join(x["department"], ", ")), location_text=_joined(x["location.city"], x["location.country"]), remote_type=remote,
+        rows, x["shortcode"], x["title"], department=_some(F.array_join(x["department"], ", ")), location_text=_joined(x["location"]["city"], x["location"]["country"]), remote_type=remote,
         description=_joined(T.html_to_text(x["description"]), F.concat(F.lit("Benefits\n"), benefits), by="\n\n"), qualifications=_html(x["requirements"]),
     )
 
@@ -187,7 +187,7 @@ _COMEET = "uid:string,name:string,location:struct<name:string>,department:string
 
 def comeet_listing(p: DataFrame) -> DataFrame:
     x = F.col("x")
-    return _listing(_rows(p, f"array<struct<{_COMEET}>>"), x["uid"], x["name"], x["location.name"], x["url_active_page"], x["url_active_page"], T.parse_timestamp(x["time_updated"]))
+    return _listing(_rows(p, f"array<struct<{_COMEET}>>"), x["uid"], x["name"], x["location"]["name"], x["url_active_page"], x["url_active_page"], T.parse_timestamp(x["time_updated"]))
 
 
 def comeet_details(p: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def comeet_details(p: DataFrame) -> DataFrame:
     rest = F.filter(sections, lambda s: ~F.lower(s["name"]).isin("responsibilities", "requirements") & (s["text"] != ""))
     shown = F.transform(rest, lambda s: F.when(F.lower(s["name"]) == "description", s["text"]).otherwise(F.concat_ws("\n", s["name"], s["text"])))
     return _details(
-        _rows(p, f"array<struct<{_COMEET}>>"), x["uid"], x["name"], department=x["department"], location_text=x["location.name"], employment_type=T.employment_type(x["employment_type"]),
+        _rows(p, f"array<struct<{_COMEET}>>"), x["uid"], x["name"], department=x["department"], location_text=x["location"]["name"], employment_type=T.employment_type(x["employment_type"]),
         description=_some(F.array_join(shown, "\n\n")), responsibilities=named("responsibilities"), qualifications=named("requirements"), source_url=x["url_active_page"],
         apply_url=x["url_active_page"], source_updated_at=T.parse_timestamp(x["time_updated"]),
     )
@@ -231,7 +231,7 @@ def workday_details(p: DataFrame) -> DataFrame:
     x = F.col("x.jobPostingInfo")
     rows = _rows(p, "jobPostingInfo struct<title:string,location:string,additionalLocations:array<string>,country:struct<descriptor:string>,remoteType:string,timeType:string,jobDescription:string,externalUrl:string,startDate:string,externalPath:string>", None)
     return _details(
-        rows, workday_job_id(F.coalesce(x["externalPath"], "url")), x["title"], location_text=_some(workday_place(x["location"], x["additionalLocations"], x["country.descriptor"])),
+        rows, workday_job_id(F.coalesce(x["externalPath"], "url")), x["title"], location_text=_some(workday_place(x["location"], x["additionalLocations"], x["country"]["descriptor"])),
         remote_type=T.remote_type(x["remoteType"]), employment_type=T.employment_type(x["timeType"]), description=_html(x["jobDescription"]), source_url=x["externalUrl"], apply_url=x["externalUrl"],
         source_published_at=T.parse_timestamp(x["startDate"]),
     )
@@ -291,12 +291,12 @@ _POSTS = "array<struct<id:string,link:string,date_gmt:string,modified_gmt:string
 
 def wordpress_listing(p: DataFrame) -> DataFrame:
     x = F.col("x")
-    return _listing(_rows(p, _POSTS), F.when(x["link"] != "", T.url_id(x["link"])), T.html_to_text(x["title.rendered"]), _null(), x["link"], x["link"], T.parse_timestamp(x["modified_gmt"]))
+    return _listing(_rows(p, _POSTS), F.when(x["link"] != "", T.url_id(x["link"])), T.html_to_text(x["title"]["rendered"]), _null(), x["link"], x["link"], T.parse_timestamp(x["modified_gmt"]))
 
 
 def wordpress_details(p: DataFrame) -> DataFrame:
     x = F.col("x")
-    return _details(_rows(p, _POSTS), F.when(x["link"] != "", T.url_id(x["link"])), T.html_to_text(x["title.rendered"]), description=_html(x["content.rendered"]), source_url=x["link"], apply_url=x["link"], source_published_at=T.parse_timestamp(x["date_gmt"]), source_updated_at=T.parse_timestamp(x["modified_gmt"]))
+    return _details(_rows(p, _POSTS), F.when(x["link"] != "", T.url_id(x["link"])), T.html_to_text(x["title"]["rendered"]), description=_html(x["content"]["rendered"]), source_url=x["link"], apply_url=x["link"], source_published_at=T.parse_timestamp(x["date_gmt"]), source_updated_at=T.parse_timestamp(x["modified_gmt"]))
 
 
 # --- taleo: columns of a requisition, fields of a script's string array ---

@@ -78,4 +78,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_repetition, op2_site_quality, op3_token_store, op4_byte_bpe, op5_toxicity, op6_passages, op7_main_text, op8_decontamination, op9_pii, op10_jaccard)
 }
 
-SQL: dict[str, str] = {}
+_WORDS = """words_of AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents)"""
+
+
+def _repetition_sql() -> str:
+    """The rules by grouping: every window of every length is a row."""
+    parts, joins, columns = [], [], []
+    for n in sorted({3, *repetition.TOP, *repetition.AGAIN}):
+        parts.append(f"""
+          g{n} AS (SELECT doc_id, k, array_to_string(ws[k : k + {n - 1}], ' ') AS g, len(array_to_string(ws[k : k + {n - 1}], '')) AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n - 2})) AS k FROM words_of)),
+          r{n} AS (SELECT doc_id, g, count(*) AS times, max(c) AS c FROM g{n} GROUP BY doc_id, g HAVING count(*) > 1),
+          t{n} AS (SELECT doc_id, max(times * c) AS took FROM r{n} GROUP BY doc_id),
+          w{n} AS (SELECT doc_id, count(*) AS words, sum(len(w.x)) AS chars FROM (SELECT DISTINCT doc_id, unnest(range(k, k + {n})) AS i FROM g{n} JOIN r{n} USING (doc_id, g)) c
+                   JOIN (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM words_of) w USING (doc_id, i) GROUP BY doc_id)""")
+        joins.append(f"LEFT JOIN t{n} USING (doc_id) LEFT JOIN w{n} USING (doc_id)")
+        if n in repetition.TOP:
+            columns.append(f"least(coalesce(t{n}.took, 0) / greatest(word_chars, 1)::DOUBLE, 1.0) AS top_{n}")
+        if n in repetition.AGAIN:
+            columns.append(f"coalesce(w{n}.chars, 0) / greatest(word_chars, 1)::DOUBLE AS again_{n}")
+    bad = [f"top_{n} > {most}" for n, most in repetition.TOP.items()] + [f"again_{n} > {most}" for n, most in repetition.AGAIN.items()]
+    bad += [
+        f"(n_dup_lines >= {repetition.DUP_LINES} AND (n_dup_lines > {repetition.DUP_LINE_SHARE} * n_lines OR dup_line_chars > {repetition.DUP_LINE_CHARS} * word_chars))",
+        f"n_symbols > {repetition.SYMBOLS_PER_WORD} * n_words",
+    ]
+    failed = f"(n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words)"
+    return f"""WITH {_WORDS}, {','.join(parts)},
+      lines AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (nth > 1) AS n_dup_lines, coalesce(sum(len(line)) FILTER (nth > 1), 0)::BIGINT AS dup_line_chars
+        FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS nth FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words_of) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')) GROUP BY doc_id),
+      base AS (SELECT doc_id, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars, len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(dup_line_chars, 0) AS dup_line_chars FROM words_of LEFT JOIN lines USING (doc_id)),
+      all_ AS (SELECT base.*, coalesce(w3.words, 0) AS n_repeat_words, {', '.join(columns)} FROM base {' '.join(joins)})
+      SELECT *, {failed} AS base_failed, NOT {failed} AND NOT ({' OR '.join(bad)}) AS kept FROM all_"""
+
+
+SQL: dict[str, str] = {
+    "op1_repetition": _repetition_sql(),
+    "op6_passages": f"""WITH {_WORDS}, g AS (SELECT doc_id, k, md5(array_to_string(ws[k : k + 12], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM words_of)),
+      late AS (SELECT doc_id, k FROM g JOIN (SELECT h, min(doc_id) AS least FROM g GROUP BY h) USING (h) WHERE least < doc_id), gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS i, TRUE AS cut FROM late),
+      w AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM words_of),
+      left_ AS (SELECT doc_id, count(cut) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (cut IS NULL) AS t FROM w LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+      SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words_of LEFT JOIN left_ USING (doc_id)""",
+    "op10_jaccard": f"""WITH RECURSIVE {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+      sets AS (SELECT DISTINCT doc_id, md5(array_to_string(CASE WHEN len(ws) >= 5 THEN ws[k : k + 4] ELSE ws END, ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS k FROM words_of WHERE len(ws) > 0)),
+      n AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id), both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sets a JOIN sets b USING (h) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+      link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+      reach AS (SELECT doc_id AS a, doc_id AS b FROM words_of UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+      SELECT r.a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a""",
+}

@@ -140,3 +140,22 @@ def bitmap(hashes, bits: int) -> bytes:
     for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         out[r["word"]] = r["bits"]
     return np.packbits(np.unpackbits(out.view(np.uint8), bitorder="little")).tobytes()
+
+
+def release() -> None:
+    """Gives memory that this worker has freed back to the system: workers are used again by later stages, which would find it taken."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def releasing(batches):
+    """The same batches; release() when they end."""
+    try:
+        yield from batches
+    finally:
+        release()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import slices, texts_of
+from ._text import releasing, slices, texts_of
 
 LONG_PIECE = 64
 #: Pieces, and runs between blanks, that a worker keeps.
@@ -32,8 +32,8 @@ KEPT_PIECES, KEPT_UNITS = 500_000, 150_000
 #: Signs after a word make one piece with each other: no apostrophe, which may begin a contraction.
 SIGNS = "!#$%&*+,-./:;<=>?@|~()[]{}"
 #: Pieces contracted by one query.
-QUERY_PIECES = 20_000
-ENCODE_BYTES, DECODE_TOKENS = 2 << 20, 200_000
+QUERY_PIECES = 8_000
+ENCODE_BYTES, DECODE_TOKENS = 1 << 20, 100_000
 
 #: A row's place holds its piece's number and, in the low PLACE_BITS bits, its position.
 PLACE_BITS = 12
@@ -72,7 +72,7 @@ def _database():
     import duckdb
 
     db = duckdb.connect()
-    db.execute(f"SET threads = 1; SET memory_limit = '160MB'; SET temp_directory = '{tempfile.gettempdir()}/duckdb'")
+    db.execute(f"SET threads = 1; SET memory_limit = '128MB'; SET temp_directory = '{tempfile.gettempdir()}/duckdb'")
     return db
 
 
@@ -234,7 +234,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def _both(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    return _decoded(_encoded(batches, path, pattern), path)
+    return releasing(_decoded(_encoded(batches, path, pattern), path))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, with_text: bool = False) -> DataFrame:

@@ -18,14 +18,13 @@ on either side gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, bitmap, mix, rolled, slices, texts_of, windows
+from ._text import Words, bitmap, mix, releasing, rolled, slices, texts_of, windows
 
 WINDOW, FIXED = 8, 4
 SHARE = 0.5
@@ -148,7 +147,7 @@ def text_key(text: str = "text") -> Column:
 
 
 def _windows(rows: DataFrame, ident: str, bitmap: bytes | None) -> DataFrame:
-    return rows.select(F.col(ident).cast("long").alias("id"), text_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_found, bitmap=bitmap), _ROWS)
+    return rows.select(F.col(ident).cast("long").alias("id"), text_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: releasing(_found(batches, bitmap)), _ROWS)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

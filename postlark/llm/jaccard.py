@@ -22,14 +22,13 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import Words, bitmap, kept, mix, rolled, slices, texts_of, windows
+from ._text import Words, bitmap, kept, mix, releasing, rolled, slices, texts_of, windows
 
 SHINGLE, SIMILAR = 5, 80
 CHUNK_TOKENS, CHUNK_DOCS = 1_500_000, 60_000
@@ -324,12 +323,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     buckets = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
-    chunks = texts.mapInArrow(partial(_chunks, buckets=buckets), "bucket int, chunk long, docs int, data binary, more binary")
+    chunks = texts.mapInArrow(lambda batches: releasing(_chunks(batches, buckets)), "bucket int, chunk long, docs int, data binary, more binary")
     counted = chunks.groupBy("bucket").applyInArrow(_shared, "chunk long, ids binary, counts binary")
     sizes = kept(counted.groupBy("chunk").applyInArrow(_sizes, "doc long, n_shingles long, shared long"), "sizes")
     maybe = sizes.where((F.col("n_shingles") > 0) & (100 * F.col("shared") >= SIMILAR * F.col("n_shingles")))
     bits = bitmap(maybe.select(F.xxhash64("doc").alias("hash")), BITMAP_BITS)
-    found = texts.select("doc", F.xxhash64("doc").alias("key"), "text").mapInArrow(partial(_sets, bits=bits), "doc long, print_1 long, print_2 long, n long, tokens binary")
+    found = texts.select("doc", F.xxhash64("doc").alias("key"), "text").mapInArrow(lambda batches: releasing(_sets(batches, bits)), "doc long, print_1 long, print_2 long, n long, tokens binary")
     found = kept(found, "sets")
     classes = kept(found.groupBy("print_1", "print_2").agg(F.min("doc").alias("rep"), F.count("*").alias("times")), "classes")
     member = found.select("doc", "print_1", "print_2").join(classes, ["print_1", "print_2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))

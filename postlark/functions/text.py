@@ -26,7 +26,11 @@ def any_of(terms: list[str] | tuple[str, ...], flags: str = "iU", edge: str = r"
         escaped = re.sub(r"([^\w\s])", r"\\\1", term)
         return (edge if term[0].isalnum() else "") + escaped + (edge if term[-1].isalnum() else "")
 
-    return f"(?{flags})(?:" + "|".join(one(t) for t in sorted(terms, key=len, reverse=True)) + ")"
+    ordered = sorted(terms, key=len, reverse=True)
+    if all(t[0].isalnum() and t[-1].isalnum() for t in terms):  # edges that all share are tried once
+        edge, around = "", edge
+        return f"(?{flags}){around}(?:" + "|".join(one(t) for t in ordered) + f"){around}"
+    return f"(?{flags})(?:" + "|".join(one(t) for t in ordered) + ")"
 
 
 def blank_to_null(x: Column) -> Column:

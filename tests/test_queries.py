@@ -43,6 +43,14 @@ def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_posting_reading_reads_late_places(spark, tmp_path):
+    long = "We make parts for machines and ship them to all who ask for them in time. " * 40
+    texts = {1: long + "The office is in Haifa.", 2: "Haifa. " + long + "Then Tel Aviv.", 3: long, 4: None, 5: long + "Kiryat-Gat", 6: long + "Anywhere in Israel"}
+    spark.createDataFrame([(i, t, "src") for i, t in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["country"], r["region"]) for r in catalog.QUERIES["posting_reading"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("Israel", "haifa"), 2: ("Israel", "haifa"), 3: (None, None), 4: (None, None), 5: ("Israel", "south"), 6: ("Israel", None)}
+
+
 def test_entry(spark):
     import __spark_entry__
 

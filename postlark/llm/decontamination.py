@@ -3,8 +3,10 @@
 Words lose case and the signs around them; numbers, names inside a sentence and units after a number
 become typed placeholders. Windows of such templates are joined by hash with those of the benchmark.
 Matches on one diagonal (the same shift between text and item) must map the item's slot values to the
-text's one to one: then the text holds the item, word for word or with other parameters. A text leaks an
-item if windows that cover at least SHARE of the item's windows agree.
+text's one to one: then the text holds the item, word for word or with other parameters. With ``copied``,
+as in the registered query and the pipeline, windows with the same values on both sides count whatever the
+rest of their diagonal does, and only those with changed values must map one to one. A text leaks an item
+if windows that cover at least SHARE of the item's windows agree.
 
 A bitmap of fixed size, made from the benchmark's windows, keeps most of the texts' windows from the
 shuffle; it only lets through more as the benchmark grows.
@@ -150,27 +152,33 @@ def _windows(rows: DataFrame, ident: str, bitmap: bytes | None) -> DataFrame:
     return rows.select(F.col(ident).cast("long").alias("id"), text_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: releasing(_found(batches, bitmap)), _ROWS)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, key, item_id, share of the item's windows, parameters changed (0: word for word), for every text and item it leaks."""
+def leaks(docs: DataFrame, benchmark: DataFrame, copied: bool = False) -> DataFrame:
+    """doc_id, key, item_id, share of the item's windows, parameters changed in those (0: word for word), for every text and item it leaks.
+
+    copied: windows that agree word for word count even where another slot of their diagonal is not one to one.
+    """
     items = _windows(benchmark, "item_id", None)
     found = _windows(docs, "doc_id", bitmap(items.select("hash").distinct(), BITMAP_BITS))
     theirs = items.select(F.col("id").alias("item_id"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), F.col("total").alias("item_total"))
     ours = found.select(F.col("id").alias("doc_id"), "key", "hash", "place", "slots")
     both = ours.join(theirs, "hash")
     pairs = F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))
+    same = (F.col("item_slots") == F.col("slots")) if copied else F.lit(False)
     lines = both.groupBy("doc_id", "key", "item_id", "item_total", (F.col("place") - F.col("item_place")).alias("shift")).agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )
+        F.collect_set(F.when(same, F.col("item_place"))).alias("copies"), F.collect_set(F.when(~same, F.col("item_place"))).alias("places"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(~same, pairs)))).alias("pairs"),
+    )
     # One to one: as many pairs as values on either side.
     one = (F.size("pairs") == F.size(F.array_distinct("pairs.theirs"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.ours")))
-    changed = F.size(F.filter("pairs", lambda p: ~p["theirs"].eqNullSafe(p["ours"])))
-    good = lines.where(one).groupBy("doc_id", "key", "item_id", "item_total").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.max(changed).alias("changed")
+    changed = F.when(one, F.size(F.filter("pairs", lambda p: ~p["theirs"].eqNullSafe(p["ours"])))).otherwise(0)
+    counted = F.when(one, F.concat("copies", "places")).otherwise(F.col("copies"))
+    good = lines.withColumns({"counted": counted, "changed": changed}).where(F.size("counted") > 0).groupBy("doc_id", "key", "item_id", "item_total").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("counted")))).alias("n"), F.max("changed").alias("changed")
     )
     return good.where(F.col("n") >= SHARE * F.col("item_total")).select("doc_id", "key", "item_id", (F.col("n") / F.col("item_total")).alias("share"), "changed")
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that leak an item; all their columns."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").cast("long").alias("__doc"), F.col("key").alias("__key")).distinct()
+    bad = leaks(docs, benchmark, copied=True).select(F.col("doc_id").cast("long").alias("__doc"), F.col("key").alias("__key")).distinct()
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (text_key() == F.col("__key")), "left_anti")

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postlark.llm import bpe, decontamination, jaccard, main_text, passages, pii, repetition, site_quality, token_store, toxicity
+from postlark.llm import bpe, decontamination, jaccard, main_text, passages, pii, queries, repetition, site_quality, token_store, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -165,6 +165,17 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.drop_leaking(docs, bench).columns == docs.columns and decontamination.drop_leaking(docs, bench).count() == docs.count()
 
 
+def test_decontamination_keeps_windows_word_for_word(spark, tmp_path):
+    item = "If a farmer has 12 apples and sells 5 apples to Maria then how many apples are left with the farmer at the end of a day for Maria"
+    rows = [(1, item.replace("12", "5")), (2, item[: item.rindex("Maria")] + "Peter"), (3, item.replace("12", "5").replace("with the", "by the")), (4, item), (5, item.replace("12", "40").replace(" 5 ", " 7 "))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: (round(r["share"] * 21), r["changed"]) for r in queries.op8_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {1: (16, 0), 2: (21, 1), 4: (21, 0), 5: (21, 2)}  # in 3 too few windows are left
+    assert [r["doc_id"] for r in decontamination.drop_leaking(docs, bench).collect()] == [3]
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }

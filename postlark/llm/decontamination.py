@@ -11,8 +11,13 @@ if windows that cover at least SHARE of the item's windows agree.
 A bitmap of fixed size, made from the benchmark's windows, keeps most of the texts' windows from the
 shuffle; it only lets through more as the benchmark grows.
 
-Defined cases: a null or empty text leaks nothing; items with fewer than WINDOW words have no window and
-are not searched, nor are windows with fewer than FIXED words outside slots; repeated rows leak each;
+An item without a template window (fewer than WINDOW words, or fewer than FIXED words outside slots in each
+window) is searched by its own words instead, without slots: in windows of WINDOW words, or as a whole where
+it is shorter. Signs of operations and numbers count there, so that 2 + 2 is not 2 - 2.
+
+Defined cases: a null or empty text leaks nothing; an item of one word is leaked by every text with that word;
+an item without words is not searched; in other items, windows with fewer than FIXED words outside slots are
+not searched; repeated rows leak each;
 a null doc_id stays null; item ids are whatever benchmark has; other columns are ignored; an empty table
 on either side gives an empty result.
 """
@@ -50,6 +55,11 @@ _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?:;"]] = True
 NUMBER, NAME, UNIT = 1, 2, 3
 _MARKS = mix(np.arange(4, dtype=np.uint64) + np.uint64(0xC0FFEE))
+#: Around a word as it stands: what opens and what closes; other signs are part of it.
+_OPENS, _CLOSES = np.zeros(256, bool), np.zeros(256, bool)
+_OPENS[[ord(c) for c in "\"'`([{"]] = True
+_CLOSES[[ord(c) for c in "\"'`)]}.,;:!?"]] = True
+_LENGTHS = mix(np.arange(WINDOW + 1, dtype=np.uint64) + np.uint64(0xBEAD))
 
 
 def _lower(raw: np.ndarray) -> np.ndarray:
@@ -106,6 +116,28 @@ class Template:
         return [f"{self.kind[k]}{self.bytes[self.start[k] : self.end[k]].tobytes().decode(errors='replace')}" for k in range(at, at + WINDOW) if self.kind[k]]
 
 
+class Plain:
+    """The words of some texts as they stand, but for case and the marks around them: hash, text."""
+
+    def __init__(self, texts: list[bytes]):
+        w = Words(texts)
+        raw, start, end = w.bytes, w.start.copy(), w.end.copy()
+        for _ in range(64):  # as in Template
+            left, right = (start < end) & _OPENS[raw[np.minimum(start, len(raw) - 1)]], (start < end) & _CLOSES[raw[np.maximum(end - 1, 0)]]
+            if not (left.any() or right.any()):
+                break
+            end -= right
+            start += left & (start < end)
+        there = start < end
+        w.bytes, w.start, w.end, self.text = _lower(raw), start[there], end[there], w.text[there]
+        self.hash = w.hashes()
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the windows of n words, and their hashes; windows of other lengths and of templates have others."""
+        at = np.flatnonzero(windows(self.text, n))
+        return at, mix(rolled(self.hash, n) + _LENGTHS[n])[at] if len(at) else np.zeros(0, np.uint64)
+
+
 _units: list[np.ndarray] = []
 
 
@@ -115,8 +147,24 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def _found(batches: Iterator[pa.RecordBatch], bitmap: bytes | None) -> Iterator[pa.RecordBatch]:
-    """id, key, hash, place, slots, total of every window, or of those whose bit is set."""
+def _plain(texts: list[bytes], sizes: list[int] | None, without: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """text, place, hash, length of the windows over the words as they stand: of every text, in the given lengths; without those, of the texts named, each in its own."""
+    if not (len(without) if sizes is None else sizes):
+        return
+    p = Plain(texts)
+    count = np.bincount(p.text, minlength=len(texts))
+    before = np.cumsum(count) - count
+    for n in range(1, WINDOW + 1) if sizes is None else sizes:
+        at, hashes = p.windows(n)
+        if sizes is None:
+            own = np.isin(p.text[at], without[np.minimum(count[without], WINDOW) == n])
+            at, hashes = at[own], hashes[own]
+        if len(at):
+            yield p.text[at], at - before[p.text[at]], hashes, n
+
+
+def _found(batches: Iterator[pa.RecordBatch], bitmap: bytes | None, sizes: list[int] | None) -> Iterator[pa.RecordBatch]:
+    """id, key, hash, place, slots, total, size (0: a template) of every window, or of those whose bit is set and plain ones of the given sizes."""
     bits = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
     for batch in batches:
         texts, ids, keys = texts_of(batch.column("text")), batch.column("id").to_pylist(), batch.column("key").to_pylist()
@@ -134,13 +182,27 @@ def _found(batches: Iterator[pa.RecordBatch], bitmap: bytes | None) -> Iterator[
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[a + r] for r in rows], pa.int64()), pa.array([keys[a + r] for r in rows], pa.int64()), pa.array(hashes.view(np.int64), pa.int64()),
-                    pa.array(at - before[t.text[at]], pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(total[t.text[at]], pa.int64()),
+                    pa.array(at - before[t.text[at]], pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(total[t.text[at]], pa.int64()), pa.array(np.zeros(len(at), np.int64)),
                 ],
-                ["id", "key", "hash", "place", "slots", "total"],
+                _NAMES,
             )
+            for text, place, hashes, n in _plain(texts[a:b], sizes, np.flatnonzero(total == 0)):
+                total_n = np.bincount(text, minlength=b - a)
+                if bits is not None:
+                    hit = bits[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]
+                    text, place, hashes = text[hit], place[hit], hashes[hit]
+                rows = text.tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ids[a + r] for r in rows], pa.int64()), pa.array([keys[a + r] for r in rows], pa.int64()), pa.array(hashes.view(np.int64), pa.int64()),
+                        pa.array(place, pa.int64()), pa.array([[]] * len(rows), pa.list_(pa.string())), pa.array(total_n[text], pa.int64()), pa.array(np.full(len(rows), n, np.int64)),
+                    ],
+                    _NAMES,
+                )
 
 
-_ROWS = "id long, key long, hash long, place long, slots array<string>, total long"
+_NAMES = ["id", "key", "hash", "place", "slots", "total", "size"]
+_ROWS = "id long, key long, hash long, place long, slots array<string>, total long, size long"
 
 
 def text_key(text: str = "text") -> Column:
@@ -148,8 +210,8 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def _windows(rows: DataFrame, ident: str, bitmap: bytes | None) -> DataFrame:
-    return rows.select(F.col(ident).cast("long").alias("id"), text_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: releasing(_found(batches, bitmap)), _ROWS)
+def _windows(rows: DataFrame, ident: str, bitmap: bytes | None, sizes: list[int] | None) -> DataFrame:
+    return rows.select(F.col(ident).cast("long").alias("id"), text_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: releasing(_found(batches, bitmap, sizes)), _ROWS)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, copied: bool = False) -> DataFrame:
@@ -157,8 +219,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, copied: bool = False) -> DataFr
 
     copied: windows that agree word for word count even where another slot of their diagonal is not one to one.
     """
-    items = _windows(benchmark, "item_id", None)
-    found = _windows(docs, "doc_id", bitmap(items.select("hash").distinct(), BITMAP_BITS))
+    items = _windows(benchmark, "item_id", None, None)
+    sizes = sorted(r["size"] for r in items.where("size > 0").select("size").distinct().collect())  # at most WINDOW
+    found = _windows(docs, "doc_id", bitmap(items.select("hash").distinct(), BITMAP_BITS), sizes)
     theirs = items.select(F.col("id").alias("item_id"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), F.col("total").alias("item_total"))
     ours = found.select(F.col("id").alias("doc_id"), "key", "hash", "place", "slots")
     both = ours.join(theirs, "hash")

@@ -176,6 +176,17 @@ def test_decontamination_keeps_windows_word_for_word(spark, tmp_path):
     assert [r["doc_id"] for r in decontamination.drop_leaking(docs, bench).collect()] == [3]
 
 
+def test_decontamination_searches_items_without_template_windows(spark):
+    items = {1: "What is 2 + 2?", 2: "Who Wrote The Old Song About Blue Rivers And Red Hills", 3: "1 2 3 4 5 6 7 8 9 10 11 12", 4: "Yes.", 5: "", 6: "17 - 4 ="}
+    texts = {
+        1: "He asked: what is 2 + 2? Nobody knew", 2: "What is 2 - 2? And what is 3 + 2?", 3: "As in " + items[2] + ", so here", 4: "Numbers: 1 2 3 4 5 6 7 8 9 10 11 12.", 5: "Numbers: 1 2 3 4 5 6 7 8 9 99 11 12.",
+        6: 'They said "yes" to it', 7: "yesterday 17 + 4 =", 8: "Work out (17 - 4 = 13)", 9: None, 10: "Who wrote the old song about", 11: "what is 2 +",
+    }
+    docs, bench = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["changed"]) for r in decontamination.leaks(docs, bench, copied=True).collect())
+    assert got == [(1, 1, 0), (3, 2, 0), (4, 3, 0), (6, 4, 0), (8, 6, 0)]
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }

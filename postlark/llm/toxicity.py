@@ -2,7 +2,8 @@
 
 Fit, on at most TRAIN_ROWS labelled texts that are not held out (chosen by a hash of doc_id): whole
 words and word beginnings that toxic texts use far more often than others make the lexicon. Its trie,
-crossed with Levenshtein automata for its longer words, becomes one table-driven automaton; words of a
+crossed with Levenshtein automata for its longer words, becomes one table-driven automaton; a whole word
+under a beginning stays an entry, as the beginning itself is not matched with misspellings. Words of a
 text run through it side by side in numpy. A hit counts less inside quotation marks near a reporting
 word than as plain abuse. Misspellings that training saw get their own weight. The sum is calibrated
 by a logistic curve. Only the text enters a score.
@@ -30,7 +31,7 @@ from ._text import slices, texts_of
 
 #: Labelled texts that the fit looks at, at most.
 TRAIN_ROWS = 24_000
-#: Lexicon entries, at most: the ones that most toxic texts use.
+#: Lexicon entries, at most: the ones that most toxic texts use; and as many whole words under the beginnings among them.
 ENTRIES = 400
 PREFIX = range(4, 11)
 FUZZY_1, FUZZY_2 = 5, 9  # letters from which a whole word is matched with one, with two edits
@@ -258,7 +259,7 @@ def _train_hits(batches: Iterator[pa.RecordBatch], terms: tuple[str, ...]) -> It
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
-    """The lexicon and its weights from labelled texts that are not held out. Collects a row for each of at most ``rows`` texts, and at most ENTRIES terms."""
+    """The lexicon and its weights from labelled texts that are not held out. Collects a row for each of at most ``rows`` texts, and at most twice ENTRIES terms."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     there = usable.count()
@@ -286,10 +287,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
             continue  # a shorter one covers it, or it stands for a single word
         begins.add(t)
         weights[t] = _llr(*seen[t], na, nb)
+    under: dict[str, float] = {}
     for w in words:
-        if not any(w[1 : k + 1] in begins for k in range(1, len(w))):
-            weights[w] = _llr(*words[w], na, nb)
-    weights = dict(sorted(weights.items(), key=lambda x: (-seen[x[0]][0], x[0]))[:ENTRIES])
+        covered = any(w[1 : k + 1] in begins for k in range(1, len(w)))
+        (under if covered else weights)[w] = _llr(*words[w], na, nb)
+    first = lambda terms: dict(sorted(terms.items(), key=lambda x: (-seen[x[0]][0], x[0]))[:ENTRIES])
+    weights = first(weights)
+    weights |= first({w: x for w, x in under.items() if any(w[1 : k + 1] in weights for k in range(1, len(w)))})
     lexicon = Lexicon(weights)
     if not weights:
         return lexicon

@@ -294,6 +294,21 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_words_under_a_beginning_keep_their_automaton(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        rows.append((i, prose(rng, 60) + (" " + rng.choice(["gobshite", "gobshitery", "gobshitish"]) if toxic else "")))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any(t[0] != "=" and "gobshite".startswith(t) for t in lexicon.weights)
+    odd = spark.createDataFrame([(1, "you gibshite"), (2, "you gbshitery"), (3, "you gobshites"), (4, "you there")], "doc_id long, text string")
+    got = by_id(toxicity.score(odd, lexicon))
+    assert got[1]["hits"] == ["gibshite"] and got[2]["hits"] == ["gbshitery"] and got[3]["hits"] and not got[4]["hits"]
+
+
 def test_automaton_is_levenshtein():
     words = ["=worthless", "=idiot", "=loser", "=ab"]
     a = toxicity.Automaton(tuple(words))

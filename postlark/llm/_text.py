@@ -110,6 +110,19 @@ def windows(text: np.ndarray, n: int) -> np.ndarray:
     return text[: len(text) - n + 1] == text[n - 1 :] if len(text) >= n else np.zeros(0, bool)
 
 
+def private(df, *names: str) -> list[str]:
+    """Column names for these that df has not, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        free = f"__{name}"
+        while free.lower() in have:
+            free += "_"
+        have.add(free.lower())
+        out.append(free)
+    return out
+
+
 def shared_folder(spark, name: str) -> str:
     """A new folder under spark.checkpoint.dir; where that is unset, one of this machine (local mode)."""
     import tempfile
@@ -142,6 +155,24 @@ def bitmap(hashes, bits: int) -> bytes:
     return np.packbits(np.unpackbits(out.view(np.uint8), bitorder="little")).tobytes()
 
 
+_caches: list = []
+
+
+def worker_cache(make):
+    """Keeps the last thing made, for the life of a worker or until ``releasing`` a partition that does not keep it."""
+    held: dict = {}
+
+    def get(*key):
+        if key not in held:
+            held.clear()
+            held[key] = make(*key)
+        return held[key]
+
+    get.clear = held.clear
+    _caches.append(get)
+    return get
+
+
 def release() -> None:
     """Gives memory that this worker has freed back to the system: workers are used again by later stages, which would find it taken."""
     import ctypes
@@ -153,8 +184,12 @@ def release() -> None:
         trim(0)
 
 
-def releasing(batches):
-    """The same batches; release() when they end."""
+def releasing(batches, *keep):
+    """The same batches, without other operators' caches in this worker; release() before and when they end. keep: the partition's own caches."""
+    if others := [c for c in _caches if c not in keep]:
+        for c in others:
+            c.clear()
+        release()
     try:
         yield from batches
     finally:

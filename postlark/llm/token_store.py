@@ -21,24 +21,28 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import shared_folder, slices, texts_of
+from ._pieces import BLANK, DIGIT, END, HARD, Interned, distinct, kinds, lowered, parts
+from ._text import releasing, shared_folder, slices, texts_of, worker_cache
 
 BLOCK = 256
 #: Share of a block's differences that fit its width.
 WITHIN = 0.92
 SEGMENT_IDS = 1 << 19
-KEPT_PIECES, KEPT_WORDS = 300_000, 1_000_000
-#: Letters before this one are composed, and lower case keeps them so.
-LATIN = "\u0250"
-#: Each is one the vocabulary takes as a sign, and none begins a contraction.
-SIGNS = "!#$%&*+,-./:;<=>?@|~()[]{}"
+#: Pieces that a worker keeps with their ids.
+KEPT_PIECES = 300_000
+SLICE_BYTES = 2 << 20
+#: Fixed values of the vocabulary file whose rules _Encoder follows by bytes; with other rules it encodes whole texts.
+PLAIN_RULES = ["NFC", "Replace", "Lowercase"]
+PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: How the vocabulary's special tokens begin.
+SPECIAL = b"<|"
 MAGIC = b"PFB1"
 
 
@@ -67,8 +71,11 @@ def pack(ids: np.ndarray) -> bytes:
     body = np.zeros(int(size.sum()), np.uint8)
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        bits = (diff[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-        packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), 1, "little")
+        packed = diff[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4)
+        if w % 8 == 0:
+            packed = packed[:, :, : w // 8].reshape(len(rows), -1)
+        else:
+            packed = np.packbits(np.unpackbits(packed, axis=2, count=int(w), bitorder="little").reshape(len(rows), -1), 1, "little")
         body[start[rows][:, None] + np.arange(packed.shape[1])] = packed
     head = np.array([n, blocks, len(where)], "<u4")
     parts = [low.astype("<u4"), start.astype("<u4"), first_exception.astype("<u4"), width, where.astype("<u4"), high.ravel()[where].astype("<u4"), body]
@@ -97,8 +104,12 @@ def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     for w in np.unique(wide[wide > 0]).tolist():
         rows = np.flatnonzero(wide == w)
         packed = body[start[first:last][rows].astype(np.int64)[:, None] + np.arange(w * BLOCK // 8)]
-        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        out[rows] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(2, dtype=np.uint32)
+        if w % 8:
+            packed = np.packbits(np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w), axis=2, bitorder="little")
+        low_bytes = packed.reshape(len(rows), BLOCK, -1)
+        wide_bytes = np.zeros((len(rows), BLOCK, 4), np.uint8)
+        wide_bytes[:, :, : low_bytes.shape[2]] = low_bytes
+        out[rows] = wide_bytes.view("<u4")[:, :, 0]
     a = first_exception[first] if first < blocks else exceptions
     b = first_exception[last] if last < blocks else exceptions
     flat = out.reshape(-1)
@@ -108,118 +119,128 @@ def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     return flat[: min(n, last * BLOCK) - first * BLOCK]
 
 
-def _latin(x: str) -> bool:
-    """Composed Latin letters and signs that lower case leaves as many."""
-    low = x.lower()
-    return len(low) == len(x) and max(x) < LATIN and max(low) < LATIN
+class _Encoder:
+    """Ids of the pieces that this worker has met, up to a bound.
 
-
-class _Pieces:
-    """Ids of the pieces between blanks that this worker has met, up to a bound.
-
-    The vocabulary's rules never look across a blank. A new piece of Latin letters that lower case
-    leaves as long and as composed is split on by the vocabulary's own pattern, so that a word is
-    encoded once whatever signs stand beside it; any other piece is encoded whole. New words go to the
-    tokenizer many at a time, blanks between them: the token that ends each word tells them apart.
+    The vocabulary's rules take off case and blanks, then cut by its own pattern: letters, single digits,
+    signs. Words in plain letters, digits and signs are cut so by their bytes; what stands between blanks
+    and holds anything else goes to the tokenizer whole. New words go to the tokenizer's model many at a
+    time, blanks between them: the token that ends each word tells them apart.
     """
 
     def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
         with open(path) as f:
             spec = json.load(f)
         split, end = spec["pre_tokenizer"]["pretokenizers"][0], spec["model"]["end_of_word_suffix"]
-        self.split = regex.compile(split["pattern"]["Regex"]).findall if end and split["behavior"] == "Removed" and split["invert"] else None
+        self.plain = bool(end) and split["pattern"].get("Regex") == PLAIN_SPLIT and [n["type"] for n in spec["normalizer"]["normalizers"]] == PLAIN_RULES
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # The vocabulary writes bytes as characters: printable ones as themselves, others from 256 on in their order.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown = np.arange(256, dtype="<u4")
+        self.shown[hidden] = 256 + np.arange(len(hidden))
+        self.shown[32] = 32
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in spec["model"]["vocab"].items() if end and t.endswith(end)]] = True
+        self.known = Interned(KEPT_PIECES)
 
-    def _add_words(self, words: list[str]) -> None:
+    def _add_words(self, words: list[bytes]) -> None:
+        """Pieces without blanks that the rules leave as they are."""
         for k in range(0, len(words), 20_000):
             some = words[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            if len(cuts) != len(some) + 1:
+            ids = np.array(self.model.encode_batch_fast([self.shown[np.frombuffer(b" ".join(some), np.uint8)].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, np.int32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
                 raise ValueError("the tokenizer does not end each word with one token")
-            raw = ids.tobytes()
-            self.words.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
-
-    def _add(self, fresh: set[str]) -> None:
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-            self.words[""] = b""
-        words, ended, parts, whole, new = self.words, [], {}, [], set()
-        for p in fresh:
-            stem = p.rstrip(SIGNS)
-            if self.split and stem.isalpha() and (stem.isascii() or _latin(stem)):  # a word with signs after it
-                low, signs = stem.lower(), p[len(stem) :]
-                ended.append((p, low, signs))
-                if low not in words:
-                    new.add(low)
-                if signs not in words:
-                    new.add(signs)
-            elif self.split and p and _latin(p):
-                parts[p] = found = self.split(p.lower())
-                new.update(w for w in found if w not in words)
-            else:
-                whole.append(p)
-        new.discard("")
-        self._add_words(list(new))
-        for p, low, signs in ended:
-            self.pieces[p] = words[low] + words[signs]
-        for p, found in parts.items():
-            self.pieces[p] = b"".join(map(words.__getitem__, found))
-        for k in range(0, len(whole), 20_000):
-            some = whole[k : k + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.pieces[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        split = [t.decode().replace("\n", " ").split(" ") for t in texts]
-        known = self.pieces
-        if len(known) > KEPT_PIECES:
-            known.clear()
-        if fresh := {p for s in split for p in s if p not in known}:
-            self._add(fresh)
-        return [b"".join(map(known.__getitem__, s)) + end for s in split]
-
-
-@lru_cache(2)
-def _pieces(path: str) -> _Pieces:
+            self.known.add(some, ids, np.diff(cuts, prepend=0))
+
+    def _add_units(self, units: list[bytes]) -> None:
+        for k in range(0, len(units), 20_000):
+            some = units[k : k + 20_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in some], add_special_tokens=False)]
+            self.known.add(some, np.array([i for x in ids for i in x], np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _part(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, one after the other, and how many each has."""
+        known = self.known
+        known.trim()
+        if not self.plain:
+            some = [t.decode() for t in texts]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            return np.array([i for x in ids for i in x], np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+        raw, kind = kinds(texts, SPECIAL)
+        new = np.ones(len(kind), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT) | (kind[1:] == END)
+        use = kind != BLANK
+        kind, start = kind[use], np.flatnonzero(new[use])
+        number, pieces = distinct(lowered(raw[use], kind), start)
+        if b"\n" not in known.number:  # an END
+            known.add([b"\n"], np.zeros(0, np.int32), np.zeros(1, np.int64))
+        if fresh := known.missing(pieces):
+            hard = {pieces[i] for i in np.unique(number[kind[start] == HARD]).tolist()}
+            self._add_words([p for p in fresh if p not in hard])
+            self._add_units([p for p in fresh if p in hard])
+        ids, size = known.gather(known.numbers(pieces)[number])
+        total = np.cumsum(size)[kind[start] == END]
+        return ids, np.diff(total, prepend=0)
+
+    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each text and end_id, one text after the other, and how many each has."""
+        count, found = np.ones(len(texts), np.int64), []
+        for some, owner in parts(texts):
+            ids, size = self._part(some)
+            np.add.at(count, owner, size)
+            found.append(ids)
+        ends = np.cumsum(count) - 1
+        out = np.full(int(count.sum()), end_id, np.int32)
+        inside = np.ones(len(out), bool)
+        inside[ends] = False
+        out[inside] = np.concatenate(found) if found else np.zeros(0, np.int32)
+        return out, count
+
+
+@worker_cache
+def _encoder(path: str) -> _Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-    return _Pieces(path)
+    return _Encoder(path)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    pieces, part = _pieces(path), TaskContext.get().partitionId()
-    end, done, number = np.array([end_id], "<u4").tobytes(), 0, 0
-    docs: list = []
-    held: list[bytes] = []
+    encoder, part = _encoder(path), TaskContext.get().partitionId()
+    done, number, held = 0, 0, 0
+    docs: list[pa.Array] = []
+    counts: list[np.ndarray] = []
+    ids: list[np.ndarray] = []
 
     def segment() -> pa.RecordBatch:
-        nonlocal done, number, docs, held
-        lengths = [len(x) // 4 for x in held]
-        image = pack(np.frombuffer(b"".join(held), "<u4"))
-        out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([done], pa.int64()), pa.array([sum(lengths)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([image], pa.binary())], ["part", "number", "part_start", "n_ids", "doc_ids", "lengths", "image"])
-        done, number, docs, held = done + sum(lengths), number + 1, [], []
-        return out
+        nonlocal done, number, held
+        image = pack(np.concatenate(ids).view(np.uint32))
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.concat_arrays(docs), pa.array(np.concatenate(counts)))]
+        columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([done], pa.int64()), pa.array([held], pa.int64()), *lists, pa.array([image], pa.binary())]
+        done, number, held = done + held, number + 1, 0
+        for x in (docs, counts, ids):
+            x.clear()
+        return pa.RecordBatch.from_arrays(columns, ["part", "number", "part_start", "n_ids", "doc_ids", "lengths", "image"])
 
     for batch in batches:
         texts = texts_of(batch.column("text"))
-        for a, b in slices(texts):
-            docs += batch.column("doc_id")[a:b].to_pylist()
-            held += pieces.encode(texts[a:b], end)
-            if sum(map(len, held)) >= 4 * SEGMENT_IDS:
+        for a, b in slices(texts, SLICE_BYTES):
+            got, count = encoder.encode(texts[a:b], end_id)
+            docs.append(batch.column("doc_id")[a:b])
+            counts.append(count)
+            ids.append(got)
+            held += len(got)
+            if held >= SEGMENT_IDS:
                 yield segment()
-    if held:
+    if docs:
         yield segment()
 
 
@@ -232,7 +253,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     The texts are dealt out by ranges of doc_id, once; each task writes its segments one by one.
     """
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(partial(_segments, path=tokenizer, end_id=end_id), SEGMENT).write.mode("errorifexists").parquet(path)
+    ordered.mapInArrow(lambda batches: releasing(_segments(batches, tokenizer, end_id), _encoder), SEGMENT).write.mode("errorifexists").parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,22 +1,25 @@
 """Byte-level BPE by rank files: encoding and decoding as DuckDB queries inside each partition.
 
-Encoding: a text is split by the public pattern; each new piece becomes token-position rows that a
-recursive query joins with the merge table, contracting each piece's leftmost pair of least rank
-until no pair has a rank. Pieces are kept with their ids for the life of a worker, up to a bound, and so are the runs between blanks.
+Encoding: a text is cut into the public pattern's pieces; each new piece becomes token-position rows that
+a recursive query joins with the merge table, contracting each word's leftmost pair of least rank until no
+pair has a rank. Two rules make rounds fewer and leave the ids as they are. A pair is contracted in the same
+round as well if no token of a lesser or equal rank holds the two bytes on its left edge or those on its right
+edge: nothing that comes first can take its halves. And bytes that follow each other in no token part a piece
+into words, as no contraction crosses them. In pieces of over LONG_PIECE bytes, all places of a word's least
+pair go at once, but where the made token can join at a lesser rank. A query goes ROUNDS rounds deep; what is
+open then goes on in the next one. Pieces are kept with their ids for the life of a worker, up to a bound.
 Decoding: token rows join the vocabulary, an ordered aggregation strings their bytes together.
 
-Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded
-each; other columns are dropped; an empty table gives an empty result. A piece of over LONG_PIECE
-bytes, for which the recursion would take as many rounds as bytes, is contracted by a heap instead:
-the same pairs in the same order.
+Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded each;
+very long texts are encoded in parts that no piece crosses; other columns, whatever their names, are dropped;
+an empty table gives an empty result. Of ties in rank the leftmost pair goes first.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -24,40 +27,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import releasing, slices, texts_of
+from ._pieces import BLANK, END, HARD, Interned, distinct, kinds, parts
+from ._text import releasing, slices, texts_of, worker_cache
 
 LONG_PIECE = 64
-#: Pieces, and runs between blanks, that a worker keeps.
-KEPT_PIECES, KEPT_UNITS = 500_000, 150_000
-#: Signs after a word make one piece with each other: no apostrophe, which may begin a contraction.
-SIGNS = "!#$%&*+,-./:;<=>?@|~()[]{}"
-#: Pieces contracted by one query.
-QUERY_PIECES = 8_000
-ENCODE_BYTES, DECODE_TOKENS = 1 << 20, 100_000
-
-#: A row's place holds its piece's number and, in the low PLACE_BITS bits, its position.
-PLACE_BITS = 12
-_CONTRACT = f"""
-WITH RECURSIVE step(place, tok, round) AS (
-    SELECT place, tok, 0 FROM start_rows
+#: Pieces that a worker keeps.
+KEPT_PIECES = 250_000
+#: Bytes of pieces contracted by one query, and its rounds.
+QUERY_BYTES, ROUNDS = 240_000, 64
+ENCODE_BYTES, DECODE_TOKENS = 2 << 20, 100_000
+#: The public pattern, whose cuts follow from kinds of bytes wherever they are plain.
+PLAIN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+#: A row's place holds its word's number and, in the low bits, its position; edge: the least token over its left edge, NEVER at a word's start.
+NEVER = 1 << 30
+
+
+def _contract_sql(bits: int, long: bool) -> str:
+    mask = (1 << bits) - 1
+    if long:
+        source = "(SELECT *, row_number() OVER v AS nr, lag(tok) OVER v AS before FROM step WHERE round BETWEEN 0 AND {r} WINDOW v AS (ORDER BY place))"
+        nth = "nr - max(CASE WHEN edge = {n} OR tok <> before THEN nr END) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS nth,"
+        least = "spot = least OR rank = least >> {b} AND NOT alone AND (tok <> next_tok OR nth % 2 = 0)"
+    else:
+        nth, source, least = "", "step WHERE round BETWEEN 0 AND {r}", "spot = least"
+    return f"""
+WITH RECURSIVE step(place, tok, edge, round) AS (
+    SELECT place, tok, edge, 0::INTEGER FROM start_rows
   UNION ALL (
-    WITH pairs AS MATERIALIZED (
-      SELECT place, tok, round, lead(tok) OVER w AS next_tok, lead(place) OVER w AS next_place FROM step WINDOW w AS (ORDER BY place)
-    ), best AS MATERIALIZED (
-      SELECT place >> {PLACE_BITS} AS piece, min((rank << {PLACE_BITS}) + (place & {2**PLACE_BITS - 1})) AS least,
-             arg_min(next_place, (rank << {PLACE_BITS}) + (place & {2**PLACE_BITS - 1})) AS next_place
-      FROM pairs JOIN merges ON tok = l AND next_tok = r WHERE next_place >> {PLACE_BITS} = place >> {PLACE_BITS} GROUP BY place >> {PLACE_BITS}
-    )
-    SELECT p.place, CASE WHEN (p.place & {2**PLACE_BITS - 1}) = (b.least & {2**PLACE_BITS - 1}) THEN b.least >> {PLACE_BITS} ELSE p.tok END, p.round + 1
-    FROM pairs p JOIN best b ON p.place >> {PLACE_BITS} = b.piece WHERE p.place <> b.next_place
+    WITH pairs AS (
+      SELECT place, tok, edge, round, {nth} lead(tok) OVER w AS next_tok, coalesce(lead(edge) OVER w, {NEVER}) AS next_edge, coalesce(lead(edge, 2) OVER w, {NEVER}) AS far_edge
+      FROM {source} WINDOW w AS (ORDER BY place)
+    ), ranked AS MATERIALIZED (
+      SELECT pairs.*, rank, alone, (rank::BIGINT << {bits}) | (place & {mask}) AS spot FROM pairs LEFT JOIN merges ON pair = (tok::BIGINT << 32) | next_tok AND next_edge < {NEVER}
+    ), best AS MATERIALIZED (SELECT place >> {bits} AS word, min(spot) AS least FROM ranked WHERE rank IS NOT NULL GROUP BY word
+    ), chosen AS (SELECT ranked.*, coalesce(rank < edge AND rank < far_edge OR {least}, false) AS joins, word IS NOT NULL AS open FROM ranked LEFT JOIN best ON place >> {bits} = word)
+    SELECT place, CASE WHEN joins THEN rank ELSE tok END, edge, CASE WHEN open THEN round + 1 ELSE -1 END
+    FROM (SELECT *, lag(joins) OVER (ORDER BY place) AS gone FROM chosen) WHERE NOT coalesce(gone, false)
   )
-), final AS (SELECT place >> {PLACE_BITS} AS piece, max(round) AS round FROM step GROUP BY piece)
-SELECT f.piece, list(tok ORDER BY place) AS ids FROM step s JOIN final f ON s.place >> {PLACE_BITS} = f.piece AND s.round = f.round GROUP BY f.piece ORDER BY f.piece
-"""
+)
+SELECT place, tok, edge, round FROM step WHERE round < 0 OR round = {ROUNDS} ORDER BY place
+""".replace("{n}", str(NEVER)).replace("{r}", str(ROUNDS - 1)).replace("{b}", str(bits))
+
+
+#: Of short pieces, and of long ones.
+_CONTRACT = {12: _contract_sql(12, False), 30: _contract_sql(30, True)}
 
 _DECODE = """
-WITH rows AS (SELECT row, unnest(ids) AS tok, generate_subscripts(ids, 1) AS pos FROM id_lists)
-SELECT row, string_agg(hex, '' ORDER BY pos) AS hex FROM rows JOIN vocabulary ON tok = id GROUP BY row
+SELECT row, string_agg(bytes, '') AS bytes FROM (SELECT row, bytes FROM tokens JOIN vocabulary ON tok = id ORDER BY pos) GROUP BY row
 """
 
 
@@ -66,161 +83,184 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _database():
-    import tempfile
-
-    import duckdb
-
-    db = duckdb.connect()
-    db.execute(f"SET threads = 1; SET memory_limit = '128MB'; SET temp_directory = '{tempfile.gettempdir()}/duckdb'")
-    return db
-
-
-class Encoder:
-    """The pieces of one rank file seen by this worker."""
+class Codec:
+    """One rank file in this worker: its tables in DuckDB, and the pieces seen."""
 
     def __init__(self, path: str, pattern: str):
+        import duckdb
         import regex
 
         self.split = regex.compile(pattern).findall
+        self.plain = pattern == PLAIN_PATTERN
         self.ranks = read_ranks(path)
-        self.ids: dict[str, bytes] = {"": b""}
-        self.units: dict[str, bytes | None] = {}
-        self.db = _database()
-        halves = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.merges = pa.table(dict(zip("lr", np.array(halves, np.int64).T[:2], strict=True)) | {"rank": np.array(halves, np.int64)[:, 2]})
-        self.db.register("merge_rows", self.merges)
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
-        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-
-    def _long(self, piece: bytes) -> list[int]:
-        """Contracts the leftmost pair of least rank, from a heap of pairs."""
-        part = [bytes([b]) for b in piece]
-        after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
-        heap = [(r, i, 2) for i in range(len(part) - 1) if (r := self.ranks.get(part[i] + part[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            j = after[i]
-            if part[i] is None or j >= len(part) or len(part[i]) + len(part[j]) != size:
-                continue
-            part[i], part[j], after[i] = part[i] + part[j], None, after[j]
-            if after[j] < len(part):
-                before[after[j]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] < len(part) and (r := self.ranks.get(part[a] + part[after[a]])) is not None:
-                    heapq.heappush(heap, (r, a, len(part[a]) + len(part[after[a]])))
-        return [self.ranks[p] for p in part if p is not None]
-
-    def _contract(self, pieces: list[str]) -> None:
-        raw = [p.encode() for p in pieces]
-        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-        at = np.repeat(np.arange(len(raw)), lengths)
-        pos = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.db.register("start_rows", pa.table({"place": (at << PLACE_BITS) + pos, "tok": self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]}))
-        got = self.db.sql(_CONTRACT).to_arrow_table().column("ids").combine_chunks()
-        cut, flat = got.offsets.to_numpy(), got.values.to_numpy().astype("<i4")
-        for p, a, b in zip(pieces, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            self.ids[p] = flat[a:b].tobytes()
-
-    def _resolve(self, pieces: set[str]) -> None:
-        """Ids of new pieces of the pattern."""
-        fresh = []
-        for p in pieces:
-            b = p.encode()
-            if (r := self.ranks.get(b)) is not None:
-                self.ids[p] = r.to_bytes(4, "little")
-            elif len(b) > LONG_PIECE:
-                self.ids[p] = np.array(self._long(b), "<i4").tobytes()
-            else:
-                fresh.append(p)
-        for k in range(0, len(fresh), QUERY_PIECES):
-            self._contract(fresh[k : k + QUERY_PIECES])
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text.
-
-        Between single blanks the pattern's matches do not depend on what stands beyond: the blank
-        belongs to what follows it. Such units are kept with their ids; a text with other blanks next
-        to blanks is split by the pattern as a whole.
+        self.known = Interned(KEPT_PIECES)
+        halves = np.array([(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks], np.int64)
+        left, right, rank = halves.T if len(halves) else np.zeros((3, 0), np.int64)
+        # Tokens that join at a lesser rank than their own: after each, the least pair is another.
+        early = np.concatenate([left[rank < left], right[rank < right]])
+        self.over = np.full(1 << 16, NEVER, np.int32)  # for two bytes, the least token that they follow each other in
+        for t, i in self.ranks.items():
+            for a, b in zip(t, t[1:], strict=False):
+                self.over[a << 8 | b] = min(self.over[a << 8 | b], i)
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.db = duckdb.connect()
+        self.db.execute("SET threads = 1; SET memory_limit = '192MB'; SET preserve_insertion_order = true; SET temp_directory = ''")
+        self._table("merges", pair=(left << 32) | right, rank=rank.astype(np.int32), alone=np.isin(rank, early))
+        self._table("vocabulary", id=np.array(list(self.ranks.values()), np.int32), bytes=[t.decode("latin-1") for t in self.ranks])
+
+    def _table(self, name: str, **columns) -> None:
+        self.db.register("rows_of", pa.table(columns))
+        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_of")
+        self.db.unregister("rows_of")
+
+    def _contract(self, pieces: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        edge = np.full(len(raw), NEVER, np.int32)
+        edge[1:] = self.over[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+        edge[np.cumsum(lengths) - lengths] = NEVER
+        new = edge == NEVER
+        first = np.flatnonzero(new)
+        word = np.cumsum(new) - 1
+        place = (word << bits) + np.arange(len(raw)) - first[word]
+        rows = pa.table({"place": place, "tok": self.of_byte[raw], "edge": edge})
+        done: list[pa.Table] = []
+        while rows.num_rows:
+            self.db.register("start_rows", rows)
+            if rows.num_rows > QUERY_BYTES:  # one very long piece: as much room as it takes
+                self.db.execute(f"SET memory_limit = '{192 + rows.num_rows * 2 // 1000}MB'")
+            got = self.db.sql(_CONTRACT[bits]).to_arrow_table()
+            over = got.column("round").to_numpy() < 0
+            done.append(got.filter(pa.array(over)))
+            rows = got.filter(pa.array(~over)).select(["place", "tok", "edge"])
+        self.db.unregister("start_rows")
+        place, tok = (np.concatenate([t.column(c).to_numpy() for t in done]) for c in ("place", "tok"))
+        if len(done) > 1:
+            order = np.argsort(place)
+            place, tok = place[order], tok[order]
+        piece = np.repeat(np.arange(len(pieces)), lengths)[first]  # of each word
+        return tok.astype(np.int32), np.bincount(piece[place >> bits], minlength=len(pieces))
+
+    def _add(self, pieces: list[bytes]) -> None:
+        """Ids of new pieces of the pattern, all different."""
+        whole = [p for p in pieces if p in self.ranks]
+        self.known.add(whole, np.fromiter(map(self.ranks.__getitem__, whole), np.int32, len(whole)), np.ones(len(whole), np.int64))
+        for bits, some in ((12, [p for p in pieces if len(p) <= LONG_PIECE and p not in self.ranks]), (30, [p for p in pieces if len(p) > LONG_PIECE and p not in self.ranks])):
+            for a, b in slices(some, QUERY_BYTES):
+                self.known.add(some[a:b], *self._contract(some[a:b], bits))
+
+    def _add_units(self, units: list[bytes]) -> None:
+        """Units that the pattern has to split; their pieces are added where they are new."""
+        split = [[p.encode() for p in self.split(u.decode())] for u in units]
+        self._add(self.known.missing(dict.fromkeys(chain.from_iterable(split))))
+        units, split = zip(*((u, s) for u, s in zip(units, split, strict=True) if u not in self.known.number), strict=True) if any(u not in self.known.number for u in units) else ((), ())
+        flat = np.fromiter(map(self.known.number.__getitem__, chain.from_iterable(split)), np.int64)
+        ids, size = self.known.gather(flat)
+        owner = np.repeat(np.arange(len(units)), [len(s) for s in split])
+        self.known.add(list(units), ids, np.bincount(owner, size, len(units)).astype(np.int64))
+
+    def _whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """By the pattern alone."""
+        split = [[p.encode() for p in self.split(t.decode())] for t in texts]
+        self._add(self.known.missing(dict.fromkeys(chain.from_iterable(split))))
+        ids, size = self.known.gather(np.fromiter(map(self.known.number.__getitem__, chain.from_iterable(split)), np.int64))
+        owner = np.repeat(np.arange(len(texts)), [len(s) for s in split])
+        return ids, np.bincount(owner, size, len(texts)).astype(np.int64)
+
+    def _part(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, one after the other, and how many each has.
+
+        A blank before other signs belongs to them. Of several blanks all but the last are one piece, and the
+        last one is its own where it is no space.
         """
-        units, ids = self.units, self.ids
-        if len(units) > KEPT_UNITS:
-            units.clear()
-        if len(ids) > KEPT_PIECES:
-            ids.clear()
-            ids[""] = b""
-        split = [t.decode().split(" ") for t in texts]
-        new: dict[str, list[str] | None] = {}
-        for row in split:
-            for u in row[1:]:
-                if u in units or u in new:
-                    continue
-                stem = u.rstrip(SIGNS)
-                if stem.isalpha():
-                    new[u] = [" " + stem, u[len(stem) :]]
-                elif not u or u[0].isspace() or u[-1].isspace():
-                    new[u] = None
-                else:
-                    new[u] = self.split(" " + u)
-        odd = [any((units[u] if u in units else new[u]) is None for u in row[1:]) for row in split]
-        whole = [self.split(" ".join(row)) if o else self.split(row[0]) for row, o in zip(split, odd, strict=True)]
-        wanted = {p for pieces in new.values() if pieces for p in pieces}
-        wanted.update(chain.from_iterable(whole))
-        self._resolve({p for p in wanted if p not in ids})
-        for u, pieces in new.items():
-            units[u] = None if pieces is None else b"".join(map(ids.__getitem__, pieces))
-        out = []
-        for row, o, pieces in zip(split, odd, whole, strict=True):
-            head = b"".join(map(ids.__getitem__, pieces))
-            out.append(head if o else head + b"".join(map(units.__getitem__, row[1:])))
-        return out
-
-
-@lru_cache(2)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
-
-
-@lru_cache(2)
-def _vocabulary(path: str):
-    db = _database()
-    ranks = read_ranks(path)
-    rows = pa.table({"id": list(ranks.values()), "hex": [t.hex() for t in ranks]})
-    db.register("ranks", rows)
-    db.execute("CREATE TABLE vocabulary AS SELECT * FROM ranks")
-    return db
-
-
-def id_lists(encoded: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *(len(x) // 4 for x in encoded)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
+        self.known.trim()
+        if not self.plain:
+            return self._whole(texts)
+        raw, kind = kinds(texts)
+        blank, end = kind == BLANK, kind == END
+        before = np.append(np.uint8(END), kind[:-1])
+        after = np.append(kind[1:], np.uint8(END))
+        space = np.append(False, raw[:-1] == 32) & (before == BLANK)
+        new = np.where(blank, (before != BLANK) | (after != BLANK) & (after != END), (kind != before) & ~space) | end
+        start = np.flatnonzero(new)
+        last = np.append(start[1:], len(raw)) - 1
+        number, pieces = distinct(raw, start)
+        hard = np.unique(number[kind[last] == HARD]).tolist()
+        if any((u := pieces[i].decode().removeprefix(" "))[0].isspace() or u[-1].isspace() for i in hard):
+            return self._around_blanks(texts, raw, kind, start, number, pieces, hard)
+        if fresh := self.known.missing(pieces):
+            units = {pieces[i] for i in hard}
+            self._add([p for p in fresh if p not in units])
+            self._add_units([p for p in fresh if p in units])
+        numbers = self.known.numbers(pieces)[number]
+        ends = np.flatnonzero(kind[start] == END)
+        own = np.ones(len(start), bool)
+        own[ends] = False
+        ids, size = self.known.gather(numbers[own])
+        upto = np.append(0, np.cumsum(size))[ends - np.arange(len(ends))]
+        return ids, np.diff(upto, prepend=0)
+
+    def _around_blanks(self, texts, raw, kind, start, number, pieces, hard) -> tuple[np.ndarray, np.ndarray]:
+        """Texts in which blanks other than ASCII ones stand at a unit's edge, and may be one piece with those outside it, are split whole."""
+        odd = [i for i in hard if (u := pieces[i].decode().removeprefix(" "))[0].isspace() or u[-1].isspace()]
+        text = np.searchsorted(np.flatnonzero(kind == END), start[np.isin(number, odd)])
+        whole = np.unique(text).tolist()
+        others = sorted(set(range(len(texts))) - set(whole))
+        count, rows = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)] * len(texts)
+        for some, encode in ((whole, self._whole), (others, self._part)):
+            if some:
+                ids, size = encode([texts[i] for i in some])
+                count[some] = size
+                for i, x in zip(some, np.split(ids, np.cumsum(size)[:-1]), strict=True):
+                    rows[i] = x
+        return np.concatenate(rows), count
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after the other, and how many each has."""
+        count, found = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
+        for some, owner in parts(texts, ENCODE_BYTES):
+            ids, size = self._part(some)
+            np.add.at(count, owner, size)
+            found.append(ids)
+        return np.concatenate(found), count
+
+    def decode(self, ids: np.ndarray, count: np.ndarray) -> list[bytes]:
+        """The bytes of each row's ids, of rows that follow each other."""
+        row = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        pieces: list[list[bytes]] = [[] for _ in range(len(count))]
+        for a in range(0, len(ids), DECODE_TOKENS):
+            b = a + DECODE_TOKENS
+            self.db.register("tokens", pa.table({"row": row[a:b], "pos": np.arange(len(ids[a:b]), dtype=np.int32), "tok": ids[a:b]}))
+            got = self.db.sql(_DECODE).to_arrow_table()
+            for r, x in zip(got.column("row").to_pylist(), got.column("bytes").to_pylist(), strict=True):
+                pieces[r].append(x.encode("latin-1"))
+        return [b"".join(p) for p in pieces]
+
+
+@worker_cache
+def _codec(path: str, pattern: str) -> Codec:
+    return Codec(path, pattern)
+
+
+def _lists(ids: np.ndarray, count: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(ids))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    encoder = _encoder(path, pattern)
+    codec = _codec(path, pattern)
     for batch in batches:
         texts = texts_of(batch.column("text"))
         for a, b in slices(texts, ENCODE_BYTES):
-            yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:-1]), id_lists(encoder.encode(texts[a:b]))], [*batch.schema.names[:-1], "ids"])
+            yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:-1]), _lists(*codec.encode(texts[a:b]))], [*batch.schema.names[:-1], "ids"])
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    db = _vocabulary(path)
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    codec = _codec(path, pattern)
     for batch in batches:
         lists = batch.column("ids")
-        sizes = np.diff(lists.offsets.to_numpy())
-        part = np.cumsum(sizes) // DECODE_TOKENS
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            db.register("id_lists", pa.table({"row": np.arange(b - a), "ids": lists[a:b]}))
-            got = db.sql(_DECODE).to_arrow_table()
-            out = [b""] * (b - a)
-            for row, h in zip(got.column("row").to_pylist(), got.column("hex").to_pylist(), strict=True):
-                out[row] = bytes.fromhex(h)
-            yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns), pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+        out = codec.decode(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -228,13 +268,13 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(partial(_encoded, path=path, pattern=pattern), "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str, pattern: str = PLAIN_PATTERN) -> DataFrame:
     """encoded (doc_id, ids) with the bytes that the ids stand for, in decoded."""
-    return encoded.select("doc_id", "ids").mapInArrow(partial(_decoded, path=path), "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(partial(_decoded, path=path, pattern=pattern), "doc_id long, ids array<int>, decoded binary")
 
 
 def _both(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    return releasing(_decoded(_encoded(batches, path, pattern), path))
+    return releasing(_decoded(_encoded(batches, path, pattern), path, pattern), _codec)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, with_text: bool = False) -> DataFrame:

@@ -6,9 +6,13 @@ document of each window keeps it, later ones lose the words it covers. Equal str
 before they travel: only the one of the smallest doc_id does, the others are decided at once, so a
 passage that very many documents share reaches its bucket once for each task's chunk, not for each document.
 
+What is to be removed comes back with a hash of its words, so that it only hits rows which have those words
+there: rows that share a doc_id, or have none, are told apart by their texts.
+
 Defined cases: a null or empty text has no words; rows with the same doc_id never remove each other's
-words; a null doc_id comes after all others; texts shorter than a window stay whole; other columns are
-ignored; an empty table gives an empty result.
+words; a null doc_id comes after all others; texts shorter than a window stay whole; very long texts are
+taken whole; repeated rows lose the same words each; other columns, whatever their names, are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,28 +38,37 @@ STRING_WINDOWS = 512
 CHUNK_BYTES = 24 << 20
 LAST = (1 << 63) - 1
 #: Columns before the strings of a packed row, one after the other; doc holds differences, its rows ascend.
-_COLUMNS = {"doc": "<i8", "text": "<u2", "first": "<i4", "windows": "<u2", "bytes": "<i4"}
+_COLUMNS = {"doc": "<i8", "text": "<i8", "first": "<i4", "windows": "<u2", "bytes": "<i4", "check": "<i8"}
 PACKED = "bucket int, size long, data binary"
 
 
-def text_key(text: bytes) -> int:
-    """Tells rows of one doc_id apart when results come back: 16 bits are enough for the few that share one."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=2).digest(), "little")
+def text_key(doc: int, text: bytes) -> int:
+    """Narrows down the rows of one doc_id when results come back: 16 bits for the few that share one, 63 for those without one."""
+    return xxhash.xxh3_64_intdigest(text) & (LAST if doc == LAST else 0xFFFF)
+
+
+def words_check(words: bytes | list[bytes]) -> int:
+    """A signed 64-bit hash of some words, whatever stands between them."""
+    words = words if isinstance(words, list) else words.split()
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
-def _pack(heads: list[tuple[int, int, int, int, int]], bodies: list[bytes]) -> bytes:
+def _pack(heads: list[tuple[int, ...]], bodies: list[bytes]) -> bytes:
+    """Each column byte by byte of its numbers, as their upper bytes are mostly alike; then the strings."""
     order = sorted(range(len(heads)), key=heads.__getitem__)
     columns = [np.array(c, k) for c, k in zip(zip(*(heads[i] for i in order), strict=True), _COLUMNS.values(), strict=True)]
     columns[0] = np.diff(columns[0], prepend=np.int64(0))
-    return len(heads).to_bytes(8, "little") + b"".join(c.tobytes() for c in columns) + b"".join(bodies[i] for i in order)
+    planes = (c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    return len(heads).to_bytes(8, "little") + b"".join(planes) + b"".join(bodies[i] for i in order)
 
 
 def _unpack(raw: bytes) -> tuple[dict[str, np.ndarray], list[bytes]]:
     """The columns, and the strings of rows that have one."""
     n, at, head = int.from_bytes(raw[:8], "little"), 8, {}
     for name, kind in _COLUMNS.items():
-        head[name] = np.frombuffer(raw, kind, n, at)
-        at += head[name].nbytes
+        planes = np.frombuffer(raw, np.uint8, n * np.dtype(kind).itemsize, at).reshape(-1, n)
+        head[name] = np.ascontiguousarray(planes.T).view(kind)[:, 0]
+        at += planes.nbytes
     head["doc"] = np.cumsum(head["doc"])
     ends = (at + np.cumsum(head["bytes"])).tolist()
     return head, [raw[e - k : e] for e, k in zip(ends, head["bytes"].tolist(), strict=True) if k]
@@ -89,7 +103,7 @@ class _Chunk:
         self.buckets, self.bytes = buckets, 0
         #: For each string the smallest document that has it, and that document's places of it.
         self.best: dict[bytes, tuple[int, list[tuple[int, int, int, int]]]] = {}
-        self.decided: list[tuple[int, int, int, int]] = []
+        self.decided: list[tuple[int, int, int, int, int]] = []
 
     def add(self, doc: int, key: int, first: int, count: int, minimiser: int, body: bytes) -> None:
         place, have = (key, first, count, minimiser), self.best.get(body)
@@ -100,9 +114,9 @@ class _Chunk:
         elif have[0] == doc:
             have[1].append(place)
         elif have[0] < doc:
-            self.decided.append((doc, key, first, count))
+            self.decided.append((doc, key, first, count, words_check(body)))
         else:
-            self.decided += ((have[0], *p[:3]) for p in have[1])
+            self.decided += ((have[0], *p[:3], words_check(body)) for p in have[1])
             self.best[body] = (doc, [place])
 
     def packed(self) -> pa.RecordBatch:
@@ -110,11 +124,11 @@ class _Chunk:
         for body, (doc, places) in self.best.items():
             for key, first, count, minimiser in places:
                 heads, bodies = rows[minimiser % self.buckets]
-                heads.append((doc, key, first, count, len(body)))
+                heads.append((doc, key, first, count, len(body), 0))
                 bodies.append(body)
-        for doc, key, first, count in self.decided:  # nothing left to compare: dealt out evenly
+        for doc, key, first, count, check in self.decided:  # nothing left to compare: dealt out evenly
             heads, bodies = rows[(doc ^ key) % self.buckets]
-            heads.append((doc, key, first, count, 0))
+            heads.append((doc, key, first, count, 0, check))
             bodies.append(b"")
         codec, out = pa.Codec("zstd", 3), []
         for bucket, (heads, bodies) in rows.items():
@@ -134,7 +148,7 @@ def _strings(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> It
             firsts, counts, least = super_windows(w.hashes(), w.text, window)
             if not len(firsts):
                 continue
-            keys = [text_key(t) for t in texts[a:b]]
+            keys = [text_key(i, t) for i, t in zip(ids[a:b], texts[a:b], strict=True)]
             held = w.bytes.tobytes()
             row = w.text[firsts].tolist()
             before = np.cumsum(w.n_words) - w.n_words
@@ -155,8 +169,11 @@ def _same(words: np.ndarray, at: np.ndarray, to: np.ndarray, window: int) -> np.
     return out
 
 
-def later_windows(docs: np.ndarray, bodies: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Over strings of documents: each string's number and place of every window that a document before its own has."""
+def later_windows(docs: np.ndarray, bodies: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Over strings of documents: runs of windows that a document before their own has.
+
+    Each run's string, its first word there, the word after it, and the text from the one to the other.
+    """
     w = Words(bodies)
     hashes = w.hashes()
     at = np.flatnonzero(windows(w.text, window))
@@ -172,12 +189,17 @@ def later_windows(docs: np.ndarray, bodies: list[bytes], window: int) -> tuple[n
         mates = np.flatnonzero((run == run[k]) & _same(hashes, at, np.full(len(at), at[k]), window))
         late[k] = doc[k] > doc[mates].min()
     at = np.sort(at[late])
-    before = np.cumsum(w.n_words) - w.n_words
-    return w.text[at], at - before[w.text[at]]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (np.diff(w.text[at]) != 0)
+    first = at[new]
+    last = at[np.append(new[1:], True)] + window - 1 if len(at) else at
+    held, before = w.bytes.tobytes(), np.cumsum(w.n_words) - w.n_words
+    cut = [held[a:b] for a, b in zip(w.start[first].tolist(), w.end[last].tolist(), strict=True)]
+    return w.text[first], first - before[w.text[first]], last + 1 - before[w.text[first]], cut
 
 
 def _bucket(table: pa.Table, window: int) -> pa.Table:
-    """doc, text, and the words from start to stop (exclusive) to be removed."""
+    """doc, text, the words from start to stop (exclusive) to be removed, and their check."""
     codec, heads, bodies = pa.Codec("zstd"), [], []
     for size, data in zip(table.column("size").to_pylist(), table.column("data").to_pylist(), strict=True):
         head, strings = _unpack(codec.decompress(data, size, asbytes=True))
@@ -185,18 +207,13 @@ def _bucket(table: pa.Table, window: int) -> pa.Table:
         bodies += strings
     head = {k: np.concatenate([h[k] for h in heads]).astype(np.int64) for k in _COLUMNS}
     decided, open_ = ({k: v[pick] for k, v in head.items()} for pick in (head["bytes"] == 0, head["bytes"] > 0))
-    out = [(decided["doc"], decided["text"], decided["first"], decided["first"] + decided["windows"] + window - 1)]
+    out = [(decided["doc"], decided["text"], decided["first"], decided["first"] + decided["windows"] + window - 1, decided["check"])]
     if len(bodies):
-        string, place = later_windows(open_["doc"], bodies, window)
-        place = place + open_["first"][string]
-        new = np.ones(len(place), bool)
-        new[1:] = (np.diff(string) != 0) | (np.diff(place) != 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(place)) - 1
-        string = string[first]
-        out.append((open_["doc"][string], open_["text"][string], place[first], place[last] + window if len(place) else place))
-    doc, text, start, stop = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
-    return pa.table({"doc": doc, "text": text, "start": start.astype(np.int32), "stop": stop.astype(np.int32)})
+        string, start, stop, cut = later_windows(open_["doc"], bodies, window)
+        first = open_["first"][string]
+        out.append((open_["doc"][string], open_["text"][string], first + start, first + stop, np.fromiter(map(words_check, cut), np.int64, len(cut))))
+    doc, text, start, stop, check = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+    return pa.table({"doc": doc, "text": text, "start": start.astype(np.int32), "stop": stop.astype(np.int32), "check": check})
 
 
 def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -206,6 +223,7 @@ def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
         for text, cut in zip(texts_of(batch.column("text")), (r.as_py() for r in ranges), strict=True):
             words = text.split()
             n = len(words)
+            cut = [c for c in cut or () if c["stop"] <= n and words_check(words[c["start"] : c["stop"]]) == c["check"]]
             if cut:
                 gone = np.zeros(n + 1, np.int32)
                 np.add.at(gone, [c["start"] for c in cut], 1)
@@ -221,7 +239,7 @@ def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -> DataFrame:
-    """doc, text (its key), start, stop: words that windows of earlier documents cover, in pieces that may overlap.
+    """doc, text (its key), start, stop, check: words that windows of earlier documents cover, in pieces that may overlap, and their hash.
 
     buckets: into how many the strings are dealt; by default eight for each shuffle partition, so that
     a bucket stays small as partitions are added for larger inputs.
@@ -233,19 +251,21 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, buckets: int | None =
     def bucket(table: pa.Table) -> pa.Table:
         return _bucket(table, window)
 
-    return strings.groupBy("bucket").applyInArrow(bucket, "doc long, text long, start int, stop int")
+    return strings.groupBy("bucket").applyInArrow(bucket, "doc long, text long, start int, stop int, check long")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [text_key(t) for t in texts_of(batch.column("text"))]
+        docs = batch.column("doc").to_pylist()
+        keys = [text_key(d, t) for d, t in zip(docs, texts_of(batch.column("text")), strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "key"])
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the words left, for every row of docs."""
-    cut = repeated_ranges(docs, window).groupBy("doc", F.col("text").alias("cut_key")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_keyed, "doc_id long, text string, key long")
-    both = texts.join(cut, (F.coalesce("doc_id", F.lit(LAST)) == F.col("doc")) & (F.col("key") == F.col("cut_key")), "left").select("doc_id", "text", "ranges")
+    cut = repeated_ranges(docs, window).groupBy(F.col("doc").alias("cut_doc"), F.col("text").alias("cut_key")).agg(F.collect_set(F.struct("start", "stop", "check")).alias("ranges"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.mapInArrow(_keyed, "doc long, doc_id long, text string, key long")
+    both = texts.join(cut, (F.col("doc") == F.col("cut_doc")) & (F.col("key") == F.col("cut_key")), "left").select("doc_id", "text", "ranges")
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return both.mapInArrow(partial(_kept, with_text=with_text), columns)

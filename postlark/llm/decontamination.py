@@ -2,8 +2,8 @@
 
 Words lose case and the signs around them; numbers, names inside a sentence and units after a number
 become typed placeholders. Windows of such templates are joined by hash with those of the benchmark.
-Matches on one diagonal (the same shift between text and item) must map the item's slot values to the
-text's one to one: then the text holds the item, word for word or with other parameters. With ``copied``,
+Matches on one diagonal (the same shift between text and item), and those on all diagonals together, must map
+the item's slot values to the text's one to one: then the text holds the item, word for word or with other parameters. With ``copied``,
 as in the registered query and the pipeline, windows with the same values on both sides count whatever the
 rest of their diagonal does, and only those with changed values must map one to one. A text leaks an item
 if windows that cover at least SHARE of the item's windows agree.
@@ -18,8 +18,9 @@ it is shorter. Signs of operations and numbers count there, so that 2 + 2 is not
 Defined cases: a null or empty text leaks nothing; an item of one word is leaked by every text with that word;
 an item without words is not searched; in other items, windows with fewer than FIXED words outside slots are
 not searched; repeated rows leak each;
-a null doc_id stays null; item ids are whatever benchmark has; other columns are ignored; an empty table
-on either side gives an empty result.
+a null doc_id stays null; item ids are whatever benchmark has; other columns, whatever their names, are
+ignored (drop_leaking keeps them); very long texts are read whole; of diagonals with as many windows that of the
+smaller shift is taken first; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, bitmap, mix, releasing, rolled, slices, texts_of, windows
+from ._text import Words, bitmap, mix, private, releasing, rolled, slices, texts_of, windows
 
 WINDOW, FIXED = 8, 4
 SHARE = 0.5
@@ -71,6 +72,15 @@ def _lower(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def _without(raw: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without such bytes before and after them; what is nothing else ends where it starts, or before."""
+    first, last = np.flatnonzero(~before[raw]), np.flatnonzero(~after[raw])
+    if not len(start) or not len(first) or not len(last):
+        return start, start
+    start = first[np.minimum(np.searchsorted(first, start), len(first) - 1)]
+    return start, last[np.maximum(np.searchsorted(last, end) - 1, 0)] + 1
+
+
 class Template:
     """The template words of some texts: hash, kind of slot (0: none), text, place in the bytes."""
 
@@ -78,12 +88,7 @@ class Template:
         w = Words(texts)
         raw, start, end = w.bytes, w.start.copy(), w.end.copy()
         closes = _END[raw[np.maximum(w.end - 1, 0)]]
-        for _ in range(64):  # signs around a word; of more, the rest stay with it
-            left, right = (start < end) & _SIGN[raw[np.minimum(start, len(raw) - 1)]], (start < end) & _SIGN[raw[np.maximum(end - 1, 0)]]
-            if not (left.any() or right.any()):
-                break
-            end -= right
-            start += left & (start < end)
+        start, end = _without(raw, start, end, _SIGN, _SIGN)
         first = np.ones(len(start), bool)  # of a sentence or a line
         first[1:] = closes[:-1] | (w.text[1:] != w.text[:-1])
         breaks = np.concatenate([[0], np.cumsum(raw == 10)])
@@ -122,12 +127,7 @@ class Plain:
     def __init__(self, texts: list[bytes]):
         w = Words(texts)
         raw, start, end = w.bytes, w.start.copy(), w.end.copy()
-        for _ in range(64):  # as in Template
-            left, right = (start < end) & _OPENS[raw[np.minimum(start, len(raw) - 1)]], (start < end) & _CLOSES[raw[np.maximum(end - 1, 0)]]
-            if not (left.any() or right.any()):
-                break
-            end -= right
-            start += left & (start < end)
+        start, end = _without(raw, start, end, _OPENS, _CLOSES)
         there = start < end
         w.bytes, w.start, w.end, self.text = _lower(raw), start[there], end[there], w.text[there]
         self.hash = w.hashes()
@@ -231,17 +231,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, copied: bool = False) -> DataFr
         F.collect_set(F.when(same, F.col("item_place"))).alias("copies"), F.collect_set(F.when(~same, F.col("item_place"))).alias("places"),
         F.array_distinct(F.flatten(F.collect_set(F.when(~same, pairs)))).alias("pairs"),
     )
-    # One to one: as many pairs as values on either side.
-    one = (F.size("pairs") == F.size(F.array_distinct("pairs.theirs"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.ours")))
-    changed = F.when(one, F.size(F.filter("pairs", lambda p: ~p["theirs"].eqNullSafe(p["ours"])))).otherwise(0)
-    counted = F.when(one, F.concat("copies", "places")).otherwise(F.col("copies"))
-    good = lines.withColumns({"counted": counted, "changed": changed}).where(F.size("counted") > 0).groupBy("doc_id", "key", "item_id", "item_total").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("counted")))).alias("n"), F.max("changed").alias("changed")
-    )
+
+    def one(pairs: Column) -> Column:
+        """One to one: as many pairs as values on either side."""
+        return (F.size(pairs) == F.size(F.array_distinct(pairs["theirs"]))) & (F.size(pairs) == F.size(F.array_distinct(pairs["ours"])))
+
+    # Diagonals with the most windows first: one whose pairs do not go with those taken counts no changed windows.
+    line = F.struct((-F.size("places")).alias("order"), "shift", "copies", "places", "pairs")
+    start = F.struct(F.expr("cast(array() as array<long>)").alias("places"), F.expr("cast(array() as array<struct<theirs:string,ours:string>>)").alias("pairs"))
+
+    def take(taken: Column, x: Column) -> Column:
+        pairs = F.array_distinct(F.concat(taken["pairs"], x["pairs"]))
+        return F.when(one(pairs), F.struct(F.concat(taken["places"], x["places"]).alias("places"), pairs.alias("pairs"))).otherwise(taken)
+
+    grouped = lines.groupBy("doc_id", "key", "item_id", "item_total").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    taken = grouped.withColumn("taken", F.aggregate("lines", start, take))
+    good = taken.select("doc_id", "key", "item_id", "item_total", F.size(F.array_distinct(F.concat(F.flatten("lines.copies"), "taken.places"))).alias("n"), F.size(F.filter("taken.pairs", lambda p: ~p["theirs"].eqNullSafe(p["ours"]))).alias("changed"))
     return good.where(F.col("n") >= SHARE * F.col("item_total")).select("doc_id", "key", "item_id", (F.col("n") / F.col("item_total")).alias("share"), "changed")
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that leak an item; all their columns."""
-    bad = leaks(docs, benchmark, copied=True).select(F.col("doc_id").cast("long").alias("__doc"), F.col("key").alias("__key")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (text_key() == F.col("__key")), "left_anti")
+    doc, key = private(docs, "doc", "key")
+    bad = leaks(docs, benchmark, copied=True).select(F.col("doc_id").cast("long").alias(doc), F.col("key").alias(key)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (text_key() == F.col(key)), "left_anti")

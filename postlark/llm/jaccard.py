@@ -15,8 +15,9 @@ Links between groups join them; a document's component is the smallest doc_id it
 
 Defined cases: a text without words, or a null one, has no shingles and no links; one with fewer words than
 a shingle is a single shingle; rows with the same doc_id are one document with the links of all its rows;
-rows with a null doc_id are one such document, larger than all others; other columns are ignored; an empty
-table gives an empty result.
+rows with a null doc_id are one such document, larger than all others; very long texts are whole sets; equal sets
+are one class, led by its smallest doc_id; other columns, whatever their names, are ignored (one_of_each keeps
+them); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import Words, bitmap, kept, mix, releasing, rolled, slices, texts_of, windows
+from ._text import Words, bitmap, kept, mix, private, releasing, rolled, slices, texts_of, windows
 
 SHINGLE, SIMILAR = 5, 80
 CHUNK_TOKENS, CHUNK_DOCS = 1_500_000, 60_000
@@ -84,7 +85,7 @@ def _chunk(chunk: int, ids: list[int], sizes: np.ndarray, doc: np.ndarray, token
     bucket, owner, low = bucket[by].astype(np.int64), owner[by], token[ship][by].astype(np.uint32)
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     codec = pa.Codec("zstd", 1)
-    rows = [(chunk % buckets, -1, np.array(ids, "<i8").tobytes(), np.concatenate([sizes, known]).astype("<i4").tobytes())]
+    rows = [(int(mix(np.array([chunk], np.uint64))[0] % np.uint64(buckets)), -1, np.array(ids, "<i8").tobytes(), np.concatenate([sizes, known]).astype("<i4").tobytes())]
     for b in np.unique(bucket).tolist():
         own = np.bincount(owner[cuts[b] : cuts[b + 1]], minlength=n + 1).astype("<u4")
         rows.append((b, n, low[cuts[b] : cuts[b + 1]].astype("<u4").tobytes(), codec.compress(own.tobytes(), asbytes=True)))
@@ -242,8 +243,10 @@ def components(nodes: DataFrame, edges: DataFrame, name: str = "components") ->
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        both = kept(step.join(jump, "next").select("node", F.least("next", "far").alias("comp"), "was"), name)
+        step = kept(step, name + "-step")
+        # A component's least node labels all of it and is its own label: only labels that lead on are joined back.
+        leads = step.where("next < node").select(F.col("node").alias("next"), F.col("next").alias("far")).join(step.select("next").distinct(), "next", "left_semi")
+        both = kept(step.join(leads, "next", "left").select("node", F.least("next", "far").alias("comp"), "was"), name)
         if not both.where("comp <> was").limit(1).count():
             return both.select("node", "comp")
         labels = both.select("node", "comp")
@@ -360,11 +363,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     several rows of a kept doc_id stays is settled by the least text.
     """
     found = jaccard_components(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    again = found.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    name, number = private(docs, "doc", "n")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    again = found.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 and doc_id is not null").select(F.col("doc_id").alias(name))
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
     if not again.limit(1).count():
         return left
     lead = Window.partitionBy(F.col("doc_id").cast("long")).orderBy(F.col("text").asc_nulls_last())
-    twice = left.join(again, F.col("doc_id").cast("long") == F.col("__again"), "left_semi").withColumn("__n", F.row_number().over(lead)).where("__n = 1").drop("__n")
-    return left.join(again, F.col("doc_id").cast("long") == F.col("__again"), "left_anti").unionByName(twice)
+    twice = left.join(again, F.col("doc_id").cast("long") == F.col(name), "left_semi").withColumn(number, F.row_number().over(lead)).where(F.col(number) == 1).drop(number)
+    return left.join(again, F.col("doc_id").cast("long") == F.col(name), "left_anti").unionByName(twice)

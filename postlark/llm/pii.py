@@ -8,18 +8,23 @@ score; patterns that are weak alone count only with such a word.
 Patterns start at the edge of a run of their characters, or where the last match ended, so that long
 runs are not tried from each of their characters; the matches are those of the plain patterns.
 
-Defined cases: a null or empty text has no spans; repeated rows are searched each; other columns stay;
-an empty table gives an empty result.
+Defined cases: a null or empty text has no spans; very long texts are searched whole, in time that grows with
+their length; spans of one place are listed in the order of kinds; repeated rows are searched each; other columns
+stay, whatever their names, but for those that the results replace; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._text import private
+
 _CONTEXT = 48
+CHUNK = 256
 LEAST_SCORE = 0.5
 
 
@@ -84,19 +89,36 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _scan(items: Column, out: str, state: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each item in turn step(state, item) gives a struct<state, out>; the outs as an array of the given type.
+
+    Arrays grow by CHUNK items at once, so that many items of one text do not copy the whole array each.
+    """
+    none = F.expr(f"cast(array() as array<{out}>)")
+
+    def one(a: Column, x: Column) -> Column:
+        return F.get(F.transform(F.array(step(a["state"], x)), lambda s: F.struct(s["state"].alias("state"), F.concat(a["outs"], F.array(s["out"])).alias("outs"))), F.lit(0))
+
+    def chunk(a: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(a["state"].alias("state"), none.alias("outs")), one)
+        return F.get(F.transform(F.array(inner), lambda s: F.struct(s["state"].alias("state"), F.concat(a["outs"], s["outs"]).alias("outs"))), F.lit(0))
+
+    chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(CHUNK)), lambda k: F.slice(items, k, F.lit(CHUNK)))
+    return F.aggregate(chunks, F.struct(state.alias("state"), none.alias("outs")), chunk, lambda a: a["outs"])
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of a pattern, places in code points."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values))
     pieces = F.zip_with(between, values, lambda b, v: F.struct(F.length(b).alias("gap"), v.alias("value")))
-    start = F.struct(F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("found"), F.lit(0).alias("at"))
 
-    def step(a: Column, p: Column) -> Column:
-        begin = a["at"] + p["gap"]
+    def step(at: Column, p: Column) -> Column:
+        begin = at + p["gap"]
         end = begin + F.length(p["value"])
-        return F.struct(F.concat(a["found"], F.array(F.struct(begin.alias("start"), end.alias("end"), p["value"].alias("value")))).alias("found"), end.alias("at"))
+        return F.struct(end.alias("state"), F.struct(begin.alias("start"), end.alias("end"), p["value"].alias("value")).alias("out"))
 
-    return F.aggregate(pieces, start, step, lambda a: a["found"])
+    return _scan(pieces, "struct<start:int,end:int,value:string>", F.lit(0), step)
 
 
 def _spans(text: Column, kind: Kind) -> Column:
@@ -112,21 +134,30 @@ def _spans(text: Column, kind: Kind) -> Column:
     return found if kind.base else F.filter(found, lambda s: s["score"] >= LEAST_SCORE)
 
 
+def _found(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: base spans and added ones."""
+    base_spans, added_spans, *columns = private(docs, "base", "added", *(k.name for k in KINDS))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # Most texts hold no digit run, sign or address: a cheap look spares them the patterns.
+    looks = {"email": text.contains("@"), "phone": text.contains("+"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][0-9 -]{11}"), "iban": text.rlike("[A-Z]{2}[0-9]{2}"), "ssn": text.rlike("-[0-9]{2}-"), "local_phone": text.rlike("[.-][0-9]{4}")}
+    empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
+    found = docs.withColumns({c: F.when(looks[k.name], _spans(text, k)).otherwise(empty) for c, k in zip(columns, KINDS, strict=True)})
+    base = F.concat(*(F.col(c) for c, k in zip(columns, KINDS, strict=True) if k.base))
+    more = F.concat(*(F.col(c) for c, k in zip(columns, KINDS, strict=True) if not k.base))
+    found = found.withColumn(base_spans, base)
+    free = F.filter(more, lambda m: ~F.exists(base_spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return found.withColumn(added_spans, free).drop(*columns), base_spans, added_spans
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """docs with base_spans (email, ip, card, phone) and added_spans (the others, where they cross no base span).
 
     Both are array<struct<kind, start, end, score>> in the order of KINDS, then of places; the end is exclusive.
+    Columns of these names in docs are replaced.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # Most texts hold no digit run, sign or address: a cheap look spares them the patterns.
-    looks = {"email": text.contains("@"), "phone": text.contains("+"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][0-9 -]{11}"), "iban": text.rlike("[A-Z]{2}[0-9]{2}"), "ssn": text.rlike("-[0-9]{2}-"), "local_phone": text.rlike("[.-][0-9]{4}")}
-    empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
-    found = docs.withColumns({f"__{k.name}": F.when(looks[k.name], _spans(text, k)).otherwise(empty) for k in KINDS})
-    base = F.concat(*(F.col(f"__{k.name}") for k in KINDS if k.base))
-    more = F.concat(*(F.col(f"__{k.name}") for k in KINDS if not k.base))
-    found = found.withColumn("base_spans", base)
-    free = F.filter(more, lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumn("added_spans", free).drop(*(f"__{k.name}" for k in KINDS))
+    found, base, added = _found(docs)
+    others = [c for c in docs.columns if c.lower() not in ("base_spans", "added_spans")]
+    return found.select(*others, F.col(base).alias("base_spans"), F.col(added).alias("added_spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -139,18 +170,18 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Spans that cross are replaced as one, by the first one's kind. A null text stays null.
     """
-    found = find_pii(docs)
-    spans = F.array_sort(F.transform(F.concat("base_spans", "added_spans"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("turned"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+    found, base, added = _found(docs)
+    spans = F.array_sort(F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("turned"), s["kind"].alias("kind"))))
     text = F.col("text").cast("string")
 
-    def step(a: Column, s: Column) -> Column:
-        end = -s["turned"]
-        more = F.concat(a["done"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.when(s["start"] >= a["at"], more).otherwise(a["done"]).alias("done"), F.greatest(a["at"], end).alias("at"))
+    def step(at: Column, s: Column) -> Column:
+        """What stands before the span and its kind; nothing for one that an earlier one reaches."""
+        more = F.concat(F.substr(text, at + 1, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.struct(F.greatest(at, -s["turned"]).alias("state"), F.when(s["start"] >= at, more).otherwise("").alias("out"))
 
-    masked = F.aggregate(spans, start, step, lambda a: F.concat(a["done"], F.substr(text, a["at"] + 1, F.length(text))))
-    has = (F.size("base_spans") > 0) | (F.size("added_spans") > 0)
+    last = F.array_max(F.transform(spans, lambda s: -s["turned"]))
+    masked = F.concat(F.array_join(_scan(spans, "string", F.lit(0), step), ""), F.substr(text, last + 1, F.length(text)))
+    has = (F.size(base) > 0) | (F.size(added) > 0)
     out = found.withColumn("text", F.when(has, masked).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(has, F.length("text").cast("long")).otherwise(F.col("n_chars")))

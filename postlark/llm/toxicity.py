@@ -8,9 +8,11 @@ text run through it side by side in numpy. A hit counts less inside quotation ma
 word than as plain abuse. Misspellings that training saw get their own weight. The sum is calibrated
 by a logistic curve. Only the text enters a score.
 
-Defined cases: a null or empty text scores as one without hits; with no usable labels every score is
-0.5 below the decision line (0.0); a null doc_id is not held out; repeated rows are scored each; other
-columns are ignored; an empty table gives an empty result.
+Defined cases: a null or empty text scores as one without hits; very long texts are scored whole; with no
+usable labels every score is 0; a null doc_id is not held out and teaches nothing; a doc_id labelled twice counts
+as toxic if one of its labels is; repeated rows are scored each; of terms that match alike the longest beginning
+or the nearest, then the first word counts; other columns, whatever their names, are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import slices, texts_of
+from ._text import releasing, slices, texts_of
 
 #: Labelled texts that the fit looks at, at most.
 TRAIN_ROWS = 24_000
-#: Lexicon entries, at most: the ones that most toxic texts use; and as many whole words under the beginnings among them.
+#: Lexicon entries in one automaton; more of them make more automata.
 ENTRIES = 400
 PREFIX = range(4, 11)
 FUZZY_1, FUZZY_2 = 5, 9  # letters from which a whole word is matched with one, with two edits
@@ -43,7 +45,9 @@ LEAST_SHARE = 0.55
 MOST_EVIDENCE = 30.0
 QUOTED, WINDOW = 0.25, 80
 _REPORTING = re.compile(r"\b(?:said|says|say|quote|quoted|wrote|writes|called|reads|word|term|dit|sagte|dijo)\b")
-_QUOTES = "\"'“”«»„"
+#: Marks that open a quotation stand before a word and after none, those that close one the other way round.
+_OPENS = re.compile(r"(?:^|(?<=[\s(\[{>—–-]))[\"'“”«»„‘](?=\S)")
+_CLOSES = re.compile(r"(?<=\S)[\"'”“»«’](?=$|[\s.,;:!?)\]}<—–-])")
 _WORD = re.compile(r"[^\W_]+")
 _LEET = str.maketrans("013457@$", "oieastas")
 
@@ -86,8 +90,10 @@ class Lexicon:
     #: Of the evidence, of the logarithm of the words, and alone.
     curve: tuple[float, float, float] = (1.0, 0.0, -4.0)
 
-    def key(self) -> tuple[str, ...]:
-        return tuple(sorted(self.weights))
+    def keys(self) -> tuple[tuple[str, ...], ...]:
+        """The terms of each automaton."""
+        terms = sorted(self.weights)
+        return tuple(tuple(terms[k : k + ENTRIES]) for k in range(0, len(terms), ENTRIES))
 
 
 class Automaton:
@@ -174,7 +180,7 @@ class Automaton:
                     todo += [(to, e + 1) for to in self.child[n].values() if e < self.allowed[to]]  # a left-out letter
         return frozenset(best.items())
 
-    def hits(self, text: str) -> tuple[list[tuple[int, int, int, bool]], np.ndarray]:
+    def hits(self, text: str) -> tuple[list[tuple[int, int, str, bool]], np.ndarray]:
         """(start, end, term, misspelled) of the words that match, and where words start; text is folded."""
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         letters = _classes(self.terms)[codes]
@@ -193,7 +199,7 @@ class Automaton:
             alive = alive[state[alive] > 0]
             k += 1
         got = np.flatnonzero(self.hit[final] >= 0)
-        return [(int(start[i]), int(end[i]), int(self.hit[final[i]]), bool(self.fuzzy[final[i]])) for i in got], start
+        return [(int(start[i]), int(end[i]), self.terms[self.hit[final[i]]], bool(self.fuzzy[final[i]])) for i in got], start
 
 
 @lru_cache(1)
@@ -201,12 +207,12 @@ def _alnum() -> np.ndarray:
     return np.fromiter((chr(c).isalnum() if not 0xD800 <= c < 0xE000 else False for c in range(0x110000)), bool, 0x110000)
 
 
-@lru_cache(2)
+@lru_cache(64)
 def _automaton(terms: tuple[str, ...]) -> Automaton:
     return Automaton(terms)
 
 
-@lru_cache(2)
+@lru_cache(64)
 def _classes(terms: tuple[str, ...]) -> np.ndarray:
     """For each code point: 255 outside words, the letter's number in the lexicon, or 0."""
     out = np.where(_alnum(), 0, 255).astype(np.uint8)
@@ -216,23 +222,37 @@ def _classes(terms: tuple[str, ...]) -> np.ndarray:
 
 
 def _context(text: str, start: int, end: int) -> float:
-    """Less than 1 for a hit that is quoted: marks on both sides and a reporting word nearby."""
-    before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
-    if any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES) and _REPORTING.search(before + " " + after):
-        return QUOTED
-    return 1.0
+    """Less than 1 for a hit that is quoted: after a mark that opens and before one that closes, with a reporting word nearby."""
+    first, last = max(0, start - WINDOW), min(len(text), end + WINDOW)
+    if not _REPORTING.search(text[first:start] + " " + text[end:last]):
+        return 1.0
 
+    def places(marks: re.Pattern, a: int, b: int) -> list[int]:
+        return [m.start() for m in marks.finditer(text, a, min(b + 1, len(text))) if m.start() < b]
 
-def document_hits(automaton: Automaton, texts: list[bytes]) -> tuple[list[dict[str, float]], np.ndarray]:
-    """For each text, what it hits (a term, or ~ and a misspelled word) and how often, quotations counting less; and its words."""
+    opened, shut = max(places(_OPENS, first, start), default=-1), max(places(_CLOSES, first, start), default=-1)
+    closes, opens = min(places(_CLOSES, end, last), default=len(text)), min(places(_OPENS, end, last), default=len(text))
+    return QUOTED if opened > shut and closes < len(text) and closes <= opens else 1.0
+
+
+def document_hits(automata: list[Automaton], texts: list[bytes]) -> tuple[list[dict[str, float]], np.ndarray]:
+    """For each text, what it hits (a term, or ~ and a misspelled word) and how often, quotations counting less; and its words.
+
+    A word that several automata know is the hit of the first that knows it as written, else of the first that does.
+    """
     folded = [_folded(t.decode()) for t in texts]
     starts = np.cumsum([0, *(len(t) + 1 for t in folded)])
     out: list[dict[str, float]] = [defaultdict(float) for _ in texts]
     whole = "\n".join(folded)
-    found, words = automaton.hits(whole)
-    for a, b, term, fuzzy in found:
+    found: dict[int, tuple[int, int, str, bool]] = {}
+    for automaton in automata:
+        hits, words = automaton.hits(whole)
+        for hit in hits:
+            if hit[0] not in found or found[hit[0]][3] and not hit[3]:
+                found[hit[0]] = hit
+    for a, b, term, fuzzy in found.values():
         row = int(np.searchsorted(starts, a, "right")) - 1
-        key = f"~{whole[a:b]}~{automaton.terms[term]}" if fuzzy else automaton.terms[term]
+        key = f"~{whole[a:b]}~{term}" if fuzzy else term
         out[row][key] += _context(folded[row], a - int(starts[row]), b - int(starts[row]))
     return out, np.diff(np.searchsorted(words, starts))
 
@@ -249,23 +269,27 @@ def _evidence(lexicon: Lexicon, hits: dict[str, float]) -> float:
     return total
 
 
-def _train_hits(batches: Iterator[pa.RecordBatch], terms: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    automaton = _automaton(terms)
-    for batch in batches:
+def _train_hits(batches: Iterator[pa.RecordBatch], keys: tuple[tuple[str, ...], ...]) -> Iterator[pa.RecordBatch]:
+    automata = [_automaton(terms) for terms in keys]
+    for batch in releasing(batches):
         texts = texts_of(batch.column("text"))
         for a, b in slices(texts):
-            found, words = document_hits(automaton, texts[a:b])
+            found, words = document_hits(automata, texts[a:b])
             yield pa.RecordBatch.from_arrays([batch.column("toxic")[a:b], pa.array(words, pa.int64()), pa.array([list(h) for h in found], pa.list_(pa.string())), pa.array([list(h.values()) for h in found], pa.list_(pa.float64()))], ["toxic", "words", "hits", "times"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
-    """The lexicon and its weights from labelled texts that are not held out. Collects a row for each of at most ``rows`` texts, and at most twice ENTRIES terms."""
+    """The lexicon and its weights from labelled texts that are not held out.
+
+    Collects a row for each of at most ``rows`` texts, and the terms that at least a hundredth of the toxic ones
+    among them have: so as many as ``rows`` allows. A doc_id with several rows counts once, by its least text.
+    """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     there = usable.count()
     if there > rows:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(0.97 * rows / there * 1_000_003))
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(usable), "doc_id").select("text", "toxic")
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(usable), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     sizes = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     na, nb = sizes.get(1, 0), sizes.get(0, 0)
     if not na or not nb:
@@ -276,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
     n, z = F.col("a") + F.col("b"), 1.96
     share = F.col("a") / n
     lower = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    kept = counted.where((F.col("a") >= least) & (lower >= max(LEAST_SHARE, 2 * na / (na + nb)))).orderBy(F.desc("a"), "term").limit(10 * ENTRIES)
+    kept = counted.where((F.col("a") >= least) & (lower >= max(LEAST_SHARE, 2 * na / (na + nb))))
     seen = {r["term"]: (r["a"], r["b"]) for r in kept.collect()}
     weights: dict[str, float] = {}
     begins: set[str] = set()
@@ -291,13 +315,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
     for w in words:
         covered = any(w[1 : k + 1] in begins for k in range(1, len(w)))
         (under if covered else weights)[w] = _llr(*words[w], na, nb)
-    first = lambda terms: dict(sorted(terms.items(), key=lambda x: (-seen[x[0]][0], x[0]))[:ENTRIES])
-    weights = first(weights)
-    weights |= first({w: x for w, x in under.items() if any(w[1 : k + 1] in weights for k in range(1, len(w)))})
-    lexicon = Lexicon(weights)
+    lexicon = Lexicon(weights | under)
     if not weights:
         return lexicon
-    found = [(r["toxic"], r["words"], dict(zip(r["hits"], r["times"], strict=True))) for r in train.mapInArrow(partial(_train_hits, terms=lexicon.key()), "toxic int, words long, hits array<string>, times array<double>").collect()]
+    found = [(r["toxic"], r["words"], dict(zip(r["hits"], r["times"], strict=True))) for r in train.mapInArrow(partial(_train_hits, keys=lexicon.keys()), "toxic int, words long, hits array<string>, times array<double>").collect()]
     seen_in: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for label, _, hits in found:
         for word in {k.split("~")[1] for k in hits if k[0] == "~"}:
@@ -335,11 +356,11 @@ def _calibrate(rows: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
-    automaton = _automaton(lexicon.key())
-    for batch in batches:
+    automata = [_automaton(terms) for terms in lexicon.keys()]
+    for batch in releasing(batches):
         texts = texts_of(batch.column("text"))
         for a, b in slices(texts):
-            found, words = document_hits(automaton, texts[a:b])
+            found, words = document_hits(automata, texts[a:b])
             rows = np.array([_row(lexicon, h, int(n)) for h, n in zip(found, words, strict=True)])
             score = 1 / (1 + np.exp(-np.clip(rows @ np.array(lexicon.curve), -30, 30)))
             shown = [sorted(k.split("~")[1] if k[0] == "~" else k.lstrip("=") for k in h) for h in found]

@@ -6,10 +6,15 @@ shrunk toward the overall one, a part's toward its site's, the more so the fewer
 strongly is found from the spread of the rates themselves (method of moments). The score is the logistic
 of evidence plus the posterior's log odds.
 
+Sites are hosts and parts are first steps of paths where the site column holds addresses; elsewhere a site is
+its value and a second column (lang, on the given tables) stands in for the path.
+
 Defined cases: a null or empty text has its own measures (no words) and is scored by them; a null site or
 part is a site or part of its own; labels without a document, and null labels, count nowhere; a document
 labelled twice counts once, as its higher label; without both labels the score is the overall rate's and
-all rows are kept; repeated rows are scored each; other columns stay; an empty table gives an empty result.
+all rows are kept; very long texts are measured whole; a score of exactly THRESHOLD keeps; repeated rows are
+scored each; other columns stay, whatever their names, but for those that the results replace; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._text import kept as written
-from ._text import slices
+from ._text import private, releasing, slices
 from .repetition import AGAIN, TOP, measure
 
 #: Labelled texts that the classifier is fitted on, at most; posteriors count all labels.
@@ -99,11 +104,11 @@ def _fit(rows: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> Classifier:
 
 
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in releasing(batches):
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
         for a, b in slices(texts):
             rows = features(texts[a:b])
-            yield pa.RecordBatch.from_arrays([batch.column("quality")[a:b], pa.array(rows.tolist(), pa.list_(pa.float64()))], ["quality", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("quality")[a:b], pa.array(rows.tolist(), pa.list_(pa.float64()))], ["doc_id", "quality", "row"])
 
 
 def _labels(labels: DataFrame) -> DataFrame:
@@ -117,16 +122,33 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
     there = usable.count()
     if there > rows:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(0.97 * rows / there * 1_000_003))
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(usable), "doc_id").select("text", "quality")
-    got = train.mapInArrow(_train_rows, "quality int, row array<double>").toPandas()
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(usable), "doc_id").select("doc_id", "text", "quality")
+    # A doc_id with several rows counts once, by its least ones: as many rows come to the driver as labels were chosen.
+    got = train.mapInArrow(_train_rows, "doc_id long, quality int, row array<double>").groupBy("doc_id", "quality").agg(F.min("row").alias("row")).toPandas()
     y = got["quality"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return None
     return _fit(np.array(got["row"].tolist()), y)
 
 
-def _key(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit("\0"))
+def _key(x: Column) -> Column:
+    return F.coalesce(x.cast("string"), F.lit("\0"))
+
+
+def _address(site: str) -> Column:
+    """Without scheme, query and fragment."""
+    return F.regexp_replace(F.regexp_replace(F.col(site).cast("string"), "^[A-Za-z][A-Za-z0-9+.-]*://", ""), "[?#].*$", "")
+
+
+def site_of(site: str) -> Column:
+    """The host, or whatever stands before the first slash."""
+    return _key(F.split(_address(site), "/")[0])
+
+
+def part_of(site: str, part: str) -> Column:
+    """The first step of the path; another column stands in where the site names no path."""
+    step = F.split(_address(site), "/")
+    return F.coalesce(F.concat(F.lit("/"), F.nullif(F.try_element_at(step, F.lit(2)), F.lit(""))), _key(F.col(part)))
 
 
 def _strength(counts: DataFrame, rate: Column, good: Column, n: Column) -> float:
@@ -140,11 +162,11 @@ def _strength(counts: DataFrame, rate: Column, good: Column, n: Column) -> float
 
 
 def site_posteriors(docs: DataFrame, labels: DataFrame, site: str = "source", part: str = "lang") -> tuple[DataFrame, float]:
-    """__site, __part, n_labels, site_rate, part_rate for every site and part with documents; and the overall rate.
+    """__site, __part, n_labels, site_rate, part_rate for every host and path with documents; and the overall rate.
 
-    A part without labels takes its site's rate, a site without labels the overall one.
+    Where the site has no path the column part stands in for it. A part without labels takes its site's rate, a site without labels the overall one.
     """
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(site).alias("__site"), _key(part).alias("__part"))
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), site_of(site).alias("__site"), part_of(site, part).alias("__part"))
     parts = placed.join(_labels(labels), "doc_id", "left").groupBy("__site", "__part").agg(F.count("quality").alias("n_labels"), F.coalesce(F.sum("quality"), F.lit(0)).alias("good"))
     parts = written(parts, "parts")
     total = parts.agg(F.sum("n_labels").alias("n"), F.sum("good").alias("good")).first()
@@ -158,8 +180,11 @@ def site_posteriors(docs: DataFrame, labels: DataFrame, site: str = "source", pa
     return written(both.select("__site", "__part", "n_labels", "site_rate", rate.alias("part_rate")), "posteriors"), overall
 
 
-def score(docs: DataFrame, labels: DataFrame, site: str = "source", part: str = "lang") -> DataFrame:
-    """docs with evidence, site_rate, part_rate, quality_score and kept."""
+RESULTS = ["evidence", "site_rate", "part_rate", "quality_score", "kept"]
+
+
+def _scored(docs: DataFrame, labels: DataFrame, site: str, part: str) -> tuple[DataFrame, list[str]]:
+    """docs with RESULTS under names of their own, and these."""
     model = fit_classifier(docs, labels)
     posteriors, overall = site_posteriors(docs, labels, site, part)
     if model is None:
@@ -167,16 +192,31 @@ def score(docs: DataFrame, labels: DataFrame, site: str = "source", part: str =
     else:
 
         @F.pandas_udf("double")
-        def log_odds(text: pd.Series) -> pd.Series:
-            texts = [(t or "").encode() for t in text]
-            return pd.Series(np.concatenate([model.log_odds(features(texts[a:b])) for a, b in slices(texts)] or [np.zeros(0)]))
+        def log_odds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for text in releasing(batches):
+                texts = [(t or "").encode() for t in text]
+                yield pd.Series(np.concatenate([model.log_odds(features(texts[a:b])) for a, b in slices(texts)] or [np.zeros(0)]))
 
         evidence = log_odds(F.col("text").cast("string"))
     few = posteriors.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS
-    rates = posteriors.select("__site", "__part", "site_rate", "part_rate")
-    keyed = docs.withColumns({"__s": _key(site), "__p": _key(part), "evidence": evidence})
-    joined = keyed.join(F.broadcast(rates) if few else rates, (F.col("__s") == F.col("__site")) & (F.col("__p") == F.col("__part")), "left")
-    rate = F.least(F.greatest(F.coalesce("part_rate", F.lit(overall)), F.lit(1e-4)), F.lit(1 - 1e-4))
-    scored = joined.withColumn("quality_score", 1 / (1 + F.exp(-(F.col("evidence") + F.log(rate / (1 - rate))))))
-    kept = F.lit(True) if model is None else F.col("quality_score") >= THRESHOLD
-    return scored.withColumn("kept", kept).drop("__s", "__p", "__site", "__part")
+    names = private(docs, *RESULTS, "site", "part", "of_site", "of_part")
+    evidence_, site_rate, part_rate, quality, kept, s, p, of_site, of_part = names
+    rates = posteriors.select(F.col("__site").alias(of_site), F.col("__part").alias(of_part), F.col("site_rate").alias(site_rate), F.col("part_rate").alias(part_rate))
+    keyed = docs.withColumns({s: site_of(site), p: part_of(site, part), evidence_: evidence})
+    joined = keyed.join(F.broadcast(rates) if few else rates, (F.col(s) == F.col(of_site)) & (F.col(p) == F.col(of_part)), "left")
+    rate = F.least(F.greatest(F.coalesce(part_rate, F.lit(overall)), F.lit(1e-4)), F.lit(1 - 1e-4))
+    scored = joined.withColumn(quality, 1 / (1 + F.exp(-(F.col(evidence_) + F.log(rate / (1 - rate))))))
+    return scored.withColumn(kept, F.lit(True) if model is None else F.col(quality) >= THRESHOLD).drop(s, p, of_site, of_part), names[: len(RESULTS)]
+
+
+def score(docs: DataFrame, labels: DataFrame, site: str = "source", part: str = "lang") -> DataFrame:
+    """docs with evidence, site_rate, part_rate, quality_score and kept; columns of these names in docs are replaced."""
+    scored, names = _scored(docs, labels, site, part)
+    others = [c for c in docs.columns if c.lower() not in RESULTS]
+    return scored.select(*others, *(F.col(n).alias(r) for n, r in zip(names, RESULTS, strict=True)))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, site: str = "source", part: str = "lang") -> DataFrame:
+    """The rows of docs that the score keeps, with their own columns."""
+    scored, names = _scored(docs, labels, site, part)
+    return scored.where(F.col(names[-1])).select(*docs.columns)

@@ -78,7 +78,6 @@ def test_token_store(spark, docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     got, start = by_id(token_store.token_store(docs, WORDS)), 0
     for i, x in enumerate(texts()):
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
@@ -89,6 +88,37 @@ def test_token_store(spark, docs, empty):
     assert [(r["doc_id"], r["start"]) for r in token_store.token_store(twice, WORDS).orderBy("start").collect()] == [(None, 0), (1, 2), (1, 4)]
 
 
+def test_token_store_is_the_plain_library_call(spark):
+    """Special strings, marks that combine, other scripts, and texts taken in parts."""
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(WORDS), random.Random(3)
+    glue = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "Ab", " ", "  ", "\n", "'s", "don't", "É", "e\u0301", "ß", "×", "12", "x1", "...", "!?", "中文", "Σς", "İ", "\xa0", "\x85", "\x1c", "🙂", "</w>", "&"]
+    xs = ["".join(rng.choices(glue, k=rng.randint(0, 16))) for _ in range(1500)] + ["a<|endoftext|>b c", " ".join(rng.choices(glue, k=4000))]
+    got = by_id(token_store.token_store(spark.createDataFrame(list(enumerate(xs)), "doc_id long, text string"), WORDS))
+    for i, x in enumerate(xs):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 1]
+        assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), repr(x)
+    long = [x.encode() for x in ("", prose(rng, 3000), "x", prose(rng, 900))]
+    encoder = token_store._Encoder(WORDS)
+    whole = encoder.encode(long, 1)
+    cut = [list(parts) for parts in token_store.parts(long, 500)]
+    assert len(cut) > 8 and b"".join(p for some, _ in cut for p in some) == b"".join(long)
+    assert whole[0].tolist() == [i for x in long for i in [*t.encode(x.decode(), add_special_tokens=False).ids, 1]]
+    some = [encoder._part(p)[0].tolist() for p, _ in cut]
+    assert [i for x in some for i in x] == [i for x in long for i in t.encode(x.decode(), add_special_tokens=False).ids]
+
+
+def test_kept_pieces_stay_right_when_trimmed(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "KEPT_PIECES", 50)
+    encoder, t, rng = token_store._Encoder(WORDS), Tokenizer.from_file(WORDS), random.Random(1)
+    for _ in range(20):
+        x = prose(rng, 60)
+        assert encoder.encode([x.encode()], 1)[0].tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
+
+
 def test_packed_blocks():
     rng = np.random.default_rng(2)
     for ids in (np.zeros(0, np.int64), np.array([7]), rng.integers(0, 50000, 1000), np.r_[rng.integers(0, 8, 700), [2**31 - 1], rng.integers(0, 8, 300)], np.full(513, 9)):
@@ -115,12 +145,24 @@ def test_byte_bpe(docs, empty):
 def test_byte_bpe_on_odd_pieces():
     import tiktoken
 
-    encoder = bpe._encoder(MULTI, P.PATTERN)
-    t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=encoder.ranks, special_tokens={})
+    codec = bpe.Codec(MULTI, P.PATTERN)
+    t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     rng = random.Random(3)
     xs = ["".join(rng.choice("ab cd  é\n\t 'st1²½٣中🙂́\xa0\x1c\x85.,!-_ßİ ") for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["ab" * 900, "don't  stop ", " " * 300 + "x", "x" * 63 + "y" * 5]
-    for x, ids in zip(xs, encoder.encode([x.encode() for x in xs]), strict=True):
-        assert np.frombuffer(ids, "<i4").tolist() == t.encode_ordinary(x), repr(x)
+    # Long pieces: runs of one letter, of two, random letters and signs, another script.
+    xs += ["y" * 3001, "".join(rng.choices("aab", k=2000)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3000)), "".join(rng.choices("abcxyzABCXYZ0123456789+/", k=2000)), "".join(rng.choices("中文字国人大的是不了在有", k=900))]
+    texts = [x.encode() for x in xs]
+    ids, count = codec.encode(texts)
+    ends = np.cumsum(count)
+    for x, a, b in zip(xs, ends - count, ends, strict=True):
+        assert ids[a:b].tolist() == t.encode_ordinary(x), repr(x)
+    assert codec.decode(ids, count) == texts
+    long = [x for x in xs if len(x) > 200]
+    some = [codec._part(p)[0].tolist() for p, _ in bpe.parts([x.encode() for x in [prose(rng, 2000), *long]], 300)]
+    assert len(some) > 20
+    again = bpe.Codec(MULTI, r"\w+|\W+")  # a pattern that is not followed by bytes
+    other = tiktoken.Encoding("other", pat_str=r"\w+|\W+", mergeable_ranks=codec.ranks, special_tokens={})
+    assert again.encode(texts[:300])[0].tolist() == [i for x in xs[:300] for i in other.encode_ordinary(x)]
 
 
 def test_passages(spark, docs, empty):
@@ -142,6 +184,25 @@ def test_passages(spark, docs, empty):
     assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in passages.remove_repeated(same).collect()) == [(-1, 20), (3, 0), (3, 0), (3, 0), (9, 20)]
 
 
+def test_passages_tell_rows_of_one_doc_id_apart(spark):
+    """Rows that share a doc_id and a short key lose only what is repeated; so do many rows without a doc_id."""
+    rng = random.Random(21)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = say(20)
+    rows = [(1, shared), (7, shared + " " + say(12)), (7, say(30)), (7, say(5) + " " + shared)] + [(None, say(20) + (" " + shared if i % 50 == 0 else "")) for i in range(600)]
+    want = sorted((d or -1, len(t.split()), 20 if d != 1 and shared in t else 0) for d, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    run = lambda: sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in passages.remove_repeated(df).collect())
+    assert run() == want
+    texts = [t.encode() for _, t in rows]
+    assert len({passages.words_check(t) for t in texts}) == len(texts) and passages.words_check(b"a  b") == passages.words_check([b"a", b"b"])
+    import pyarrow as pa
+
+    cut = [{"start": 0, "stop": 20, "check": passages.words_check(shared.encode())}]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [7, 7], "text": [rows[1][1], rows[2][1]], "ranges": [cut, cut]})  # as if both had one key
+    assert [r["n_removed"] for r in next(passages._kept(iter([batch]), True)).to_pylist()] == [20, 0]
+
+
 def test_main_text(spark):
     page = """<html><head><title>t</title><script>var x="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=1>Menu</a></li></ul></nav><div class="ad">Buy &lt;now&gt;</div>
     <article><h1>Head &amp; line</h1><p>First   <b>bold</b><br>text that is long enough to matter here.<p>Second&nbsp;one.</p><aside>side</aside><div class="comments"><p>I agree with all of this a lot.</p></div></article><footer>&copy; me</footer>"""
@@ -153,6 +214,39 @@ def test_main_text(spark):
     assert main_text.main_text(rows.limit(0)).count() == 0
 
 
+PARAGRAPH = "The long paragraph of this text says many things about the matter at hand, and number {} goes on for a while."
+LAYOUTS = {
+    "article": ("<nav><a href=1>x</a></nav><div class='ad'>Buy now and save a lot</div><article><h1>Title</h1>{p}<section class='share-prices'>{p}</section></article><footer>foot</footer>", 2),
+    "plain boxes": ("<div class='top'><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div><div id='content'><h1>Title</h1>{p}{p}<div id='related-work'>{p}</div></div><div class='sidebar'>Some things beside</div>", 3),
+    "tables": ("<table><tr><td><a href=1>one</a><br><a href=2>two</a></td><td><h1>Title</h1>{p}{p}<br>{p}</td></tr></table>", 3),
+    "body alone": ("<h1>Title</h1>{p}{p}<ul><li><a href=1>link one</a><li><a href=2>link two</a></ul>", 2),
+    "many links": ("<div><ul>" + "".join(f"<li><a href={i}>a long link text with number {i}</a></li>" for i in range(40)) + "</ul></div><div><h1>Title</h1>{p}{p}{p}</div>", 3),
+    "two boxes": ("<div class='page'><div><h1>Title</h1>{p}{p}</div><div>{p}{p}{p}</div></div><div class='site-footer'>All rights</div>", 5),
+    "comments": ("<main><header><h1>Title</h1></header><div class='body'>{p}{p}</div><div class='comments'><p>I agree with all of this, as it says many things</p></div></main>", 2),
+    "named box that is the text": ("<div class='widget'><h1>Title</h1>{p}{p}</div><p>little</p>", 2),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_main_text_of_layouts(layout):
+    page, n = LAYOUTS[layout]
+    says = [PARAGRAPH.format(i) for i in range(n)]
+    assert page.count("{p}") == n
+    got = main_text.extract("<html><body>" + page.replace("{p}", "<p>{}</p>").format(*says) + "</body></html>").split("\n")
+    assert [x for x in got if x not in ("Title", "little")] == says and got[0] in ("Title", says[0])
+
+
+def test_main_text_of_deep_pages():
+    """Deep, unclosed and badly nested pages take time in proportion to their length."""
+    import time
+
+    start = time.perf_counter()
+    assert main_text.extract("<div>" * 50_000 + "x y" + "</div>" * 50_000) == "x y"
+    for page in ("<b>" * 20_000 + "<div></div>" * 20_000 + "text", "<b>" * 20_000 + "<li></li>" * 20_000 + "text", "<div class=ad>" * 30_000 + "text", "<span>" * 50_000 + "text" + "</p>" * 20_000):
+        assert main_text.extract(page) == "text"
+    assert time.perf_counter() - start < 40
+
+
 def test_decontamination(spark, docs, empty):
     item = "If a farmer has 12 apples and sells 5 apples to Maria then how many apples are left with the farmer at the end"
     bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None)], "item_id long, text string")

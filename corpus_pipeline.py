@@ -16,8 +16,7 @@ from postlark.llm._text import kept
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the site-quality score accepts."""
-    scored = site_quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("kept").select(*docs.columns)
+    return site_quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

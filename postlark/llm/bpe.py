@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._pieces import BLANK, END, HARD, Interned, distinct, kinds, parts
-from ._text import releasing, slices, texts_of, worker_cache
+from ._text import releasing, slices, text_slices, worker_cache
 
 LONG_PIECE = 64
 #: Pieces that a worker keeps.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 200_000
 #: Bytes of pieces contracted by one query, and its rounds.
 QUERY_BYTES, ROUNDS = 240_000, 64
 ENCODE_BYTES, DECODE_TOKENS = 2 << 20, 100_000
@@ -250,9 +250,8 @@ def _lists(ids: np.ndarray, count: np.ndarray) -> pa.Array:
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     codec = _codec(path, pattern)
     for batch in batches:
-        texts = texts_of(batch.column("text"))
-        for a, b in slices(texts, ENCODE_BYTES):
-            yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:-1]), _lists(*codec.encode(texts[a:b]))], [*batch.schema.names[:-1], "ids"])
+        for a, b, texts in text_slices(batch.column("text"), ENCODE_BYTES):
+            yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:-1]), _lists(*codec.encode(texts))], [*batch.schema.names[:-1], "ids"])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:

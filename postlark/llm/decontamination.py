@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, bitmap, mix, private, releasing, rolled, slices, texts_of, windows
+from ._text import Words, bitmap, mix, private, releasing, rolled, text_slices, windows
 
 WINDOW, FIXED = 8, 4
 SHARE = 0.5
@@ -167,9 +167,9 @@ def _found(batches: Iterator[pa.RecordBatch], bitmap: bytes | None, sizes: list[
     """id, key, hash, place, slots, total, size (0: a template) of every window, or of those whose bit is set and plain ones of the given sizes."""
     bits = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
     for batch in batches:
-        texts, ids, keys = texts_of(batch.column("text")), batch.column("id").to_pylist(), batch.column("key").to_pylist()
-        for a, b in slices(texts):
-            t = Template(texts[a:b])
+        ids, keys = batch.column("id").to_pylist(), batch.column("key").to_pylist()
+        for a, b, texts in text_slices(batch.column("text")):
+            t = Template(texts)
             at, hashes = t.windows()
             total = np.bincount(t.text[at], minlength=b - a)
             before = np.searchsorted(t.text, np.arange(b - a))
@@ -186,7 +186,7 @@ def _found(batches: Iterator[pa.RecordBatch], bitmap: bytes | None, sizes: list[
                 ],
                 _NAMES,
             )
-            for text, place, hashes, n in _plain(texts[a:b], sizes, np.flatnonzero(total == 0)):
+            for text, place, hashes, n in _plain(texts, sizes, np.flatnonzero(total == 0)):
                 total_n = np.bincount(text, minlength=b - a)
                 if bits is not None:
                     hit = bits[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]

@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import Words, bitmap, kept, mix, private, releasing, rolled, slices, texts_of, windows
+from ._text import Words, bitmap, kept, mix, private, releasing, rolled, text_slices, windows
 
 SHINGLE, SIMILAR = 5, 80
-CHUNK_TOKENS, CHUNK_DOCS = 1_500_000, 60_000
+CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 60_000
 BITMAP_BITS = 23
 BLOCK = 256
 SEEDS = 3
@@ -100,9 +100,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
     ids: list[int] = []
     sizes, docs, tokens, held = [], [], [], 0
     for batch in batches:
-        texts, own = texts_of(batch.column("text")), batch.column("doc").to_pylist()
-        for a, b in slices(texts):
-            doc, token = shingle_sets(texts[a:b])
+        own = batch.column("doc").to_pylist()
+        for a, b, texts in text_slices(batch.column("text")):
+            doc, token = shingle_sets(texts)
             sizes.append(np.bincount(doc, minlength=b - a))
             docs.append(doc + len(ids))
             tokens.append(token)
@@ -163,9 +163,8 @@ def _sets(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordB
         if not len(rows):
             continue
         batch = batch.take(pa.array(rows))
-        texts = texts_of(batch.column("text"))
-        for a, b in slices(texts):
-            doc, token = shingle_sets(texts[a:b])
+        for a, b, texts in text_slices(batch.column("text")):
+            doc, token = shingle_sets(texts)
             cut = np.searchsorted(doc, np.arange(b - a + 1))
             # Two sums of mixed hashes: equal sets have equal ones, and others have not, but for one in 2**128.
             total = [np.add.reduceat(np.append(mix(token ^ np.uint64(s)), np.uint64(0)), np.minimum(cut[:-1], len(token))) for s in (1, 2)]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, mix, rolled, slices, texts_of, windows
+from ._text import Words, mix, rolled, text_slices, texts_of, windows
 
 WINDOW = 13
 MINIMISER = 3
@@ -142,13 +142,12 @@ def _strings(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> It
     chunk = _Chunk(buckets)
     for batch in batches:
         ids = [LAST if x is None else x for x in batch.column("doc_id").to_pylist()]
-        texts = texts_of(batch.column("text"))
-        for a, b in slices(texts):
-            w = Words(texts[a:b])
+        for a, b, texts in text_slices(batch.column("text")):
+            w = Words(texts)
             firsts, counts, least = super_windows(w.hashes(), w.text, window)
             if not len(firsts):
                 continue
-            keys = [text_key(i, t) for i, t in zip(ids[a:b], texts[a:b], strict=True)]
+            keys = [text_key(i, t) for i, t in zip(ids[a:b], texts, strict=True)]
             held = w.bytes.tobytes()
             row = w.text[firsts].tolist()
             before = np.cumsum(w.n_words) - w.n_words

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, mix, rolled, slices, texts_of, windows
+from ._text import Words, mix, rolled, text_slices, windows
 
 #: Share of word characters that the most frequent window of n words may take.
 TOP = {2: 0.25, 3: 0.25, 4: 0.25}
@@ -106,9 +106,8 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = {"long": pa.int64(), "double": pa.float64()}
     for batch in batches:
-        texts = texts_of(batch.column("text"))
-        for a, b in slices(texts):
-            got = measure(texts[a:b])
+        for a, b, texts in text_slices(batch.column("text")):
+            got = measure(texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], *(pa.array(got[k].astype("int64" if t == "long" else "float64"), types[t]) for k, t in MEASURES)], ["doc_id", *(k for k, _ in MEASURES)])
 
 

@@ -23,13 +23,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._text import kept as written
-from ._text import private, releasing, slices
+from ._text import private, releasing, text_slices
 from .repetition import AGAIN, TOP, measure
 
 #: Labelled texts that the classifier is fitted on, at most; posteriors count all labels.
@@ -105,9 +104,8 @@ def _fit(rows: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> Classifier:
 
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in releasing(batches):
-        texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        for a, b in slices(texts):
-            rows = features(texts[a:b])
+        for a, b, texts in text_slices(batch.column("text")):
+            rows = features(texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("quality")[a:b], pa.array(rows.tolist(), pa.list_(pa.float64()))], ["doc_id", "quality", "row"])
 
 
@@ -191,11 +189,10 @@ def _scored(docs: DataFrame, labels: DataFrame, site: str, part: str) -> tuple[D
         evidence = F.lit(0.0)
     else:
 
-        @F.pandas_udf("double")
-        def log_odds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for text in releasing(batches):
-                texts = [(t or "").encode() for t in text]
-                yield pd.Series(np.concatenate([model.log_odds(features(texts[a:b])) for a, b in slices(texts)] or [np.zeros(0)]))
+        @F.arrow_udf("double")
+        def log_odds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in releasing(batches):
+                yield pa.array(np.concatenate([np.zeros(0), *(model.log_odds(features(texts)) for _, _, texts in text_slices(column))]))
 
         evidence = log_odds(F.col("text").cast("string"))
     few = posteriors.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS

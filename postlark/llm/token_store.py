@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._pieces import BLANK, DIGIT, END, HARD, Interned, distinct, kinds, lowered, parts
-from ._text import releasing, shared_folder, slices, texts_of, worker_cache
+from ._text import releasing, shared_folder, text_slices, worker_cache
 
 BLOCK = 256
 #: Share of a block's differences that fit its width.
@@ -231,9 +231,8 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
         return pa.RecordBatch.from_arrays(columns, ["part", "number", "part_start", "n_ids", "doc_ids", "lengths", "image"])
 
     for batch in batches:
-        texts = texts_of(batch.column("text"))
-        for a, b in slices(texts, SLICE_BYTES):
-            got, count = encoder.encode(texts[a:b], end_id)
+        for a, b, texts in text_slices(batch.column("text"), SLICE_BYTES):
+            got, count = encoder.encode(texts, end_id)
             docs.append(batch.column("doc_id")[a:b])
             counts.append(count)
             ids.append(got)

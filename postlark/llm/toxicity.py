@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import releasing, slices, texts_of
+from ._text import releasing, text_slices, texts_of
 
 #: Labelled texts that the fit looks at, at most.
 TRAIN_ROWS = 24_000
@@ -272,9 +272,8 @@ def _evidence(lexicon: Lexicon, hits: dict[str, float]) -> float:
 def _train_hits(batches: Iterator[pa.RecordBatch], keys: tuple[tuple[str, ...], ...]) -> Iterator[pa.RecordBatch]:
     automata = [_automaton(terms) for terms in keys]
     for batch in releasing(batches):
-        texts = texts_of(batch.column("text"))
-        for a, b in slices(texts):
-            found, words = document_hits(automata, texts[a:b])
+        for a, b, texts in text_slices(batch.column("text")):
+            found, words = document_hits(automata, texts)
             yield pa.RecordBatch.from_arrays([batch.column("toxic")[a:b], pa.array(words, pa.int64()), pa.array([list(h) for h in found], pa.list_(pa.string())), pa.array([list(h.values()) for h in found], pa.list_(pa.float64()))], ["toxic", "words", "hits", "times"])
 
 
@@ -358,9 +357,8 @@ def _calibrate(rows: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     automata = [_automaton(terms) for terms in lexicon.keys()]
     for batch in releasing(batches):
-        texts = texts_of(batch.column("text"))
-        for a, b in slices(texts):
-            found, words = document_hits(automata, texts[a:b])
+        for a, b, texts in text_slices(batch.column("text")):
+            found, words = document_hits(automata, texts)
             rows = np.array([_row(lexicon, h, int(n)) for h, n in zip(found, words, strict=True)])
             score = 1 / (1 + np.exp(-np.clip(rows @ np.array(lexicon.curve), -30, 30)))
             shown = [sorted(k.split("~")[1] if k[0] == "~" else k.lstrip("=") for k in h) for h in found]

@@ -32,10 +32,10 @@ from ._text import releasing, slices, text_slices, worker_cache
 
 LONG_PIECE = 64
 #: Pieces that a worker keeps.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 150_000
 #: Bytes of pieces contracted by one query, and its rounds.
-QUERY_BYTES, ROUNDS = 240_000, 64
-ENCODE_BYTES, DECODE_TOKENS = 2 << 20, 100_000
+QUERY_BYTES, ROUNDS = 100_000, 64
+ENCODE_BYTES, DECODE_TOKENS = 1 << 20, 60_000
 #: The public pattern, whose cuts follow from kinds of bytes wherever they are plain.
 PLAIN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -276,6 +276,21 @@ def _both(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterato
     return releasing(_decoded(_encoded(batches, path, pattern), path, pattern), _codec)
 
 
+def _checked(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    codec = _codec(path, pattern)
+    for batch in batches:
+        for a, b, texts in text_slices(batch.column("text"), ENCODE_BYTES):
+            ids, count = codec.encode(texts)
+            exact = [x == y for x, y in zip(codec.decode(ids, count), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], _lists(ids, count), pa.array(exact, pa.bool_())], ["doc_id", "ids", "exact"])
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, the ids of its text, and whether they decode to it; texts and decoded bytes stay in the worker."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.mapInArrow(lambda batches: releasing(_checked(batches, path, pattern), _codec), "doc_id long, ids array<int>, exact boolean")
+
+
 def encode_decode(docs: DataFrame, path: str, pattern: str, with_text: bool = False) -> DataFrame:
     """encode, then decode of the ids, in one worker instead of two: doc_id, ids, decoded and, if asked for, the text."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +19,10 @@ REQUIREMENTS_HEADING = (
     r"|your profile|your experience|your background|skills?(?: (?:and|&) (?:experience|qualifications?))?|must[- ]haves?"
     r"|you (?:have|bring|are)|we(?:'re| are) looking for|דרישות(?: התפקיד)?|כישורים(?: נדרשים)?)\b[^\n]{0,60}$"
 )
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&bull;": "•", "&rsquo;": "’", "&copy;": "©", "&middot;": "·"}
+_REFERENCE = r"&(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+_NAMES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+#: What HTML reads numbers of control characters as.
+_CONTROLS = {str(n): bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)}
 
 
 def any_of(terms: list[str] | tuple[str, ...], flags: str = "iU", edge: str = r"\b") -> str:
@@ -33,6 +39,11 @@ def any_of(terms: list[str] | tuple[str, ...], flags: str = "iU", edge: str = r"
     return f"(?{flags})(?:" + "|".join(one(t) for t in ordered) + ")"
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x written, planned and computed a single time."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def blank_to_null(x: Column) -> Column:
     return F.when(F.trim(x) != "", x)
 
@@ -77,15 +88,29 @@ def normalize_location(x: Column) -> Column:
 
 
 def unescape(x: Column) -> Column:
-    """Character references: the common names and the numbers of one code point."""
-    for name, sign in _ENTITIES.items():
-        x = F.replace(x, F.lit(name), F.lit(sign))
-    return F.replace(x, F.lit("&amp;"), F.lit("&"))
+    """Character references, by the names of HTML 4 or by number, once; what is none stays."""
+    table = lambda values: F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+    def sign(body: Column) -> Column:
+        digits = F.regexp_extract(body, "^#[xX]?([0-9a-fA-F]+)", 1)
+        number = F.when(body.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        known = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        code = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        numbered = F.coalesce(F.try_element_at(table(_CONTROLS), number.cast("string")), F.when(known, code).otherwise("\ufffd"))
+        return F.when(body.startswith("#"), numbered).otherwise(F.coalesce(F.try_element_at(table(_NAMES), F.rtrim(body, F.lit(";"))), F.concat(F.lit("&"), body)))
+
+    def read(text: Column) -> Column:
+        bodies = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1))
+        pieces = F.split(text, _REFERENCE, -1)
+        rest = F.zip_with(F.transform(bodies, sign), F.slice(pieces, F.lit(2), F.size(bodies)), lambda a, b: F.concat(a, b))
+        return F.when(text.contains("&"), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(text)
+
+    return once(x, read)
 
 
 def html_to_text(x: Column) -> Column:
     """Text of an HTML fragment, one line for each block. Nested or broken tags are read as they come, without a tree."""
-    raw = F.when(x.contains("&lt;") & ~x.contains("<"), unescape(x)).otherwise(x)
+    raw = once(x, lambda text: F.when(text.contains("&lt;") & ~text.contains("<"), unescape(text)).otherwise(text))
     out = F.regexp_replace(raw, r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)", "")
     out = F.regexp_replace(out, r"(?s)<!--.*?(?:-->|\z)", "")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr)\s*>", "\n")
@@ -96,17 +121,23 @@ def html_to_text(x: Column) -> Column:
 
 def requirements_section(x: Column) -> Column:
     """From the first heading of requirements on, or all."""
-    heading = F.regexp_extract(x, REQUIREMENTS_HEADING, 0)
-    return F.when(heading != "", F.substr(x, F.position(heading, x))).otherwise(x)
+
+    def cut(text: Column) -> Column:
+        return once(F.regexp_extract(text, REQUIREMENTS_HEADING, 0), lambda heading: F.when(heading != "", F.substr(text, F.position(heading, text))).otherwise(text))
+
+    return once(x, cut)
 
 
 def embedding_text(title: Column, department: Column, location: Column, employment: Column, required: Column, preferred: Column, responsibilities: Column, qualifications: Column, description: Column) -> Column:
     """What a posting is embedded by: labelled parts, then its own words, requirements first where they are buried."""
 
+    return once(normalized_description(description), lambda body: _embedding_text(body, title, department, location, employment, required, preferred, responsibilities, qualifications))
+
+
+def _embedding_text(body: Column, title: Column, department: Column, location: Column, employment: Column, required: Column, preferred: Column, responsibilities: Column, qualifications: Column) -> Column:
     def labelled(label: str, x: Column) -> Column:
         return F.when(x != "", F.concat(F.lit(label), x))
 
-    body = normalized_description(description)
     own = (F.coalesce(responsibilities, F.lit("")) == "") & (F.coalesce(qualifications, F.lit("")) == "")
     section = requirements_section(body)
     parts = F.array(
@@ -126,10 +157,14 @@ def embedding_text(title: Column, department: Column, location: Column, employme
 
 def chunk_words(x: Column, size: int = 220) -> Column:
     """The text itself if it has few words, else its words in slices."""
-    words = F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
-    n = F.size(words)
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(size)), lambda k: F.array_join(F.slice(words, k, size), " "))
-    return F.when(n > size, pieces).otherwise(F.array(x))
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        pieces = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(size)), lambda k: F.array_join(F.slice(words, k, size), " "))
+        return F.when(n > size, pieces).otherwise(F.array(x))
+
+    # The words stand in an array of one, so that they are split once and not for each slice.
+    return F.get(F.transform(F.array(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")), cut), F.lit(0))
 
 
 def employment_type(x: Column) -> Column:
@@ -181,8 +216,25 @@ def safe_link(url: Column) -> Column:
     return F.when(~(url.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") & ~url.rlike("(?i)^https?:")), url)
 
 
+# Words that name a role.
+ROLE_WORDS = (
+    r"(?iU)\b(?:engineer|developer|programmer|architect|analyst|scientist|manager|designer|devops|qa|tester|specialist|lead|intern|student|researcher|administrator"
+    r"|consultant|product|data|software|backend|frontend|full[- ]?stack|support|sales|marketing|hr|finance|operations|coordinator|director|head|officer|technician|team)\b"
+    r"|מפתח|מהנדס|מנהל|אנליסט|בודק|ארכיטקט|מתכנת|סטודנט|ראש צוות|מומחה|יועץ|תומך|רכז|נציג"
+)
+
+
 def looks_like_job_title(x: Column) -> Column:
     """Two words or more, one of them a role."""
-    words = F.filter(F.split(x, r"[\s/,\-–|]+"), lambda w: w != "")
-    role = r"(?iU)\b(?:engineer|developer|manager|designer|analyst|scientist|architect|lead|director|specialist|intern|student|consultant|administrator|technician|accountant|recruiter|מפתח|מהנדס|מנהל|אנליסט)"
-    return (F.size(words) >= 2) & x.rlike(role)
+    words = F.filter(F.split(x, r"(?U)[\s/,\-–|]+"), lambda w: w != "")
+    return (F.size(words) >= 2) & x.rlike(ROLE_WORDS)
+
+
+def domain_label(host: Column) -> Column:
+    """The company's part of a host: the label before its public end."""
+    return F.split(registrable_host(host), r"\.")[0]
+
+
+def naive_as_local(x: Column, zone: str) -> Column:
+    """A time without a zone, as the clock of a place shows it, in UTC."""
+    return F.to_utc_timestamp(x, zone)

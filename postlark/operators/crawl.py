@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 MISSING_THRESHOLD, REFRESH_HOURS, MOST_MINUTES = 3, 24, 1440
 # Minutes between visits by type of source; others take the default.
-POLL_MINUTES = {"generic_html": 10, "jsonld": 10, "site_feed": 10, "wordpress": 10, "playwright": 60}
+POLL_MINUTES = {
+    "greenhouse": 3, "lever": 3, "ashby": 3, "smartrecruiters": 3, "workable": 3, "comeet": 3, "workday": 10, "taleo": 10, "site_feed": 3, "wordpress": 3,
+    "jsonld": 15, "generic_html": 10, "playwright": 60,
+}
 #: Types that are slow to read come after the others.
 SLOW_TYPES = ("generic_html", "playwright")
 
@@ -52,6 +55,8 @@ def apply_crawl(listing: DataFrame, stored: DataFrame, runs: DataFrame, as_of: C
     listing: source_id, crawl_id, ordinal, external_job_id, title, content_hash, fetch_error, unavailable
     stored: source_id, external_job_id, title, content_hash, status, missing_streak, first_seen_at, last_seen_at, archived_at
     runs: source_id, crawl_id, listing_error. Sources without a run stay as they are.
+    Any other columns that listing and stored share are what was read of a posting: each reading replaces them, and one
+    with another content hash, or of an archived posting, is an update.
 
     A listing that failed, or one all of whose pages failed, closes nothing.
     """
@@ -85,7 +90,9 @@ def apply_crawl(listing: DataFrame, stored: DataFrame, runs: DataFrame, as_of: C
     act = F.when(F.col("action").isin("missing", "missing_closed") & ~F.coalesce("may_close", F.lit(False)), "untouched").otherwise(F.col("action"))
     d = d.withColumn("action", act)
     here = F.col("action").isin("created", "updated", "seen", "failed_seen")
-    taken = F.col("action").isin("created", "updated")
+    taken = F.col("action").isin("created", "updated") | (F.col("action") == "seen") & fetched
+    known = {"source_id", "crawl_id", "ordinal", "external_job_id", "title", "content_hash", "fetch_error", "unavailable", "status", "missing_streak", "first_seen_at", "last_seen_at", "archived_at", "action"}
+    read = [c for c in stored.columns if c in listing.columns and c not in known]
     after = d.where(~F.col("action").isin("skipped", "failed_new")).select(
         F.col("__source").alias("source_id"),
         F.coalesce("external_job_id", "s_external_job_id").alias("external_job_id"),
@@ -96,6 +103,7 @@ def apply_crawl(listing: DataFrame, stored: DataFrame, runs: DataFrame, as_of: C
         F.coalesce("s_first_seen_at", as_of).alias("first_seen_at"),
         F.when(here | (F.col("action") == "closed"), as_of).otherwise(F.col("s_last_seen_at")).alias("last_seen_at"),
         F.when(~taken, F.col("s_archived_at")).alias("archived_at"),
+        *(F.when(taken, F.col(c)).otherwise(F.col(f"s_{c}")).alias(c) for c in read),
         "action",
     )
     closed = F.col("page_closed") + F.when(F.col("run_status") == "success", F.col("missing_closed")).otherwise(0)
@@ -103,18 +111,25 @@ def apply_crawl(listing: DataFrame, stored: DataFrame, runs: DataFrame, as_of: C
     return after, counts
 
 
+def append_runs(counts: DataFrame, as_of: Column, path: str) -> None:
+    """Adds the counts of apply_crawl to the table of runs, with the time of the crawl."""
+    counts.withColumn("started_at", as_of).write.mode("append").parquet(path)
+
+
 def missing_streaks(snapshots: DataFrame, crawls: DataFrame) -> DataFrame:
     """Replay: for every posting and crawl since it was first listed, how many crawls in a row have missed it.
 
-    snapshots: source_id, external_job_id, crawl_no; crawls: source_id, crawl_no.
+    snapshots: source_id, external_job_id, crawl_no; crawls: source_id, crawl_no. The crawls of a source are numbered;
+    a listing then covers the numbers up to the posting's next one, and each of them is a row.
     """
-    born = snapshots.groupBy("source_id", "external_job_id").agg(F.min("crawl_no").alias("born"))
-    grid = crawls.join(born, "source_id").where("crawl_no >= born")
-    seen = grid.join(snapshots.select("source_id", "external_job_id", "crawl_no").distinct().withColumn("seen", F.lit(1)), ["source_id", "external_job_id", "crawl_no"], "left")
-    order = Window.partitionBy("source_id", "external_job_id").orderBy("crawl_no").rowsBetween(Window.unboundedPreceding, 0)
-    seen = seen.withColumn("island", F.sum(F.coalesce("seen", F.lit(0))).over(order))
-    within = Window.partitionBy("source_id", "external_job_id", "island").orderBy("crawl_no").rowsBetween(Window.unboundedPreceding, 0)
-    return seen.select("source_id", "external_job_id", "crawl_no", (F.count("*").over(within) - 1).alias("missing_streak"))
+    numbered = crawls.select("source_id", "crawl_no").distinct().withColumn("n", F.row_number().over(Window.partitionBy("source_id").orderBy("crawl_no")))
+    last = numbered.groupBy("source_id").agg(F.max("n").alias("last"))
+    seen = snapshots.select("source_id", "external_job_id", "crawl_no").distinct().join(numbered, ["source_id", "crawl_no"]).join(last, "source_id")
+    order = Window.partitionBy("source_id", "external_job_id").orderBy("n")
+    until = F.coalesce(F.lead("n").over(order) - 1, F.col("last"))
+    islands = seen.withColumn("until", until).select("source_id", "external_job_id", "n", F.explode(F.sequence("n", "until")).alias("at"))
+    every = islands.select("source_id", "external_job_id", "at", (F.col("at") - F.col("n")).cast("long").alias("missing_streak"))
+    return every.join(numbered.withColumnRenamed("n", "at"), ["source_id", "at"]).select("source_id", "external_job_id", "crawl_no", "missing_streak")
 
 
 def empty_streak(runs: DataFrame) -> DataFrame:
@@ -131,6 +146,11 @@ def schedule_next(outcomes: DataFrame, as_of: Column) -> DataFrame:
     return outcomes.select("source_id", failures.cast("int").alias("consecutive_failures"), wait.alias("wait_minutes"), F.timestamp_seconds(F.unix_timestamp(as_of) + wait * 60).alias("next_check_at"))
 
 
+def next_dispatch_at(last_tick: Column, every_minutes: int) -> Column:
+    """When the dispatcher runs next: an interval after it last did."""
+    return F.timestamp_seconds(F.unix_timestamp(last_tick) + 60 * every_minutes)
+
+
 def due_sources(sources: DataFrame, companies: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
     """Enabled sources of enabled companies that are due, quick types first."""
     c = companies.where("enabled").select(F.col("id").alias("company_id"))
@@ -145,6 +165,11 @@ def poll_minutes(source_type: Column, default: int = 5) -> Column:
     return F.coalesce(F.try_element_at(table, source_type), F.lit(default))
 
 
+def reapply_poll_minutes(sources: DataFrame, default: int = 5) -> DataFrame:
+    """sources with the interval of their type."""
+    return sources.withColumn("poll_interval_minutes", poll_minutes(F.col("source_type"), default))
+
+
 def escalate_sources(sources: DataFrame, runs: DataFrame, refused: DataFrame) -> DataFrame:
     """Plain pages that stayed empty, or that answered 403 (refused: source_id), go to the browser."""
     empty = empty_streak(runs).select(F.col("source_id").alias("__id")).union(refused.select("source_id")).distinct()

@@ -10,6 +10,9 @@ from ..functions.vocabulary import NEGATIVE, POSITIVE
 from .search import latest_feedback, local_midnight
 
 
+RANGES = 256
+
+
 def dashboard_counts(companies: DataFrame, sources: DataFrame, postings: DataFrame, matches: DataFrame, runs: DataFrame, as_of: Column, zone: str = "UTC") -> DataFrame:
     """Eleven counts in one row; each table is read once."""
     day, hour = as_of - F.make_dt_interval(F.lit(1)), as_of - F.make_dt_interval(F.lit(0), F.lit(1))
@@ -35,11 +38,12 @@ def by_source_type(sources: DataFrame, postings: DataFrame) -> DataFrame:
     p = postings.select(F.col("career_source_id").alias("__source"), "status", "country", F.lit(1).alias("__one"))
     open_ = F.col("status") == "active"
     both = sources.select("id", "source_type").join(p, F.col("id") == F.col("__source"), "left")
-    return both.groupBy("source_type").agg(F.countDistinct("id").alias("sources"), F.count_if(open_).alias("active"), F.count_if(open_ & (F.col("country") == "Israel")).alias("active_home"))
+    counts = both.groupBy("source_type").agg(F.countDistinct("id").alias("sources"), F.count_if(open_).alias("active"), F.count_if(open_ & (F.col("country") == "Israel")).alias("active_home"))
+    return counts.orderBy(F.desc("active"), "source_type")
 
 
 def sources_per_type(sources: DataFrame) -> DataFrame:
-    return sources.where("enabled").groupBy("source_type").agg(F.count("*").alias("n"))
+    return sources.where("enabled").groupBy("source_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_type")
 
 
 def failing_sources(sources: DataFrame, companies: DataFrame, runs: DataFrame, least: int = 2, limit: int = 30) -> DataFrame:
@@ -73,12 +77,18 @@ def median_by_class(rows: DataFrame, kind: str, score: str) -> DataFrame:
 def pairwise_accuracy(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """Share of pairs of a positive and another row that the score puts in the right order, ties half; null without both.
 
-    By ranks of the distinct scores, so the pairs are never made: rows are first counted by score, and only the
-    distinct scores meet in one window.
+    By ranks of the distinct scores, so the pairs are never made: rows are counted by score, the scores dealt into RANGES
+    ranges and summed up inside each; the ranges' totals, one row for each, give what lies below a range.
     """
     counted = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.withColumn("less", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    # Bounds are a fixed number of quantiles of the distinct scores: however rough they are, the sums are exact.
+    bounds = sorted(set(counted.select(F.col("s").cast("double").alias("s")).approxQuantile("s", [k / RANGES for k in range(1, RANGES)], 0.002)))
+    below_it = F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("s")) if bounds else F.array()
+    ranged = counted.withColumn("part", F.size(below_it))
+    totals = ranged.groupBy("part").agg(F.sum("n").alias("part_n"), F.min("s").alias("least"))
+    before = totals.select("part", F.coalesce(F.sum("part_n").over(Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    below = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranged.withColumn("inside", F.coalesce(F.sum("n").over(below), F.lit(0))).join(before, "part").withColumn("less", F.col("before") + F.col("inside"))
     got = ranked.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("p") * (F.col("less") + F.col("n") / 2)).alias("right"))
     return got.select(F.coalesce("positives", F.lit(0)).alias("positives"), F.coalesce("negatives", F.lit(0)).alias("negatives"), F.try_divide("right", F.col("positives") * F.col("negatives")).alias("accuracy"))
 

@@ -32,6 +32,8 @@ class Weights:
             raise ValueError(f"the quality weights have to sum to 1, not {total:.4f}")
 
 
+#: Roles that are sent to every task, at most.
+MOST_ROLES = 1_000
 SCORES = ("candidate_semantic_score", "intent_semantic_score", "skill_score", "role_score", "seniority_score", "location_score", "recency_score", "final_score")
 
 
@@ -53,7 +55,8 @@ def final_score(fit: Column, quality_: Column, w: Weights = Weights()) -> Column
 
 
 def _similarity(a: Column, b: Column, between: tuple[float, float]) -> Column:
-    return F.when(a.isNull() | b.isNull(), 0.5).otherwise(vectors.calibrate(vectors.cosine_similarity(a, b), *between))
+    """Of vectors of length one, or zero."""
+    return F.when(a.isNull() | b.isNull(), 0.5).otherwise(vectors.calibrate(F.greatest(F.lit(0.0), F.least(F.lit(1.0), vectors.dot(a, b))), *between))
 
 
 def _compact(*parts: Column) -> Column:
@@ -75,17 +78,20 @@ def score_pairs(postings: DataFrame, roles: DataFrame, candidate: DataFrame, as_
     open_ = postings.where((F.col("status") == "active") & F.col("archived_at").isNull())
     text = F.coalesce(F.when(F.col("qualifications") != "", F.col("qualifications")), F.when(F.col("normalized_description") != "", F.col("normalized_description")), "description")
     p = open_.select(
-        F.col("id").alias("job_id"), "title", "department", "embedding",
+        F.col("id").alias("job_id"), "title", "department", vectors.normalized(F.col("embedding")).alias("embedding"),
         job_skills(F.col("required_skills"), F.col("preferred_skills"), F.col("normalized_description"), F.col("qualifications"), F.col("responsibilities")).alias("asked"),
         classify.assess_level(F.col("title"), text).alias("level"),
         classify.location_score(F.col("country"), F.col("location_text"), F.col("remote_type")).alias("place"),
         classify.recency_score(F.coalesce("source_published_at", "first_seen_at"), as_of).alias("age"),
     )
     r = roles.where("enabled").select(
-        F.col("id").alias("target_role_id"), "canonical_name", "aliases", "positive_keywords", "negative_keywords", "max_expected_years", F.col("embedding").alias("role_embedding")
+        F.col("id").alias("target_role_id"), "canonical_name", "aliases", "positive_keywords", "negative_keywords", "max_expected_years", vectors.normalized(F.col("embedding")).alias("role_embedding")
     )
-    c = candidate.select(F.col("candidate_id").alias("candidate_profile_id"), F.col("skills").alias("have"), F.col("embedding").alias("candidate_embedding"))
-    both = p.crossJoin(F.broadcast(c)).crossJoin(F.broadcast(r))
+    c = candidate.select(F.col("candidate_id").alias("candidate_profile_id"), F.col("skills").alias("have"), vectors.normalized(F.col("embedding")).alias("candidate_embedding"))
+    # Roles and candidate are what one person entered; past MOST_ROLES the sizes decide how they are joined.
+    few = roles.limit(MOST_ROLES + 1).count() <= MOST_ROLES and candidate.limit(2).count() <= 1
+    c, r = (F.broadcast(c), F.broadcast(r)) if few else (c, r)
+    both = p.crossJoin(c).crossJoin(r)
     both = both.withColumns({
         "candidate_semantic_score": _similarity(F.col("candidate_embedding"), F.col("embedding"), w.candidate_range),
         "intent_semantic_score": _similarity(F.col("role_embedding"), F.col("embedding"), w.intent_range),

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, vectors
 from ..functions import text as T
-from ..operators import companies, crawl, reports, retention, scoring, search
-from ..sources import pages
+from ..operators import companies, crawl, ingest, lists, profiles, reports, retention, scoring, search
+from ..sources import boards, pages
 from .views import table, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,7 +74,7 @@ def top_matches_text(spark, d):
   {_PAGE_SQL}, matched_words, round(distance, 6) AS distance FROM hits WHERE matched_words > 0 OR distance <= 0.75""")
 def top_matches_hybrid(spark, d):
     e = table(spark, d, "embeddings")
-    one = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]
+    one = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]  # the one vector that is asked for
     rows = _star(spark, d).join(e.select("vec_id", "embedding"), F.col("job_id") % 500 == F.col("vec_id"), "left")
     got = search.top_matches(rows, search.Filters(query="building", query_embedding=one, limit=None), at())
     return got.select(*_PAGE, "matched_words", F.round("distance", 6).alias("distance"))
@@ -191,9 +191,9 @@ def normalize_text(spark, d):
 
 @query("""SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(lower(l),
   'equal opportunity employer|equal employment opportunity|does not discriminate|committed to diversity|reasonable accommodation|privacy policy|privacy notice|cookie policy|all rights reserved|e-verify')), chr(10))) AS h
-  FROM documents WHERE text IS NOT NULL""")
+  FROM documents""")
 def strip_boilerplate(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.strip_boilerplate(F.col("text")).cast("binary")).alias("h"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.strip_boilerplate(F.col("text")).cast("binary")).alias("h"))
 
 
 @query("SELECT doc_id, sha256(text) AS h FROM documents")
@@ -201,11 +201,11 @@ def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("h"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') AS w, text FROM documents WHERE text IS NOT NULL),
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') AS w, text FROM documents),
   c AS (SELECT doc_id, unnest(range(0, greatest(len(w), 1), 220)) AS k, w, text FROM w)
   SELECT doc_id, CAST(k // 220 AS INT) AS chunk, md5(CASE WHEN len(w) > 220 THEN array_to_string(w[k + 1 : k + 220], ' ') ELSE text END) AS h FROM c""")
 def chunk_words(spark, d):
-    got = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(T.chunk_words(F.col("text"))).alias("chunk", "x"))
+    got = table(spark, d, "documents").select("doc_id", F.posexplode(T.chunk_words(F.col("text"))).alias("chunk", "x"))
     return got.select("doc_id", "chunk", F.md5(F.col("x").cast("binary")).alias("h"))
 
 
@@ -218,32 +218,47 @@ def hash_gate(spark, d):
     return crawl.hash_gate(new, old, ["doc_id"])
 
 
-@query("""SELECT doc_id, md5(concat_ws(chr(10), source, 'Team: ' || lang, CASE WHEN doc_id % 2 = 0 THEN 'Location: ' || lang END, 'Employment type: full_time', CASE WHEN doc_id % 3 = 0 THEN 'Required skills: ' || lang || ', ' || source END)) AS h FROM documents""")
+_NORMALIZED_SQL = r"""plain AS (SELECT doc_id, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: NOT regexp_matches(lower(l),
+  'equal opportunity employer|equal employment opportunity|does not discriminate|committed to diversity|reasonable accommodation|privacy policy|privacy notice|cookie policy|all rights reserved|e-verify')), chr(10)) AS t FROM documents),
+  spaced AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t ]+', ' ', 'g') AS t FROM plain),
+  lined AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda l: trim(l)), chr(10)) AS t FROM spaced),
+  body AS (SELECT doc_id, trim(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS body FROM lined)"""
+_HEADING_SQL = T.REQUIREMENTS_HEADING.replace("(?imU)", "(?im)").replace("'", "''")
+
+
+@query(f"""WITH {_NORMALIZED_SQL}, h AS (SELECT doc_id, body, regexp_extract(body, '{_HEADING_SQL}', 0) AS heading FROM body),
+  x AS (SELECT doc_id, body, CASE WHEN heading <> '' THEN substr(body, strpos(body, heading)) ELSE body END AS section FROM h)
+  SELECT doc_id, md5(concat_ws(chr(10), source, 'Team: ' || lang, CASE WHEN doc_id % 2 = 0 THEN 'Location: ' || lang END, 'Employment type: full_time', CASE WHEN doc_id % 3 = 0 THEN 'Required skills: ' || lang || ', ' || source END,
+  CASE WHEN section <> body THEN section END, CASE WHEN body <> '' THEN body END)) AS h FROM documents JOIN x USING (doc_id)""")
 def embedding_text(spark, d):
     docs = table(spark, d, "documents")
     none = F.lit(None).cast("string")
     skills = F.when(F.col("doc_id") % 3 == 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>"))
-    t = T.embedding_text(F.col("source"), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.lit("full_time"), skills, F.array().cast("array<string>"), none, none, none)
+    t = T.embedding_text(F.col("source"), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.lit("full_time"), skills, F.array().cast("array<string>"), none, none, F.col("text"))
     return docs.select("doc_id", F.md5(t.cast("binary")).alias("h"))
 
 
 @query()
 def page_text(spark, d):
-    return table(spark, d, "pages").select("page_id", pages.page_text(F.col("html")).alias("text"))
+    return pages.page_texts(table(spark, d, "pages"))
+
+
+_HEAD_SQL = r"""replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<{t}[^>]*>(.*?)</{t}\s*>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"""
 
 
-@query(r"""SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1\s*>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages WHERE regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1\s*>', 1) <> '' AND length(trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1\s*>', 1))) <= 120""")
+@query(f"""WITH t AS (SELECT page_id, {_HEAD_SQL.format(t='h1')} AS h1, trim(string_split(string_split({_HEAD_SQL.format(t='title')}, '|')[1], ' - ')[1]) AS head FROM pages),
+  generic AS (SELECT unnest({list(pages.GENERIC)!r}) AS g)
+  SELECT page_id, CASE WHEN h1 <> '' AND length(h1) <= 120 AND lower(h1) NOT IN (SELECT g FROM generic) THEN h1 WHEN head <> '' AND length(head) <= 120 AND lower(head) NOT IN (SELECT g FROM generic) THEN head END AS title FROM t""")
 def page_title(spark, d):
-    p = table(spark, d, "pages").where(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1\s*>", 1) != "").where(F.length(F.trim(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1\s*>", 1))) <= 120)
-    return p.select("page_id", pages.page_title(F.col("html")).alias("title"))
+    return pages.page_titles(table(spark, d, "pages"))
 
 
 _LINKS_SQL = r"""links AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*href="([^"]*)"[^>]*>.*?</a\s*>', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*href="([^"]*)"[^>]*>.*?</a\s*>', 1), 1) - 1 AS ordinal FROM pages)"""
 
 
-@query(f"WITH {_LINKS_SQL} SELECT page_id, ordinal, href, concat(regexp_extract(base, '^[a-z]+://[^/?#]+', 0), href) AS url FROM links WHERE href LIKE '/%'")
+@query(rf"""WITH {_LINKS_SQL} SELECT page_id, ordinal, href, CASE WHEN href LIKE '/%' THEN concat(regexp_extract(base, '^[a-z]+://[^/?#]+', 0), href) WHEN regexp_matches(href, '^https?://') THEN href END AS url FROM links WHERE href <> ''""")
 def page_links(spark, d):
-    return pages.page_links(table(spark, d, "pages")).where("href like '/%'").select("page_id", "ordinal", "href", "url")
+    return pages.page_links(table(spark, d, "pages")).select("page_id", "ordinal", "href", "url")
 
 
 @query()
@@ -502,3 +517,163 @@ def role_score(spark, d):
     terms = lambda *t: F.array(*map(F.lit, t))
     s = classify.role_score(F.col("p_name"), F.col("p_type"), F.lit("Red Widget"), terms("gizmo"), terms("blue", "Economy"), terms("small"))
     return table(spark, d, "part").select("p_partkey", F.round(s["score"], 2).alias("score"))
+
+
+@query(f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0) SELECT q.vec_id AS query_id, e.vec_id AS row_id, round(1 - {_COS.format(a='e.embedding', b='q.embedding')}, 6) + 0.0 AS distance
+  FROM embeddings e, q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - {_COS.format(a='e.embedding', b='q.embedding')}, e.vec_id) <= 10""")
+def cosine_topk_blocks(spark, d):
+    """Every row whose id is divisible by 20, against all rows."""
+    e = table(spark, d, "embeddings")
+    got = vectors.nearest_in_blocks(e, e.where("vec_id % 20 = 0"), 10, "vec_id", "vec_id", "embedding")
+    return got.select("query_id", "row_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+
+
+@query(f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0) SELECT q.vec_id AS query_id, e.vec_id AS row_id, round(1 - {_COS.format(a='e.embedding', b='q.embedding')}, 6) + 0.0 AS distance
+  FROM embeddings e, q WHERE 1 - {_COS.format(a='e.embedding', b='q.embedding')} <= 0.3""")
+def vector_threshold_join(spark, d):
+    e = table(spark, d, "embeddings")
+    got = vectors.within_distance(e, e.where("vec_id % 20 = 0"), 0.3, "vec_id", "vec_id", "embedding")
+    return got.select("query_id", "row_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+
+
+@query()
+def vector_lsh_join(spark, d):
+    """Approximate; tests compare it with the exact join."""
+    e = table(spark, d, "embeddings")
+    got = vectors.lsh_join(e, e.where("vec_id % 20 = 0"), 0.3, "vec_id", "vec_id", "embedding")
+    return got.select("query_id", "row_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+
+
+@query("SELECT id, company_id, source_type, enabled FROM v_sources WHERE enabled AND source_type = 'lever' ORDER BY id")
+def list_sources(spark, d):
+    return lists.list_sources(view(spark, d, "v_sources"), enabled=True, source_type="lever").select("id", "company_id", "source_type", "enabled")
+
+
+@query("SELECT id, name, enabled FROM v_companies WHERE enabled ORDER BY name, id")
+def list_companies(spark, d):
+    return lists.list_companies(view(spark, d, "v_companies"), enabled=True).select("id", "name", "enabled")
+
+
+@query("SELECT id, canonical_name FROM v_roles ORDER BY id")
+def list_roles(spark, d):
+    return lists.list_roles(view(spark, d, "v_roles")).select("id", "canonical_name")
+
+
+@query("SELECT id, title, status FROM v_postings WHERE id = 7")
+def get_job(spark, d):
+    return lists.get_row(view(spark, d, "v_postings"), 7).select("id", "title", "status")
+
+
+@query(f"""WITH {_STAR_SQL} SELECT o.job_id, o.target_role_id, o.final_score, o.title AS job_title, o.company_id, c.name AS company_name, o.action AS last_feedback, o.seniority_fit FROM open_ o JOIN v_companies c ON c.id = o.company_id""")
+def match_projection(spark, d):
+    got = lists.match_projection(search.top_matches(_star(spark, d), search.Filters(limit=None), at()))
+    return got.select("job_id", "target_role_id", "final_score", "job_title", "company_id", "company_name", "last_feedback", "seniority_fit")
+
+
+@query("""SELECT a.job_id, f.action AS status, f.created_at AS updated_at, p.title AS job_title, c.name AS company_name, p.location_text, p.status AS job_status FROM (SELECT job_id, max(id) AS id FROM v_feedback GROUP BY job_id) a
+  JOIN v_feedback f ON f.id = a.id JOIN v_postings p ON p.id = a.job_id JOIN v_companies c ON c.id = p.company_id ORDER BY f.created_at DESC, a.job_id""")
+def applications_list(spark, d):
+    last = view(spark, d, "v_feedback").groupBy("job_id").agg(F.max_by(F.struct("action", "created_at"), "id").alias("f"))
+    apps = last.select("job_id", F.col("f.action").alias("status"), F.col("f.created_at").alias("updated_at"))
+    return lists.applications_list(apps, view(spark, d, "v_postings"), view(spark, d, "v_companies"))
+
+
+@query(f"WITH {_STAR_SQL} SELECT count(*) AS n FROM open_ WHERE final_score >= 60 AND (first_seen_at >= TIMESTAMP '2000-01-02' OR source_published_at >= TIMESTAMP '2000-01-02')")
+def relevant_today(spark, d):
+    return lists.relevant_today(_star(spark, d), at("2000-01-02 12:00:00"))
+
+
+@query("SELECT max(started_at) AS last_crawl_at FROM v_runs")
+def last_crawl_at(spark, d):
+    return lists.last_crawl_at(view(spark, d, "v_runs"))
+
+
+@query("SELECT coalesce(max(id), 0) + 1 AS version FROM v_companies WHERE enabled")
+def next_version(spark, d):
+    return lists.next_version(view(spark, d, "v_companies").where("enabled").withColumnRenamed("id", "version"))
+
+
+@query("""SELECT id, CASE WHEN id % 5 = 0 AND source_published_at IS NOT NULL THEN source_published_at > first_seen_at + INTERVAL 1 DAY WHEN status = 'closed' THEN true WHEN id % 7 = 0 THEN id % 5 = 0
+  ELSE TIMESTAMP '1998-01-01 00:00:00' >= first_seen_at + INTERVAL 24 HOUR END AS fetch FROM v_postings""")
+def needs_fetch(spark, d):
+    fifth = F.col("id") % 5 == 0
+    stub = F.when(fifth, F.coalesce("source_published_at", F.col("first_seen_at")))
+    stored = F.when(fifth & F.col("source_published_at").isNotNull(), F.col("first_seen_at") + F.expr("interval 1 day"))
+    rows = view(spark, d, "v_postings")
+    return rows.select("id", crawl.needs_fetch(stub, stored, F.col("first_seen_at"), F.when(F.col("id") % 7 == 0, at()), F.col("status"), at("1998-01-01 00:00:00")).alias("fetch"))
+
+
+@query("SELECT id, CAST(CASE source_type WHEN 'greenhouse' THEN 3 WHEN 'lever' THEN 3 WHEN 'jsonld' THEN 15 ELSE 10 END AS INT) AS poll_interval_minutes FROM v_sources")
+def poll_minutes(spark, d):
+    return crawl.reapply_poll_minutes(view(spark, d, "v_sources")).select("id", "poll_interval_minutes")
+
+
+@query("""SELECT s.id, CASE WHEN m THEN 'ashby' ELSE s.source_type END AS source_type, CASE WHEN m THEN concat('b', s.id) ELSE s.external_identifier END AS external_identifier,
+  CAST(CASE WHEN m THEN 3 ELSE 5 END AS INT) AS poll_interval_minutes, CAST(CASE WHEN m THEN 0 ELSE s.consecutive_failures END AS INT) AS consecutive_failures, s.enabled OR m AS enabled
+  FROM (SELECT *, id % 2 = 0 AS m FROM v_sources) s""")
+def reconcile_sources(spark, d):
+    """Every second source turns out to be a board; the others' probes failed."""
+    s = view(spark, d, "v_sources")
+    even = F.col("id") % 2 == 0
+    r = s.select(F.col("id").alias("source_id"), F.when(even, "ashby").otherwise("generic_html").alias("board_type"), F.when(even, F.concat(F.lit("b"), F.col("id").cast("string"))).alias("identifier"))
+    return companies.reconcile_sources(s, r).select("id", "source_type", "external_identifier", "poll_interval_minutes", "consecutive_failures", "enabled")
+
+
+@query("""SELECT p.id, CASE WHEN p.status = 'active' AND s.id IS NOT NULL THEN 'closed' ELSE p.status END AS status FROM v_postings p LEFT JOIN (SELECT id FROM v_sources WHERE enabled AND company_id IN (SELECT id FROM v_companies WHERE id % 3 = 0)) s ON p.career_source_id = s.id""")
+def retire_missing(spark, d):
+    c = view(spark, d, "v_companies")
+    synced = c.select("normalized_name", F.when(F.col("id") % 3 == 0, "disabled").otherwise("unchanged").alias("action"))
+    return companies.retire_missing(synced, c, view(spark, d, "v_sources"), view(spark, d, "v_postings"))[1].select("id", "status")
+
+
+@query("""SELECT id, CASE WHEN location_text = 'EGYPT' THEN 'Israel' END AS country FROM (SELECT id, location_text FROM v_postings WHERE location_text IS DISTINCT FROM 'ISRAEL') UNION ALL SELECT id, 'Israel' FROM v_postings WHERE location_text = 'ISRAEL'""")
+def reclassify_locations(spark, d):
+    """EGYPT is written as a town of the country here, so that some change and others do not."""
+    p = view(spark, d, "v_postings").withColumn("location_text", F.when(F.col("location_text") == "EGYPT", "Haifa").otherwise(F.col("location_text")))
+    return ingest.reclassify_locations(p)[0].select("id", "country")
+
+
+@query("SELECT page_id, CASE WHEN len(p) >= 3 AND p[-2] IN ('co','com','org','net','ac','gov') THEN p[-3] WHEN len(p) >= 2 THEN p[-2] ELSE p[1] END AS label FROM (SELECT page_id, string_split(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '.') AS p FROM pages)")
+def domain_label(spark, d):
+    return table(spark, d, "pages").select("page_id", T.domain_label(companies.host_of(F.col("url"))).alias("label"))
+
+
+@query("SELECT event_id, ts - INTERVAL 2 HOUR AS utc FROM events")
+def naive_as_local(spark, d):
+    return table(spark, d, "events").select("event_id", T.naive_as_local(F.col("ts"), "+02:00").alias("utc"))
+
+
+@query("SELECT doc_id, CAST(0.0 AS DOUBLE) AS years, 'junior' AS seniority FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '(?im)^(?:(?:work|professional|employment|relevant|industry|practical)\\s+)?(?:experience|employment(?:\\s+history)?|career\\s+history|work\\s+history)\\s*:?\\s*$') UNION ALL SELECT doc_id, 4.0, 'mid' FROM documents WHERE regexp_matches(coalesce(text, ''), '(?im)^(?:(?:work|professional|employment|relevant|industry|practical)\\s+)?(?:experience|employment(?:\\s+history)?|career\\s+history|work\\s+history)\\s*:?\\s*$')")
+def profile_rules(spark, d):
+    """Every document as the text of a profile of four years."""
+    rows = table(spark, d, "documents").select("doc_id", "text", F.lit(4.0).alias("years_of_experience"), F.lit(None).cast("string").alias("seniority"), F.array(F.lit("x")).alias("skills"))
+    return profiles.profile_rules(rows).select("doc_id", F.col("years_of_experience").alias("years"), "seniority")
+
+
+_INGEST_SQL = """
+  listed AS (SELECT s_nationkey AS source_id, s_suppkey, s_name FROM supplier),
+  stored AS (SELECT s_nationkey AS source_id, s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0)"""
+
+
+@query(f"""WITH {_INGEST_SQL} SELECT l.source_id, CAST(l.s_suppkey AS VARCHAR) AS external_job_id, concat('Senior ', l.s_name) AS title, lower(concat('Senior ', l.s_name)) AS normalized_title, 'Haifa, Israel' AS location_text, 'Israel' AS country, 'haifa' AS region,
+  'senior' AS seniority, CAST(4 AS INT) AS experience_min_years, 'full_time' AS employment_type, CASE WHEN s.s_suppkey IS NULL THEN 'created' WHEN l.s_suppkey % 2 = 0 THEN 'updated' ELSE 'seen' END AS action
+  FROM listed l LEFT JOIN stored s ON s.source_id = l.source_id AND s.s_suppkey = l.s_suppkey""")
+def ingest_postings(spark, d):
+    """Suppliers as postings of one board for each nation, landed as its answers: some are stored already, some of these with another text."""
+    s = table(spark, d, "supplier").withColumn("part", F.pmod(F.xxhash64("s_suppkey"), F.lit(8)))
+    item = F.struct(
+        F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("Senior "), "s_name").alias("title"), F.lit("Haifa, Israel").alias("location"), F.lit("FullTime").alias("employmentType"),
+        F.concat(F.lit("About\nRequirements:\nat least 4 years of work with Python "), F.col("s_suppkey").cast("string")).alias("descriptionPlain"),
+    )
+    body = F.to_json(F.struct(F.collect_list(item).alias("jobs")))
+    pages_of = s.groupBy(F.col("s_nationkey").cast("long").alias("source_id"), F.col("part").cast("int").alias("page_no")).agg(body.alias("body"))
+    payloads = pages_of.select("source_id", F.lit("ashby").alias("source_type"), F.lit(1).cast("long").alias("crawl_id"), F.lit("listing").alias("kind"), "page_no", F.lit("https://x").alias("url"), at().alias("fetched_at"), "body")
+    runs = payloads.select("source_id", "crawl_id").distinct().withColumn("listing_error", F.lit(None).cast("string"))
+    rows = ingest.read_postings(boards.listing_from_payloads(payloads, ["ashby"]), boards.details_from_payloads(payloads, ["ashby"]), at("2024-01-02 00:00:00"))
+    names = [f.strip().split()[0] for f in ingest.STORED.split(", ")]
+    old = rows.withColumns({
+        "content_hash": F.when(F.col("external_job_id").cast("long") % 2 == 0, F.lit("old")).otherwise(F.col("content_hash")), "status": F.lit("active"), "missing_streak": F.lit(0), "first_seen_at": at("2024-01-01 00:00:00"),
+        "last_seen_at": at("2024-01-01 00:00:00"), "archived_at": F.lit(None).cast("timestamp"), "embedding": F.array(F.lit(0.0).cast("float")),
+    }).where(F.col("external_job_id").cast("long") % 3 != 0)
+    after, _ = ingest.ingest_rows(rows, old.select(*names), runs, at("2024-01-02 00:00:00"), embed=lambda text: F.array(F.length(text).cast("float")))
+    return after.select("source_id", "external_job_id", "title", "normalized_title", "location_text", "country", "region", "seniority", "experience_min_years", "employment_type", "action")

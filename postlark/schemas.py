@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PAYLOADS = "source_id long, source_type string, crawl_id long, kind string, page_no int, url string, fetched_at timestamp, body string"
-LISTING = "source_id long, crawl_id long, ordinal long, external_job_id string, title string, location_text string, source_url string, apply_url string, source_updated_at timestamp"
+LISTING = "source_id long, crawl_id long, ordinal long, external_job_id string, title string, location_text string, source_url string, apply_url string, source_updated_at timestamp, source_published_at timestamp"
 DETAILS = (
     "source_id long, crawl_id long, external_job_id string, title string, department string, location_text string, remote_type string, employment_type string, "
     "description string, responsibilities string, qualifications string, source_url string, apply_url string, source_published_at timestamp, source_updated_at timestamp"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,14 +35,15 @@ def _rows(payloads: DataFrame, schema: str, items: str = "") -> DataFrame:
         return payloads.select("source_id", "crawl_id", "url", F.col("page_no").cast("long").alias("ordinal"), body.alias("x")).where("x is not null")
     many = body[items] if items else body
     out = payloads.select("source_id", "crawl_id", "url", "page_no", F.posexplode(many).alias("at", "x"))
-    return out.select("source_id", "crawl_id", "url", (F.col("page_no").cast("long") * 1_000_000 + F.col("at")).alias("ordinal"), "x")
+    return out.select("source_id", "crawl_id", "url", (F.shiftleft(F.col("page_no").cast("long"), 32) + F.col("at")).alias("ordinal"), "x")
 
 
-def _listing(rows: DataFrame, ident: Column, title: Column, place: Column, link: Column, apply: Column, updated: Column | None = None) -> DataFrame:
-    updated = _null("timestamp") if updated is None else updated
+def _listing(rows: DataFrame, ident: Column, title: Column, place: Column, link: Column, apply: Column, updated: Column | None = None, published: Column | None = None) -> DataFrame:
+    updated, published = (_null("timestamp") if x is None else x for x in (updated, published))
     return rows.where(ident.isNotNull()).select(
         "source_id", "crawl_id", "ordinal", ident.cast("string").alias("external_job_id"), F.coalesce(title, F.lit("")).alias("title"), _some(place).alias("location_text"),
         F.coalesce(_some(link), "url").alias("source_url"), _some(apply).alias("apply_url"), updated.alias("source_updated_at"),
+        published.alias("source_published_at"),
     )
 
 
@@ -240,25 +241,30 @@ def workday_details(p: DataFrame) -> DataFrame:
 # --- pages with embedded structured data ---
 
 _LD = r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
+LD_LEVELS = 4
 _POSTING = (
-    "struct<`@type`:string,title:string,url:string,description:string,datePosted:string,employmentType:string,identifier:string,jobLocation:string,hiringOrganization:string,qualifications:string,responsibilities:string>"
+    "struct<`@type`:string,title:string,url:string,description:string,datePosted:string,dateModified:string,employmentType:string,identifier:string,jobLocation:string,hiringOrganization:string,qualifications:string,responsibilities:string>"
 )
 
 
 def jsonld_rows(p: DataFrame) -> DataFrame:
-    """Job postings in a page's structured data: single ones, lists of them, and graphs of either."""
-    blocks = p.select("source_id", "crawl_id", "url", "page_no", F.posexplode(F.regexp_extract_all("body", F.lit(_LD), F.lit(1))).alias("block", "json"))
-    nodes = F.coalesce(
-        F.when(F.ltrim("json").startswith("["), F.from_json("json", f"array<{_POSTING}>")),
-        F.from_json("json", f"`@graph` array<{_POSTING}>")["@graph"],
-        F.array(F.from_json("json", _POSTING.removeprefix("struct<").removesuffix(">").replace(":string", " string"))),
-    )
-    rows = blocks.select("source_id", "crawl_id", "url", "page_no", "block", F.posexplode(nodes).alias("at", "x"))
+    """Job postings in a page's structured data: single ones, and lists and graphs of them, LD_LEVELS deep."""
+    nodes = F.regexp_extract_all("body", F.lit(_LD), F.lit(1))
+    for _ in range(LD_LEVELS):
+        nodes = F.flatten(F.transform(nodes, _opened))
+    fields = _POSTING.removeprefix("struct<").removesuffix(">").replace(":string", " string")
+    rows = p.select("source_id", "crawl_id", "url", "page_no", F.posexplode(nodes).alias("at", "json")).withColumn("x", F.from_json("json", fields))
     rows = rows.where(F.col("x.@type").contains("JobPosting"))
-    return rows.select("source_id", "crawl_id", "url", (F.col("page_no").cast("long") * 1_000_000 + F.col("block") * 1_000 + F.col("at")).alias("ordinal"), "x")
+    return rows.select("source_id", "crawl_id", "url", (F.shiftleft(F.col("page_no").cast("long"), 32) + F.col("at")).alias("ordinal"), "x")
+
+
+def _opened(node: Column) -> Column:
+    """What a list or a graph holds, or the node itself."""
+    graph = F.from_json(node, "`@graph` array<string>")["@graph"]
+    return F.when(F.ltrim(node).startswith("["), F.coalesce(F.from_json(node, "array<string>"), F.array(node))).otherwise(F.coalesce(graph, F.array(node)))
 
 
-def _ld_place(x: Column) -> Column:
+def ld_place(x: Column) -> Column:
     """Locality, region and country of the first place."""
     first = lambda name: _some(F.regexp_extract(x["jobLocation"], rf'"{name}"\s*:\s*(?:\{{[^}}]*"name"\s*:\s*)?"([^"]*)"', 1))
     return _joined(F.coalesce(first("addressLocality"), F.lit("")), F.coalesce(first("addressRegion"), F.lit("")), F.coalesce(first("addressCountry"), F.lit("")))
@@ -266,21 +272,26 @@ def _ld_place(x: Column) -> Column:
 
 def _ld_id(x: Column) -> Column:
     value = F.coalesce(_some(F.regexp_extract(x["identifier"], r'"value"\s*:\s*"?([^",}]+)', 1)), F.when(~x["identifier"].startswith("{"), _some(x["identifier"])))
-    return F.coalesce(value, _some(x["url"]), T.url_id(F.concat_ws("|", x["title"], F.coalesce(_ld_place(x), F.lit("")))))
+    return F.coalesce(value, _some(x["url"]), T.url_id(F.concat_ws("|", x["title"], F.coalesce(ld_place(x), F.lit("")))))
+
+
+def ld_employment(x: Column) -> Column:
+    """Of the schema's own words, else of words as people write them."""
+    kind = F.upper(F.coalesce(x["employmentType"], F.lit("")))
+    own = F.when(kind.contains("FULL_TIME"), "full_time").when(kind.contains("PART_TIME"), "part_time").when(kind.contains("CONTRACT"), "contract").when(kind.contains("TEMPORARY"), "temporary").when(kind.contains("INTERN"), "internship")
+    return F.coalesce(own, T.employment_type(x["employmentType"]))
 
 
 def jsonld_listing(p: DataFrame) -> DataFrame:
     x = F.col("x")
-    return _listing(jsonld_rows(p), _ld_id(x), x["title"], _ld_place(x), x["url"], x["url"])
+    return _listing(jsonld_rows(p), _ld_id(x), x["title"], ld_place(x), x["url"], x["url"])
 
 
 def jsonld_details(p: DataFrame) -> DataFrame:
     x = F.col("x")
-    kind = F.upper(F.coalesce(x["employmentType"], F.lit("")))
-    employment = F.when(kind.contains("FULL_TIME"), "full_time").when(kind.contains("PART_TIME"), "part_time").when(kind.contains("CONTRACT"), "contract").when(kind.contains("TEMPORARY"), "temporary").when(kind.contains("INTERN"), "internship")
     return _details(
-        jsonld_rows(p), _ld_id(x), x["title"], location_text=_ld_place(x), employment_type=F.coalesce(employment, T.employment_type(x["employmentType"])), description=_html(x["description"]),
-        responsibilities=_html(x["responsibilities"]), qualifications=_html(x["qualifications"]), source_url=x["url"], apply_url=x["url"], source_published_at=T.parse_timestamp(x["datePosted"]),
+        jsonld_rows(p), _ld_id(x), x["title"], location_text=ld_place(x), employment_type=ld_employment(x), description=_html(x["description"]),
+        responsibilities=_html(x["responsibilities"]), qualifications=_html(x["qualifications"]), source_url=x["url"], apply_url=x["url"], source_published_at=T.parse_timestamp(x["datePosted"]), source_updated_at=T.parse_timestamp(x["dateModified"]),
     )
 
 
@@ -304,17 +315,38 @@ def wordpress_details(p: DataFrame) -> DataFrame:
 
 def taleo_place(x: Column) -> Column:
     """IL-IL-Tel Aviv as Tel Aviv, IL."""
-    parts = F.split(x, "-", 3)
-    return F.when(F.size(parts) == 3, F.concat_ws(", ", parts[2], parts[0])).otherwise(x)
+    parts = F.filter(F.transform(F.split(x, "-"), lambda p: F.trim(p)), lambda p: p != "")
+    coded = (F.size(parts) >= 3) & (F.length(parts[0]) == 2)
+    return F.when(coded, F.concat(F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), "-"), F.lit(", "), parts[0])).otherwise(x)
 
 
 def taleo_listing(p: DataFrame) -> DataFrame:
-    """body: requisitionList of columns; the first is the title, the second a JSON list of places, the third the day."""
+    """body: requisitionList of columns; linkedColumn is the title's, locationsColumns those of places, and of the others one shows the day."""
     x = F.col("x")
-    rows = _rows(p, "requisitionList array<struct<jobId:string,contestNo:string,column:array<string>>>", "requisitionList")
-    place = F.get(F.from_json(F.get(x["column"], 1), "array<string>"), 0)
-    out = _listing(rows, F.coalesce(_some(x["contestNo"]), x["jobId"]), F.get(x["column"], 0), taleo_place(place), _null(), _null(), T.display_date(F.get(x["column"], 2)))
-    return out
+    rows = _rows(p, "requisitionList array<struct<jobId:string,contestNo:string,linkedColumn:int,locationsColumns:array<int>,column:array<string>>>", "requisitionList")
+    # Answers that do not say which column is which have the title first and the places second.
+    places, title_at = F.coalesce(x["locationsColumns"], F.array(F.lit(1))), F.coalesce(x["linkedColumn"], F.lit(0))
+    raw = F.get(x["column"], F.coalesce(F.get(places, F.lit(0)), F.lit(-1)))
+    place = F.when(raw.startswith("["), F.coalesce(F.get(F.from_json(raw, "array<string>"), F.lit(0)), raw)).otherwise(raw)
+    others = F.filter(x["column"], lambda c, i: (i != title_at) & ~F.array_contains(places, i) & c.rlike(r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$"))
+    ident = F.coalesce(_some(x["contestNo"]), x["jobId"])
+    root, section = F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1), F.regexp_extract("url", r"/careersection/([^/?#]+)", 1)
+    link = F.when(section != "", F.concat(root, F.lit("/careersection/"), section, F.lit("/jobdetail.ftl?job="), ident, F.lit("&lang=en")))
+    return _listing(rows, ident, F.get(x["column"], title_at), taleo_place(place), link, link, None, T.display_date(F.get(others, F.lit(0))))
+
+
+# The call whose array of strings holds a requisition, and the places of its fields there.
+_FILL = r"(?s)fillList\(\s*'requisitionDescriptionInterface'\s*,\s*'descRequisition'\s*,\s*\[(.*?)\]\s*\)"
+_TALEO_FIELDS = {"title": 9, "description": 11, "qualifications": 12, "location": 13}
+
+
+def taleo_details(p: DataFrame) -> DataFrame:
+    """body: the page of one requisition, whose address names it."""
+    fields = js_strings(F.regexp_extract("body", _FILL, 1))
+    rows = p.select("source_id", "crawl_id", "url", fields.alias("fields")).where(F.size("fields") > 0)
+    field = {n: F.get("fields", F.lit(k)) for n, k in _TALEO_FIELDS.items()}
+    ident = _some(F.regexp_extract("url", r"[?&]job=([^&#]+)", 1))
+    return _details(rows, ident, _some(field["title"]), location_text=taleo_place(_some(field["location"])), description=_html(decode_field(field["description"])), qualifications=_html(decode_field(field["qualifications"])), source_url=F.col("url"), apply_url=F.col("url"))
 
 
 def js_strings(x: Column) -> Column:
@@ -327,10 +359,63 @@ def decode_field(x: Column) -> Column:
     return F.when(x.startswith("!*!"), F.coalesce(F.try_url_decode(F.substr(x, F.lit(4))), F.substr(x, F.lit(4)))).otherwise(x)
 
 
+# --- feeds that company sites publish themselves: the list carries everything ---
+
+# Hosts of the feeds and the addresses of their postings.
+_ELBIT, _IAI, _AMAZON = "elbitsystemscareer.com", "jobs.iai.co.il", "amazon.jobs"
+
+
+def _of_host(p: DataFrame, host: str) -> DataFrame:
+    return p.where(F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#:]+)", 1)).rlike(rf"(?:^|\.){host.replace('.', chr(92) + '.')}$"))
+
+
+def _in_country(city: Column, otherwise: Column | None = None) -> Column:
+    return F.when(city != "", F.concat(city, F.lit(", Israel"))).otherwise(F.lit("Israel") if otherwise is None else otherwise)
+
+
+def _feeds(p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    x = F.col("x")
+    elbit = _rows(_of_host(p, _ELBIT), "array<struct<jobId:string,jobTitle:string,area:string,updateDate:string,openDate:string,employmentType:string,description:string,requirements:string>>").where(x["jobId"] != "")
+    iai = _rows(_of_host(p, _IAI), "array<struct<id:string,tl:string,ct:string,tp:string,dc:string>>").where(x["id"] != "")
+    fields = "id_icims:string,title:string,city:string,location:string,job_path:string,url_next_step:string,job_category:string,is_intern:boolean,job_schedule_type:string,description:string,preferred_qualifications:string,basic_qualifications:string,posted_date:string"
+    amazon = _rows(_of_host(p, _AMAZON), f"jobs array<struct<{fields}>>", "jobs").where(x["id_icims"] != "")
+    return elbit, iai, amazon
+
+
+def _feed_links() -> tuple[Column, Column, Column]:
+    x = F.col("x")
+    return F.concat(F.lit(f"https://{_ELBIT}/jobs/?jobId="), x["jobId"]), F.concat(F.lit(f"https://{_IAI}/job/"), x["id"], F.lit("/")), F.concat(F.lit(f"https://www.{_AMAZON}"), F.coalesce(x["job_path"], F.lit("")))
+
+
+def site_feed_listing(p: DataFrame) -> DataFrame:
+    x, (elbit, iai, amazon), (a, b, c) = F.col("x"), _feeds(p), _feed_links()
+    first = _listing(elbit, x["jobId"], x["jobTitle"], _in_country(x["area"]), a, a, T.parse_timestamp(x["updateDate"]))
+    second = _listing(iai, x["id"], x["tl"], _in_country(x["ct"]), b, b)
+    third = _listing(amazon, x["id_icims"], x["title"], _in_country(x["city"], x["location"]), c, F.coalesce(_some(x["url_next_step"]), c))
+    return first.unionByName(second).unionByName(third)
+
+
+def site_feed_details(p: DataFrame) -> DataFrame:
+    x, (elbit, iai, amazon), (a, b, c) = F.col("x"), _feeds(p), _feed_links()
+    first = _details(
+        elbit, x["jobId"], F.coalesce(x["jobTitle"], F.lit("")), location_text=_in_country(x["area"]), employment_type=T.employment_type(x["employmentType"]), description=_html(x["description"]),
+        qualifications=_html(x["requirements"]), source_url=a, apply_url=a, source_published_at=T.parse_timestamp(x["openDate"]), source_updated_at=T.parse_timestamp(x["updateDate"]),
+    )
+    second = _details(iai, x["id"], F.coalesce(x["tl"], F.lit("")), location_text=_in_country(x["ct"]), employment_type=T.employment_type(x["tp"]), description=_some(x["dc"]), source_url=b, apply_url=b)
+    preferred = F.concat(F.lit("Preferred qualifications\n"), _html(x["preferred_qualifications"]))
+    third = _details(
+        amazon, x["id_icims"], F.coalesce(x["title"], F.lit("")), department=x["job_category"], location_text=_in_country(x["city"], x["location"]),
+        employment_type=F.when(x["is_intern"], "internship").otherwise(T.employment_type(x["job_schedule_type"])), description=_joined(T.html_to_text(x["description"]), preferred, by="\n\n"),
+        qualifications=_html(x["basic_qualifications"]), source_url=c, apply_url=F.coalesce(_some(x["url_next_step"]), c), source_published_at=T.display_date(x["posted_date"]),
+    )
+    return first.unionByName(second).unionByName(third)
+
+
 TYPES: dict[str, tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame] | None]] = {
     "greenhouse": (greenhouse_listing, greenhouse_details), "lever": (lever_listing, lever_details), "ashby": (ashby_listing, ashby_details),
     "smartrecruiters": (smartrecruiters_listing, smartrecruiters_details), "workable": (workable_listing, workable_details), "comeet": (comeet_listing, comeet_details),
-    "workday": (workday_listing, workday_details), "jsonld": (jsonld_listing, jsonld_details), "wordpress": (wordpress_listing, wordpress_details), "taleo": (taleo_listing, None),
+    "workday": (workday_listing, workday_details), "jsonld": (jsonld_listing, jsonld_details), "wordpress": (wordpress_listing, wordpress_details), "taleo": (taleo_listing, taleo_details),
+    "site_feed": (site_feed_listing, site_feed_details),
 }
 
 
@@ -338,17 +423,27 @@ def register_source_type(name: str, listing: Callable[[DataFrame], DataFrame], d
     TYPES[name] = (listing, details)
 
 
-def listing_from_payloads(payloads: DataFrame) -> DataFrame:
-    """Listing rows of all known types of sources. payloads as in schemas.PAYLOADS, best partitioned by source_type."""
+#: Types whose list carries the details of each posting.
+LISTED_WHOLE = ("lever", "ashby", "jsonld", "wordpress", "comeet", "site_feed")
+
+
+def land_payloads(payloads: DataFrame, path: str) -> None:
+    """Writes answers where the branches below read only those of their own type: each answer is read once for each of the two tables."""
+    payloads.write.mode("append").partitionBy("source_type", "kind").parquet(path)
+
+
+def listing_from_payloads(payloads: DataFrame, types: Iterable[str] | None = None) -> DataFrame:
+    """Listing rows of all known types of sources, or of some. payloads as in schemas.PAYLOADS, best landed by land_payloads."""
     out = payloads.sparkSession.createDataFrame([], LISTING)
-    for name, (listing, _) in TYPES.items():
-        out = out.unionByName(listing(payloads.where((F.col("source_type") == name) & (F.col("kind") == "listing"))))
+    for name in TYPES if types is None else types:
+        out = out.unionByName(TYPES[name][0](payloads.where((F.col("source_type") == name) & (F.col("kind") == "listing"))))
     return out
 
 
-def details_from_payloads(payloads: DataFrame) -> DataFrame:
+def details_from_payloads(payloads: DataFrame, types: Iterable[str] | None = None) -> DataFrame:
     out = payloads.sparkSession.createDataFrame([], DETAILS)
-    for name, (_, details) in TYPES.items():
-        if details:
-            out = out.unionByName(details(payloads.where((F.col("source_type") == name) & (F.col("kind") == "details"))))
+    for name in TYPES if types is None else types:
+        if details := TYPES[name][1]:
+            kinds = ["details", "listing"] if name in LISTED_WHOLE else ["details"]
+            out = out.unionByName(details(payloads.where((F.col("source_type") == name) & F.col("kind").isin(kinds))))
     return out

@@ -1,94 +1,184 @@
-"""Plain career pages: links, which group of them lists jobs, titles and text. By patterns, without a tree."""
+"""Plain career pages: links, which group of them lists jobs, titles and text; and lists of jobs in JSON that a page loaded.
+
+Each page is read into a small tree inside its task; all that compares links, pages and documents is columns.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import classify
 from ..functions import text as T
 from ..operators.companies import host_of
+from . import boards, dom
 
-_ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
-# Paths that lead to postings, and titles that say nothing.
-JOB_PATH = r"(?i)/(?:jobs?|careers?|positions?|openings?|vacanc(?:y|ies)|opportunit(?:y|ies)|join)(?:[/\-_.?]|$)"
-GENERIC = r"(?i)^(?:careers?|jobs?|home|open positions|join us|current openings|about(?: us)?|work with us)$"
+# Titles that are no posting's, and words of a page of search results.
+GENERIC = (
+    "משרות", "משרה", "דרושים", "קריירה", "חיפוש משרה", "jobs", "job", "careers", "career", "open positions", "positions", "vacancies", "opportunities", "join us",
+    "join our team", "work with us", "job details", "job description",
+)
+NAVIGATION = (
+    r"(?iU)^(?:home|careers?|jobs|about(?: us)?|contact(?: us)?|apply(?: now)?|read more|learn more|more|all jobs|open positions|view all|see all|back|next|previous|prev|login|sign in"
+    r"|share|privacy|terms|search|filter|menu|close|\d+|»|«|>|<)$"
+)
+RESULTS = (
+    r"(?iU)מצאנו\s+(?:עבורך|לך|עבורכם)?\s*\d+\s+משרות|נמצאו\s+\d+\s+משרות|\d+\s+משרות\s+נמצאו"
+    r"|showing\s+\d+\s+(?:of\s+\d+\s+)?(?:jobs|results|positions)|\d+\s+(?:jobs|results|positions)\s+found"
+)
+MOST_LINKS, MOST_TITLE, MOST_PLACE, MOST_TEXT = 300, 120, 60, 20_000
+_LINKS = "page_id long, page_url string, ordinal long, href string, url string, title string, shape string"
+_PAGES = "page_id long, url string, h1 string, headings array<string>, og string, head string, form boolean, apply boolean, whole string, text string"
 
 
-def absolute(base: Column, href: Column) -> Column:
-    """href against the page's address, without its fragment."""
-    scheme, root = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1), F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+", 0)
-    folder = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/)", 1)
-    h = F.regexp_replace(href, "#.*$", "")
-    out = (
-        F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, F.lit(":"), h)).when(h.startswith("/"), F.concat(root, h))
-        .when(h == "", base).otherwise(F.concat(F.when(F.length(folder) > F.length(root), folder).otherwise(F.concat(root, F.lit("/"))), h))
-    )
-    return T.safe_link(out)
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+            if found := dom.links(html or "", url or ""):
+                columns = list(zip(*found, strict=True))
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([page_id] * n, pa.int64()), pa.array([url] * n, pa.string()), pa.array(range(n), pa.int64()), *(pa.array(c, pa.string()) for c in columns)], [f.split()[0] for f in _LINKS.split(", ")])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in _PAGES.split(", ")][2:]
+    types = [pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string()]
+    for batch in batches:
+        for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+            got = dom.job_page(html or "", url or "")
+            yield pa.RecordBatch.from_arrays([pa.array([page_id], pa.int64()), pa.array([url], pa.string()), *(pa.array([got[n]], t) for n, t in zip(names, types, strict=True))], ["page_id", "url", *names])
+
+
+def _pages(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """page_id, ordinal, href, url, title and shape of each link. Links of one list have one shape: the tags open around them."""
-    tags = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1))
-    inner = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(2))
-    before = F.split("html", _ANCHOR, -1)
-    rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.arrays_zip(tags.alias("a"), inner.alias("b"), F.slice(before, F.lit(1), F.size(tags)).alias("c"))).alias("ordinal", "x"))
-    href = F.regexp_extract("x.a", r"(?i)\bhref\s*=\s*[\"']([^\"']*)[\"']", 1)
-    label = F.coalesce(F.nullif(F.regexp_extract("x.a", r"(?i)\b(?:aria-label|title)\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit("")), F.lit(""))
-    text = T.collapsed_text(T.html_to_text(F.col("x.b")))
-    opened = F.regexp_extract("x.c", r"(?is)<([a-z0-9]+)[^>]*>\s*$", 1)
-    kind = F.regexp_extract("x.a", r"(?i)\bclass\s*=\s*[\"']([^\"']*)[\"']", 1)
-    rows = rows.select("page_id", "page_url", F.col("ordinal").cast("long").alias("ordinal"), href.alias("href"), F.when(text != "", text).otherwise(T.unescape(label)).alias("title"), F.concat_ws(">", opened, kind).alias("shape"))
-    return rows.where("href <> ''").withColumn("url", absolute(F.col("page_url"), F.col("href")))
+    """page_id, page_url, ordinal, href, url, title and shape of each link with an address. Links of one list have one shape: the link and two elements around it."""
+    return _pages(pages).mapInArrow(_links, _LINKS)
+
+
+def _path(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1)
 
 
 def job_links(pages: DataFrame) -> DataFrame:
     """page_id, ordinal, url, title of the links that list a page's jobs.
 
     The group of links of one shape with the most that look like jobs, and strays whose title and path both do;
-    each address once, in page order.
+    each address once, in page order, MOST_LINKS of them.
     """
-    links = page_links(pages).where(F.col("url").isNotNull() & F.length("title").between(3, 120))
-    links = links.where(T.registrable_host(host_of(F.col("url"))) == T.registrable_host(host_of(F.col("page_url"))))
-    links = links.withColumns({"named": T.looks_like_job_title(F.col("title")), "jobish": T.looks_like_job_title(F.col("title")) | F.col("url").rlike(JOB_PATH)})
+    said = F.length("title").between(3, MOST_TITLE) & ~F.col("title").rlike(NAVIGATION) & F.col("title").rlike("[A-Za-z\u0590-\u05ff]")
+    links = page_links(pages).where(F.col("url").isNotNull() & said)
+    links = links.where((T.registrable_host(host_of(F.col("url"))) == T.registrable_host(host_of(F.col("page_url")))) & (F.col("url") != F.regexp_replace("page_url", "#.*$", "")))
+    named, path = F.col("title").rlike(T.ROLE_WORDS), _path(F.col("url")).rlike(f"(?iU){dom.JOB_PATH.pattern}")
+    links = links.withColumns({"named": named, "jobish": named | path, "both": named & path})
     groups = links.groupBy("page_id", "shape").agg(F.count("*").alias("n"), F.count_if("jobish").alias("jobs"), F.min("ordinal").alias("first"))
     best = Window.partitionBy("page_id").orderBy(F.desc("jobs"), "first")
     chosen = groups.where((F.col("n") >= 3) & (F.col("jobs") >= F.greatest(F.lit(3), F.floor(F.col("n") / 2)))).withColumn("__n", F.row_number().over(best)).where("__n = 1").select("page_id", "shape")
     members = links.join(chosen, ["page_id", "shape"], "left_semi")
-    strays = links.where(F.col("named") & F.col("url").rlike(JOB_PATH))
-    once = Window.partitionBy("page_id", "url").orderBy("ordinal")
-    both = members.select("page_id", "ordinal", "url", "title").unionByName(strays.select("page_id", "ordinal", "url", "title"))
-    return both.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    once, order = Window.partitionBy("page_id", "url").orderBy("ordinal"), Window.partitionBy("page_id").orderBy("ordinal")
+    both = members.unionByName(links.where("both")).select("page_id", "ordinal", "url", "title")
+    first = both.withColumn("__n", F.row_number().over(once)).where("__n = 1")
+    return first.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= MOST_LINKS).drop("__n")
 
 
 def link_groups(pages: DataFrame) -> DataFrame:
     """How many links of each shape a page has, and how many of them look like jobs."""
-    links = page_links(pages).withColumn("jobish", T.looks_like_job_title(F.col("title")) | F.coalesce(F.col("url").rlike(JOB_PATH), F.lit(False)))
-    return links.groupBy("page_id", "shape").agg(F.count("*").alias("links"), F.count_if("jobish").alias("jobs"))
+    jobish = F.col("title").rlike(T.ROLE_WORDS) | F.coalesce(_path(F.col("url")).rlike(f"(?iU){dom.JOB_PATH.pattern}"), F.lit(False))
+    return page_links(pages).groupBy("page_id", "shape").agg(F.count("*").alias("links"), F.count_if(jobish).alias("jobs"))
+
+
+def generic_title(x: Column) -> Column:
+    """Whether a title is none, or a section's name."""
+    return F.coalesce((F.trim(x) == "") | F.lower(F.trim(x)).isin(*GENERIC), F.lit(True))
+
+
+def _first_good(*options: Column) -> Column:
+    return F.get(F.filter(F.array(*options), lambda t: ~generic_title(t) & (F.length(t) <= MOST_TITLE)), F.lit(0))
+
+
+def first_title_like_line(text: Column) -> Column:
+    """Of the first eight lines the first that says something."""
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 8), lambda t: F.trim(t))
+    return F.get(F.filter(lines, lambda t: ~generic_title(t) & (F.length(t) <= MOST_TITLE)), F.lit(0))
+
+
+def guess_location(text: Column) -> Column:
+    """Of the first thirty lines the first short one that names a known place."""
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 30), lambda t: F.trim(t))
+    short = F.filter(lines, lambda t: (t != "") & (F.length(t) <= MOST_PLACE))
+    return F.get(F.filter(short, lambda t: (classify.country(t) == "Israel") | classify.clearly_abroad(t)), F.lit(0))
+
+
+def page_read(pages: DataFrame) -> DataFrame:
+    """page_id, url and what the page says: h1, headings, og, head, form, apply, whole, text."""
+    return _pages(pages).mapInArrow(_read, _PAGES)
 
 
 def page_title(html: Column) -> Column:
-    """The first title that says something: headings, the card's title, the document's up to a bar or dash."""
+    """page_titles as a column, by patterns: the first h1 and h2, og:title, the document's title up to a bar or dash."""
     one = lambda pattern: T.collapsed_text(T.html_to_text(F.regexp_extract(html, pattern, 1)))
     head = F.regexp_replace(one(r"(?is)<title[^>]*>(.*?)</title\s*>"), r"\s*(?:\|| - ).*$", "")
-    options = F.array(one(r"(?is)<h1[^>]*>(.*?)</h1\s*>"), one(r"(?is)<h2[^>]*>(.*?)</h2\s*>"), T.unescape(F.regexp_extract(html, r"(?is)<meta[^>]*og:title[^>]*content=[\"']([^\"']*)", 1)), head)
-    good = F.filter(options, lambda t: (t != "") & (F.length(t) <= 120) & ~t.rlike(GENERIC))
-    return F.get(good, 0)
+    og = T.unescape(F.regexp_extract(html, r"(?is)<meta[^>]*og:title[^>]*content=[\"']([^\"']*)", 1))
+    return _first_good(one(r"(?is)<h1[^>]*>(.*?)</h1\s*>"), one(r"(?is)<h2[^>]*>(.*?)</h2\s*>"), og, head)
 
 
-def page_text(html: Column) -> Column:
-    """Text of the article, main part or body, without navigation, headers, footers and forms; nesting of equal tags is not followed."""
-    bare = F.regexp_replace(html, r"(?is)<(nav|header|footer|aside|form|script|style|noscript)\b.*?(?:</\1\s*>|\z)", "")
-    part = lambda tag: F.regexp_extract(bare, rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\z)", 1)
-    chosen = F.coalesce(F.nullif(part("article"), F.lit("")), F.nullif(part("main"), F.lit("")), F.nullif(part("body"), F.lit("")), bare)
-    return T.html_to_text(chosen)
+def page_titles(pages: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """page_id and the first title that says something: the h1, what the listing called it, further headings, og:title, the document's."""
+    rows = page_read(pages).select("page_id", "h1", "headings", "og", "head")
+    stub = F.lit(None).cast("string")
+    if listed is not None:
+        rows, stub = rows.join(listed.select("page_id", F.col("title").alias("listed")), "page_id", "left"), F.col("listed")
+    more = [F.get("headings", F.lit(k)) for k in range(4)]
+    return rows.select("page_id", F.coalesce(_first_good(F.col("h1"), stub, *more, F.col("og"), F.col("head")), stub).alias("title"))
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """page_id and the text of the posting that the page describes."""
+    return page_read(pages).select("page_id", "text")
 
 
 def is_listing_page(pages: DataFrame) -> DataFrame:
-    """page_id of pages that list several jobs rather than describe one."""
+    """page_id and links of pages that list several jobs rather than describe one."""
     n = job_links(pages).groupBy("page_id").agg(F.count("*").alias("links"))
-    counted = F.col("html").rlike(r"(?i)\b\d+\s+(?:results|jobs|positions|openings)\b")
-    bare = ~F.col("html").rlike(r"(?i)<form\b") & ~F.col("html").rlike(r"(?i)<a\b[^>]*>\s*apply")
-    return pages.join(n, "page_id").where((F.col("links") >= 2) & (counted | ((F.col("links") >= 5) & bare))).select("page_id", "links")
+    rows = page_read(pages).select("page_id", "whole", "form", "apply").join(n, "page_id")
+    counted, bare = F.col("whole").rlike(RESULTS), ~F.col("form") & ~F.col("apply")
+    return rows.where((F.col("links") >= 2) & (counted | ((F.col("links") >= 5) & bare))).select("page_id", "links")
+
+
+def page_details(pages: DataFrame, stubs: DataFrame | None = None) -> DataFrame:
+    """What each page says of one posting: page_id, title, location_text, employment_type, description, source_published_at, source_updated_at, listing.
+
+    Structured data counts first; a page that lists several jobs (listing) describes none; else title, place and text
+    are read from the page. stubs: page_id, title as the listing had it.
+    """
+    payloads = pages.select(F.col("page_id").alias("source_id"), F.lit(0).cast("long").alias("crawl_id"), "url", F.lit(0).alias("page_no"), F.col("html").alias("body"))
+    first = Window.partitionBy("source_id").orderBy("ordinal")
+    ld = boards.jsonld_rows(payloads).withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    x = F.col("x")
+    ld = ld.select(
+        F.col("source_id").alias("page_id"), F.nullif(x["title"], F.lit("")).alias("ld_title"), boards.ld_place(x).alias("ld_place"), boards.ld_employment(x).alias("ld_employment"),
+        F.nullif(T.html_to_text(x["description"]), F.lit("")).alias("ld_text"), T.parse_timestamp(x["datePosted"]).alias("ld_published"), T.parse_timestamp(x["dateModified"]).alias("ld_updated"),
+        F.lit(True).alias("ld"),
+    )
+    several = is_listing_page(pages).select("page_id", F.lit(True).alias("several"))
+    read = page_read(pages).select("page_id", "h1", "headings", "og", "head", "text")
+    stub = stubs.select("page_id", F.col("title").alias("stub")) if stubs is not None else read.select("page_id", F.lit(None).cast("string").alias("stub"))
+    rows = read.join(stub, "page_id", "left").join(ld, "page_id", "left").join(several, "page_id", "left")
+    has = F.coalesce("ld", F.lit(False))
+    listing = ~has & F.coalesce("several", F.lit(False))
+    title = F.coalesce(_first_good(F.col("h1"), F.col("stub"), *(F.get("headings", F.lit(k)) for k in range(4)), F.col("og"), F.col("head")), F.col("stub"))
+    title = F.when(generic_title(title), F.coalesce(first_title_like_line(F.col("text")), title)).otherwise(title)
+    own = lambda structured, read_: F.when(has, structured).when(~listing, read_)
+    return rows.select(
+        "page_id", own(F.coalesce("ld_title", "stub"), title).alias("title"), own(F.col("ld_place"), guess_location(F.col("text"))).alias("location_text"),
+        F.coalesce("ld_employment", F.lit("unknown")).alias("employment_type"), own(F.col("ld_text"), F.nullif(F.substr("text", F.lit(1), F.lit(MOST_TEXT)), F.lit(""))).alias("description"),
+        F.col("ld_published").alias("source_published_at"), F.col("ld_updated").alias("source_updated_at"), listing.alias("listing"),
+    )
 
 
 def feed_rows(documents: DataFrame, key: str, body: str) -> DataFrame:
@@ -101,3 +191,88 @@ def feed_rows(documents: DataFrame, key: str, body: str) -> DataFrame:
     out = rows.select(key, "at", low.alias("m"))
     pick = lambda names: F.coalesce(*(F.nullif(F.try_element_at("m", F.lit(n)), F.lit("")) for n in names))
     return out.select(key, "at", *(pick(names).alias(c) for c, names in fields.items()))
+
+
+# Names under which feeds keep a posting's fields, the most telling first; and what a list of postings is.
+FEED_KEYS = {
+    "title": ("jobtitle", "positionname", "position_name", "title", "position", "name", "tl"),
+    "url": ("joburl", "applyurl", "url", "link", "href", "permalink", "slug"),
+    "id": ("jobid", "job_id", "positionid", "position_id", "recid", "uid", "id"),
+    "location": ("locationname", "location", "city", "area", "region", "site", "ct"),
+    "date": ("dateposted", "publishdate", "published", "opendate", "created", "date"),
+    "employment": ("employmenttype", "jobtype", "scope", "tp"),
+}
+FEED_TEXTS = ("jobdescription", "description", "requirements", "summary", "body", "content", "text", "details", "dc")
+LEAST_ROWS, MOST_DEPTH, MOST_ROWS, LEAST_SHARE = 3, 6, 500, 0.4
+
+
+def feed_value(row: Column, *keys: str) -> Column:
+    """The first value among the keys, whatever their case, that is neither empty nor a list; of an object its name, title or value. row: map of JSON texts."""
+    low = F.transform_keys(row, lambda k, _: F.lower(k))
+
+    def one(key: str) -> Column:
+        value = F.try_element_at(low, F.lit(key))
+        inner = F.from_json(value, "name string, title string, value string")
+        named = F.coalesce(*(F.nullif(inner[n], F.lit("")) for n in ("name", "title", "value")))
+        plain = F.when(value.startswith("{"), named).when(~value.startswith("["), value)
+        return F.nullif(plain, F.lit(""))
+
+    return F.coalesce(*map(one, keys))
+
+
+def feed_lists(documents: DataFrame, key: str, body: str) -> DataFrame:
+    """key, document, list, n, at, row (map of JSON texts) of every object in a list of LEAST_ROWS or more, MOST_DEPTH levels deep. documents: key, document, body."""
+    objects = lambda x: F.ltrim(x).startswith("{")
+    level = documents.select(key, "document", F.lit("$").alias("list"), F.col(body).alias("node"))
+    found = None
+    for depth in range(MOST_DEPTH + 1):
+        items = F.from_json("node", "array<string>")
+        rows = F.filter(items, objects)
+        lists = level.where(F.ltrim("node").startswith("[") & (F.size(rows) >= LEAST_ROWS)).select(key, "document", "list", rows.alias("rows"))
+        found = lists if found is None else found.unionByName(lists)
+        if depth < MOST_DEPTH:
+            # Of a list the first fifty members are looked into, of an object all.
+            members = F.when(F.ltrim("node").startswith("["), F.slice(items, 1, 50)).when(objects(F.col("node")), F.map_values(F.from_json("node", "map<string,string>")))
+            level = level.select(key, "document", "list", F.posexplode(members).alias("k", "node")).where(F.ltrim("node").rlike(r"^[\[{]"))
+            level = level.select(key, "document", F.concat("list", F.lit("/"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("list"), "node")
+    out = found.select(key, "document", "list", F.posexplode("rows").alias("at", "json"))
+    return out.select(key, "document", "list", "at", F.from_json("json", "map<string,string>").alias("row"))
+
+
+def pick_job_feed(documents: DataFrame, key: str = "page_id", body: str = "body") -> DataFrame:
+    """The rows of the list, of all in a page's documents, whose titles most look like jobs': key, at, row; ties go to the longer, then the first list."""
+    rows = feed_lists(documents, key, body).withColumn("title", feed_value(F.col("row"), *FEED_KEYS["title"])).where("title is not null")
+    share = F.avg(F.when(T.looks_like_job_title(F.col("title")), 1.0).otherwise(0.0))
+    lists = rows.groupBy(key, "document", "list").agg(F.count("*").alias("n"), share.alias("share")).where((F.col("n") >= LEAST_ROWS) & (F.col("share") >= LEAST_SHARE))
+    best = Window.partitionBy(key).orderBy(F.desc("share"), F.desc("n"), "document", "list")
+    chosen = lists.withColumn("__n", F.row_number().over(best)).where("__n = 1").select(key, "document", "list")
+    order = Window.partitionBy(key).orderBy("at")
+    kept = rows.join(chosen, [key, "document", "list"], "left_semi").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= MOST_ROWS)
+    return kept.select(key, "at", "row")
+
+
+def feed_postings(rows: DataFrame, pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, ordinal, external_job_id, title, location_text, source_url, apply_url, employment_type, description, source_published_at of feed rows."""
+    r = rows.join(pages.select(key, F.col("url").alias("page_url")), key)
+    get = lambda field: feed_value(F.col("row"), *FEED_KEYS[field])
+    link = absolute(F.col("page_url"), F.trim(get("url")))
+    link = F.when(link.rlike("^https?://"), link)
+    place, title = get("location"), F.trim(get("title"))
+    ident = F.coalesce(get("id"), T.url_id(F.concat_ws("|", F.coalesce(link, title), F.coalesce(place, F.lit("None")))))
+    texts = F.array(*(F.nullif(T.html_to_text(feed_value(F.col("row"), k)), F.lit("")) for k in FEED_TEXTS))
+    return r.where(title != "").select(
+        key, F.col("at").cast("long").alias("ordinal"), ident.alias("external_job_id"), title.alias("title"), place.alias("location_text"), F.coalesce(link, "page_url").alias("source_url"), link.alias("apply_url"),
+        T.employment_type(get("employment")).alias("employment_type"), F.nullif(F.array_join(F.array_compact(texts), "\n\n"), F.lit("")).alias("description"), T.parse_timestamp(get("date")).alias("source_published_at"),
+    )
+
+
+def absolute(base: Column, href: Column) -> Column:
+    """href against the page's address, without its fragment."""
+    scheme, root = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1), F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+", 0)
+    folder = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/)", 1)
+    h = F.regexp_replace(href, "#.*$", "")
+    out = (
+        F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, F.lit(":"), h)).when(h.startswith("/"), F.concat(root, h))
+        .when(h == "", base).otherwise(F.concat(F.when(F.length(folder) > F.length(root), folder).otherwise(F.concat(root, F.lit("/"))), h))
+    )
+    return T.safe_link(out)

@@ -13,8 +13,8 @@ STATE = "source_id long, external_job_id string, title string, content_hash stri
 class CrawlState:
     """Postings in versioned folders: a batch writes the next version, and a batch that runs again writes the same one."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, versions: int = 5):
+        self.spark, self.path, self.versions = spark, path.rstrip("/"), versions
 
     def read(self, version: int) -> DataFrame:
         if version < 0:
@@ -22,20 +22,35 @@ class CrawlState:
         return self.spark.read.schema(STATE).parquet(f"{self.path}/v{version}")
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        """batch: listing columns of apply_crawl and fetched_at. Of a source's snapshots in one batch the latest counts; one that is older than the stored state is left out."""
+        """batch: listing columns of apply_crawl, fetched_at and, if there is one, listing_error.
+
+        A row without external_job_id stands for the crawl alone: so an empty listing ages what is stored, and one that
+        failed, with listing_error, closes nothing. Of a source's snapshots in one batch the latest counts; one that is
+        older than the stored state is left out.
+        """
+        if "listing_error" not in batch.columns:
+            batch = batch.withColumn("listing_error", F.lit(None).cast("string"))
         old = self.read(epoch - 1)
         seen = old.groupBy(F.col("source_id").alias("__s")).agg(F.max("last_seen_at").alias("__at"))
         latest = Window.partitionBy("source_id")
         now = batch.withColumn("__latest", F.max("fetched_at").over(latest)).where("fetched_at = __latest")
         now = now.join(seen, F.col("source_id") == F.col("__s"), "left").where(F.col("__at").isNull() | (F.col("fetched_at") >= F.col("__at")))
-        runs = now.groupBy("source_id").agg(F.max("crawl_id").alias("crawl_id"), F.max("fetched_at").alias("at")).withColumn("listing_error", F.lit(None).cast("string"))
-        after, _ = apply_crawl(now.drop("__latest", "__s", "__at", "fetched_at"), old.drop("action"), runs.drop("at"), F.lit(None).cast("timestamp"))
+        runs = now.groupBy("source_id").agg(F.max("crawl_id").alias("crawl_id"), F.max("fetched_at").alias("at"), F.max("listing_error").alias("listing_error"))
+        listed = now.where("external_job_id is not null").drop("__latest", "__s", "__at", "fetched_at", "listing_error")
+        after, _ = apply_crawl(listed, old.drop("action"), runs.drop("at"), F.lit(None).cast("timestamp"))
         at = runs.select(F.col("source_id").alias("__r"), "at")
         stamped = after.join(at, F.col("source_id") == F.col("__r"), "left")
         touched = F.col("action").isin("created", "updated", "seen", "failed_seen", "closed")
         out = stamped.withColumns({"first_seen_at": F.coalesce("first_seen_at", "at"), "last_seen_at": F.when(touched, F.col("at")).otherwise(F.col("last_seen_at"))})
         names = [c.split()[0] for c in STATE.split(", ")]
         out.select(*names).write.mode("overwrite").parquet(f"{self.path}/v{epoch}")
+        self.forget(epoch - self.versions)
+
+    def forget(self, version: int) -> None:
+        """Deletes a version that no batch will read again."""
+        if version >= 0:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stream_crawls(snapshots: DataFrame, state: CrawlState, checkpoint: str):

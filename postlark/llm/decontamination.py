@@ -228,21 +228,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, copied: bool = False) -> DataFr
     pairs = F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))
     same = (F.col("item_slots") == F.col("slots")) if copied else F.lit(False)
     lines = both.groupBy("doc_id", "key", "item_id", "item_total", (F.col("place") - F.col("item_place")).alias("shift")).agg(
-        F.collect_set(F.when(same, F.col("item_place"))).alias("copies"), F.collect_set(F.when(~same, F.col("item_place"))).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(~same, pairs)))).alias("pairs"),
+        F.collect_set(F.when(same, F.col("item_place"))).alias("copies"), F.collect_set(F.when(~same, F.struct(F.col("item_place").alias("place"), pairs.alias("pairs")))).alias("windows"),
     )
 
     def one(pairs: Column) -> Column:
         """One to one: as many pairs as values on either side."""
         return (F.size(pairs) == F.size(F.array_distinct(pairs["theirs"]))) & (F.size(pairs) == F.size(F.array_distinct(pairs["ours"])))
 
-    # Diagonals with the most windows first: one whose pairs do not go with those taken counts no changed windows.
-    line = F.struct((-F.size("places")).alias("order"), "shift", "copies", "places", "pairs")
+    # Diagonals that are one to one, those with the most windows first; of a later one the windows whose pairs go with those taken.
+    line = F.struct((-F.size("windows")).alias("order"), "shift", "copies", "windows")
     start = F.struct(F.expr("cast(array() as array<long>)").alias("places"), F.expr("cast(array() as array<struct<theirs:string,ours:string>>)").alias("pairs"))
 
     def take(taken: Column, x: Column) -> Column:
-        pairs = F.array_distinct(F.concat(taken["pairs"], x["pairs"]))
-        return F.when(one(pairs), F.struct(F.concat(taken["places"], x["places"]).alias("places"), pairs.alias("pairs"))).otherwise(taken)
+        fits = F.filter(x["windows"], lambda w: one(F.array_distinct(F.concat(taken["pairs"], w["pairs"]))))
+        own = F.array_distinct(F.flatten(x["windows"]["pairs"]))
+        both = F.struct(F.concat(taken["places"], fits["place"]).alias("places"), F.array_distinct(F.concat(taken["pairs"], F.flatten(fits["pairs"]))).alias("pairs"))
+        return F.when(one(own), both).otherwise(taken)
 
     grouped = lines.groupBy("doc_id", "key", "item_id", "item_total").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     taken = grouped.withColumn("taken", F.aggregate("lines", start, take))

@@ -170,7 +170,10 @@ _caches: list = []
 
 
 def worker_cache(make):
-    """Keeps the last thing made, for the life of a worker or until ``releasing`` a partition that does not keep it."""
+    """Keeps the last thing made, for the life of a worker or until ``releasing`` a partition that does not keep it.
+
+    ``releasing`` has to be called in a function of a module: a lambda would bring a copy of the cache along.
+    """
     held: dict = {}
 
     def get(*key):

@@ -285,10 +285,14 @@ def _checked(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iter
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], _lists(ids, count), pa.array(exact, pa.bool_())], ["doc_id", "ids", "exact"])
 
 
+def _trips(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    return releasing(_checked(batches, path, pattern), _codec)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, the ids of its text, and whether they decode to it; texts and decoded bytes stay in the worker."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(lambda batches: releasing(_checked(batches, path, pattern), _codec), "doc_id long, ids array<int>, exact boolean")
+    return texts.mapInArrow(partial(_trips, path=path, pattern=pattern), "doc_id long, ids array<int>, exact boolean")
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, with_text: bool = False) -> DataFrame:

@@ -243,6 +243,10 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
         yield segment()
 
 
+def _written(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    return releasing(_segments(batches, path, end_id), _encoder)
+
+
 SEGMENT = "part int, number int, part_start long, n_ids long, doc_ids array<long>, lengths array<long>, image binary"
 
 
@@ -252,7 +256,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     The texts are dealt out by ranges of doc_id, once; each task writes its segments one by one.
     """
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(lambda batches: releasing(_segments(batches, tokenizer, end_id), _encoder), SEGMENT).write.mode("errorifexists").parquet(path)
+    ordered.mapInArrow(partial(_written, path=tokenizer, end_id=end_id), SEGMENT).write.mode("errorifexists").parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -286,7 +286,8 @@ def _checked(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iter
 
 
 def _trips(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    return releasing(_checked(batches, path, pattern), _codec)
+    """Each partition makes its own codec: among stages of other operators, workers that wait hold none."""
+    return releasing(_checked(batches, path, pattern))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

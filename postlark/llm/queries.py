@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, divergence, fill_middle, jaccard, main_text, passages, pii, repetition, site_quality, token_store, toxicity
+from . import bpe, decontamination, divergence, fill_middle, jaccard, language, main_text, passages, pii, repetition, site_quality, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(_table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
@@ -83,7 +87,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repetition, op2_site_quality, op3_token_store, op4_byte_bpe, op5_toxicity, op6_passages, op7_main_text, op8_decontamination, op9_pii, op10_jaccard, op12_source_divergence, op13_fill_middle)
+    f.__name__: f for f in (op1_repetition, op2_site_quality, op3_token_store, op4_byte_bpe, op5_toxicity, op6_passages, op7_main_text, op8_decontamination, op9_pii, op10_jaccard, op11_language, op12_source_divergence, op13_fill_middle)
 }
 
 _WORDS = """words_of AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents)"""

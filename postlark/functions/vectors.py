@@ -63,51 +63,6 @@ def hashed_terms(text: Column, size: int = 384) -> Column:
     return F.get(F.transform(F.array(counts), lambda c: F.transform(normalized(c), lambda x: x.cast("float"))), F.lit(0))
 
 
-def blocks_of(rows: DataFrame, row_id: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int")
-
-
-def nearest_in_blocks(rows: DataFrame, queries: DataFrame, k: int, row_id: str, query_id: str, vector: str, block_rows: int = 200_000) -> DataFrame:
-    """As ``nearest``, for a set of queries that grows with the rows: both sides are dealt into blocks, each pair of blocks is one join key.
-
-    Each block of rows keeps its k nearest for each query before the blocks meet.
-    """
-    many = lambda df: max(1, -(-df.count() // block_rows))
-    row_blocks, query_blocks = many(rows), many(queries)
-    q = queries.select(F.col(query_id).alias("query_id"), normalized(F.col(vector)).alias("__q"), blocks_of(queries, query_id, query_blocks).alias("__qb"))
-    q = q.withColumn("__rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-    r = rows.select(F.col(row_id).alias("row_id"), normalized(F.col(vector)).alias("__v"), blocks_of(rows, row_id, row_blocks).alias("__b"))
-    r = r.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    pairs = r.join(q, (F.col("__b") == F.col("__rb")) & (F.col("__s") == F.col("__qb"))).select("query_id", "row_id", "__b", (1 - dot(F.col("__v"), F.col("__q"))).alias("distance"))
-    inner = Window.partitionBy("query_id", "__b").orderBy(F.asc_nulls_last("distance"), "row_id")
-    best = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "row_id")
-    some = pairs.withColumn("rank", F.row_number().over(inner)).where(F.col("rank") <= k).drop("rank", "__b")
-    return some.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def within_distance(rows: DataFrame, queries: DataFrame, most: float, row_id: str, query_id: str, vector: str) -> DataFrame:
-    """query_id, row_id, distance of all pairs no farther apart than ``most``, exactly: norms are taken once, the queries are a bounded set."""
-    q = queries.select(F.col(query_id).alias("query_id"), normalized(F.col(vector)).alias("__q"))
-    r = rows.select(F.col(row_id).alias("row_id"), normalized(F.col(vector)).alias("__v"))
-    pairs = r.join(q, F.lit(True)).select("query_id", "row_id", (1 - dot(F.col("__v"), F.col("__q"))).alias("distance"))
-    return pairs.where(F.col("distance") <= most)
-
-
-def lsh_join(rows: DataFrame, queries: DataFrame, most: float, row_id: str, query_id: str, vector: str, tables: int = 8, width: float = 1.5, seed: int = 7) -> DataFrame:
-    """As ``within_distance``, by random projections: pairs that share a bucket of one of the tables, then their exact distance."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def ready(df: DataFrame, name: str) -> DataFrame:
-        unit = df.select(F.col(name).alias("id"), normalized(F.col(vector)).alias("unit")).where("unit is not null")
-        return unit.withColumn("features", array_to_vector("unit"))
-
-    r, q = ready(rows, row_id), ready(queries, query_id)
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(r)
-    found = model.approxSimilarityJoin(q, r, (2 * most) ** 0.5, "apart")
-    return found.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("row_id"), (F.col("apart") * F.col("apart") / 2).alias("distance")).where(F.col("distance") <= most)
-
-
 def nearest(rows: DataFrame, queries: DataFrame, k: int, row_id: str, query_id: str, vector: str) -> DataFrame:
     """For each query its k nearest rows by distance, ties by row_id. queries: a bounded set, sent to every task."""
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__q"))

@@ -54,14 +54,16 @@ def apply_crawl(listing: DataFrame, stored: DataFrame, runs: DataFrame, as_of: C
 
     listing: source_id, crawl_id, ordinal, external_job_id, title, content_hash, fetch_error, unavailable
     stored: source_id, external_job_id, title, content_hash, status, missing_streak, first_seen_at, last_seen_at, archived_at
-    runs: source_id, crawl_id, listing_error. Sources without a run stay as they are.
+    runs: source_id, crawl_id, listing_error, and at where the time differs by run. Sources without a run stay as they are.
     Any other columns that listing and stored share are what was read of a posting: each reading replaces them, and one
     with another content hash, or of an archived posting, is an update.
 
     A listing that failed, or one all of whose pages failed, closes nothing.
     """
     diff = snapshot_diff(listing, stored).withColumn("__source", F.coalesce("source_id", "s_source_id"))
-    r = runs.select(F.col("source_id").alias("__run_source"), F.col("crawl_id").alias("run_id"), "listing_error")
+    own_time = "at" in runs.columns
+    r = runs.select(F.col("source_id").alias("__run_source"), F.col("crawl_id").alias("run_id"), "listing_error", *([F.col("at").alias("__run_at")] if own_time else []))
+    as_of = F.coalesce("__run_at", as_of) if own_time else as_of
     d = diff.join(r, F.col("__source") == F.col("__run_source"), "left")
     fetched, failed = F.col("content_hash").isNotNull(), F.col("fetch_error").isNotNull()
     gone = F.coalesce("unavailable", F.lit(False))

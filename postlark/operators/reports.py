@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..functions.vocabulary import NEGATIVE, POSITIVE
+from . import scoring
 from .search import latest_feedback, local_midnight
 
 
@@ -102,6 +103,13 @@ def agreement_report(feedback: DataFrame, matches: DataFrame, rules: str, judged
     return a.crossJoin(b.select(F.col("positives").alias("judged_positives"), F.col("negatives").alias("judged_negatives"), F.col("accuracy").alias("judged_pairwise")))
 
 
+def agreement(feedback: DataFrame, matches: DataFrame, judged: DataFrame, w: scoring.Weights = scoring.Weights()) -> DataFrame:
+    """agreement_report of the rules alone, computed anew from a match's parts, and of the judgements (scoring.PAIR and probability)."""
+    j = judged.groupBy(*scoring.PAIR).agg(F.max("probability").alias("__judged"))
+    rows = matches.withColumn("__rules", scoring.rules_score(w)).join(j, scoring.PAIR, "left")
+    return agreement_report(feedback, rows.select("job_id", "__rules", "__judged"), "__rules", "__judged")
+
+
 def append_feedback(feedback: DataFrame, applications: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Feedback with the new rows (id, job_id, action, created_at), and applications with one opened for each job first marked applied."""
     applied = new.where("action = 'applied'").groupBy("job_id").agg(F.min("created_at").alias("applied_at"))

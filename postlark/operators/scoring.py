@@ -68,30 +68,108 @@ def job_skills(required: Column, preferred: Column, *texts: Column) -> Column:
     return F.array_union(listed, classify.extract_skills(F.concat_ws(" ", *texts)))
 
 
-def score_pairs(postings: DataFrame, roles: DataFrame, candidate: DataFrame, as_of: Column, w: Weights = Weights()) -> DataFrame:
-    """A match row for every open posting and enabled role.
+def candidate_skills(lists: list[Column], text: Column) -> Column:
+    """Sorted skills of a candidate: what the lists of a profile name, and what its text mentions."""
+    listed = F.transform(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)), classify.normalize_skill)
+    return F.array_sort(F.array_distinct(F.array_union(F.filter(listed, lambda x: x != ""), classify.extract_skills(text))))
+
+
+def role_text(name: Column, aliases: Column, description: Column, positive_keywords: Column, preferred_skills: Column) -> Column:
+    """What a role's embedding is made of: a line for its name, each alias and the description, then its keywords and skills where it has any."""
+    none = F.array().cast("array<string>")
+
+    def listed(head: str, xs: Column) -> Column:
+        return F.when(F.size(F.coalesce(xs, none)) > 0, F.concat(F.lit(head), F.array_join(xs, ", ")))
+
+    lines = F.concat(F.array(name), F.coalesce(aliases, none), F.array(F.nullif(description, F.lit("")), listed("Keywords: ", positive_keywords), listed("Preferred skills: ", preferred_skills)))
+    return F.array_join(F.array_compact(lines), "\n")
+
+
+POSTING_PARTS = (
+    "title", "department", "qualifications", "normalized_description", "description", "responsibilities", "required_skills", "preferred_skills", "country", "location_text", "remote_type", "embedding"
+)
+ROLE_PARTS = ("canonical_name", "aliases", "positive_keywords", "negative_keywords", "max_expected_years", "embedding")
+PAIR = ["candidate_profile_id", "target_role_id", "job_id"]
+
+
+def open_postings(postings: DataFrame, as_of: Column) -> DataFrame:
+    """Open postings with age, and job_key: a hash of all that their scores depend on. Age is in it by its step, so a posting changes when it passes one."""
+    open_ = postings.where((F.col("status") == "active") & F.col("archived_at").isNull())
+    aged = open_.withColumn("age", classify.recency_score(F.coalesce("source_published_at", "first_seen_at"), as_of))
+    return aged.withColumn("job_key", F.xxhash64(*POSTING_PARTS, F.col("age.why")))
+
+
+def asked_roles(roles: DataFrame, candidate: DataFrame, w: Weights) -> DataFrame:
+    """Enabled roles with the candidate, and role_key: a hash of both and of the weights."""
+    r = roles.where("enabled").select(F.col("id").alias("target_role_id"), *ROLE_PARTS[:-1], F.col("embedding").alias("__role_vector"))
+    c = candidate.select(F.col("candidate_id").alias("candidate_profile_id"), F.col("skills").alias("have"), F.col("embedding").alias("__candidate_vector"))
+    both = c.crossJoin(r)  # one candidate, and the roles that one person looks for
+    key = F.xxhash64(*ROLE_PARTS[:-1], "__role_vector", "have", "__candidate_vector", F.lit(repr(w)))
+    return both.select(
+        "candidate_profile_id", "target_role_id", "have", *ROLE_PARTS[:-1], key.alias("role_key"), vectors.normalized(F.col("__role_vector")).alias("role_embedding"),
+        vectors.normalized(F.col("__candidate_vector")).alias("candidate_embedding"),
+    )
+
+
+def score_pairs(postings: DataFrame, roles: DataFrame, candidate: DataFrame, as_of: Column, w: Weights = Weights(), judged: DataFrame | None = None, keys: bool = False) -> DataFrame:
+    """A match row for every open posting and enabled role. keys: with job_key and role_key, by which maintained_scores goes on from it.
 
     roles are those one person looks for, and candidate is one row: both go to every task, the postings stay
     where they are. What depends on a posting alone is computed before the roles multiply it.
-    candidate: candidate_id, skills array<string>, embedding.
+    candidate: candidate_id, skills array<string>, embedding. judged: PAIR and probability, of what was judged.
     """
-    open_ = postings.where((F.col("status") == "active") & F.col("archived_at").isNull())
+    few = roles.limit(MOST_ROLES + 1).count() <= MOST_ROLES and candidate.limit(2).count() <= 1
+    rows = _score(open_postings(postings, as_of), asked_roles(roles, candidate, w), few, w)
+    out = with_judgement(rows, judged, w)
+    return out if keys else out.drop("job_key", "role_key")
+
+
+def maintained_scores(old: DataFrame, postings: DataFrame, roles: DataFrame, candidate: DataFrame, as_of: Column, w: Weights = Weights(), judged: DataFrame | None = None) -> DataFrame:
+    """What score_pairs gives, with job_key and role_key, from what it gave before: only changed postings meet all roles, and only changed roles the other postings.
+
+    old: a result of this function, or of score_pairs with keys. Rows of postings that are no longer open and of roles that
+    are no longer asked for go. A change of the candidate or of the weights changes all roles.
+    """
+    kept, changed, renewed, few = _split(old, postings, roles, candidate, as_of, w)
+    rows = kept.select(*MATCH_COLUMNS)
+    for p, r in (changed, renewed):
+        rows = rows.unionByName(_score(p, r, few, w))
+    return with_judgement(rows, judged, w)
+
+
+def rescored(old: DataFrame, postings: DataFrame, roles: DataFrame, candidate: DataFrame, as_of: Column, w: Weights = Weights()) -> tuple[DataFrame, DataFrame]:
+    """The rows that maintained_scores has to score, and the keys of those that go: what an upsert into a stored table needs."""
+    kept, changed, renewed, few = _split(old, postings, roles, candidate, as_of, w)
+    rows = _score(*changed, few, w).unionByName(_score(*renewed, few, w))
+    return rows, old.select(*PAIR).join(kept.select(*PAIR), PAIR, "left_anti").join(rows.select(*PAIR), PAIR, "left_anti")
+
+
+def _split(old: DataFrame, postings: DataFrame, roles: DataFrame, candidate: DataFrame, as_of: Column, w: Weights):
+    p, r = open_postings(postings, as_of), asked_roles(roles, candidate, w)
+    few = roles.limit(MOST_ROLES + 1).count() <= MOST_ROLES and candidate.limit(2).count() <= 1
+    jobs, asked = old.select("job_id", "job_key").distinct(), old.select("candidate_profile_id", "target_role_id", "role_key").distinct()
+    p = p.withColumnRenamed("id", "job_id")
+    job, role = ["job_id", "job_key"], ["candidate_profile_id", "target_role_id", "role_key"]
+    changed = (p.join(jobs, job, "left_anti").withColumnRenamed("job_id", "id"), r)
+    renewed = (p.join(jobs, job, "left_semi").withColumnRenamed("job_id", "id"), r.join(asked, role, "left_anti"))
+    kept = old.join(p.select(*job), job, "left_semi").join(F.broadcast(r.select(*role)) if few else r.select(*role), role, "left_semi")
+    return kept, changed, renewed, few
+
+
+MATCH_COLUMNS = (*PAIR, *SCORES, "reasons", "concerns", "job_key", "role_key")
+
+
+def _score(open_: DataFrame, asked: DataFrame, few: bool, w: Weights) -> DataFrame:
+    """MATCH_COLUMNS of all pairs of postings and roles. few: whether the roles are proven to be no more than MOST_ROLES."""
     text = F.coalesce(F.when(F.col("qualifications") != "", F.col("qualifications")), F.when(F.col("normalized_description") != "", F.col("normalized_description")), "description")
     p = open_.select(
-        F.col("id").alias("job_id"), "title", "department", vectors.normalized(F.col("embedding")).alias("embedding"),
+        F.col("id").alias("job_id"), "title", "department", "job_key", "age", vectors.normalized(F.col("embedding")).alias("embedding"),
         job_skills(F.col("required_skills"), F.col("preferred_skills"), F.col("normalized_description"), F.col("qualifications"), F.col("responsibilities")).alias("asked"),
         classify.assess_level(F.col("title"), text).alias("level"),
         classify.location_score(F.col("country"), F.col("location_text"), F.col("remote_type")).alias("place"),
-        classify.recency_score(F.coalesce("source_published_at", "first_seen_at"), as_of).alias("age"),
     )
-    r = roles.where("enabled").select(
-        F.col("id").alias("target_role_id"), "canonical_name", "aliases", "positive_keywords", "negative_keywords", "max_expected_years", vectors.normalized(F.col("embedding")).alias("role_embedding")
-    )
-    c = candidate.select(F.col("candidate_id").alias("candidate_profile_id"), F.col("skills").alias("have"), vectors.normalized(F.col("embedding")).alias("candidate_embedding"))
-    # Roles and candidate are what one person entered; past MOST_ROLES the sizes decide how they are joined.
-    few = roles.limit(MOST_ROLES + 1).count() <= MOST_ROLES and candidate.limit(2).count() <= 1
-    c, r = (F.broadcast(c), F.broadcast(r)) if few else (c, r)
-    both = p.crossJoin(c).crossJoin(r)
+    # Past MOST_ROLES the sizes decide how they are joined.
+    both = p.crossJoin(F.broadcast(asked) if few else asked)
     both = both.withColumns({
         "candidate_semantic_score": _similarity(F.col("candidate_embedding"), F.col("embedding"), w.candidate_range),
         "intent_semantic_score": _similarity(F.col("role_embedding"), F.col("embedding"), w.intent_range),
@@ -100,7 +178,6 @@ def score_pairs(postings: DataFrame, roles: DataFrame, candidate: DataFrame, as_
         "seniority": classify.level_score(F.col("level.level"), F.col("level.years"), F.col("level.signal"), F.col("max_expected_years")),
     })
     both = both.withColumn("role_score", role_fit(F.col("role.score"), F.col("role.vetoed"), F.col("intent_semantic_score"), w))
-    q = quality(F.col("seniority.score"), F.col("skill.score"), F.col("candidate_semantic_score"), F.col("intent_semantic_score"), F.col("place.score"), F.col("age.score"), w=w)
     none = F.lit(None).cast("string")
     said = lambda part, yes, no: (F.array(F.when(F.col(f"{part}.score") >= yes, F.col(f"{part}.why"))), F.array(F.when(F.col(f"{part}.score") <= no, F.col(f"{part}.why"))))
     free = ~F.col("role.vetoed")
@@ -113,12 +190,47 @@ def score_pairs(postings: DataFrame, roles: DataFrame, candidate: DataFrame, as_
     level_for, level_against = said("seniority", 0.7, 0.3)
     place_for, place_against = said("place", 0.7, 0.3)
     missing = F.transform(F.slice("skill.missing", 1, 4), lambda x: F.concat(x, F.lit(" experience requested")))
-    return both.select(
-        "candidate_profile_id", "target_role_id", "job_id", "candidate_semantic_score", "intent_semantic_score", F.col("skill.score").alias("skill_score"), "role_score",
-        F.col("seniority.score").alias("seniority_score"), F.col("place.score").alias("location_score"), F.col("age.score").alias("recency_score"), final_score(F.col("role_score"), q, w).alias("final_score"),
+    rows = both.select(
+        *PAIR, "candidate_semantic_score", "intent_semantic_score", F.col("skill.score").alias("skill_score"), "role_score",
+        F.col("seniority.score").alias("seniority_score"), F.col("place.score").alias("location_score"), F.col("age.score").alias("recency_score"),
         _compact(F.slice("skill.matched", 1, 6), F.array(role_for), level_for, place_for, F.array(F.when(F.col("age.score") >= 0.85, F.col("age.why")))).alias("reasons"),
-        _compact(missing, F.array(role_against), level_against, place_against).alias("concerns"),
+        _compact(missing, F.array(role_against), level_against, place_against).alias("concerns"), "job_key", "role_key",
     )
+    return rows.withColumn("final_score", rules_score(w)).select(*MATCH_COLUMNS)
+
+
+def rules_score(w: Weights = Weights(), judged: Column | None = None) -> Column:
+    """The final score from the parts that a match row holds; without judged, of the rules alone."""
+    parts = ("seniority_score", "skill_score", "candidate_semantic_score", "intent_semantic_score", "location_score", "recency_score")
+    return final_score(F.col("role_score"), quality(*map(F.col, parts), judged=judged, w=w), w)
+
+
+SHORTLIST, PASS_OVER = "a recruiter would shortlist you (", "a recruiter would probably pass ("
+
+
+def with_judgement(matches: DataFrame, judged: DataFrame | None, w: Weights = Weights()) -> DataFrame:
+    """matches scored with the judgements there are, each taking the share w gives it, and what they say among reasons and concerns.
+
+    judged: PAIR and probability (that a recruiter would consider the candidate); of several for a pair the highest counts. What
+    an earlier judgement said goes, so that this can be done again. No row is scored anew: the parts are in it.
+    """
+    if judged is None or not w.judgement:
+        return matches
+    j = judged.groupBy(*PAIR).agg(F.max("probability").alias("__p"))
+    p = F.col("__p")
+    percent = F.concat(F.round(100 * p, 0).cast("int").cast("string"), F.lit("%)"))
+    kept = lambda c, start: F.filter(c, lambda x: ~x.startswith(start))
+    rows = matches.join(j, PAIR, "left")
+    rows = rows.withColumns({
+        "final_score": rules_score(w, p), "reasons": _compact(kept(F.col("reasons"), SHORTLIST), F.array(F.when(p >= 0.7, F.concat(F.lit(SHORTLIST), percent)))),
+        "concerns": _compact(kept(F.col("concerns"), PASS_OVER), F.array(F.when(p <= 0.3, F.concat(F.lit(PASS_OVER), percent)))),
+    })
+    return rows.select(*matches.columns)
+
+
+def judgements(matches: DataFrame) -> DataFrame:
+    """PAIR and probability of the judged matches. fit: struct with content_hash and would_be_considered."""
+    return matches.where("fit is not null").select(*PAIR, F.col("fit.would_be_considered").cast("double").alias("probability"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -136,6 +248,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
     return both.select(*(pick(c).alias(c) for c in old.columns))
 
 
+def answered(matches: DataFrame, answers: DataFrame) -> DataFrame:
+    """matches with the fits of newly answered pairs (PAIR and fit) in place of theirs."""
+    return upsert(matches, answers.join(matches.select(*PAIR), PAIR, "left_semi"), PAIR)
+
+
 def upsert_matches(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, new, ["candidate_profile_id", "target_role_id", "job_id"], keep=("fit",))
 

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, vectors
 from ..functions import text as T
-from ..operators import companies, crawl, ingest, lists, profiles, reports, retention, scoring, search
+from ..operators import companies, crawl, ingest, lists, profiles, reports, retention, scoring, search, vector_search
+from ..operators.tables import BucketTable, shared_folder
 from ..sources import boards, pages
+from ..streaming import crawls
 from .views import table, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 AS_OF = "2024-01-15 12:00:00"
+_COS = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])))"
 
 
 def query(sql: str | None = None):
@@ -69,17 +72,24 @@ def top_matches_text(spark, d):
 
 
 @query(f"""WITH {_STAR_SQL}, q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+  n AS (SELECT count(*) AS n FROM embeddings),
   near AS (SELECT vec_id, 1 - list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))) AS distance FROM embeddings, q),
-  hits AS (SELECT o.*, n.distance, CASE WHEN normalized_title ILIKE '%building%' OR normalized_name ILIKE '%building%' THEN 1 ELSE 0 END AS matched_words FROM open_ o LEFT JOIN near n ON n.vec_id = o.job_id % 500)
+  hits AS (SELECT o.*, near.distance, CASE WHEN normalized_title ILIKE '%building%' OR normalized_name ILIKE '%building%' THEN 1 ELSE 0 END AS matched_words FROM open_ o CROSS JOIN n LEFT JOIN near ON near.vec_id = o.job_id % n.n)
   {_PAGE_SQL}, matched_words, round(distance, 6) AS distance FROM hits WHERE matched_words > 0 OR distance <= 0.75""")
 def top_matches_hybrid(spark, d):
     e = table(spark, d, "embeddings")
-    one = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]  # the one vector that is asked for
-    rows = _star(spark, d).join(e.select("vec_id", "embedding"), F.col("job_id") % 500 == F.col("vec_id"), "left")
+    one = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]  # what a reader's query would be embedded to
+    rows = _with_vectors(_star(spark, d), "job_id", e)
     got = search.top_matches(rows, search.Filters(query="building", query_embedding=one, limit=None), at())
     return got.select(*_PAGE, "matched_words", F.round("distance", 6).alias("distance"))
 
 
+def _with_vectors(rows: DataFrame, key: str, e: DataFrame) -> DataFrame:
+    """rows with the embeddings dealt to them in turn by key."""
+    vectors_ = e.select(F.col("vec_id").alias("__vec"), "embedding")
+    return rows.crossJoin(e.agg(F.count("*").alias("__n"))).join(vectors_, F.col(key) % F.col("__n") == F.col("__vec"), "left").drop("__n", "__vec")
+
+
 @query(f"WITH {_STAR_SQL} SELECT count(*) AS n FROM open_ WHERE final_score >= 20 AND target_role_id = 3 AND (first_seen_at >= TIMESTAMP '2000-01-01' OR source_published_at >= TIMESTAMP '2000-01-01')")
 def count_top_matches(spark, d):
     return search.count_top_matches(_star(spark, d), search.Filters(min_score=20, target_role_id=3, within_days=1), at("2000-01-02 12:00:00"))
@@ -131,18 +141,81 @@ def match_score(spark, d):
     return m.select("job_id", "target_role_id", F.round(100 * (w.gate_floor + (1 - w.gate_floor) * fit) * scoring.quality(a, b, b, c, a, c, w=w), 4).alias("score"))
 
 
-@query()
-def score_pairs(spark, d):
-    """Every open posting against the seven roles and a candidate from the embeddings: places, levels, ages and vectors."""
+_CLAMPED = "greatest(0, least(1, (greatest(0, least(1, {x})) - {a}::DOUBLE) / {d}::DOUBLE))"
+_PAIRS_SQL = f"""WITH e AS (SELECT vec_id, embedding FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings),
+  p AS (SELECT p.*, e.embedding, lower(p.description) AS skill, epoch(TIMESTAMP '2001-08-01 00:00:00') - epoch(coalesce(source_published_at, first_seen_at)) AS age FROM v_postings p CROSS JOIN n LEFT JOIN e ON e.vec_id = p.id % n.n WHERE p.status = 'active'),
+  r AS (SELECT v_roles.*, e.embedding AS role_embedding, c.embedding AS candidate_embedding FROM v_roles LEFT JOIN e ON e.vec_id = v_roles.id CROSS JOIN (SELECT embedding FROM e WHERE vec_id = 9) c WHERE v_roles.enabled),
+  x AS (SELECT p.id AS job_id, r.id AS target_role_id, p.skill, coalesce({_CLAMPED.format(x=_COS.format(a='p.embedding', b='r.candidate_embedding'), a=0.15, d=0.40)}, 0.5) AS candidate_semantic_score,
+    coalesce({_CLAMPED.format(x=_COS.format(a='p.embedding', b='r.role_embedding'), a=0.10, d=0.40)}, 0.5) AS intent_semantic_score, CASE WHEN p.skill IN ('machinery', 'building') THEN 1.0::DOUBLE ELSE 0.0 END AS skill_score,
+    CASE WHEN p.country = 'Israel' THEN 1.0::DOUBLE ELSE 0.5 END AS location_score, CASE WHEN age < 86400 THEN 1.0::DOUBLE WHEN age < 259200 THEN 0.85 WHEN age < 604800 THEN 0.65 WHEN age < 1209600 THEN 0.4 WHEN age < 2592000 THEN 0.2 ELSE 0.1 END AS recency_score,
+    CASE WHEN age < 86400 THEN 'posted within the last 24 hours' WHEN age < 259200 THEN 'posted within the last 3 days' END AS fresh, regexp_matches(p.title, '(?i)\\blow\\b') AS vetoed,
+    regexp_matches(p.title, '(?i)\\bmachinery\\b') AS named, nullif(lower(regexp_extract(p.title, '(?i)\\b(urgent|high)\\b', 1)), '') AS word FROM p CROSS JOIN r),
+  y AS (SELECT *, CASE WHEN vetoed THEN 0.1::DOUBLE WHEN named THEN 1.0 WHEN word IS NOT NULL THEN 0.8 ELSE 0.3 END AS title_score FROM x),
+  z AS (SELECT *, CASE WHEN vetoed THEN title_score ELSE greatest(title_score, 0.6::DOUBLE * intent_semantic_score) END AS role_score FROM y)
+  SELECT job_id, target_role_id, round(candidate_semantic_score, 6) AS candidate_semantic_score, round(intent_semantic_score, 6) AS intent_semantic_score, skill_score, round(role_score, 6) AS role_score, 0.5::DOUBLE AS seniority_score, location_score, recency_score,
+    CAST(CAST(CAST(100 * (0.2::DOUBLE + 0.8::DOUBLE * role_score) * (0.45::DOUBLE * 0.5::DOUBLE + 0.30::DOUBLE * skill_score + 0.12::DOUBLE * candidate_semantic_score + 0.08::DOUBLE * intent_semantic_score + 0.03::DOUBLE * location_score + 0.02::DOUBLE * recency_score) AS VARCHAR) AS DECIMAL(18, 1)) AS DOUBLE) AS final_score,
+    concat_ws('; ', CASE WHEN skill_score = 1 THEN skill END, CASE WHEN vetoed THEN NULL WHEN named THEN 'title directly matches the target role' WHEN word IS NOT NULL THEN 'title/department matches keyword(s): ' || word
+      WHEN role_score >= 0.5 THEN 'reads like the target role, even though the title doesn''t say so' END, CASE WHEN location_score = 1 THEN 'located in Israel' END, fresh) AS reasons,
+    concat_ws('; ', CASE WHEN skill_score = 0 THEN skill || ' experience requested' END, CASE WHEN vetoed THEN 'title contains excluded term(s): low' WHEN title_score >= 0.7 OR role_score >= 0.5 THEN NULL
+      WHEN role_score <= 0.35 THEN 'doesn''t look like the role you''re looking for' ELSE 'no direct title/keyword match to the target role' END) AS concerns FROM z"""
+
+
+def _terms(*t: str) -> Column:
+    return F.array(*map(F.lit, t)).cast("array<string>")
+
+
+def _scored_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings with vectors dealt in turn, the seven roles, and a candidate from the embeddings."""
     e = table(spark, d, "embeddings")
-    p = view(spark, d, "v_postings").join(e.select("vec_id", "embedding"), F.col("id") % 500 == F.col("vec_id"), "left")
     none = F.lit(None).cast("string")
+    p = _with_vectors(view(spark, d, "v_postings"), "id", e)
     p = p.withColumns({"department": none, "qualifications": none, "responsibilities": none, "normalized_description": F.col("description"), "remote_type": F.lit("unknown"), "required_skills": F.array(F.lower("description")), "preferred_skills": F.array().cast("array<string>")})
-    terms = lambda *t: F.array(*map(F.lit, t)).cast("array<string>")
     r = view(spark, d, "v_roles").join(e.select("vec_id", "embedding"), F.col("id") == F.col("vec_id"), "left")
-    r = r.withColumns({"aliases": terms("machinery"), "positive_keywords": terms("urgent", "high"), "negative_keywords": terms("low")})
-    c = e.where("vec_id = 9").select(F.lit(1).cast("long").alias("candidate_id"), terms("machinery", "building").alias("skills"), "embedding")
-    return scoring.score_pairs(p, r, c, at("2001-08-01 00:00:00"))
+    r = r.withColumns({"aliases": _terms("machinery"), "positive_keywords": _terms("urgent", "high"), "negative_keywords": _terms("low")})
+    return p, r, e.where("vec_id = 9").select(F.lit(1).cast("long").alias("candidate_id"), _terms("machinery", "building").alias("skills"), "embedding")
+
+
+def _shown(matches: DataFrame) -> DataFrame:
+    six = {c: F.round(c, 6) for c in ("candidate_semantic_score", "intent_semantic_score", "role_score")}
+    lists = {c: F.array_join(c, "; ") for c in ("reasons", "concerns")}
+    return matches.withColumns(six | lists).select("job_id", "target_role_id", *scoring.SCORES, "reasons", "concerns")
+
+
+@query(_PAIRS_SQL)
+def score_pairs(spark, d):
+    """Every open posting against the seven roles and the candidate: skills, places, titles, ages and vectors."""
+    return _shown(scoring.score_pairs(*_scored_tables(spark, d), at("2001-08-01 00:00:00")))
+
+
+@query(_PAIRS_SQL)
+def score_pairs_maintained(spark, d):
+    """The same from scores of an earlier day, before some postings and a role were changed, some were closed and some were not there yet."""
+    p, r, c = _scored_tables(spark, d)
+    earlier = p.where("id % 7 <> 0").withColumns({"title": F.when(F.col("id") % 10 == 1, F.lit("Clerk")).otherwise(F.col("title")), "status": F.when(F.col("id") % 9 == 1, F.lit("active")).otherwise(F.col("status"))})
+    other = r.withColumn("positive_keywords", F.when(F.col("id") == 3, _terms("medium")).otherwise(F.col("positive_keywords")))
+    old = scoring.score_pairs(earlier, other, c, at("2001-07-20 00:00:00"), keys=True)
+    return _shown(scoring.maintained_scores(old, p, r, c, at("2001-08-01 00:00:00")))
+
+
+_PARTS_SQL = """m AS (SELECT job_id, target_role_id, skill_score AS role_score, intent_semantic_score AS seniority_score, skill_score, candidate_semantic_score, intent_semantic_score, skill_score AS location_score, intent_semantic_score AS recency_score FROM v_matches),
+  s AS (SELECT *, CASE WHEN job_id % 3 = 0 THEN candidate_semantic_score END AS p, 0.45::DOUBLE * seniority_score + 0.30::DOUBLE * skill_score + 0.12::DOUBLE * candidate_semantic_score + 0.08::DOUBLE * intent_semantic_score + 0.03::DOUBLE * location_score + 0.02::DOUBLE * recency_score AS rules FROM m)"""
+
+
+def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """v_matches with all parts of a score, and judgements of a third of them."""
+    m = view(spark, d, "v_matches")
+    none = F.array().cast("array<string>")
+    m = m.withColumns({"role_score": F.col("skill_score"), "seniority_score": F.col("intent_semantic_score"), "location_score": F.col("skill_score"), "recency_score": F.col("intent_semantic_score"), "reasons": none, "concerns": none})
+    return m, m.where("job_id % 3 = 0").select(*scoring.PAIR, F.col("candidate_semantic_score").alias("probability"))
+
+
+@query(f"""WITH {_PARTS_SQL} SELECT job_id, target_role_id, CAST(CAST(CAST(100 * (0.2::DOUBLE + 0.8::DOUBLE * role_score) * CASE WHEN p IS NULL THEN rules ELSE 0.7::DOUBLE * rules + 0.3::DOUBLE * p END AS VARCHAR) AS DECIMAL(18, 1)) AS DOUBLE) AS final_score,
+  CASE WHEN p >= 0.7 THEN concat('a recruiter would shortlist you (', CAST(round(100 * p) AS INT), '%)') END AS reason, CASE WHEN p <= 0.3 THEN concat('a recruiter would probably pass (', CAST(round(100 * p) AS INT), '%)') END AS concern FROM s""")
+def judged_scores(spark, d):
+    """Matches scored again with the judgements of a third of them."""
+    m, judged = _parts(spark, d)
+    got = scoring.with_judgement(m, judged, scoring.Weights(judgement=0.3))
+    return got.select("job_id", "target_role_id", "final_score", F.get("reasons", F.lit(0)).alias("reason"), F.get("concerns", F.lit(0)).alias("concern"))
 
 
 @query("""SELECT coalesce(n.target_role_id, o.target_role_id) AS target_role_id, coalesce(n.job_id, o.job_id) AS job_id, coalesce(n.candidate_profile_id, o.candidate_profile_id) AS candidate_profile_id,
@@ -156,17 +229,6 @@ def upsert_matches(spark, d):
     return scoring.upsert_matches(old, new)
 
 
-_COS = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])))"
-
-
-@query(f"""SELECT q.vec_id AS query_id, e.vec_id AS row_id, round(1 - {_COS.format(a='e.embedding', b='q.embedding')}, 6) AS distance
-  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - {_COS.format(a='e.embedding', b='q.embedding')}, e.vec_id) <= 10""")
-def cosine_topk(spark, d):
-    e = table(spark, d, "embeddings")
-    got = vectors.nearest(e, e.where("vec_id < 5"), 10, "vec_id", "vec_id", "embedding")
-    return got.select("query_id", "row_id", F.round("distance", 6).alias("distance"))
-
-
 @query(f"SELECT e.vec_id, round(greatest(0, least(1, (greatest(0, least(1, {_COS.format(a='e.embedding', b='q.embedding')})) - 0.15) / (0.55 - 0.15))), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q")
 def calibrated_similarity(spark, d):
     e = table(spark, d, "embeddings")
@@ -490,6 +552,18 @@ def agreement_report(spark, d):
     return got.withColumns({c: F.round(c, 9) for c in ("rules_pairwise", "judged_pairwise")})
 
 
+@query(f"""WITH {_PARTS_SQL}, f AS (SELECT job_id, arg_max(action, id) AS a FROM v_feedback GROUP BY job_id),
+  r AS (SELECT a IN ('interested','applied','saved') AS liked, CAST(CAST(CAST(100 * (0.2::DOUBLE + 0.8::DOUBLE * role_score) * rules AS VARCHAR) AS DECIMAL(18, 1)) AS DOUBLE) AS score, p FROM f JOIN s USING (job_id)),
+  x AS (SELECT sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) / count(*) AS a FROM r p, r n WHERE p.liked AND NOT n.liked),
+  y AS (SELECT sum(CASE WHEN p.p > n.p THEN 1.0 WHEN p.p = n.p THEN 0.5 ELSE 0 END) / count(*) AS b FROM r p, r n WHERE p.liked AND NOT n.liked AND p.p IS NOT NULL AND n.p IS NOT NULL)
+  SELECT count(*) FILTER (liked) AS positives, count(*) FILTER (NOT liked) AS negatives, round(max(a), 9) AS rules_pairwise, count(*) FILTER (liked AND p IS NOT NULL) AS judged_positives, count(*) FILTER (NOT liked AND p IS NOT NULL) AS judged_negatives, round(max(b), 9) AS judged_pairwise FROM r, x, y""")
+def agreement_recomputed(spark, d):
+    """The rules' score is computed from its parts, whatever share a judgement has in the stored one."""
+    m, judged = _parts(spark, d)
+    got = reports.agreement(view(spark, d, "v_feedback"), m, judged)
+    return got.withColumns({c: F.round(c, 9) for c in ("rules_pairwise", "judged_pairwise")})
+
+
 @query("SELECT job_id, target_role_id, CASE WHEN final_score >= 75 THEN 'great' WHEN final_score >= 65 THEN 'good' WHEN final_score >= 50 THEN 'fair' ELSE 'low' END AS tone FROM v_matches")
 def score_tone(spark, d):
     return view(spark, d, "v_matches").select("job_id", "target_role_id", reports.score_tone(F.col("final_score")).alias("tone"))
@@ -519,29 +593,69 @@ def role_score(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(s["score"], 2).alias("score"))
 
 
-@query(f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0) SELECT q.vec_id AS query_id, e.vec_id AS row_id, round(1 - {_COS.format(a='e.embedding', b='q.embedding')}, 6) + 0.0 AS distance
-  FROM embeddings e, q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - {_COS.format(a='e.embedding', b='q.embedding')}, e.vec_id) <= 10""")
-def cosine_topk_blocks(spark, d):
-    """Every row whose id is divisible by 20, against all rows."""
+_NEAR_SQL = f"SELECT q.vec_id AS query_id, e.vec_id AS row_id, round(1 - {_COS.format(a='e.embedding', b='q.embedding')}, 6) + 0.0 AS distance FROM embeddings e, q"
+_TOPK_SQL = f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0) {_NEAR_SQL}
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - {_COS.format(a='e.embedding', b='q.embedding')}, e.vec_id) <= 10"""
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All rows, and those that are asked for: every row whose id is divisible by 20."""
     e = table(spark, d, "embeddings")
-    got = vectors.nearest_in_blocks(e, e.where("vec_id % 20 = 0"), 10, "vec_id", "vec_id", "embedding")
-    return got.select("query_id", "row_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+    return e, e.where("vec_id % 20 = 0")
+
+
+def _distances(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "row_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+
+
+@query(_TOPK_SQL)
+def cosine_topk(spark, d):
+    """By the inverted file, with every list that its bounds cannot rule out."""
+    e, q = _vectors(spark, d)
+    return _distances(vector_search.InvertedFile(e, "vec_id", "embedding").search(q, 10, "vec_id", "embedding", exact=True))
+
 
+@query(_TOPK_SQL)
+def cosine_topk_blocks(spark, d):
+    e, q = _vectors(spark, d)
+    return _distances(vector_search.nearest_in_blocks(e, q, 10, "vec_id", "vec_id", "embedding"))
+
+
+@query()
+def vector_inverted_file(spark, d):
+    """Approximate: the lists in which 95 of 100 of the nearest rows of a sample are; tests compare it with the exact search."""
+    e, q = _vectors(spark, d)
+    return _distances(vector_search.InvertedFile(e, "vec_id", "embedding").search(q, 10, "vec_id", "embedding"))
 
-@query(f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0) SELECT q.vec_id AS query_id, e.vec_id AS row_id, round(1 - {_COS.format(a='e.embedding', b='q.embedding')}, 6) + 0.0 AS distance
-  FROM embeddings e, q WHERE 1 - {_COS.format(a='e.embedding', b='q.embedding')} <= 0.3""")
+
+@query(f"WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0) {_NEAR_SQL} WHERE 1 - {_COS.format(a='e.embedding', b='q.embedding')} <= 0.7")
 def vector_threshold_join(spark, d):
+    e, q = _vectors(spark, d)
+    return _distances(vector_search.within_distance(e, q, 0.7, "vec_id", "vec_id", "embedding"))
+
+
+def _blended(e: DataFrame) -> DataFrame:
+    """For each vector whose id is divisible by 20 the sum with the next one's: near to both, equal to none."""
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
+    total = F.zip_with("embedding", "after", lambda a, b: a.cast("double") + b.cast("double"))
+    return e.where("vec_id % 20 = 0").join(after, "vec_id").select("vec_id", total.alias("embedding"))
+
+
+_BLEND_SQL = "q AS (SELECT a.vec_id, list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE + x[2]::DOUBLE) AS embedding FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 = 0)"
+
+
+@query(f"WITH {_BLEND_SQL} {_NEAR_SQL} WHERE 1 - {_COS.format(a='e.embedding', b='q.embedding')} <= 0.4")
+def vector_blend_join(spark, d):
+    """Sums of two neighbours against all rows, within 0.4: mostly the two that were summed."""
     e = table(spark, d, "embeddings")
-    got = vectors.within_distance(e, e.where("vec_id % 20 = 0"), 0.3, "vec_id", "vec_id", "embedding")
-    return got.select("query_id", "row_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+    return _distances(vector_search.within_distance(e, _blended(e), 0.4, "vec_id", "vec_id", "embedding"))
 
 
 @query()
 def vector_lsh_join(spark, d):
-    """Approximate; tests compare it with the exact join."""
+    """As vector_blend_join, by bands of signs; approximate, tests compare it with the exact join."""
     e = table(spark, d, "embeddings")
-    got = vectors.lsh_join(e, e.where("vec_id % 20 = 0"), 0.3, "vec_id", "vec_id", "embedding")
-    return got.select("query_id", "row_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+    return _distances(vector_search.band_join(e, _blended(e), 0.4, "vec_id", "vec_id", "embedding"))
 
 
 @query("SELECT id, company_id, source_type, enabled FROM v_sources WHERE enabled AND source_type = 'lever' ORDER BY id")
@@ -677,3 +791,39 @@ def ingest_postings(spark, d):
     }).where(F.col("external_job_id").cast("long") % 3 != 0)
     after, _ = ingest.ingest_rows(rows, old.select(*names), runs, at("2024-01-02 00:00:00"), embed=lambda text: F.array(F.length(text).cast("float")))
     return after.select("source_id", "external_job_id", "title", "normalized_title", "location_text", "country", "region", "seniority", "experience_min_years", "employment_type", "action")
+
+
+def _landed(spark: SparkSession, d: str) -> DataFrame:
+    """The listings of v_snapshots, by six days each, as two answers of a board for each source and crawl."""
+    s = view(spark, d, "v_snapshots").select("source_id", "external_job_id", F.floor((F.col("crawl_no") - 1) / 6).cast("long").alias("crawl_id")).distinct()
+    item = F.struct(F.col("external_job_id").alias("id"), F.concat(F.lit("Developer "), "external_job_id").alias("title"), F.lit("Haifa, Israel").alias("location"), F.concat(F.lit("Text of "), "external_job_id").alias("descriptionPlain"))
+    jobs = s.groupBy("source_id", "crawl_id", F.pmod(F.xxhash64("external_job_id"), F.lit(2)).cast("int").alias("page_no")).agg(F.to_json(F.struct(F.collect_list(item).alias("jobs"))).alias("body"))
+    every = s.select("source_id", "crawl_id").distinct().withColumn("page_no", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = every.join(jobs, ["source_id", "crawl_id", "page_no"], "left").withColumn("fetched_at", F.timestamp_add("DAY", F.col("crawl_id"), at("2024-01-01 00:00:00")))
+    return rows.select("source_id", F.lit("ashby").alias("source_type"), "crawl_id", F.lit("listing").alias("kind"), "page_no", F.lit("https://x").alias("url"), "fetched_at", F.coalesce("body", F.lit('{"jobs": []}')).alias("body"), F.lit(2).alias("pages"), F.lit(None).cast("string").alias("listing_error"))
+
+
+@query("""WITH s AS (SELECT DISTINCT source_id, external_job_id, (crawl_no - 1) // 6 AS c FROM v_snapshots), k AS (SELECT DISTINCT source_id, c FROM s),
+  l AS (SELECT source_id, external_job_id, min(c) AS born, max(c) AS last FROM s GROUP BY ALL), g AS (SELECT l.*, (SELECT count(*) FROM k WHERE k.source_id = l.source_id AND k.c > l.last) AS missed, (SELECT max(c) FROM k WHERE k.source_id = l.source_id) AS latest FROM l)
+  SELECT source_id, external_job_id, concat('Developer ', external_job_id) AS title, 'haifa' AS region, CASE WHEN missed >= 3 THEN 'closed' ELSE 'active' END AS status, CAST(least(missed, 3) AS INT) AS missing_streak,
+    TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(born AS INT)) AS first_seen_at, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(last AS INT)) AS last_seen_at, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(latest AS INT)) AS applied_at FROM g""")
+def stream_crawls(spark, d):
+    """All snapshots through the stream into a new store, from which the postings are read."""
+    folder = shared_folder(spark, "stream")
+    crawls.land(_landed(spark, d), f"{folder}/landed")
+    store = crawls.PostingStore(spark, f"{folder}/postings", buckets=32)
+    crawls.stream_crawls(spark, f"{folder}/landed", store, f"{folder}/checkpoint", types=["ashby"]).awaitTermination()
+    return store.read().select("source_id", "external_job_id", "title", "region", "status", "missing_streak", "first_seen_at", "last_seen_at", "applied_at")
+
+
+@query("""SELECT coalesce(n.job_id, o.job_id) AS job_id, coalesce(n.target_role_id, o.target_role_id) AS target_role_id, CASE WHEN n.job_id IS NOT NULL THEN n.final_score ELSE o.final_score END AS final_score
+  FROM (SELECT * FROM v_matches WHERE job_id % 3 <> 0) o FULL JOIN (SELECT * REPLACE (final_score + 1 AS final_score) FROM v_matches WHERE job_id % 50 = 0) n ON o.job_id = n.job_id AND o.target_role_id = n.target_role_id""")
+def upsert_stored(spark, d):
+    """Matches of some postings into a stored table, whose other buckets stay as they are; done twice, as after a lost driver."""
+    m = view(spark, d, "v_matches").select("candidate_profile_id", "target_role_id", "job_id", "final_score")
+    stored = BucketTable(spark, f"{shared_folder(spark, 'matches')}/table", "candidate_profile_id long, target_role_id long, job_id long, final_score double", "job_id", buckets=64)
+    old = m.where("job_id % 3 <> 0")
+    stored.replace(old, stored.touched(old))
+    for _ in range(2):
+        stored.upsert(m.where("job_id % 50 = 0").withColumn("final_score", F.col("final_score") + 1), scoring.PAIR)
+    return stored.read().select("job_id", "target_role_id", "final_score")

@@ -350,8 +350,8 @@ def taleo_details(p: DataFrame) -> DataFrame:
 
 
 def js_strings(x: Column) -> Column:
-    """The single-quoted strings of a script's array."""
-    return F.transform(F.regexp_extract_all(x, F.lit(r"'((?:[^'\\]|\\.)*)'"), F.lit(1)), lambda s: F.regexp_replace(s, r"\\(.)", "$1"))
+    """The single-quoted strings of a script's array. Possessive, as a pattern that may turn back goes one call deeper with each character."""
+    return F.transform(F.regexp_extract_all(x, F.lit(r"(?s)'([^'\\]*+(?:\\.[^'\\]*+)*+)'"), F.lit(1)), lambda s: F.regexp_replace(s, r"\\(.)", "$1"))
 
 
 def decode_field(x: Column) -> Column:

@@ -112,17 +112,3 @@ def test_profiles(spark):
     fresh = profiles.add_profile(old, spark.createDataFrame([(9, "h3")], "id long, file_hash string"))
     assert sorted((r["id"], r["version"], r["is_active"]) for r in again.collect()) == [(1, 1, True), (2, 2, False)]
     assert sorted((r["id"], r["version"], r["is_active"]) for r in fresh.collect()) == [(1, 1, False), (2, 2, False), (9, 3, True)]
-
-
-def test_vector_joins(spark):
-    import random
-
-    rng = random.Random(4)
-    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) + (3 if i % 5 == j else 0) for j in range(8)]) for i in range(200)], "id long, v array<double>")
-    some = rows.where("id % 20 = 0")
-    exact = {(r["query_id"], r["row_id"]) for r in vectors.within_distance(rows, some, 0.3, "id", "id", "v").collect()}
-    near = {(r["query_id"], r["row_id"]) for r in vectors.lsh_join(rows, some, 0.3, "id", "id", "v").collect()}
-    assert near <= exact and len(near) >= 0.9 * len(exact)
-    plain = [(r["query_id"], r["row_id"]) for r in vectors.nearest(rows, some, 5, "id", "id", "v").orderBy("query_id", "rank").collect()]
-    dealt = [(r["query_id"], r["row_id"]) for r in vectors.nearest_in_blocks(rows, some, 5, "id", "id", "v", block_rows=30).orderBy("query_id", "rank").collect()]
-    assert plain == dealt

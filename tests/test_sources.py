@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from postlark import schemas
 from postlark.sources import boards, pages
-from postlark.streaming.crawls import CrawlState, stream_crawls
 
 
 def payloads(spark, *rows):
@@ -56,6 +55,8 @@ def test_small_parsers(spark):
     df = spark.createDataFrame([("var a=['x','it\\'s','!*!a%20b']",)], "s string")
     parts = df.select(F.transform(boards.js_strings(F.col("s")), boards.decode_field).alias("p")).first()["p"]
     assert parts == ["x", "it's", "a b"]
+    long = spark.createDataFrame([("['" + "a\\'b" * 250_000 + "','" + "x" * 1_000_000 + "']",)], "s string")
+    assert long.select(F.transform(boards.js_strings(F.col("s")), F.length).alias("n")).first()["n"] == [750_000, 1_000_000]
 
 
 def test_pages(spark):
@@ -67,15 +68,3 @@ def test_pages(spark):
     assert {r["page_id"]: r["t"] for r in p.select("page_id", pages.page_title(F.col("html")).alias("t")).collect()} == {1: None, 2: "Backend Developer"}
     feed = spark.createDataFrame([(1, '[{"Title":"Dev","ID":"7","Location":"X"},{"name":"QA"}]')], "k long, b string")
     assert [(r["at"], r["title"], r["id"]) for r in pages.feed_rows(feed, "k", "b").orderBy("at").collect()] == [(0, "Dev", "7"), (1, "QA", None)]
-
-
-def test_stream(spark, tmp_path):
-    schema = "source_id long, crawl_id long, ordinal long, external_job_id string, title string, content_hash string, fetch_error string, unavailable boolean, fetched_at timestamp"
-    state = CrawlState(spark, str(tmp_path / "state"))
-    for n, ids in enumerate((["a", "b"], ["a", "c"])):
-        rows = spark.createDataFrame([(1, n, i, x, x, "h", None, False) for i, x in enumerate(ids)], schema.rsplit(",", 1)[0]).withColumn("fetched_at", F.lit(f"2024-01-0{n + 1} 00:00:00").cast("timestamp"))
-        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        q = stream_crawls(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), state, str(tmp_path / "ck"))
-        q.awaitTermination()
-    got = {r["external_job_id"]: (r["status"], r["missing_streak"]) for r in state.read(1).collect()}
-    assert got == {"a": ("active", 0), "b": ("active", 1), "c": ("active", 0)}

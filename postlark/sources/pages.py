@@ -1,20 +1,18 @@
 """Plain career pages: links, which group of them lists jobs, titles and text; and lists of jobs in JSON that a page loaded.
 
-Each page is read into a small tree inside its task; all that compares links, pages and documents is columns.
+Pages come as rows of elements and text pieces; all that is read from them is columns and aggregates over these.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..functions import text as T
 from ..operators.companies import host_of
-from . import boards, dom
+from . import boards
+from .elements import around, pieces, said, squeezed, tag_of
 
 # Titles that are no posting's, and words of a page of search results.
 GENERIC = (
@@ -29,52 +27,82 @@ RESULTS = (
     r"(?iU)מצאנו\s+(?:עבורך|לך|עבורכם)?\s*\d+\s+משרות|נמצאו\s+\d+\s+משרות|\d+\s+משרות\s+נמצאו"
     r"|showing\s+\d+\s+(?:of\s+\d+\s+)?(?:jobs|results|positions)|\d+\s+(?:jobs|results|positions)\s+found"
 )
-MOST_LINKS, MOST_TITLE, MOST_PLACE, MOST_TEXT = 300, 120, 60, 20_000
-_LINKS = "page_id long, page_url string, ordinal long, href string, url string, title string, shape string"
-_PAGES = "page_id long, url string, h1 string, headings array<string>, og string, head string, form boolean, apply boolean, whole string, text string"
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-            if found := dom.links(html or "", url or ""):
-                columns = list(zip(*found, strict=True))
-                n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([page_id] * n, pa.int64()), pa.array([url] * n, pa.string()), pa.array(range(n), pa.int64()), *(pa.array(c, pa.string()) for c in columns)], [f.split()[0] for f in _LINKS.split(", ")])
-
+# What links and titles of postings look like, what says nothing, and what is no part of a posting's text.
+TITLE_CLASS = r"(?iU)\..*(?:title|position-name|job-name|role)"
+JOB_PATH = r"(?iU)job|career|position|vacanc|opening|opportunit|role|משרה|משרות|דרושים|קריירה"
+CALLS = (
+    r"(?iU)^(?:view(?: details?| job| position| more)?|read more|learn more|more info(?:rmation)?|details|apply(?: now| here)?|see (?:more|details|job)|open|go"
+    r"|לפרטים(?: נוספים)?|למשרה(?: המלאה)?|הגש(?:/י)? מועמדות|קרא(?:/י)? עוד|עוד|פרטים(?: נוספים)?)$"
+)
+APPLY = r"(?iU)apply|submit|הגש|הגישו|מועמדות|שלח(?:ו|/י)? קורות"
+SKIPPED = r"(?i)^(?:mailto:|tel:|javascript:|#)"
+FILES = r"(?i)\.(?:pdf|png|jpg|jpeg|gif|svg|zip|doc|docx)$"
+CHROME = ("script", "style", "nav", "header", "footer", "aside", "noscript", "form")
+LISTS = ("ul", "ol", "aside", "nav", "section", "div")
+MOST_TITLE, MOST_PLACE, LEAST_BODY, CARD = 120, 60, 400, 4
+_HEADING = r"^h[1-6]\."
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in _PAGES.split(", ")][2:]
-    types = [pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string()]
-    for batch in batches:
-        for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-            got = dom.job_page(html or "", url or "")
-            yield pa.RecordBatch.from_arrays([pa.array([page_id], pa.int64()), pa.array([url], pa.string()), *(pa.array([got[n]], t) for n, t in zip(names, types, strict=True))], ["page_id", "url", *names])
 
+def page_links(pages: DataFrame) -> DataFrame:
+    """page_id, page_url, ordinal, href, url, title and shape of each link with an address. Links of one list have one shape: the link and two elements around it.
 
-def _pages(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    A link's title is the first heading in it, or what its class calls a title; else its text, else its label. One that only
+    calls to act takes the first such name in the nearest of CARD elements around it. url is null for other schemes and files.
+    """
+    rows = pieces(pages)
+    href = F.trim(F.element_at("attributes", "href"))
+    link = (F.col("tag") == "a") & (href != "")
+    named = lambda e: e["mark"].rlike(_HEADING) | e["mark"].rlike(TITLE_CLASS)
+    # Of each link and each named element its texts, and what its own row says.
+    own = F.struct("url", href.alias("href"), "attributes", "path", "marks")
+    mine = F.when(F.col("tag").isNotNull(), F.filter(F.array(F.struct(F.col("at").alias("node"), F.element_at("marks", -1).alias("mark"))), lambda e: named(e) | (tag_of(e["mark"]) == "a")))
+    text_of = F.transform(around(lambda e: named(e) | (tag_of(e["mark"]) == "a")), lambda e: F.struct(e["node"].alias("node"), e["mark"].alias("mark")))
+    facts = rows.select("page_id", "at", "text", F.when(F.col("tag").isNotNull(), own).alias("own"), link.alias("link"), F.explode(F.coalesce(mine, text_of)).alias("of"))
+    things = facts.groupBy("page_id", F.col("of.node").alias("node")).agg(
+        F.first("of.mark").alias("mark"), F.first(F.when(F.col("of.node") == F.col("at"), F.col("own")), True).alias("own"), F.bool_or(F.coalesce("link", F.lit(False))).alias("link"), said(F.col("at"), F.coalesce("text", F.lit(""))).alias("said")
+    )
+    # To each element what is named inside it, and who asks for that: a link for itself and for the elements around it.
+    depth = F.size("own.path")
+    inner = F.when(named({"mark": F.col("mark")}) & (F.col("said") != ""), F.transform(F.slice("own.path", F.lit(1), depth - 1), lambda n: F.struct(n.alias("at"), F.struct((~F.col("mark").rlike(_HEADING)).alias("later"), F.col("node").alias("node"), F.col("said").alias("name")).alias("name"), F.lit(None).cast("int").alias("ask"), F.lit(None).cast("int").alias("far"))))
+    near = F.reverse(F.slice("own.path", F.greatest(F.lit(1), depth - CARD), F.least(depth, F.lit(CARD + 1))))
+    asks = F.when(F.col("link"), F.transform(near, lambda n, k: F.struct(n.alias("at"), F.lit(None).cast("struct<later:boolean,node:int,name:string>").alias("name"), F.col("node").alias("ask"), k.alias("far"))))
+    own_row = F.when(F.col("link"), F.struct("node", "own", "said"))
+    sent = things.select("page_id", own_row.alias("self"), F.explode(F.concat(F.coalesce(inner, F.array().cast(_SENT)), F.coalesce(asks, F.array().cast(_SENT)))).alias("x"))
+    met = sent.groupBy("page_id", F.col("x.at").alias("node")).agg(F.min("x.name").alias("name"), F.collect_list(F.when(F.col("x.ask").isNotNull(), F.struct(F.col("x.ask").alias("ask"), F.col("x.far").alias("far"), F.when(F.col("x.far") == 0, F.col("self")).alias("self")))).alias("asked"))
+    told = met.select("page_id", F.col("name.name").alias("name"), F.inline("asked"))
+    got = told.groupBy("page_id", F.col("ask").alias("node")).agg(
+        F.first("self", True).alias("self"), F.max(F.when(F.col("far") == 0, F.col("name"))).alias("inside"), F.min_by("name", F.when(F.col("name").isNotNull() & (F.col("far") > 0), F.col("far"))).alias("card")
+    )
+    label = F.array(*(squeezed(F.element_at("self.own.attributes", k)) for k in ("aria-label", "title")))
+    title = F.coalesce("inside", F.nullif(F.col("self.said"), F.lit("")), F.get(F.filter(label, lambda x: x != ""), F.lit(0)), F.lit(""))
+    title = F.when(title.rlike(CALLS), F.coalesce("card", F.lit(""))).otherwise(title)
+    shape = F.transform(F.reverse(F.slice("self.own.marks", F.greatest(F.lit(1), F.size("self.own.marks") - 2), F.lit(3))), lambda m: F.substring_index(m, " ", 1))
+    href, url = F.col("self.own.href"), F.col("self.own.url")
+    target = absolute(url, href)
+    order = Window.partitionBy("page_id").orderBy("node")
+    return got.select(
+        "page_id", url.alias("page_url"), (F.row_number().over(order) - 1).cast("long").alias("ordinal"), href.alias("href"),
+        F.when(~href.rlike(SKIPPED) & target.rlike("^https?://") & ~_path(target).rlike(FILES), target).alias("url"), title.alias("title"), F.array_join(shape, ">").alias("shape"),
+    )
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """page_id, page_url, ordinal, href, url, title and shape of each link with an address. Links of one list have one shape: the link and two elements around it."""
-    return _pages(pages).mapInArrow(_links, _LINKS)
+_SENT = "array<struct<at:int,name:struct<later:boolean,node:int,name:string>,ask:int,far:int>>"
 
 
 def _path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1)
 
 
-def job_links(pages: DataFrame) -> DataFrame:
+def job_links(pages: DataFrame, most: int | None = None) -> DataFrame:
     """page_id, ordinal, url, title of the links that list a page's jobs.
 
     The group of links of one shape with the most that look like jobs, and strays whose title and path both do;
-    each address once, in page order, MOST_LINKS of them.
+    each address once, in page order; of a page the first ``most``, or all.
     """
     said = F.length("title").between(3, MOST_TITLE) & ~F.col("title").rlike(NAVIGATION) & F.col("title").rlike("[A-Za-z\u0590-\u05ff]")
     links = page_links(pages).where(F.col("url").isNotNull() & said)
     links = links.where((T.registrable_host(host_of(F.col("url"))) == T.registrable_host(host_of(F.col("page_url")))) & (F.col("url") != F.regexp_replace("page_url", "#.*$", "")))
-    named, path = F.col("title").rlike(T.ROLE_WORDS), _path(F.col("url")).rlike(f"(?iU){dom.JOB_PATH.pattern}")
+    named, path = F.col("title").rlike(T.ROLE_WORDS), _path(F.col("url")).rlike(JOB_PATH)
     links = links.withColumns({"named": named, "jobish": named | path, "both": named & path})
     groups = links.groupBy("page_id", "shape").agg(F.count("*").alias("n"), F.count_if("jobish").alias("jobs"), F.min("ordinal").alias("first"))
     best = Window.partitionBy("page_id").orderBy(F.desc("jobs"), "first")
@@ -82,13 +110,13 @@ def job_links(pages: DataFrame) -> DataFrame:
     members = links.join(chosen, ["page_id", "shape"], "left_semi")
     once, order = Window.partitionBy("page_id", "url").orderBy("ordinal"), Window.partitionBy("page_id").orderBy("ordinal")
     both = members.unionByName(links.where("both")).select("page_id", "ordinal", "url", "title")
-    first = both.withColumn("__n", F.row_number().over(once)).where("__n = 1")
-    return first.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= MOST_LINKS).drop("__n")
+    first = both.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    return first if most is None else first.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
 
 
 def link_groups(pages: DataFrame) -> DataFrame:
     """How many links of each shape a page has, and how many of them look like jobs."""
-    jobish = F.col("title").rlike(T.ROLE_WORDS) | F.coalesce(_path(F.col("url")).rlike(f"(?iU){dom.JOB_PATH.pattern}"), F.lit(False))
+    jobish = F.col("title").rlike(T.ROLE_WORDS) | F.coalesce(_path(F.col("url")).rlike(JOB_PATH), F.lit(False))
     return page_links(pages).groupBy("page_id", "shape").agg(F.count("*").alias("links"), F.count_if(jobish).alias("jobs"))
 
 
@@ -101,22 +129,79 @@ def _first_good(*options: Column) -> Column:
     return F.get(F.filter(F.array(*options), lambda t: ~generic_title(t) & (F.length(t) <= MOST_TITLE)), F.lit(0))
 
 
-def first_title_like_line(text: Column) -> Column:
-    """Of the first eight lines the first that says something."""
-    lines = F.transform(F.slice(F.split(text, "\n"), 1, 8), lambda t: F.trim(t))
-    return F.get(F.filter(lines, lambda t: ~generic_title(t) & (F.length(t) <= MOST_TITLE)), F.lit(0))
+def _lines(text: Column, most: int | None) -> Column:
+    lines = F.split(text, "\n")
+    return F.transform(lines if most is None else F.slice(lines, 1, most), lambda t: F.trim(t))
 
 
-def guess_location(text: Column) -> Column:
-    """Of the first thirty lines the first short one that names a known place."""
-    lines = F.transform(F.slice(F.split(text, "\n"), 1, 30), lambda t: F.trim(t))
-    short = F.filter(lines, lambda t: (t != "") & (F.length(t) <= MOST_PLACE))
+def first_title_like_line(text: Column, most: int | None = None) -> Column:
+    """The first line that says something, of the first ``most`` or of all."""
+    return F.get(F.filter(_lines(text, most), lambda t: ~generic_title(t) & (F.length(t) <= MOST_TITLE)), F.lit(0))
+
+
+def guess_location(text: Column, most: int | None = None) -> Column:
+    """The first short line that names a known place, of the first ``most`` or of all."""
+    short = F.filter(_lines(text, most), lambda t: (t != "") & (F.length(t) <= MOST_PLACE))
     return F.get(F.filter(short, lambda t: (classify.country(t) == "Israel") | classify.clearly_abroad(t)), F.lit(0))
 
 
-def page_read(pages: DataFrame) -> DataFrame:
-    """page_id, url and what the page says: h1, headings, og, head, form, apply, whole, text."""
-    return _pages(pages).mapInArrow(_read, _PAGES)
+def page_heads(pages: DataFrame) -> DataFrame:
+    """page_id, url and what stands at the top of a page: h1, headings (four of h2 and h3), og, head (the title up to a bar or dash); whole, its text; form and apply, whether it can be answered."""
+    heads = ("h1", "h2", "h3", "title", "a", "button")
+    rows = pieces(pages.select("page_id", "url", "html"))
+    inside = around(lambda e: tag_of(e["mark"]).isin(*heads))
+    # A text goes to each of these around it, an element to itself; all go to the page, under 0.
+    to = F.concat(F.array(F.struct(F.lit(0).alias("node"), F.lit("page.").alias("mark"))), F.transform(inside, lambda e: F.struct(e["node"].alias("node"), e["mark"].alias("mark"))))
+    attribute = lambda name: F.element_at("attributes", name)
+    facts = rows.select("page_id", "url", "at", "text", "tag", F.explode(to).alias("of"), F.when((F.col("tag") == "meta") & (attribute("property") == "og:title"), F.trim(attribute("content"))).alias("og"), F.when(F.col("tag") == "a", attribute("href")).alias("href"))
+    things = facts.groupBy("page_id", "of.node", tag_of(F.col("of.mark")).alias("tag")).agg(
+        F.first("url").alias("url"), said(F.col("at"), F.coalesce("text", F.lit(""))).alias("said"), F.min_by("og", F.when(F.col("og").isNotNull(), F.col("at"))).alias("og"), F.max("href").alias("href"), F.bool_or(F.col("tag") == "form").alias("form")
+    )
+    when = lambda tag, value: F.when(F.col("tag").isin(*tag) if isinstance(tag, tuple) else F.col("tag") == tag, value)
+    first = lambda tag: F.min(when(tag, F.struct("node", "said")))["said"]
+    answers = F.col("said").rlike(APPLY) | F.coalesce(F.col("href").rlike(APPLY), F.lit(False))
+    some = F.transform(F.slice(F.array_sort(F.collect_list(when(("h2", "h3"), F.struct("node", "said")))), 1, 4), lambda x: x["said"])
+    got = things.groupBy("page_id").agg(
+        F.first("url").alias("url"), first("h1").alias("h1"), some.alias("headings"), F.max(when("page", F.col("og"))).alias("og"), F.trim(F.regexp_replace(first("title"), r"\s*(?:\|| - ).*$", "")).alias("head"),
+        F.coalesce(F.bool_or(when("page", F.col("form"))), F.lit(False)).alias("form"), F.coalesce(F.bool_or(when(("a", "button"), answers)), F.lit(False)).alias("apply"), F.coalesce(F.max(when("page", F.col("said"))), F.lit("")).alias("whole"),
+    )
+    blank = {c: F.coalesce(c, F.lit("")) for c in ("h1", "og", "head")}
+    every = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("__url"))
+    none = F.array().cast("array<string>")
+    full = every.join(got, "page_id", "left").withColumns(blank | {"headings": F.coalesce("headings", none), "url": F.col("__url"), "form": F.coalesce("form", F.lit(False)), "apply": F.coalesce("apply", F.lit(False)), "whole": F.coalesce("whole", F.lit(""))})
+    return full.drop("__url")
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """page_id and the text of the posting that a page describes, a line for each block.
+
+    Chrome is left out, and so are lists with three or more links to postings that make up half of their text. Of the rest the
+    innermost element around the first h1 with LEAST_BODY letters counts, else the first main part or article, else the page.
+    """
+    rows = pieces(pages.select("page_id", "url", "html")).where("text is not null and tag is null")
+    rows = rows.where(~F.exists(around(), lambda e: tag_of(e["mark"]).isin(*CHROME)))
+    size = F.length(squeezed(F.col("text")))
+    rows = rows.withColumns({"size": size, "job": F.coalesce(_path(absolute(F.col("url"), F.col("link"))).rlike(JOB_PATH), F.lit(False))})
+    spread = rows.select("page_id", "at", "path", "line", "text", "size", "job", "link", F.explode_outer(around()).alias("of"))
+    node = Window.partitionBy("page_id", "of.node")
+    links = F.size(F.collect_set(F.when(F.col("job"), F.col("link"))).over(node))
+    dense = tag_of(F.col("of.mark")).isin(*LISTS) & (links >= 3) & (2 * F.sum(F.when(F.col("job"), F.col("size")).otherwise(0)).over(node) >= F.sum("size").over(node)) & (F.sum("size").over(node) > 0)
+    marked = spread.withColumn("dense", F.coalesce(dense, F.lit(False)))
+    piece, page = Window.partitionBy("page_id", "at"), Window.partitionBy("page_id")
+    left = marked.withColumn("gone", F.max("dense").over(piece)).where("not gone")
+    tag, where = tag_of(F.col("of.mark")), F.col("of.node")
+    left = left.withColumn("h1", F.min(F.when(tag == "h1", where)).over(page))
+    left = left.withColumns({"letters": F.sum("size").over(node), "over": F.coalesce(F.max(F.array_contains("path", F.col("h1")) & (where < F.col("h1"))).over(node), F.lit(False))})
+    rank = (
+        F.when(F.col("over") & (F.col("letters") >= LEAST_BODY) & ~tag.isin("html", "body"), F.struct(F.lit(3).alias("kind"), F.col("of.depth").alias("order"), where.alias("node")))
+        .when(tag.isin("main", "article"), F.struct(F.lit(2).alias("kind"), (-where).alias("order"), where.alias("node")))
+    )
+    chosen = left.withColumn("body", F.max(rank).over(page)["node"]).where(F.col("body").isNull() | (where == F.col("body")))
+    once = chosen.groupBy("page_id", "at").agg(F.first("line").alias("line"), F.first("text").alias("text"))
+    lines = once.groupBy("page_id", "line").agg(said(F.col("at"), F.col("text")).alias("said")).where("said <> ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "said"))), lambda x: x["said"]), "\n")
+    got = lines.groupBy("page_id").agg(text.alias("text"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id")).join(got, "page_id", "left").select("page_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def page_title(html: Column) -> Column:
@@ -129,7 +214,7 @@ def page_title(html: Column) -> Column:
 
 def page_titles(pages: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """page_id and the first title that says something: the h1, what the listing called it, further headings, og:title, the document's."""
-    rows = page_read(pages).select("page_id", "h1", "headings", "og", "head")
+    rows = page_heads(pages).select("page_id", "h1", "headings", "og", "head")
     stub = F.lit(None).cast("string")
     if listed is not None:
         rows, stub = rows.join(listed.select("page_id", F.col("title").alias("listed")), "page_id", "left"), F.col("listed")
@@ -137,24 +222,19 @@ def page_titles(pages: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     return rows.select("page_id", F.coalesce(_first_good(F.col("h1"), stub, *more, F.col("og"), F.col("head")), stub).alias("title"))
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
-    """page_id and the text of the posting that the page describes."""
-    return page_read(pages).select("page_id", "text")
-
-
 def is_listing_page(pages: DataFrame) -> DataFrame:
     """page_id and links of pages that list several jobs rather than describe one."""
     n = job_links(pages).groupBy("page_id").agg(F.count("*").alias("links"))
-    rows = page_read(pages).select("page_id", "whole", "form", "apply").join(n, "page_id")
+    rows = page_heads(pages).select("page_id", "whole", "form", "apply").join(n, "page_id")
     counted, bare = F.col("whole").rlike(RESULTS), ~F.col("form") & ~F.col("apply")
     return rows.where((F.col("links") >= 2) & (counted | ((F.col("links") >= 5) & bare))).select("page_id", "links")
 
 
-def page_details(pages: DataFrame, stubs: DataFrame | None = None) -> DataFrame:
+def page_details(pages: DataFrame, stubs: DataFrame | None = None, most_text: int | None = None) -> DataFrame:
     """What each page says of one posting: page_id, title, location_text, employment_type, description, source_published_at, source_updated_at, listing.
 
     Structured data counts first; a page that lists several jobs (listing) describes none; else title, place and text
-    are read from the page. stubs: page_id, title as the listing had it.
+    are read from the page. stubs: page_id, title as the listing had it. most_text: where a text is cut; nowhere by default.
     """
     payloads = pages.select(F.col("page_id").alias("source_id"), F.lit(0).cast("long").alias("crawl_id"), "url", F.lit(0).alias("page_no"), F.col("html").alias("body"))
     first = Window.partitionBy("source_id").orderBy("ordinal")
@@ -166,7 +246,7 @@ def page_details(pages: DataFrame, stubs: DataFrame | None = None) -> DataFrame:
         F.lit(True).alias("ld"),
     )
     several = is_listing_page(pages).select("page_id", F.lit(True).alias("several"))
-    read = page_read(pages).select("page_id", "h1", "headings", "og", "head", "text")
+    read = page_heads(pages).select("page_id", "h1", "headings", "og", "head").join(page_texts(pages), "page_id")
     stub = stubs.select("page_id", F.col("title").alias("stub")) if stubs is not None else read.select("page_id", F.lit(None).cast("string").alias("stub"))
     rows = read.join(stub, "page_id", "left").join(ld, "page_id", "left").join(several, "page_id", "left")
     has = F.coalesce("ld", F.lit(False))
@@ -176,7 +256,7 @@ def page_details(pages: DataFrame, stubs: DataFrame | None = None) -> DataFrame:
     own = lambda structured, read_: F.when(has, structured).when(~listing, read_)
     return rows.select(
         "page_id", own(F.coalesce("ld_title", "stub"), title).alias("title"), own(F.col("ld_place"), guess_location(F.col("text"))).alias("location_text"),
-        F.coalesce("ld_employment", F.lit("unknown")).alias("employment_type"), own(F.col("ld_text"), F.nullif(F.substr("text", F.lit(1), F.lit(MOST_TEXT)), F.lit(""))).alias("description"),
+        F.coalesce("ld_employment", F.lit("unknown")).alias("employment_type"), own(F.col("ld_text"), F.nullif(F.col("text") if most_text is None else F.substr("text", F.lit(1), F.lit(most_text)), F.lit(""))).alias("description"),
         F.col("ld_published").alias("source_published_at"), F.col("ld_updated").alias("source_updated_at"), listing.alias("listing"),
     )
 
@@ -203,7 +283,9 @@ FEED_KEYS = {
     "employment": ("employmenttype", "jobtype", "scope", "tp"),
 }
 FEED_TEXTS = ("jobdescription", "description", "requirements", "summary", "body", "content", "text", "details", "dc")
-LEAST_ROWS, MOST_DEPTH, MOST_ROWS, LEAST_SHARE = 3, 6, 500, 0.4
+LEAST_ROWS, LEAST_SHARE = 3, 0.4
+#: Levels of a document that lists are looked for in: a step of the plan each, so that there has to be an end.
+LEVELS = 6
 
 
 def feed_value(row: Column, *keys: str) -> Column:
@@ -220,34 +302,35 @@ def feed_value(row: Column, *keys: str) -> Column:
     return F.coalesce(*map(one, keys))
 
 
-def feed_lists(documents: DataFrame, key: str, body: str) -> DataFrame:
-    """key, document, list, n, at, row (map of JSON texts) of every object in a list of LEAST_ROWS or more, MOST_DEPTH levels deep. documents: key, document, body."""
+def feed_lists(documents: DataFrame, key: str, body: str, levels: int = LEVELS) -> DataFrame:
+    """key, document, list, n, at, row (map of JSON texts) of every object in a list of LEAST_ROWS or more, up to ``levels`` deep. documents: key, document, body."""
     objects = lambda x: F.ltrim(x).startswith("{")
     level = documents.select(key, "document", F.lit("$").alias("list"), F.col(body).alias("node"))
     found = None
-    for depth in range(MOST_DEPTH + 1):
+    for depth in range(levels + 1):
         items = F.from_json("node", "array<string>")
         rows = F.filter(items, objects)
         lists = level.where(F.ltrim("node").startswith("[") & (F.size(rows) >= LEAST_ROWS)).select(key, "document", "list", rows.alias("rows"))
         found = lists if found is None else found.unionByName(lists)
-        if depth < MOST_DEPTH:
-            # Of a list the first fifty members are looked into, of an object all.
-            members = F.when(F.ltrim("node").startswith("["), F.slice(items, 1, 50)).when(objects(F.col("node")), F.map_values(F.from_json("node", "map<string,string>")))
+        if depth < levels:
+            members = F.when(F.ltrim("node").startswith("["), items).when(objects(F.col("node")), F.map_values(F.from_json("node", "map<string,string>")))
             level = level.select(key, "document", "list", F.posexplode(members).alias("k", "node")).where(F.ltrim("node").rlike(r"^[\[{]"))
             level = level.select(key, "document", F.concat("list", F.lit("/"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("list"), "node")
     out = found.select(key, "document", "list", F.posexplode("rows").alias("at", "json"))
     return out.select(key, "document", "list", "at", F.from_json("json", "map<string,string>").alias("row"))
 
 
-def pick_job_feed(documents: DataFrame, key: str = "page_id", body: str = "body") -> DataFrame:
-    """The rows of the list, of all in a page's documents, whose titles most look like jobs': key, at, row; ties go to the longer, then the first list."""
-    rows = feed_lists(documents, key, body).withColumn("title", feed_value(F.col("row"), *FEED_KEYS["title"])).where("title is not null")
+def pick_job_feed(documents: DataFrame, key: str = "page_id", body: str = "body", most: int | None = None, levels: int = LEVELS) -> DataFrame:
+    """The rows of the list, of all in a page's documents, whose titles most look like jobs': key, at, row; ties go to the longer, then the first list. Of its rows the first ``most``, or all."""
+    rows = feed_lists(documents, key, body, levels).withColumn("title", feed_value(F.col("row"), *FEED_KEYS["title"])).where("title is not null")
     share = F.avg(F.when(T.looks_like_job_title(F.col("title")), 1.0).otherwise(0.0))
     lists = rows.groupBy(key, "document", "list").agg(F.count("*").alias("n"), share.alias("share")).where((F.col("n") >= LEAST_ROWS) & (F.col("share") >= LEAST_SHARE))
     best = Window.partitionBy(key).orderBy(F.desc("share"), F.desc("n"), "document", "list")
     chosen = lists.withColumn("__n", F.row_number().over(best)).where("__n = 1").select(key, "document", "list")
     order = Window.partitionBy(key).orderBy("at")
-    kept = rows.join(chosen, [key, "document", "list"], "left_semi").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= MOST_ROWS)
+    kept = rows.join(chosen, [key, "document", "list"], "left_semi")
+    if most is not None:
+        kept = kept.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
     return kept.select(key, "at", "row")
 
 
@@ -266,6 +349,10 @@ def feed_postings(rows: DataFrame, pages: DataFrame, key: str = "page_id") -> Da
     )
 
 
+#: Steps up (..) in one address that are followed.
+STEPS_UP = 3
+
+
 def absolute(base: Column, href: Column) -> Column:
     """href against the page's address, without its fragment."""
     scheme, root = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1), F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+", 0)
@@ -275,4 +362,7 @@ def absolute(base: Column, href: Column) -> Column:
         F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, F.lit(":"), h)).when(h.startswith("/"), F.concat(root, h))
         .when(h == "", base).otherwise(F.concat(F.when(F.length(folder) > F.length(root), folder).otherwise(F.concat(root, F.lit("/"))), h))
     )
+    out = F.regexp_replace(out, r"(?<=/)(?:\./)+", "")
+    for _ in range(STEPS_UP):
+        out = F.regexp_replace(out, r"^([^:]+://[^/?#]+(?:/[^?#]*?)?)/(?:(?!\.\./)[^/?#]+/)?\.\./", "$1/")
     return T.safe_link(out)

@@ -8,15 +8,15 @@ from postlark import schemas
 from postlark.functions import classify, vectors
 from postlark.functions import text as T
 from postlark.operators import companies, profiles
-from postlark.sources import boards, dom, pages
+from postlark.sources import boards, pages
 
 LONG = "We build things that many people use each day, and we look for one who likes to do so with us. " * 6
 
 
-def test_link_titles_and_shapes():
+def test_link_titles_and_shapes(spark):
     page = """<ul class="list"><li class="card x"><h3>Backend Developer</h3><a href="/jobs/1#top">View details</a></li><li class="card"><a href="/jobs/2"><h4>Data <b>Engineer</b></h4><span>Full time</span></a></li>
     <li class="card"><a href="mailto:x@y.z">mail</a></li><li class="card"><a href="/cv.pdf" aria-label="CV">  </a></li></ul>"""
-    got = dom.links(page, "https://www.acme.com/careers")
+    got = [tuple(r)[3:] for r in pages.page_links(spark.createDataFrame([(1, "https://www.acme.com/careers", page)], "page_id long, url string, html string")).orderBy("ordinal").collect()]
     assert [x[1:3] for x in got] == [("https://www.acme.com/jobs/1", "Backend Developer"), ("https://www.acme.com/jobs/2", "Data Engineer"), (None, "mail"), (None, "CV")]
     assert {x[3] for x in got} == {"a.>li.card>ul.list"}
 

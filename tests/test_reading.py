@@ -62,6 +62,35 @@ def test_skills(spark):
     assert column(spark, C.normalize_skill, [" NodeJS ", "Excel  Macros"]) == ["node.js", "excel macros"]
 
 
+def test_skill_spans_by_blanking():
+    """Against blanking one name after the other, longest first, over texts in which names overlap and touch."""
+    import random
+    import re
+
+    from postlark.functions.vocabulary import SKILL_NAMES, SKILL_NOUNS
+
+    names = {a: n for n, aliases in SKILL_NAMES.items() for a in aliases if a not in SKILL_NOUNS}
+
+    def blanked(text):
+        low, found = text.lower(), set()
+        for alias in sorted(names, key=lambda a: (-len(a), a)):
+            if names[alias] in found:
+                continue
+            e = re.escape(alias)
+            pattern = rf"(?<![\w.@]){e}\b" if alias == ".net" else e if re.search(r"[.+#]", alias) else rf"\b{e}\b"
+            if re.search(pattern, low):
+                found.add(names[alias])
+                low = re.sub(pattern, lambda m: " " * len(m[0]), low)
+        return sorted(found)
+
+    rng = random.Random(3)
+    parts = [*names, *(w for a in names for w in re.split(r"([\s.])", a) if w), " ", " ", "-", "/", ", ", "x", "\n"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+        assert [s for s in C.skills_in(text) if s not in SKILL_NOUNS] == [s for s in blanked(text) if s not in SKILL_NOUNS], text
+    assert C.skills_in("vb.net and asp.net core, react native apps with Go") == ["c#", "go", "react"]
+
+
 def test_role_score(spark):
     terms = lambda *t: F.array(*map(F.lit, t)).cast("array<string>")
     score = lambda x: C.role_score(x, F.lit(None).cast("string"), F.lit("Software Engineer"), terms("Backend Dev"), terms("java", "cloud"), terms("manager", ""))["score"]

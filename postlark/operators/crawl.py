@@ -118,20 +118,41 @@ def append_runs(counts: DataFrame, as_of: Column, path: str) -> None:
     counts.withColumn("started_at", as_of).write.mode("append").parquet(path)
 
 
-def missing_streaks(snapshots: DataFrame, crawls: DataFrame) -> DataFrame:
-    """Replay: for every posting and crawl since it was first listed, how many crawls in a row have missed it.
+def numbered_crawls(crawls: DataFrame) -> DataFrame:
+    """source_id, crawl_no and n, the crawl's number among its source's."""
+    return crawls.select("source_id", "crawl_no").distinct().withColumn("n", F.row_number().over(Window.partitionBy("source_id").orderBy("crawl_no")))
+
 
-    snapshots: source_id, external_job_id, crawl_no; crawls: source_id, crawl_no. The crawls of a source are numbered;
-    a listing then covers the numbers up to the posting's next one, and each of them is a row.
+def streak_islands(snapshots: DataFrame, crawls: DataFrame) -> DataFrame:
+    """How a posting was listed and missed since it first was, a row for each change: source_id, external_job_id, first, last (numbers of crawls), missing.
+
+    In a row without missing every crawl listed the posting; in one with it none did, and the k-th is a streak of k.
+    snapshots: source_id, external_job_id, crawl_no; crawls: source_id, crawl_no.
     """
-    numbered = crawls.select("source_id", "crawl_no").distinct().withColumn("n", F.row_number().over(Window.partitionBy("source_id").orderBy("crawl_no")))
-    last = numbered.groupBy("source_id").agg(F.max("n").alias("last"))
-    seen = snapshots.select("source_id", "external_job_id", "crawl_no").distinct().join(numbered, ["source_id", "crawl_no"]).join(last, "source_id")
-    order = Window.partitionBy("source_id", "external_job_id").orderBy("n")
-    until = F.coalesce(F.lead("n").over(order) - 1, F.col("last"))
-    islands = seen.withColumn("until", until).select("source_id", "external_job_id", "n", F.explode(F.sequence("n", "until")).alias("at"))
-    every = islands.select("source_id", "external_job_id", "at", (F.col("at") - F.col("n")).cast("long").alias("missing_streak"))
-    return every.join(numbered.withColumnRenamed("n", "at"), ["source_id", "at"]).select("source_id", "external_job_id", "crawl_no", "missing_streak")
+    numbered = numbered_crawls(crawls)
+    end = numbered.groupBy("source_id").agg(F.max("n").alias("end"))
+    seen = snapshots.select("source_id", "external_job_id", "crawl_no").distinct().join(numbered, ["source_id", "crawl_no"]).drop("crawl_no")
+    posting = Window.partitionBy("source_id", "external_job_id")
+    # Crawls that follow each other keep their distance from their place among the posting's.
+    runs = seen.withColumn("run", F.col("n") - F.row_number().over(posting.orderBy("n"))).groupBy("source_id", "external_job_id", "run").agg(F.min("n").alias("first"), F.max("n").alias("last"))
+    after = F.coalesce(F.lead("first").over(posting.orderBy("first")) - 1, F.col("end"))
+    both = runs.join(end, "source_id").withColumn("until", after)
+    listed = F.struct(F.col("first").alias("first"), F.col("last").alias("last"), F.lit(False).alias("missing"))
+    missed = F.when(F.col("until") > F.col("last"), F.struct((F.col("last") + 1).alias("first"), F.col("until").alias("last"), F.lit(True).alias("missing")))
+    return both.select("source_id", "external_job_id", F.inline(F.array_compact(F.array(listed, missed))))
+
+
+def streak_at(islands: DataFrame, at: DataFrame) -> DataFrame:
+    """source_id, external_job_id, n, missing_streak of every posting known at some crawls (at: source_id, n)."""
+    rows = islands.join(at.select("source_id", "n"), "source_id").where(F.col("n").between(F.col("first"), F.col("last")))
+    return rows.select("source_id", "external_job_id", "n", F.when(F.col("missing"), F.col("n") - F.col("first") + 1).otherwise(0).cast("long").alias("missing_streak"))
+
+
+def missing_streaks(snapshots: DataFrame, crawls: DataFrame) -> DataFrame:
+    """For every posting and crawl since it was first listed, how many crawls in a row have missed it: the islands, a row for each of their crawls."""
+    every = streak_islands(snapshots, crawls).withColumn("n", F.explode(F.sequence("first", "last")))
+    streak = F.when(F.col("missing"), F.col("n") - F.col("first") + 1).otherwise(0).cast("long")
+    return every.join(numbered_crawls(crawls), ["source_id", "n"]).select("source_id", "external_job_id", "crawl_no", streak.alias("missing_streak"))
 
 
 def empty_streak(runs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import classify
 from ..functions.vocabulary import NEGATIVE, POSITIVE
 from . import scoring
 from .search import latest_feedback, local_midnight
+from .tables import shared_folder
 
 
 RANGES = 256
@@ -71,8 +72,51 @@ def application_counts(applications: DataFrame) -> DataFrame:
     return applications.groupBy("status").agg(F.count("*").alias("n"))
 
 
+#: Ranges that a pass over the rows counts in, and rows that are few enough to be put in order.
+BINS, FEW = 1024, 4096
+
+
 def median_by_class(rows: DataFrame, kind: str, score: str) -> DataFrame:
-    return rows.groupBy(kind).agg(F.median(score).alias("median_score"), F.count("*").alias("n"))
+    """kind, median_score (the mean of the two middle ones of an even number) and n of each class, exactly.
+
+    Passes count the rows of ranges and go on in those that hold the middle ones, until each is one value or has FEW rows.
+    So no task ever holds a class: what a pass gathers is at most BINS counts for each. Scores that are null count in n
+    alone, those that are no numbers too.
+    """
+    spark = rows.sparkSession
+    v = F.col(score).cast("double")
+    scores = rows.where(v.isNotNull() & ~F.isnan(v)).select(F.col(kind).alias("kind"), v.alias("v"))
+    folder = shared_folder(spark, "median")
+    ends = scores.groupBy("kind").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    halves = F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("rank")
+    # A state: the rank is counted from the least value of the range.
+    state = ends.select("kind", halves, "low", "high", F.col("n").alias("inside"))
+    step = 0
+    while True:
+        path = f"{folder}/{step}"
+        state.write.parquet(path)
+        state = spark.read.schema(state.schema).parquet(path)
+        wide = (F.col("low") < F.col("high")) & (F.col("inside") > FEW)
+        if state.where(wide).isEmpty():
+            break
+        some = state.where(wide)
+        # A range's ends are two of its values, so that each pass leaves out one of them at least.
+        half = F.col("high") / 2 - F.col("low") / 2
+        place = F.least(F.floor((F.col("v") / 2 - F.col("low") / 2) / half * BINS), F.lit(BINS - 1)).alias("bin")
+        counted = scores.join(some, scores["kind"].eqNullSafe(some["kind"]) & F.col("v").between(F.col("low"), F.col("high"))).select(some["kind"], "rank", "v", place)
+        bins = counted.groupBy("kind", "rank", "bin").agg(F.count("*").alias("inside"), F.min("v").alias("low"), F.max("v").alias("high"))
+        before = F.coalesce(F.sum("inside").over(Window.partitionBy("kind", "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = bins.withColumn("before", before).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("inside")))
+        state = state.where(~wide).unionByName(found.select("kind", (F.col("rank") - F.col("before")).alias("rank"), "low", "high", "inside"))
+        step += 1
+    one = state.where("low = high").select("kind", F.col("low").alias("v"))
+    few = state.where("low < high").alias("f")
+    left = scores.join(few, scores["kind"].eqNullSafe(F.col("f.kind")) & F.col("v").between(F.col("low"), F.col("high"))).select(F.col("f.kind").alias("kind"), "rank", "low", "v")
+    order = Window.partitionBy("kind", "rank", "low").orderBy("v")
+    picked = left.withColumn("at", F.row_number().over(order) - 1).where(F.col("at") == F.col("rank")).select("kind", "v")
+    middle = one.unionByName(picked).groupBy("kind").agg(F.avg("v").alias("median_score"))
+    n = rows.groupBy(F.col(kind).alias("__kind")).agg(F.count("*").alias("n"))
+    return n.join(middle, F.col("__kind").eqNullSafe(F.col("kind")), "left").select(F.col("__kind").alias(kind), "median_score", "n")
 
 
 def pairwise_accuracy(rows: DataFrame, score: str, positive: str) -> DataFrame:
@@ -129,7 +173,22 @@ def score_tone(score: Column) -> Column:
     return F.when(score >= 75, "great").when(score >= 65, "good").when(score >= 50, "fair").otherwise("low")
 
 
+def notification_key() -> Column:
+    return F.concat_ws(":", "job_id", "channel")
+
+
 def notifications_due(candidates: DataFrame, sent: DataFrame) -> DataFrame:
     """One row for each job and channel that has not been sent."""
-    key = F.concat_ws(":", "job_id", "channel")
-    return candidates.withColumn("dedup_key", key).dropDuplicates(["dedup_key"]).join(sent.select("dedup_key"), "dedup_key", "left_anti")
+    return candidates.withColumn("dedup_key", notification_key()).dropDuplicates(["dedup_key"]).join(sent.select("dedup_key"), "dedup_key", "left_anti")
+
+
+def notifications_once(candidates: DataFrame, at: str = "created_at", within: str = "7 days") -> DataFrame:
+    """On a stream of candidates, the first of each job and channel: repeats no later than ``within`` go, across batches and restarts.
+
+    State is a key for each that was sent in that time. On a batch this is the first by time of all.
+    """
+    keyed = candidates.withColumn("dedup_key", notification_key())
+    if candidates.isStreaming:
+        return keyed.withWatermark(at, within).dropDuplicatesWithinWatermark(["dedup_key"])
+    first = Window.partitionBy("dedup_key").orderBy(at)
+    return keyed.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")

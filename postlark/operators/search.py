@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, vectors
-from ..functions.vocabulary import DISMISSING, FIT_WORDS, HIDDEN_FITS, STOP_WORDS
+from ..functions.vocabulary import DISMISSING, FIT_WORDS, HIDDEN_FITS, REGION_PLACES, STOP_WORDS
 
 FARTHEST = 0.75
+#: Rows of one page of list_jobs, at most.
+MOST_JOBS = 500
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,10 @@ class Filters:
     limit: int | None = 50
     offset: int = 0
 
+    def __post_init__(self) -> None:
+        if self.region is not None and self.region not in REGION_PLACES:
+            raise ValueError(f"no region {self.region}; there are {', '.join(REGION_PLACES)}")
+
 
 def hidden_fits(seniority: str, query: str | None) -> set[str]:
     """Buckets that a view hides; naming one in the search shows it."""
@@ -125,9 +131,11 @@ def best_per_job(matches: DataFrame) -> DataFrame:
 
 def list_jobs(
     postings: DataFrame, company_id: int | None = None, source_id: int | None = None, status: str | None = None, title: str | None = None, location: str | None = None,
-    home_only: bool = False, discovered_since: Column | None = None, published_since: Column | None = None, limit: int = 100,
+    home_only: bool = False, discovered_since: Column | None = None, published_since: Column | None = None, limit: int | None = 100, most: int = MOST_JOBS,
 ) -> DataFrame:
-    """Postings by any of the filters, newest first."""
+    """Postings by any of the filters, newest first: ``limit`` of them, or all where it is None. A limit below 1 or over ``most`` is an error."""
+    if limit is not None and not 1 <= limit <= most:
+        raise ValueError(f"limit has to be from 1 to {most}, not {limit}")
     rows = postings
     for column, value in (("company_id", company_id), ("career_source_id", source_id), ("status", status)):
         if value is not None:
@@ -141,4 +149,5 @@ def list_jobs(
         rows = rows.where(F.col("first_seen_at") >= discovered_since)
     if published_since is not None:
         rows = rows.where(F.col("source_published_at") >= published_since)
-    return rows.orderBy(F.desc("first_seen_at"), "id").limit(min(max(limit, 1), 500))
+    rows = rows.orderBy(F.desc("first_seen_at"), "id")
+    return rows if limit is None else rows.limit(limit)

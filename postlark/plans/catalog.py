@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, vectors
 from ..functions import text as T
-from ..operators import companies, crawl, ingest, lists, profiles, reports, retention, scoring, search, vector_search
+from ..operators import companies, crawl, ingest, lists, profiles, reports, retention, scoring, search, text_index, vector_search
 from ..operators.tables import BucketTable, shared_folder
 from ..sources import boards, pages
 from ..streaming import crawls
@@ -64,9 +64,24 @@ def top_matches_score(spark, d):
     return search.top_matches(_star(spark, d), search.Filters(sort="score", seniority="not_experienced", limit=40, offset=20), at()).select(*_PAGE)
 
 
-@query(f"""WITH {_STAR_SQL}, hits AS (SELECT *, CASE WHEN normalized_title ILIKE '%urgent%' OR normalized_name ILIKE '%urgent%' THEN 1 ELSE 0 END
+_TEXT_SQL = f"""WITH {_STAR_SQL}, hits AS (SELECT *, CASE WHEN normalized_title ILIKE '%urgent%' OR normalized_name ILIKE '%urgent%' THEN 1 ELSE 0 END
   + CASE WHEN normalized_title ILIKE '%machinery%' OR normalized_name ILIKE '%machinery%' THEN 1 ELSE 0 END AS matched_words FROM open_)
-  {_PAGE_SQL}, matched_words FROM hits WHERE matched_words > 0""")
+  {_PAGE_SQL}, matched_words FROM hits WHERE matched_words > 0"""
+
+
+@query(_TEXT_SQL)
+def top_matches_indexed(spark, d):
+    """As top_matches_text, from the postings that the trigrams of titles and of companies' names leave."""
+    folder, words = shared_folder(spark, "trigrams"), "the urgent machinery"
+    p, c = view(spark, d, "v_postings"), view(spark, d, "v_companies")
+    titles = text_index.TrigramIndex(spark, f"{folder}/titles").build(p, "normalized_title")
+    names = text_index.TrigramIndex(spark, f"{folder}/names").build(c, "normalized_name")
+    others = (view(spark, d, v) for v in ("v_sources", "v_roles", "v_feedback"))
+    rows = search.star(view(spark, d, "v_matches"), text_index.searched(p, titles, names, words), c, *others)
+    return search.top_matches(rows, search.Filters(query=words, limit=None), at()).select(*_PAGE, "matched_words")
+
+
+@query(_TEXT_SQL)
 def top_matches_text(spark, d):
     return search.top_matches(_star(spark, d), search.Filters(query="the urgent machinery", limit=None), at()).select(*_PAGE, "matched_words")
 
@@ -375,6 +390,15 @@ def missing_streak(spark, d):
     return crawl.missing_streaks(s, s.select("source_id", "crawl_no").distinct())
 
 
+@query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY crawl_no) AS n FROM (SELECT DISTINCT source_id, crawl_no FROM v_snapshots)), e AS (SELECT source_id, max(n) AS e FROM c GROUP BY ALL),
+  s AS (SELECT source_id, external_job_id, n, n - row_number() OVER (PARTITION BY source_id, external_job_id ORDER BY n) AS run FROM v_snapshots JOIN c USING (source_id, crawl_no)),
+  r AS (SELECT source_id, external_job_id, min(n) AS first, max(n) AS last FROM s GROUP BY source_id, external_job_id, run), u AS (SELECT *, coalesce(lead(first) OVER (PARTITION BY source_id, external_job_id ORDER BY first) - 1, e) AS until FROM r JOIN e USING (source_id))
+  SELECT source_id, external_job_id, CAST(first AS INT) AS first, CAST(last AS INT) AS last, FALSE AS missing FROM u UNION ALL SELECT source_id, external_job_id, CAST(last + 1 AS INT), CAST(until AS INT), TRUE FROM u WHERE until > last""")
+def streak_islands(spark, d):
+    s = view(spark, d, "v_snapshots")
+    return crawl.streak_islands(s, s.select("source_id", "crawl_no").distinct())
+
+
 @query("""SELECT source_id, run_id, started_at FROM (SELECT *, sum(jobs_seen) OVER w AS seen, count(*) OVER w AS n FROM v_runs WHERE status = 'success'
   WINDOW w AS (PARTITION BY source_id ORDER BY started_at, run_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE seen = 0 AND n = 3""")
 def empty_streak(spark, d):

@@ -3,7 +3,10 @@
 Each page becomes a tree of elements. Every element has characters, tags (marks inside a block count as its
 text), and those of them inside links; its density is characters per tag, adjusted by its link share against
 the body's. The element with the largest sum of its children's densities is the main subtree. The threshold
-is the least density on its way up, below the body: parts elsewhere that reach it are text too. What a page
+is the least density on its way up, below the body: parts elsewhere that reach it are text too. A page says with
+its h1 what it is about: if an element around that, below the body, has a fair part of the largest sum or of its text, the innermost such is
+the main subtree, and other parts count only in the body's child that holds it, so that denser matter beside the text, such
+as what readers wrote, does not take its place. An h1 that stands alone before the text belongs to it. What a page
 itself marks is only asked where density allows it: an article or main element around the main subtree is
 taken whole if it is as dense as the body, and an element whose class or id has no words but those of adverts,
 menus and the like is left out unless it holds half of the page's text and no article is beside it. Elements that HTML has for menus,
@@ -43,7 +46,7 @@ _DROPPED = {"nav", "footer", "aside", "form", "button", "select", "svg", "templa
 _NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "disqus",
     "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pager", "pagination", "popup", "promo", "related",
-    "replies", "reply", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "replies", "reply", "respond", "responses", "discussion", "discussions", "opinions", "reactions", "talkback", "guestbook", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 _BESIDE = {
     "site", "page", "main", "top", "bottom", "left", "right", "list", "links", "bar", "box", "buttons", "posts", "articles", "stories", "wrapper", "wrap", "container", "inner", "outer",
@@ -54,6 +57,8 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "for
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _P_ENDS = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 _SPACE = re.compile(r"\s+")
+#: Share of the largest density sum, or of that subtree's characters, that an element around the h1 has to have.
+HEADED = 0.25
 
 
 TEXT, SUSPECT, NOISE = range(3)
@@ -231,6 +236,12 @@ def _chosen(nodes: list[_Node]) -> list[_Node]:
     for x in nodes:
         if x.tag in _BLOCK and x.sum > best.sum:
             best = x
+    head = next((x for x in nodes if x.tag == "h1" and x.chars and 2 * x.link_chars < x.chars), None)
+    around, headed = head.parent if head else root, False
+    while around is not root and not headed:
+        if headed := around.tag in _BLOCK and around.chars >= 2 * head.chars and (around.sum >= HEADED * best.sum or around.chars - around.link_chars >= HEADED * best.chars):
+            best = around
+        around = around.parent
     if best is root:  # text straight in the body: lists of links beside it are less dense than the body
         for x in nodes[1:]:
             if x.tag in _BLOCK and x.density < root.density and 2 * x.link_chars > x.chars:
@@ -240,19 +251,27 @@ def _chosen(nodes: list[_Node]) -> list[_Node]:
     while x is not root:
         path.append(x)
         x = x.parent
+    top = path[-1]
     for x in path:  # the outermost article around it that is as dense as the body
         if x.tag in ("article", "main") and x.density >= root.density:
             best = x
     path = path[path.index(best) :]
     least = min(x.density for x in path)
     above = set(map(id, path))
-    picked, todo = [], [root]
+    picked, todo = [], [top if headed else root]
     while todo:
         x = todo.pop()
         if x is best or id(x) not in above and x is not root and x.tag in _BLOCK and x.density >= least and 2 * x.link_chars < x.chars:
             picked.append(x)
         else:
             todo += [c for c in reversed(x.content) if isinstance(c, _Node) and c.kind != NOISE and c.chars]
+    if head and not headed:  # alone before the text, unless that holds it
+        order = {id(x): n for n, x in enumerate(nodes)}
+        up = head
+        while up is not None and not any(up is x for x in picked):
+            up = up.parent
+        if up is None and order[id(head)] < order[id(picked[0])]:
+            picked.insert(0, head)
     return picked
 
 

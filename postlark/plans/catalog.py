@@ -74,8 +74,8 @@ def top_matches_indexed(spark, d):
     """As top_matches_text, from the postings that the trigrams of titles and of companies' names leave."""
     folder, words = shared_folder(spark, "trigrams"), "the urgent machinery"
     p, c = view(spark, d, "v_postings"), view(spark, d, "v_companies")
-    titles = text_index.TrigramIndex(spark, f"{folder}/titles").build(p, "normalized_title")
-    names = text_index.TrigramIndex(spark, f"{folder}/names").build(c, "normalized_name")
+    titles = text_index.TrigramIndex(spark, f"{folder}/titles", buckets=16).build(p, "normalized_title")
+    names = text_index.TrigramIndex(spark, f"{folder}/names", buckets=16).build(c, "normalized_name")
     others = (view(spark, d, v) for v in ("v_sources", "v_roles", "v_feedback"))
     rows = search.star(view(spark, d, "v_matches"), text_index.searched(p, titles, names, words), c, *others)
     return search.top_matches(rows, search.Filters(query=words, limit=None), at()).select(*_PAGE, "matched_words")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ REQUIREMENTS_HEADING = (
 )
 _REFERENCE = r"&(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
 _NAMES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+_LATER_NAMES = {name: text for name, text in html5.items() if name.endswith(";") and name[:-1] not in _NAMES}
 #: What HTML reads numbers of control characters as.
 _CONTROLS = {str(n): bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)}
 
@@ -88,7 +89,7 @@ def normalize_location(x: Column) -> Column:
 
 
 def unescape(x: Column) -> Column:
-    """Character references, by the names of HTML 4 or by number, once; what is none stays."""
+    """Character references, by name or by number, once; what is none stays. Names that came with HTML 5 need their semicolon."""
     table = lambda values: F.from_json(F.lit(json.dumps(values)), "map<string,string>")
 
     def sign(body: Column) -> Column:
@@ -97,7 +98,7 @@ def unescape(x: Column) -> Column:
         known = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         code = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
         numbered = F.coalesce(F.try_element_at(table(_CONTROLS), number.cast("string")), F.when(known, code).otherwise("\ufffd"))
-        return F.when(body.startswith("#"), numbered).otherwise(F.coalesce(F.try_element_at(table(_NAMES), F.rtrim(body, F.lit(";"))), F.concat(F.lit("&"), body)))
+        return F.when(body.startswith("#"), numbered).otherwise(F.coalesce(F.try_element_at(table(_NAMES), F.rtrim(body, F.lit(";"))), F.try_element_at(table(_LATER_NAMES), body), F.concat(F.lit("&"), body)))
 
     def read(text: Column) -> Column:
         bodies = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.text import collapsed, source_url
 from ..functions.vocabulary import BOARD_HOSTS
 
@@ -114,6 +115,12 @@ BOARD_LINKS = [
     ("workday", r"(?i)((?:https?:)?//[a-z0-9-]+\.wd\d+\.myworkdayjobs\.com(?:/[^\s\"'<>?#]*)?)"),
     ("smartrecruiters", rf"(?:(?:jobs|careers)\.smartrecruiters\.com|api\.smartrecruiters\.com/v1/companies)/({_SLUG}){_STOP}"),
 ]
+# The other host of one type; marks of a plugin, of its postings' addresses and of ids on these; hints of a type.
+LEVER_EU = "jobs.eu.lever.co"
+_PLUGIN = r"(?i)comeet\.co/careers-api/api\.js|comeet-outer-wrapper|comeet_style-css|comeet-groups-list"
+_POSITION = rf"href=[\"']([^\"'\s]*/{_UID}/?[^\"'\s]*)[\"']"
+_ANY_UID, _API_UID = rf"company[-_]uid[\"']?\s*[:=]\s*[\"']({_UID})[\"']", rf"careers-api/2\.0/company/({_UID})"
+BOARD_HINTS = [("greenhouse", r"(?i)greenhouse|[?&]gh_(?:department|jid|src)="), ("lever", r"(?i)lever\.co|\blever\b"), ("ashby", r"(?i)ashby")]
 # Parts of addresses that are no board's name, and hosts with a feed of their own.
 _NOT_SLUGS = ("embed", "api", "j", "static", "assets", "css", "js", "widget")
 _NOT_WORKDAY_SITES = ("wday", "job", "login", "page", "en", "he")
@@ -124,12 +131,13 @@ _JOB_TYPES = r"(?i)job|position|career|vacan|opening|drushim|misra"
 
 
 def detect_boards(pages: DataFrame, body: str = "html", key: str = "page_id") -> DataFrame:
-    """key, board_type, identifier, rank of every board that a page names, the most telling first."""
+    """key, board_type, identifier, rank, host of every board that a page names, the most telling first. host: where it is not the type's usual one."""
     text = F.replace(F.col(body), F.lit("\\/"), F.lit("/"))
     hits = F.flatten(F.array(*(_hits(text, p, k, r) for r, (k, p) in enumerate(BOARD_LINKS))))
     rows = pages.select(key, F.posexplode(hits).alias("at", "hit")).select(key, "at", "hit.*").where(F.col("identifier").isNotNull() & ~F.lower("identifier").isin(*_NOT_SLUGS))
     best = Window.partitionBy(key).orderBy("order", "at")
-    return rows.groupBy(key, "board_type", "identifier").agg(F.min("order").alias("order"), F.min("at").alias("at")).withColumn("rank", F.row_number().over(best)).select(key, "board_type", "identifier", "rank")
+    first = rows.groupBy(key, "board_type", "identifier").agg(F.min(F.struct("order", "at", "host")).alias("first"))
+    return first.select(key, "board_type", "identifier", "first.*").withColumn("rank", F.row_number().over(best)).select(key, "board_type", "identifier", "rank", "host")
 
 
 def _hits(text: Column, pattern: str, kind: str, order: int) -> Column:
@@ -139,7 +147,48 @@ def _hits(text: Column, pattern: str, kind: str, order: int) -> Column:
             return workday_board(F.split(bare, "/")[0], F.filter(F.slice(F.split(bare, "/"), 2, 1_000_000), lambda p: p != ""))
         return F.upper(m) if kind == "comeet" else m
 
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda m: F.struct(F.lit(kind).alias("board_type"), identifier(m).alias("identifier"), F.lit(order).alias("order")))
+    def hit(m: Column, host: Column) -> Column:
+        return F.struct(F.lit(kind).alias("board_type"), identifier(m).alias("identifier"), F.lit(order).alias("order"), host.alias("host"))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    if kind != "lever":
+        return F.transform(found, lambda m: hit(m, F.lit(None).cast("string")))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.zip_with(found, whole, lambda m, w: hit(m, F.when(w.startswith(LEVER_EU), F.lit(LEVER_EU))))
+
+
+def board_url(kind: Column, identifier: Column, host: Column) -> Column:
+    """Where a board of the types that are asked by name is listed; on its own host where detect_boards found one."""
+    return (
+        F.when(kind == "greenhouse", F.concat(F.lit("https://job-boards.greenhouse.io/"), identifier))
+        .when(kind == "lever", F.concat(F.lit("https://"), F.coalesce(host, F.lit("jobs.lever.co")), F.lit("/"), identifier))
+        .when(kind == "ashby", F.concat(F.lit("https://jobs.ashbyhq.com/"), identifier))
+    )
+
+
+def board_probes(pages: DataFrame, body: str = "html", key: str = "page_id") -> DataFrame:
+    """key, board_type, url, rank: what to fetch for pages that name no board but show that one is in play.
+
+    A page of a board's plugin links to postings of its own, on which the board's id stands; a hint of a type stands for a
+    board named as the company's domain, to be kept if it answers. Fetching is for others; ``probed`` reads what they land.
+    """
+    bare = pages.join(detect_boards(pages, body, key).select(key), key, "left_anti")
+    plugin = F.col(body).rlike(_PLUGIN)
+    links = F.transform(F.array_distinct(F.regexp_extract_all(body, F.lit(_POSITION), F.lit(1))), lambda h: F.struct(F.lit("comeet").alias("board_type"), h.alias("url")))
+    label = T.domain_label(host_of(F.col("url")))
+    hints = [F.when(F.col(body).rlike(p), F.struct(F.lit(k).alias("board_type"), board_url(F.lit(k), label, F.lit(None)).alias("url"))) for k, p in BOARD_HINTS]
+    every = F.concat(F.when(plugin, links).otherwise(F.array().cast("array<struct<board_type:string,url:string>>")), F.array_compact(F.array(*hints)))
+    rows = bare.select(key, F.col("url").alias("__base"), F.posexplode(every).alias("at", "x"))
+    return rows.select(key, "x.board_type", F.when(F.col("x.url").rlike("^https?://"), F.col("x.url")).otherwise(F.concat(F.regexp_extract("__base", "^[a-zA-Z]+://[^/?#]+", 0), F.regexp_replace("x.url", "^/?", "/"))).alias("url"), (F.col("at") + 1).alias("rank"))
+
+
+def probed(answers: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, board_type, identifier of the first probe that found a board. answers: board_probes' columns, and body (null: none came)."""
+    uid = F.upper(F.coalesce(F.nullif(F.regexp_extract("body", _ANY_UID, 1), F.lit("")), F.nullif(F.regexp_extract("body", _API_UID, 1), F.lit(""))))
+    name = F.when(F.col("board_type") == "comeet", uid).otherwise(F.regexp_extract("url", "([^/]+)$", 1))
+    good = answers.where("body is not null").withColumn("identifier", name).where("identifier is not null")
+    best = Window.partitionBy(key).orderBy("rank")
+    return good.withColumn("__n", F.row_number().over(best)).where("__n = 1").select(key, "board_type", "identifier")
 
 
 def wordpress_job_types(pages: DataFrame, types: DataFrame, totals: DataFrame, listed: DataFrame) -> DataFrame:

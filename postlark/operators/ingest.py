@@ -26,14 +26,20 @@ def read_postings(listing: DataFrame, details: DataFrame, as_of: Column) -> Data
     """Listing rows (the first of each id) with what their details say: the columns of apply_crawl, of READ but for the embedding, and embedding_text.
 
     A listing without details is a posting that was not fetched: its content_hash is null. details may carry fetch_error
-    and unavailable for those that could not be read.
+    and unavailable for those that could not be read. Of several details of a posting one that could be read counts, then one
+    with text, then that of the lowest ``rank`` (a column, 0 where it is missing): so what a page says stands in for a board's
+    answer that has no text.
     """
     d = details
     for c, kind in (("fetch_error", "string"), ("unavailable", "boolean")):
         if c not in d.columns:
             d = d.withColumn(c, F.lit(None).cast(kind))
     keys = ["source_id", "crawl_id", "external_job_id"]
-    d = d.groupBy(*keys).agg(F.first(F.struct(*(c for c in d.columns if c not in keys))).alias("d"))
+    rank = F.coalesce(F.col("rank"), F.lit(0)) if "rank" in d.columns else F.lit(0)
+    said = F.coalesce(F.trim("description") != "", F.lit(False)) | F.coalesce(F.trim("qualifications") != "", F.lit(False)) | F.coalesce(F.trim("responsibilities") != "", F.lit(False))
+    fields = [c for c in d.columns if c not in (*keys, "rank")]
+    first = F.struct(F.coalesce(F.col("fetch_error").isNotNull() | F.col("unavailable"), F.lit(False)), ~said, rank, F.xxhash64(*fields))
+    d = d.groupBy(*keys).agg(F.min_by(F.struct(*fields), first).alias("d"))
     both = crawl.first_of_each_id(listing).join(d, keys, "left")
     x = F.col("d")
     fetched = x.isNotNull() & x["fetch_error"].isNull() & ~F.coalesce(x["unavailable"], F.lit(False))
@@ -66,7 +72,7 @@ def ingest(
 ) -> tuple[DataFrame, DataFrame]:
     """The postings after a crawl, and a count for each run. payloads: landed answers; runs: source_id, crawl_id, listing_error.
 
-    more_details: details that come from elsewhere than payloads, such as page_details, or reading errors. Only postings
+    more_details: details that come from elsewhere than payloads, such as page_details (``page_fallback``), or reading errors. Only postings
     that are new, or whose text is, meet ``embed``; the others keep their vector. types: the kinds of boards among the
     payloads, where they are known.
     """
@@ -76,6 +82,12 @@ def ingest(
     return ingest_rows(read_postings(boards.listing_from_payloads(payloads, types), details, as_of), stored, runs, as_of, embed)
 
 
+def page_fallback(page_details: DataFrame, pages: DataFrame) -> DataFrame:
+    """What pages of postings say as details, behind any answer of a board that has text. pages: page_id, source_id, crawl_id, external_job_id."""
+    rows = page_details.where("not listing").join(pages.select("page_id", "source_id", "crawl_id", "external_job_id"), "page_id")
+    return rows.select("source_id", "crawl_id", "external_job_id", "title", "location_text", "employment_type", "description", "source_published_at", "source_updated_at", F.lit(1).alias("rank"))
+
+
 def ingest_rows(rows: DataFrame, stored: DataFrame, runs: DataFrame, as_of: Column, embed: Callable[[Column], Column] = vectors.hashed_terms) -> tuple[DataFrame, DataFrame]:
     """As ``ingest``, from the rows of read_postings."""
     old = stored.select("source_id", "external_job_id", F.col("content_hash").alias("__hash"), F.col("archived_at").alias("__archived"), F.col("embedding").alias("__vector"))

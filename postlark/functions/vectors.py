@@ -63,8 +63,14 @@ def hashed_terms(text: Column, size: int = 384) -> Column:
     return F.get(F.transform(F.array(counts), lambda c: F.transform(normalized(c), lambda x: x.cast("float"))), F.lit(0))
 
 
+#: Queries that are sent to every task, at most.
+MOST_QUERIES = 1_000
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, row_id: str, query_id: str, vector: str) -> DataFrame:
-    """For each query its k nearest rows by distance, ties by row_id. queries: a bounded set, sent to every task."""
+    """For each query its k nearest rows by distance, ties by row_id. queries: at most MOST_QUERIES; for more there is vector_search."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: use vector_search.nearest_in_blocks")
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__q"))
     pairs = rows.crossJoin(F.broadcast(q)).select("query_id", F.col(row_id).alias("row_id"), cosine_distance(F.col(vector), F.col("__q")).alias("distance"))
     best = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "row_id")

@@ -61,7 +61,7 @@ def single_active(profiles: DataFrame, active: Column) -> DataFrame:
 def add_profile(profiles: DataFrame, new: DataFrame) -> DataFrame:
     """profiles (id, file_hash, version, is_active, …) after a file came in: a known one is active again, a new one is the next version. new: one row with id, file_hash."""
     n = new.select(F.col("id").alias("__new"), F.col("file_hash").alias("__hash"))
-    known = profiles.join(F.broadcast(n), F.col("file_hash") == F.col("__hash")).agg(F.max("id").alias("__known"))  # one row, as new is
+    known = profiles.join(n, F.col("file_hash") == F.col("__hash")).agg(F.max("id").alias("__known"))  # one row, as new is
     last = profiles.agg(F.coalesce(F.max("version"), F.lit(0)).alias("__last"))
     target = n.crossJoin(known).crossJoin(last)
     old = profiles.crossJoin(target.select(F.coalesce("__known", "__new").alias("__active"))).withColumn("is_active", F.col("id") == F.col("__active")).drop("__active")

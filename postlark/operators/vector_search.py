@@ -78,21 +78,28 @@ def _best(keys: tuple, rows: pa.Table, queries: pa.Table, k: int | None, most: f
 def bucket_sizes(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """bucket, and how many rows and queries meet in it; buckets without both are left out."""
     r, q = (df.groupBy("bucket").agg(F.count("*").alias(n)) for df, n in ((rows, "rows"), (queries, "queries")))
-    return r.join(q, "bucket")
+    return r.join(q.hint("shuffle_hash"), "bucket")
 
 
 def compare(rows: DataFrame, queries: DataFrame, k: int | None = None, most: float | None = None, part_rows: int = PART_ROWS, part_queries: int = PART_QUERIES) -> DataFrame:
     """query_id, row_id, distance of pairs within a bucket: k nearest for each query, part and bucket, or all within ``most``.
 
-    rows: bucket, row_id, v; queries: bucket, query_id, v. Buckets with more than part_rows rows or part_queries queries are
-    dealt by hash, each part of one side to each of the other; small buckets share groups.
+    rows: bucket, row_id, v; queries: bucket, query_id, v; without buckets all meet all. Buckets with more than part_rows
+    rows or part_queries queries are dealt by hash, each part of one side to each of the other; small buckets share groups.
     """
-    sizes = bucket_sizes(rows, queries).select("bucket", F.ceil(F.col("rows") / part_rows).cast("int").alias("r_parts"), F.ceil(F.col("queries") / part_queries).cast("int").alias("q_parts"))
+    parts = lambda n, most_: F.greatest(F.lit(1), F.ceil(n / most_)).cast("int")
     total = rows.count()
     slots = max(1, -(-total // part_rows))
+    if "bucket" in rows.columns:
+        sizes = bucket_sizes(rows, queries).select("bucket", parts(F.col("rows"), part_rows).alias("r_parts"), parts(F.col("queries"), part_queries).alias("q_parts"))
+        # How large rows and queries are Spark cannot tell before they are made: neither is to be sent to all tasks.
+        sized = lambda df: df.join(sizes.hint("shuffle_hash"), "bucket")
+    else:
+        r_parts, q_parts = slots, max(1, -(-queries.count() // part_queries))
+        sized = lambda df: df.withColumns({"bucket": F.lit(0).cast("long"), "r_parts": F.lit(r_parts), "q_parts": F.lit(q_parts)})
 
     def dealt(df: DataFrame, name: str, own: str, other: str, own_part: str, other_part: str) -> DataFrame:
-        both = df.join(sizes, "bucket").withColumn(own_part, F.pmod(F.xxhash64(name, "v"), F.col(own)).cast("int"))
+        both = sized(df).withColumn(own_part, F.pmod(F.xxhash64(name, "v"), F.col(own)).cast("int"))
         both = both.withColumn(other_part, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         return both.select(F.pmod(F.xxhash64("bucket"), F.lit(slots)).cast("int").alias("slot"), "r_part", "q_part", "bucket", name, "v")
 
@@ -111,13 +118,13 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 def nearest_in_blocks(rows: DataFrame, queries: DataFrame, k: int, row_id: str, query_id: str, vector: str, part_rows: int = PART_ROWS, part_queries: int = PART_QUERIES) -> DataFrame:
     """query_id, row_id, distance, rank of each query's k nearest rows, exactly: every part of the rows meets every part of the queries."""
-    r, q = _ready(rows, row_id, vector, "row_id").withColumn("bucket", F.lit(0).cast("long")), _ready(queries, query_id, vector, "query_id").withColumn("bucket", F.lit(0).cast("long"))
+    r, q = _ready(rows, row_id, vector, "row_id"), _ready(queries, query_id, vector, "query_id")
     return _ranked(compare(r, q, k=k, part_rows=part_rows, part_queries=part_queries), k)
 
 
 def within_distance(rows: DataFrame, queries: DataFrame, most: float, row_id: str, query_id: str, vector: str, part_rows: int = PART_ROWS, part_queries: int = PART_QUERIES) -> DataFrame:
     """query_id, row_id, distance of all pairs no farther apart than ``most``, exactly, in the same parts."""
-    r, q = _ready(rows, row_id, vector, "row_id").withColumn("bucket", F.lit(0).cast("long")), _ready(queries, query_id, vector, "query_id").withColumn("bucket", F.lit(0).cast("long"))
+    r, q = _ready(rows, row_id, vector, "row_id"), _ready(queries, query_id, vector, "query_id")
     return compare(r, q, most=most, part_rows=part_rows, part_queries=part_queries)
 
 

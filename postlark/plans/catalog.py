@@ -818,8 +818,8 @@ def ingest_postings(spark, d):
 
 
 def _landed(spark: SparkSession, d: str) -> DataFrame:
-    """The listings of v_snapshots, by six days each, as two answers of a board for each source and crawl."""
-    s = view(spark, d, "v_snapshots").select("source_id", "external_job_id", F.floor((F.col("crawl_no") - 1) / 6).cast("long").alias("crawl_id")).distinct()
+    """The listings of v_snapshots, by eight days each, as two answers of a board for each source and crawl."""
+    s = view(spark, d, "v_snapshots").select("source_id", "external_job_id", F.floor((F.col("crawl_no") - 1) / 8).cast("long").alias("crawl_id")).distinct()
     item = F.struct(F.col("external_job_id").alias("id"), F.concat(F.lit("Developer "), "external_job_id").alias("title"), F.lit("Haifa, Israel").alias("location"), F.concat(F.lit("Text of "), "external_job_id").alias("descriptionPlain"))
     jobs = s.groupBy("source_id", "crawl_id", F.pmod(F.xxhash64("external_job_id"), F.lit(2)).cast("int").alias("page_no")).agg(F.to_json(F.struct(F.collect_list(item).alias("jobs"))).alias("body"))
     every = s.select("source_id", "crawl_id").distinct().withColumn("page_no", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -827,7 +827,7 @@ def _landed(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("source_id", F.lit("ashby").alias("source_type"), "crawl_id", F.lit("listing").alias("kind"), "page_no", F.lit("https://x").alias("url"), "fetched_at", F.coalesce("body", F.lit('{"jobs": []}')).alias("body"), F.lit(2).alias("pages"), F.lit(None).cast("string").alias("listing_error"))
 
 
-@query("""WITH s AS (SELECT DISTINCT source_id, external_job_id, (crawl_no - 1) // 6 AS c FROM v_snapshots), k AS (SELECT DISTINCT source_id, c FROM s),
+@query("""WITH s AS (SELECT DISTINCT source_id, external_job_id, (crawl_no - 1) // 8 AS c FROM v_snapshots), k AS (SELECT DISTINCT source_id, c FROM s),
   l AS (SELECT source_id, external_job_id, min(c) AS born, max(c) AS last FROM s GROUP BY ALL), g AS (SELECT l.*, (SELECT count(*) FROM k WHERE k.source_id = l.source_id AND k.c > l.last) AS missed, (SELECT max(c) FROM k WHERE k.source_id = l.source_id) AS latest FROM l)
   SELECT source_id, external_job_id, concat('Developer ', external_job_id) AS title, 'haifa' AS region, CASE WHEN missed >= 3 THEN 'closed' ELSE 'active' END AS status, CAST(least(missed, 3) AS INT) AS missing_streak,
     TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(born AS INT)) AS first_seen_at, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(last AS INT)) AS last_seen_at, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(latest AS INT)) AS applied_at FROM g""")
@@ -851,3 +851,36 @@ def upsert_stored(spark, d):
     for _ in range(2):
         stored.upsert(m.where("job_id % 50 = 0").withColumn("final_score", F.col("final_score") + 1), scoring.PAIR)
     return stored.read().select("job_id", "target_role_id", "final_score")
+
+
+_BOARDS = ("greenhouse", "lever", "ashby", "smartrecruiters", "workable", "comeet", "workday", "wordpress", "taleo", "jsonld")
+_PLACES = ("Haifa", "Haifa", "Haifa", "Haifa, il", "Haifa, Israel", "Haifa", "Haifa", None, "Haifa, IL", "Haifa")
+
+
+def _board_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as postings of one board for each nation, as its kind of board answers; the nation's number decides the kind."""
+    s = table(spark, d, "supplier")
+    ident, title, place = F.col("s_suppkey").cast("string"), F.concat(F.lit("Dev "), "s_name"), F.lit("Haifa")
+    named = lambda **fields: F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+    of = lambda **fields: F.struct(*(v.alias(k) for k, v in fields.items()))
+    link = F.concat(F.lit("https://x/j/"), ident)
+    items = [
+        named(id=ident, title=title, location=of(name=place), absolute_url=link), named(id=ident, text=title, categories=of(location=place), hostedUrl=link), named(id=ident, title=title, location=place, jobUrl=link),
+        named(id=ident, name=F.concat(F.lit(" "), title, F.lit(" ")), location=of(city=place, region=F.lit(""), country=F.lit("il"))), named(shortcode=ident, title=title, city=place, country=F.lit("Israel"), url=link),
+        named(uid=ident, name=title, location=of(name=place), url_active_page=link), named(title=title, externalPath=F.concat(F.lit("/job/Haifa/Dev_x_"), ident), locationsText=place),
+        named(id=ident, link=link, title=of(rendered=title)), named(jobId=F.lit("0"), contestNo=ident, column=F.array(title, F.lit('["IL-IL-Haifa"]'))),
+        F.concat(F.lit('<script type="application/ld+json">'), F.to_json(of(**{"@type": F.lit("JobPosting"), "title": title, "url": link, "identifier": of(value=ident), "jobLocation": of(address=of(addressLocality=place))})), F.lit("</script>")),
+    ]
+    around = [('{"jobs": [', "]}"), ("[", "]"), ('{"jobs": [', "]}"), ('{"content": [', "]}"), ('{"jobs": [', "]}"), ("[", "]"), ('{"jobPostings": [', "]}"), ("[", "]"), ('{"requisitionList": [', "]}"), ("", "")]
+    kind = (F.col("s_nationkey") % 10).cast("int")
+    pick = lambda options: F.get(F.array(*(F.lit(o) if isinstance(o, str) else o for o in options)), kind)
+    rows = s.select(F.col("s_nationkey").cast("long").alias("source_id"), pick(_BOARDS).alias("source_type"), F.pmod(F.xxhash64("s_suppkey"), F.lit(8)).cast("int").alias("page_no"), pick(items).alias("item"), pick([a for a, _ in around]).alias("a"), pick([b for _, b in around]).alias("b"))
+    pages_of = rows.groupBy("source_id", "source_type", "page_no", "a", "b").agg(F.array_join(F.collect_list("item"), ",").alias("items"))
+    return pages_of.select("source_id", "source_type", F.lit(1).cast("long").alias("crawl_id"), F.lit("listing").alias("kind"), "page_no", F.lit("https://x").alias("url"), at().alias("fetched_at"), F.concat("a", "items", "b").alias("body"))
+
+
+@query(f"""SELECT s_nationkey AS source_id, CASE WHEN s_nationkey % 10 = 7 THEN substr(sha256(concat('https://x/j/', s_suppkey)), 1, 32) ELSE CAST(s_suppkey AS VARCHAR) END AS external_job_id, concat('Dev ', s_name) AS title,
+  list_extract([{', '.join('NULL' if p is None else repr(p) for p in _PLACES)}], s_nationkey % 10 + 1) AS location_text, CASE s_nationkey % 10 WHEN 3 THEN 'https://x' WHEN 6 THEN concat('https://x/job/Haifa/Dev_x_', s_suppkey) WHEN 8 THEN 'https://x' ELSE concat('https://x/j/', s_suppkey) END AS source_url FROM supplier""")
+def board_listings(spark, d):
+    """Ten kinds of boards, read into one listing."""
+    return boards.listing_from_payloads(_board_answers(spark, d), list(_BOARDS)).select("source_id", "external_job_id", "title", "location_text", "source_url")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,26 +11,13 @@ from ..operators import companies, crawl, ingest, lists, profiles, reports, rete
 from ..operators.tables import BucketTable, shared_folder
 from ..sources import boards, pages
 from ..streaming import crawls
-from .views import table, view, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-AS_OF = "2024-01-15 12:00:00"
-_COS = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])))"
-
+from . import board_queries, change_queries, reading_queries  # noqa: F401  they register theirs
+from .registry import QUERIES, SQL, at, query
+from .views import table, view
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = with_views(sql)
-        return f
+__all__ = ["QUERIES", "SQL"]
 
-    return keep
-
-
-def at(text: str = AS_OF) -> Column:
-    return F.lit(text).cast("timestamp")
+_COS = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])))"
 
 
 def _star(spark: SparkSession, d: str) -> DataFrame:

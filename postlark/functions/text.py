@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable
 from html.entities import html5, name2codepoint
@@ -88,17 +87,25 @@ def normalize_location(x: Column) -> Column:
     return F.when(x != "", out)
 
 
+def _value_of(name: Column, values: dict[str, str]) -> Column:
+    """What a name without signs stands for; null if unknown.
+
+    All of values are one text: a map would be as many objects, in every task and for each use of the expression.
+    """
+    every = F.lit("\x01" + "".join(f"{k}\x02{v}\x01" for k, v in values.items()))
+    after = F.call_function("substring_index", every, F.concat(F.lit("\x01"), name, F.lit("\x02")), F.lit(-1))
+    return F.nullif(F.substring_index(after, "\x01", 1), F.lit(""))  # all of it, and so nothing before its first mark, where the name is not found
+
+
 def unescape(x: Column) -> Column:
     """Character references, by name or by number, once; what is none stays. Names that came with HTML 5 need their semicolon."""
-    table = lambda values: F.from_json(F.lit(json.dumps(values)), "map<string,string>")
-
     def sign(body: Column) -> Column:
         digits = F.regexp_extract(body, "^#[xX]?([0-9a-fA-F]+)", 1)
         number = F.when(body.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
         known = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         code = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        numbered = F.coalesce(F.try_element_at(table(_CONTROLS), number.cast("string")), F.when(known, code).otherwise("\ufffd"))
-        return F.when(body.startswith("#"), numbered).otherwise(F.coalesce(F.try_element_at(table(_NAMES), F.rtrim(body, F.lit(";"))), F.try_element_at(table(_LATER_NAMES), body), F.concat(F.lit("&"), body)))
+        numbered = F.coalesce(_value_of(number.cast("string"), _CONTROLS), F.when(known, code).otherwise("\ufffd"))
+        return F.when(body.startswith("#"), numbered).otherwise(F.coalesce(_value_of(F.rtrim(body, F.lit(";")), _NAMES), _value_of(body, _LATER_NAMES), F.concat(F.lit("&"), body)))
 
     def read(text: Column) -> Column:
         bodies = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1))

@@ -432,18 +432,24 @@ def land_payloads(payloads: DataFrame, path: str) -> None:
     payloads.write.mode("append").partitionBy("source_type", "kind").parquet(path)
 
 
+def _all(payloads: DataFrame, schema: str, parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts. By halves, as the plan is gone through once more for each union on top of another."""
+    if len(parts) <= 1:
+        return payloads.sparkSession.createDataFrame([], schema).unionByName(parts[0]) if parts else payloads.sparkSession.createDataFrame([], schema)
+    half = len(parts) // 2
+    return _all(payloads, schema, parts[:half]).unionByName(_all(payloads, schema, parts[half:]))
+
+
 def listing_from_payloads(payloads: DataFrame, types: Iterable[str] | None = None) -> DataFrame:
     """Listing rows of all known types of sources, or of some. payloads as in schemas.PAYLOADS, best landed by land_payloads."""
-    out = payloads.sparkSession.createDataFrame([], LISTING)
-    for name in TYPES if types is None else types:
-        out = out.unionByName(TYPES[name][0](payloads.where((F.col("source_type") == name) & (F.col("kind") == "listing"))))
-    return out
+    names = TYPES if types is None else types
+    return _all(payloads, LISTING, [TYPES[name][0](payloads.where((F.col("source_type") == name) & (F.col("kind") == "listing"))) for name in names])
 
 
 def details_from_payloads(payloads: DataFrame, types: Iterable[str] | None = None) -> DataFrame:
-    out = payloads.sparkSession.createDataFrame([], DETAILS)
+    found = []
     for name in TYPES if types is None else types:
         if details := TYPES[name][1]:
             kinds = ["details", "listing"] if name in LISTED_WHOLE else ["details"]
-            out = out.unionByName(details(payloads.where((F.col("source_type") == name) & F.col("kind").isin(kinds))))
-    return out
+            found.append(details(payloads.where((F.col("source_type") == name) & F.col("kind").isin(kinds))))
+    return _all(payloads, DETAILS, found)

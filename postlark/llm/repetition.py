@@ -5,7 +5,9 @@ characters of words inside windows that occur twice or more are measured, or, fo
 the characters that the most frequent window takes; lines that equal an earlier line are measured too.
 
 Defined cases: a null or empty text has no words and fails the base rule; rows with the same doc_id
-are judged each on its own; other columns are ignored; an empty table gives an empty result.
+are judged each on its own, repeated rows each alike; a null doc_id stays null; very long texts are
+measured whole; of windows that are as frequent, that which takes the most characters counts; a measure
+at its limit passes; other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Segments are written by Spark's Parquet writer as one binary value each, beside
 lengths: any Hadoop file system takes them, and a lost or repeated task leaves no half file.
 
 Defined cases: a null or empty text has only the end id; a null doc_id sorts first; rows with the
-same doc_id follow each other by text; other columns are dropped; an empty table gives an empty store.
+same doc_id follow each other by text, repeated rows too; very long texts are encoded whole, in parts, and may be
+longer than a segment is meant to be; other columns, whatever their names, are dropped; an empty table gives an empty store.
 """
 
 from __future__ import annotations

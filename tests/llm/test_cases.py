@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from postlark.llm import bpe, decontamination, jaccard, pii, site_quality, toxicity
+from postlark.llm import bpe, decontamination, jaccard, main_text, passages, pii, repetition, site_quality, token_store, toxicity
 
 CLASHES = "__site string, __part string, part_rate double, evidence double, kept string, base_spans string, added_spans string, __email string, __doc string, __key string, __gone string, __again string, __n string, __s string, __base string"
 
@@ -105,3 +108,72 @@ def test_round_trip_and_any_pattern(spark):
     docs = spark.createDataFrame([(1, "Hello  wörld"), (2, None), (None, "x" * 5000), (1, "Hello  wörld")], "doc_id long, text string")
     got = bpe.round_trip(docs, path, P.PATTERN).collect()
     assert all(r["exact"] for r in got) and len(got) == 4 and got[1]["ids"] == []
+
+
+def test_pipeline_keeps_clashing_columns(spark, tmp_path):
+    rng = random.Random(9)
+    names = [c.split()[0] for c in CLASHES.split(", ")]
+    extra = [0.25 if c.split()[1] == "double" else "mine" for c in CLASHES.split(", ")]
+    rows = [(i, say(rng, 80) + (" mail me@x.org" if i % 5 == 0 else ""), "en", "a", *extra) for i in range(20)]
+    rows += [(30, rows[0][1], "en", "a", *extra), *((40 + i, "bad " * (90 + i), "en", "b", *extra) for i in range(20))]
+    d = str(tmp_path)
+    now = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {CLASHES}")
+    spark.createDataFrame([(r[0], int(r[0] < 40)) for r in rows], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, say(rng, 20))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, now, d).cache()
+        assert after.columns == now.columns and all(tuple(r[n] for n in names) == tuple(extra) for r in after.collect())
+        now = after
+    got = corpus_pipeline.STAGES[-1][1](spark, now, d).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(20)) and all(r["exact"] for r in got)
+
+
+def test_texts_over_a_megabyte(spark):
+    """What stands at the end of a very long text counts as at its beginning."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**7)}" for _ in range(150_000)]
+    end = [f"e{k}" for k in range(30)]
+    long = " ".join([*words, *end, "scumbag", *end, *words[:40]])
+    docs = spark.createDataFrame([(1, " ".join(end)), (2, long), (3, " ".join(words))], "doc_id long, text string")
+    assert len(long) > 1 << 20
+    of = lambda df: {r["doc_id"]: r for r in df.collect()}
+    got, every = of(repetition.repetition_rules(docs)), long.split(" ")
+    seen = Counter(zip(every, every[1:], every[2:], strict=False))
+    repeated = {k + j for k in range(len(every) - 2) if seen[tuple(every[k : k + 3])] > 1 for j in range(3)}
+    assert (got[2]["n_words"], got[2]["word_chars"], got[2]["n_repeat_words"], got[2]["base_failed"]) == (len(every), sum(map(len, every)), len(repeated), False)
+    assert len(repeated) >= 140
+    path = P.path("word_bpe_49k.json")
+    ids = [*Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids, 1]
+    stored = of(token_store.token_store(docs, path))
+    assert (stored[2]["n_tokens"], stored[2]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) and stored[3]["start"] == stored[2]["start"] + len(ids)
+    lexicon = toxicity.Lexicon({"=scumbag": 9.0})
+    scores = of(toxicity.score(docs, lexicon))
+    assert scores[2]["score"] > 0.9 > 0.1 > scores[3]["score"] and scores[2]["hits"] == ["scumbag"]
+    cut = of(passages.remove_repeated(docs))
+    assert (cut[1]["n_removed"], cut[2]["n_removed"], cut[3]["n_removed"]) == (0, 60, len(words))
+
+
+def test_repeated_rows_are_alike(spark):
+    """A row that comes three times gives three equal rows, whatever else the table holds; equal texts have equal scores."""
+    rng = random.Random(6)
+    item = say(rng, 30)
+    text = say(rng, 40) + " " + item + " you scumbag"
+    docs = spark.createDataFrame([(1, text)] * 3 + [(2, text), (3, say(rng, 60))], "doc_id long, text string").withColumns({"source": F.lit("a"), "lang": F.lit("en")})
+
+    def alike(df, n=3, key="doc_id"):
+        rows = [tuple(r) for r in df.where(f"{key} = 1").collect()]
+        assert len(rows) == n and len(set(map(repr, rows))) == 1
+        return df
+
+    alike(repetition.repetition_rules(docs))
+    scored = alike(toxicity.score(docs, toxicity.Lexicon({"=scumbag": 9.0}))).collect()
+    assert len({r["score"] for r in scored if r["doc_id"] < 3}) == 1
+    judged = alike(site_quality.score(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"))).collect()
+    assert len({r["quality_score"] for r in judged if r["doc_id"] < 3}) == 1
+    bench = spark.createDataFrame([(1, item)] * 2, "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontamination.drop_leaking(docs, bench).collect()) == [3]
+    html = "<nav><a href=1>x</a></nav><article><h1>Title</h1><p>The text of this page says many things about the matter at hand.</p></article>"
+    alike(main_text.main_text(spark.createDataFrame([(1, "u", html)] * 3, "page_id long, url string, html string")), key="page_id")

@@ -3,6 +3,10 @@
 All stages but the last return the columns of documents; each works on all that the one before kept.
 SQL cannot express them (a fitted classifier, exact similarity joins, byte-pair merges), so ORACLE_SQL is
 None and tests/llm compare the stages with brute force.
+
+Defined cases, beside those of the operators: of rows with one doc_id one stays after the second stage, and rows
+without a doc_id all do; null and empty texts are linked with nothing and stay where the classifier keeps them; without both labels the classifier keeps all; other columns stay until the last stage, whatever
+their names; very long texts are taken whole; empty tables give an empty result.
 """
 
 from __future__ import annotations

@@ -205,7 +205,11 @@ def run_length_columns(terms: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _compared(table: pa.Table) -> pa.Table:
-    """For each two sources of a block the sum of f: stretches between the merged ends of their runs, times their lengths."""
+    """For each two sources of a block the sum of f: stretches between the merged ends of their runs, times their lengths.
+
+    a is the first of the two by name in every block, in whatever order their rows come, so that a pair has one sum.
+    """
+    table = table.sort_by("source")
     size = table.column("size")[0].as_py()
     names, starts, counts = (table.column(c).to_pylist() for c in ("source", "starts", "counts"))
     totals, sizes = table.column("total").to_pylist(), table.column("vocabulary").to_pylist()

@@ -11,6 +11,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,12 @@ def test_divergence(docs, empty, rows):
     assert divergence.divergence(empty).collect() == []
 
 
+def test_pairs_are_named_the_same_way_round_in_every_block():
+    """Whatever the order in which the rows of a block come; else their sum would fall into two."""
+    two = [pa.table({"lang": ["x"] * 2, "block": [k] * 2, "size": [2] * 2, "source": names, "starts": [[0, 1]] * 2, "counts": [[1, 2], [5, 0]], "total": [9] * 2, "vocabulary": [4] * 2}) for k, names in enumerate((["s", "t"], ["t", "s"]))]
+    assert {(r["a"], r["b"]) for t in two for r in divergence._compared(t).to_pylist()} == {("s", "t")}
+
+
 def test_run_length_columns_hold_the_counts(docs):
     terms = divergence.kept_terms(docs, 3)
     columns = divergence.run_length_columns(terms, block=7).collect()

@@ -68,3 +68,19 @@ def test_pages(spark):
     assert {r["page_id"]: r["t"] for r in p.select("page_id", pages.page_title(F.col("html")).alias("t")).collect()} == {1: None, 2: "Backend Developer"}
     feed = spark.createDataFrame([(1, '[{"Title":"Dev","ID":"7","Location":"X"},{"name":"QA"}]')], "k long, b string")
     assert [(r["at"], r["title"], r["id"]) for r in pages.feed_rows(feed, "k", "b").orderBy("at").collect()] == [(0, "Dev", "7"), (1, "QA", None)]
+
+
+def test_page_title_is_its_sql_on_odd_markup(spark, tmp_path):
+    import duckdb
+
+    from postlark.plans import catalog
+
+    bodies = [
+        "<h1>a &amp;amp; b &quot;c&quot; d&amp</h1>", "<h1>&lt;b&gt; <i>x</i>\u00a0 </h1>", "<h1></h1><h2>Other</h2><title>Head - more | x</title>", "<H1 class='x'>A\n\tB\x0bC</H1 >",
+        "<h1>Jobs</h1><title>CAREERS</title>", "<h1>" + "x" * 121 + "</h1><title>é | y</title>", "<h1>open", "", None, "<title>a&nbsp;b - c</title>", "<h1>one</h1><h1>two</h1>", "<h1>\u3000</h1><title> - x</title>",
+    ]
+    spark.createDataFrame([(i, "u", b) for i, b in enumerate(bodies)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = {r["page_id"]: r["title"] for r in catalog.QUERIES["page_title"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.sql(catalog.SQL["page_title"]).fetchall()) and got[0] == 'a &amp; b &quot;c&quot; d&amp'

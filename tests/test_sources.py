@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from postlark import schemas
-from postlark.sources import boards, pages
+from postlark.sources import boards, elements, pages
 
 
 def payloads(spark, *rows):
@@ -84,3 +84,14 @@ def test_page_title_is_its_sql_on_odd_markup(spark, tmp_path):
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     got = {r["page_id"]: r["title"] for r in catalog.QUERIES["page_title"](spark, str(tmp_path)).collect()}
     assert got == dict(con.sql(catalog.SQL["page_title"]).fetchall()) and got[0] == 'a &amp; b &quot;c&quot; d&amp'
+
+
+def test_partitions_of_pages_follow_their_length(spark, monkeypatch):
+    p = spark.createDataFrame([(i, "https://a.com", f"<html><body><article><h1>T {i}</h1><p>{'word ' * 40}</p></article></body></html>" if i else None) for i in range(60)], "page_id long, url string, html string")
+    few = {r["page_id"]: r["text"] for r in pages.page_texts(p).collect()}
+    heads = sorted(map(repr, pages.page_heads(p).collect()))
+    assert elements.part_count(p) is None
+    monkeypatch.setattr(elements, "PART_CHARS", 400)
+    parts = elements.part_count(p)
+    assert 30 < parts < 60 and elements.pieces(p).rdd.getNumPartitions() == parts == pages.page_texts(p).rdd.getNumPartitions()
+    assert {r["page_id"]: r["text"] for r in pages.page_texts(p).collect()} == few and sorted(map(repr, pages.page_heads(p).collect())) == heads

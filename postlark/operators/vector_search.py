@@ -203,16 +203,124 @@ def banded(rows: DataFrame, name: str, bits: int, tables: int, probes: int = 1,
     return rows.select(name, "v").mapInArrow(partial(_keys, name=name, bits=bits, tables=tables, probes=probes, seed=seed), f"bucket long, {name} {kinds[name]}, v {kinds['v']}")
 
 
+def _packed(batches: Iterator[pa.RecordBatch], name: str, bits: int, tables: int, probes: int, seed: int, split: int) -> Iterator[pa.RecordBatch]:
+    """A row for each vector and block that it has keys in: its keys there, and its direction in bytes.
+
+    A block is a table's keys that begin with the same ``split`` bits. codes: the direction in whole steps of ``step``; off: how
+    far, in length, it is from the direction itself.
+    """
+    weights = (1 << np.arange(bits)).astype(np.int64)
+    flips = _flips(bits)
+    change = flips.astype(np.int64) @ weights
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1024):
+            part = batch.slice(a, 1024)
+            x = _matrix(part.column("v"))
+            step = np.abs(x).max(1) / 127
+            codes = np.rint(x / step[:, None]).astype(np.int8)
+            off = np.linalg.norm(x - codes * step[:, None], axis=1)
+            packed = pa.array([c.tobytes() for c in codes], pa.binary())
+            for t in range(tables):
+                planes = np.random.default_rng([seed, t]).standard_normal((x.shape[1], bits))
+                side = x @ planes
+                key = ((side > 0).astype(np.int64) @ weights)[:, None]
+                if probes > 1:
+                    key = key ^ change[np.argpartition((side * side) @ flips.T.astype(float), probes - 1, 1)[:, :probes]]
+                key = np.sort(key, 1)
+                block = key >> (bits - split)
+                first = np.diff(block, axis=1, prepend=-1) != 0
+                at = np.flatnonzero(first)
+                of = at // key.shape[1]
+                keys = pa.ListArray.from_arrays(pa.array(np.append(at, key.size).astype(np.int32)), pa.array(key.ravel().astype(np.int32)))
+                columns = [pa.array((np.int64(t) << np.int64(bits)) + block.ravel()[at]), part.column(name).take(pa.array(of)), keys, packed.take(pa.array(of)), pa.array(step[of]), pa.array(off[of])]
+                yield pa.RecordBatch.from_arrays(columns, ["block", name, "keys", "codes", "step", "off"])
+
+
+def _may_be_near(keys: tuple, rows: pa.Table, queries: pa.Table, most: float) -> pa.Table:
+    """Pairs of a group that share a key and whose directions in bytes leave it open that they are within ``most``."""
+    names = ["query_id", "row_id"]
+    r_ids, q_ids = rows.column("row_id").combine_chunks(), queries.column("query_id").combine_chunks()
+    out: list[pa.Table] = []
+
+    def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys in order, the row of each; directions as sent, and how far off they are."""
+        lists = table.column("keys").combine_chunks()
+        of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        key = lists.flatten().to_numpy() + (table.column("block").to_numpy()[of] << np.int64(32))
+        order = np.argsort(key, kind="stable")
+        codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(len(lists), -1)
+        return key[order], of[order], codes * table.column("step").to_numpy()[:, None], table.column("off").to_numpy()
+
+    if rows.num_rows and queries.num_rows:
+        (rk, r_of, x, r_off), (qk, q_of, y, q_off) = read(rows), read(queries)
+        for k in np.intersect1d(rk, qk):
+            r = r_of[np.searchsorted(rk, k) : np.searchsorted(rk, k, "right")]
+            q = q_of[np.searchsorted(qk, k) : np.searchsorted(qk, k, "right")]
+            for a in range(0, len(q), 256):
+                some = q[a : a + 256]
+                # Of directions e and f off, the product is at most e + f + e f off.
+                e, f = q_off[some][:, None], r_off[r][None]
+                i, j = np.nonzero(1 - y[some] @ x[r].T <= most + e + f + e * f + 1e-9)
+                out.append(pa.table([q_ids.take(pa.array(some[i])), r_ids.take(pa.array(r[j]))], names))
+    if out:
+        found = pa.concat_tables(out)
+        return found.group_by(names).aggregate([])
+    return pa.table([q_ids.slice(0, 0), r_ids.slice(0, 0)], names)
+
+
+def band_candidates(rows: DataFrame, queries: DataFrame, most: float, recall: float = 0.95, seed: int = 7, part_rows: int = PART_ROWS, part_queries: int = PART_QUERIES) -> DataFrame:
+    """query_id, row_id of the pairs that meet in a band and may be within ``most``, each once.
+
+    What is sent are directions in bytes, a row's once for each table, a query's once for each block of a table. Blocks
+    hold about part_rows rows; larger ones, as those of copies, are dealt by hash, each part of one side to each of the other.
+    """
+    bits, tables, probes = band_plan(most, recall)
+    split = min(bits, max(0, int(np.ceil(np.log2(max(rows.count(), 1) / part_rows)))))
+
+    def packed(df: DataFrame, name: str, probes_: int) -> DataFrame:
+        kind = dict(df.dtypes)[name]
+        schema = f"block long, {name} {kind}, keys array<int>, codes binary, step double, off double"
+        return df.select(name, "v").mapInArrow(partial(_packed, name=name, bits=bits, tables=tables, probes=probes_, seed=seed, split=split), schema)
+
+    r, q = packed(rows, "row_id", 1), packed(queries, "query_id", probes)
+    counted = lambda df, n: df.groupBy("block").agg(F.count("*").alias(n))
+    parts = lambda n, most_: F.greatest(F.lit(1), F.ceil(n / most_)).cast("int")
+    sizes = counted(r, "rows").join(counted(q, "queries"), "block").select("block", parts(F.col("rows"), 2 * part_rows).alias("r_parts"), parts(F.col("queries"), 2 * part_queries).alias("q_parts"))
+
+    def dealt(df: DataFrame, name: str, own: str, other: str, own_part: str, other_part: str) -> DataFrame:
+        # A row for each block: a small part of the vectors' number, so it goes to all tasks and the vectors are not dealt for it.
+        both = df.join(F.broadcast(sizes), "block").withColumn(own_part, F.pmod(F.xxhash64(name, "codes"), F.col(own)).cast("int"))
+        both = both.withColumn(other_part, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return both.select("block", "r_part", "q_part", name, "keys", "codes", "step", "off")
+
+    keys = ["block", "r_part", "q_part"]
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, row_id {dict(rows.dtypes)['row_id']}"
+    met = dealt(r, "row_id", "r_parts", "q_parts", "r_part", "q_part").groupBy(*keys).cogroup(dealt(q, "query_id", "q_parts", "r_parts", "q_part", "r_part").groupBy(*keys))
+    return met.applyInArrow(partial(_may_be_near, most=most), schema).distinct()
+
+
+def _exactly(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, 4096):
+            part = batch.slice(a, 4096)
+            distance = 1 - np.einsum("ij,ij->i", _matrix(part.column("q")), _matrix(part.column("v")))
+            near = pa.array(distance <= most)
+            yield pa.RecordBatch.from_arrays([part.column("query_id").filter(near), part.column("row_id").filter(near), pa.array(distance).filter(near)], ["query_id", "row_id", "distance"])
+
+
 def band_join(rows: DataFrame, queries: DataFrame, most: float, row_id: str, query_id: str, vector: str, recall: float = 0.95, seed: int = 7, part_rows: int = PART_ROWS, part_queries: int = PART_QUERIES) -> DataFrame:
     """As ``within_distance``, but a pair at the very distance ``most`` is found with chance ``recall`` only, nearer ones with more.
 
     Distances are exact; a pair that meets in several tables is one row. No row has more copies than tables, no query more
     than tables times probes, and hot keys are dealt into parts.
     """
-    bits, tables, probes = band_plan(most, recall)
-    r = banded(_ready(rows, row_id, vector, "row_id"), "row_id", bits, tables, seed=seed)
-    q = banded(_ready(queries, query_id, vector, "query_id"), "query_id", bits, tables, probes, seed)
-    return compare(r, q, most=most, part_rows=part_rows, part_queries=part_queries).groupBy("query_id", "row_id").agg(F.min("distance").alias("distance"))
+    r, q = _ready(rows, row_id, vector, "row_id"), _ready(queries, query_id, vector, "query_id")
+    pairs = band_candidates(r, q, most, recall, seed, part_rows, part_queries)
+    q, r = q.select(F.col("query_id").alias("__query"), F.col("v").alias("q")), r.select(F.col("row_id").alias("__row"), "v")
+    both = pairs.join(q, F.col("query_id").eqNullSafe(F.col("__query"))).join(r, F.col("row_id").eqNullSafe(F.col("__row"))).select("query_id", "row_id", "q", "v")
+    kinds = dict(both.dtypes)
+    found = both.mapInArrow(partial(_exactly, most=most), f"query_id {kinds['query_id']}, row_id {kinds['row_id']}, distance double")
+    return found.groupBy("query_id", "row_id").agg(F.min("distance").alias("distance"))
 
 
 def compared_share(rows: DataFrame, queries: DataFrame, most: float, row_id: str, query_id: str, vector: str, recall: float = 0.95, seed: int = 7) -> float:

@@ -109,3 +109,22 @@ def test_odd_vectors(spark):
     assert V.nearest_in_blocks(none, rows, 2, "id", "id", "v").count() == 0 and V.InvertedFile(none, "id", "v").search(rows, 2, "id", "v").count() == 0 and V.within_distance(rows, none, 0.1, "id", "id", "v").count() == 0
     with pytest.raises(ValueError):
         V.band_plan(0.95)
+
+
+def test_band_join_sends_small_rows_and_loses_no_pair_that_meets(spark):
+    """The pairs of a plain join of the bands, also with copies, equal and null ids and small parts; a query is sent once to a block, not for each probe."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((60, 8)), 5, 0) + 0.1 * rng.standard_normal((300, 8))
+    x[:40] = x[0]
+    rows = [(None if i == 7 else i // 2 if i > 250 else i, [float(c) for c in v]) for i, v in enumerate(x)] + [(900, [0.0] * 8), (901, None)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    bits, tables, probes = V.band_plan(0.2)
+    r, q = (V._ready(df, "id", "v", c) for c in ("row_id", "query_id"))
+    plain = V.compare(V.banded(r, "row_id", bits, tables), V.banded(q, "query_id", bits, tables, probes), most=0.2)
+    want = {(a, b): d for a, b, d in plain.groupBy("query_id", "row_id").agg(F.min("distance")).collect()}
+    for parts in (8192, 20):
+        got = {(a, b): d for a, b, d in V.band_join(df, df, 0.2, "id", "id", "v", part_rows=parts, part_queries=parts).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(got) > 1_600
+    sent = q.mapInArrow(lambda b: V._packed(b, "query_id", bits, tables, probes, 7, 2), "block long, query_id long, keys array<int>, codes binary, step double, off double")
+    n, keys = sent.agg(F.count("*"), F.sum(F.size("keys"))).first()
+    assert keys == 300 * tables * probes and n <= 300 * tables * min(4, probes)

@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.reports import median_by_class
 from ._text import kept as written
 from ._text import mix, releasing, slices
 
@@ -38,8 +39,6 @@ ORDER = 5
 #: Windows of each length that the model holds, at most, for all languages together.
 WINDOWS = 1 << 20
 EIGHTH = 8
-#: Documents that the curve and the limit are fitted on, at most.
-CALIBRATION_ROWS = 8_000
 NONE = "und"
 #: Share of calibrating texts beyond the limit.
 BEYOND = 0.001
@@ -275,34 +274,39 @@ def fit(docs: DataFrame) -> Model:
 
 
 def _calibrate(model: Model, docs: DataFrame) -> None:
-    some = docs.where("text is not null")
-    there = some.count()
-    if there > CALIBRATION_ROWS:
-        some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(0.97 * CALIBRATION_ROWS / there * 1_000_003))
-    got = [r for r in _entropies(some, model, "lang string").collect() if r["n"]]
-    n, lead = np.array([r["n"] for r in got], float), np.array([r["lead"] for r in got], float)
-    right = np.array([r["best"] == r["lang"] for r in got], float)
-    # Two made-up rows without a lead, one of them wrong, keep the curve finite.
-    x = np.stack([np.append(np.log1p(np.minimum(lead * n, 1e6)), [0, 0]), np.ones(len(got) + 2)], 1)
-    y = np.append(right, [1, 0])
+    """Curve, spreads and limit from all of docs, by aggregates over their cross-entropies; the driver gets sums, a row for each language, and the share BEYOND of rows that the limit is between."""
+    spark = docs.sparkSession
+    rows = written(_entropies(docs.where("text is not null"), model, "lang string").where("n > 0"), "calibration")
+    points = rows.select(F.log1p(F.least(F.col("lead") * F.col("n"), F.lit(1e6))).alias("x"), (F.col("best") == F.col("lang")).cast("double").alias("y"))
+    x, y = F.col("x"), F.col("y")
     w = np.zeros(2)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - y) + 1e-3 * w)
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), float(w[0]) * x + float(w[1])))))
+        v = p * (1 - p) + 1e-9
+        sums = [s or 0.0 for s in points.agg(F.sum(x * (p - y)), F.sum(p - y), F.sum(x * x * v), F.sum(x * v), F.sum(v)).first()]
+        # Two made-up rows without a lead, one of them wrong, keep the curve finite.
+        even = 1 / (1 + np.exp(-np.clip(w[1], -30, 30)))
+        gradient = np.array([sums[0], sums[1] + 2 * even - 1])
+        curvature = np.array([[sums[2], sums[3]], [sums[3], sums[4] + 2 * (even * (1 - even) + 1e-9)]])
+        step = np.linalg.solve(curvature + 1e-3 * np.eye(2), gradient + 1e-3 * w)
         w -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-10:
+            break
     model.curve = (float(max(w[0], 0.0)), float(w[1]))
-    for lang in model.langs:
-        of = [i for i, r in enumerate(got) if r["best"] == lang == r["lang"]]
-        entropy, size = np.array([got[i]["entropy"] for i in of]), n[of]
-        if len(of) < 3:
-            model.spread.append((0.0, np.inf, 0.0))
-            continue
-        mean = float(np.average(entropy, weights=np.minimum(size, 1000)))
-        square, inverse = (entropy - mean) ** 2, 1 / size
-        slope = max(float(np.cov(inverse, square)[0, 1] / max(inverse.var(ddof=1), 1e-12)), 0.0)
-        model.spread.append((mean, max(float(np.median(square - slope * inverse)), 1e-4), slope))
-    far = _deviation(model, n, np.array([r["entropy"] for r in got]), np.array([model.langs.index(r["best"]) for r in got], int))
-    model.limit = max(4.0, float(np.quantile(far, 1 - BEYOND))) if len(far) else np.inf
+    own = rows.where("best = lang").select("lang", "entropy", (1 / F.col("n")).alias("inverse"), F.least("n", F.lit(1000)).alias("weight"))
+    means = own.groupBy("lang").agg(F.count("*").alias("there"), (F.sum(F.col("entropy") * F.col("weight")) / F.sum("weight")).alias("mean")).where("there >= 3")
+    square = own.join(F.broadcast(means), "lang").withColumn("square", F.pow(F.col("entropy") - F.col("mean"), F.lit(2)))
+    slope = F.greatest(F.covar_samp("inverse", "square") / F.greatest(F.var_samp("inverse"), F.lit(1e-12)), F.lit(0.0))
+    slopes = square.groupBy("lang").agg(F.first("mean").alias("mean"), slope.alias("slope"))
+    flat = square.join(F.broadcast(slopes.select("lang", "slope")), "lang").select("lang", (F.col("square") - F.col("slope") * F.col("inverse")).alias("flat"))
+    found = {r["lang"]: r for r in slopes.join(median_by_class(flat, "lang", "flat").withColumnRenamed("kind", "lang"), "lang").collect()}
+    model.spread = [(found[x]["mean"], max(found[x]["median_score"], 1e-4), found[x]["slope"]) if x in found else (0.0, np.inf, 0.0) for x in model.langs]
+    spread = spark.createDataFrame([(lang, *map(float, s)) for lang, s in zip(model.langs, model.spread, strict=True)], "best string, mean double, base double, slope double")
+    far = rows.join(F.broadcast(spread), "best").select(((F.col("entropy") - F.col("mean")) / F.sqrt(F.col("base") + F.col("slope") / F.col("n"))).alias("far"))
+    there = far.count()
+    at = (1 - BEYOND) * (there - 1)
+    top = [r["far"] for r in far.orderBy(F.desc("far")).limit(there - int(at)).collect()] if there else []
+    model.limit = max(4.0, float(top[-1] + (at - int(at)) * (top[max(len(top) - 2, 0)] - top[-1]))) if top else np.inf
 
 
 def _deviation(model: Model, n: np.ndarray, entropy: np.ndarray, best: np.ndarray) -> np.ndarray:

@@ -101,6 +101,29 @@ def test_language_models(spark, docs, rows):
             assert h[i, j] == pytest.approx(-sum(math.log(p(lang, w)) for w in windows) / len(windows), rel=1e-4)
 
 
+def test_language_is_calibrated_on_all_calibrating_texts(docs, rows, monkeypatch):
+    """Curve, spreads and limit against plain ones, however few texts a limit might have let in."""
+    monkeypatch.setattr(language, "CALIBRATION_ROWS", 8, raising=False)
+    model = language.fit(docs)
+    some = [(t, lang) for i, t, lang, _ in rows if i is not None and t is not None and lang is not None and (c := zlib.crc32(str(i).encode())) % 4 != 2 and c // 4 % language.EIGHTH == 0]
+    n, h = language.Scorer(model).cross_entropy([t for t, _ in some])
+    some, h, n = [s for s, k in zip(some, n, strict=True) if k], h[n > 0], n[n > 0].astype(float)
+    best, low = h.argmin(1), h.min(1)
+    lead = np.partition(h, 1, 1)[:, 1] - low
+    x = np.stack([np.append(np.log1p(np.minimum(lead * n, 1e6)), [0, 0]), np.ones(len(n) + 2)], 1)
+    y = np.append([model.langs[b] == lang for b, (_, lang) in zip(best, some, strict=True)], [1, 0]).astype(float)
+    slope = x.T @ (1 / (1 + np.exp(-x @ np.array(model.curve))) - y) + 1e-3 * np.array(model.curve)
+    assert len(n) > 16 and np.abs(slope).max() < 1e-4
+    for k, lang in enumerate(model.langs):
+        of = [i for i, (_, x) in enumerate(some) if x == lang and best[i] == k]
+        if len(of) >= 3:
+            mean = np.average(low[of], weights=np.minimum(n[of], 1000))
+            square, inverse = (low[of] - mean) ** 2, 1 / n[of]
+            by = max(np.cov(inverse, square)[0, 1] / max(inverse.var(ddof=1), 1e-12), 0)
+            assert model.spread[k] == pytest.approx((mean, max(np.median(square - by * inverse), 1e-4), by), rel=1e-5)
+    assert model.limit == pytest.approx(max(4.0, np.quantile(language._deviation(model, n, low, best), 1 - language.BEYOND)), rel=1e-5)
+
+
 def test_language_cases(docs, empty, rows):
     got = language.language(docs).collect()
     assert len(got) == len(rows)

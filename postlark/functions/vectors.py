@@ -35,8 +35,8 @@ def calibrate(raw: Column, floor: float, ceiling: float) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    # The length is computed once for a vector; written into the inner expression it would be for each of its places.
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))), F.lit(0))
 
 
 def mean_pool(rows: DataFrame, key: str, vector: str) -> DataFrame:

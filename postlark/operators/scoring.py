@@ -105,21 +105,22 @@ def asked_roles(roles: DataFrame, candidate: DataFrame, w: Weights) -> DataFrame
     c = candidate.select(F.col("candidate_id").alias("candidate_profile_id"), F.col("skills").alias("have"), F.col("embedding").alias("__candidate_vector"))
     both = c.crossJoin(r)  # one candidate, and the roles that one person looks for
     key = F.xxhash64(*ROLE_PARTS[:-1], "__role_vector", "have", "__candidate_vector", F.lit(repr(w)))
-    return both.select(
-        "candidate_profile_id", "target_role_id", "have", *ROLE_PARTS[:-1], key.alias("role_key"), vectors.normalized(F.col("__role_vector")).alias("role_embedding"),
-        vectors.normalized(F.col("__candidate_vector")).alias("candidate_embedding"),
-    )
+    return both.select("candidate_profile_id", "target_role_id", *ROLE_PARTS[:-1], key.alias("role_key"), vectors.normalized(F.col("__role_vector")).alias("role_embedding"))
+
+
+def _asking(candidate: DataFrame) -> DataFrame:
+    return candidate.select(F.col("candidate_id").alias("__candidate"), F.col("skills").alias("have"), vectors.normalized(F.col("embedding")).alias("candidate_embedding"))
 
 
 def score_pairs(postings: DataFrame, roles: DataFrame, candidate: DataFrame, as_of: Column, w: Weights = Weights(), judged: DataFrame | None = None, keys: bool = False) -> DataFrame:
     """A match row for every open posting and enabled role. keys: with job_key and role_key, by which maintained_scores goes on from it.
 
     roles are those one person looks for, and candidate is one row: both go to every task, the postings stay
-    where they are. What depends on a posting alone is computed before the roles multiply it.
+    where they are. What depends on a posting and the candidate alone is computed before the roles multiply it.
     candidate: candidate_id, skills array<string>, embedding. judged: PAIR and probability, of what was judged.
     """
     few = roles.limit(MOST_ROLES + 1).count() <= MOST_ROLES and candidate.limit(2).count() <= 1
-    rows = _score(open_postings(postings, as_of), asked_roles(roles, candidate, w), few, w)
+    rows = _score(open_postings(postings, as_of), asked_roles(roles, candidate, w), candidate, few, w)
     out = with_judgement(rows, judged, w)
     return out if keys else out.drop("job_key", "role_key")
 
@@ -130,51 +131,61 @@ def maintained_scores(old: DataFrame, postings: DataFrame, roles: DataFrame, can
     old: a result of this function, or of score_pairs with keys. Rows of postings that are no longer open and of roles that
     are no longer asked for go. A change of the candidate or of the weights changes all roles.
     """
-    kept, changed, renewed, few = _split(old, postings, roles, candidate, as_of, w)
-    rows = kept.select(*MATCH_COLUMNS)
-    for p, r in (changed, renewed):
-        rows = rows.unionByName(_score(p, r, few, w))
-    return with_judgement(rows, judged, w)
+    kept, due = _split(old, postings, roles, candidate, as_of, w)
+    return with_judgement(kept.select(*MATCH_COLUMNS).unionByName(due), judged, w)
 
 
 def rescored(old: DataFrame, postings: DataFrame, roles: DataFrame, candidate: DataFrame, as_of: Column, w: Weights = Weights()) -> tuple[DataFrame, DataFrame]:
     """The rows that maintained_scores has to score, and the keys of those that go: what an upsert into a stored table needs."""
-    kept, changed, renewed, few = _split(old, postings, roles, candidate, as_of, w)
-    rows = _score(*changed, few, w).unionByName(_score(*renewed, few, w))
+    kept, rows = _split(old, postings, roles, candidate, as_of, w)
     return rows, old.select(*PAIR).join(kept.select(*PAIR), PAIR, "left_anti").join(rows.select(*PAIR), PAIR, "left_anti")
 
 
-def _split(old: DataFrame, postings: DataFrame, roles: DataFrame, candidate: DataFrame, as_of: Column, w: Weights):
+def _split(old: DataFrame, postings: DataFrame, roles: DataFrame, candidate: DataFrame, as_of: Column, w: Weights) -> tuple[DataFrame, DataFrame]:
+    """The rows of old that still hold, and those that have to be scored: of changed postings with all roles, and of changed roles with all postings."""
     p, r = open_postings(postings, as_of), asked_roles(roles, candidate, w)
     few = roles.limit(MOST_ROLES + 1).count() <= MOST_ROLES and candidate.limit(2).count() <= 1
     jobs, asked = old.select("job_id", "job_key").distinct(), old.select("candidate_profile_id", "target_role_id", "role_key").distinct()
     p = p.withColumnRenamed("id", "job_id")
     job, role = ["job_id", "job_key"], ["candidate_profile_id", "target_role_id", "role_key"]
-    changed = (p.join(jobs, job, "left_anti").withColumnRenamed("job_id", "id"), r)
-    renewed = (p.join(jobs, job, "left_semi").withColumnRenamed("job_id", "id"), r.join(asked, role, "left_anti"))
     kept = old.join(p.select(*job), job, "left_semi").join(F.broadcast(r.select(*role)) if few else r.select(*role), role, "left_semi")
-    return kept, changed, renewed, few
+    # Postings move once: what is new is marked, and the pairs without anything new are left out.
+    yes = F.lit(True)
+    marked = p.join(jobs.withColumn("__known", yes), job, "left").withColumnRenamed("job_id", "id")
+    r = r.join(asked.withColumn("__met", yes), role, "left").withColumn("__fresh", F.col("__met").isNull()).drop("__met")
+    some = r.agg(F.coalesce(F.max("__fresh"), F.lit(False)).alias("__some"))
+    marked = marked.crossJoin(F.broadcast(some)).where(F.col("__known").isNull() | F.col("__some"))
+    return kept, _score(marked, r, candidate, few, w, unless=F.col("__known").isNotNull() & ~F.col("__fresh"), marks=("__known",))
 
 
 MATCH_COLUMNS = (*PAIR, *SCORES, "reasons", "concerns", "job_key", "role_key")
 
 
-def _score(open_: DataFrame, asked: DataFrame, few: bool, w: Weights) -> DataFrame:
-    """MATCH_COLUMNS of all pairs of postings and roles. few: whether the roles are proven to be no more than MOST_ROLES."""
+def _score(open_: DataFrame, asked: DataFrame, candidate: DataFrame, few: bool, w: Weights, unless: Column | None = None, marks: tuple[str, ...] = ()) -> DataFrame:
+    """MATCH_COLUMNS of all pairs of postings and roles, but those that unless says, from marks of the postings and columns of asked.
+
+    few: whether the roles are proven to be no more than MOST_ROLES, and the candidate to be one.
+    """
+    sent = F.broadcast if few else lambda x: x  # past that the sizes decide how they are joined
     text = F.coalesce(F.when(F.col("qualifications") != "", F.col("qualifications")), F.when(F.col("normalized_description") != "", F.col("normalized_description")), "description")
     p = open_.select(
-        F.col("id").alias("job_id"), "title", "department", "job_key", "age", vectors.normalized(F.col("embedding")).alias("embedding"),
+        F.col("id").alias("job_id"), "job_key", "age", *marks, vectors.normalized(F.col("embedding")).alias("embedding"),
+        *(x.alias(n) for n, x in zip(("words", "all_words"), classify.role_words(F.col("title"), F.col("department")), strict=True)),
         job_skills(F.col("required_skills"), F.col("preferred_skills"), F.col("normalized_description"), F.col("qualifications"), F.col("responsibilities")).alias("asked"),
         classify.assess_level(F.col("title"), text).alias("level"),
         classify.location_score(F.col("country"), F.col("location_text"), F.col("remote_type")).alias("place"),
     )
-    # Past MOST_ROLES the sizes decide how they are joined.
-    both = p.crossJoin(F.broadcast(asked) if few else asked)
-    both = both.withColumns({
+    p = p.crossJoin(sent(_asking(candidate)))
+    p = p.withColumns({
         "candidate_semantic_score": _similarity(F.col("candidate_embedding"), F.col("embedding"), w.candidate_range),
-        "intent_semantic_score": _similarity(F.col("role_embedding"), F.col("embedding"), w.intent_range),
         "skill": classify.skill_score(F.col("have"), F.col("asked")),
-        "role": classify.role_score(F.col("title"), F.col("department"), F.col("canonical_name"), F.col("aliases"), F.col("positive_keywords"), F.col("negative_keywords")),
+    }).drop("candidate_embedding", "have", "asked")
+    both = p.join(sent(asked), F.col("__candidate").eqNullSafe(F.col("candidate_profile_id")))
+    if unless is not None:
+        both = both.where(~unless)
+    both = both.withColumns({
+        "intent_semantic_score": _similarity(F.col("role_embedding"), F.col("embedding"), w.intent_range),
+        "role": classify.role_score_of(F.col("words"), F.col("all_words"), F.col("canonical_name"), F.col("aliases"), F.col("positive_keywords"), F.col("negative_keywords")),
         "seniority": classify.level_score(F.col("level.level"), F.col("level.years"), F.col("level.signal"), F.col("max_expected_years")),
     })
     both = both.withColumn("role_score", role_fit(F.col("role.score"), F.col("role.vetoed"), F.col("intent_semantic_score"), w))

@@ -96,3 +96,23 @@ def test_scores_kept_up(spark):
     assert plain(scoring.maintained_scores(old, *frames(), candidate, at(1), w, judged)) == later
     again = scoring.with_judgement(old, judged, w)
     assert plain(again) == plain(old)
+
+
+def test_scores_kept_up_read_each_posting_once(spark):
+    """Changed postings and changed roles are one pass: the skills of a posting are read by one step of the plan beside the stored scores."""
+    posting = "id long, title string, department string, qualifications string, normalized_description string, description string, responsibilities string, required_skills array<string>, preferred_skills array<string>, country string, location_text string, remote_type string, embedding array<double>, status string, archived_at timestamp, source_published_at timestamp, first_seen_at timestamp"
+    role = "id long, canonical_name string, aliases array<string>, positive_keywords array<string>, negative_keywords array<string>, max_expected_years int, embedding array<double>, enabled boolean"
+    rows = [(i, "Dev", None, None, None, "Go", None, ["go"], [], None, None, "unknown", [1.0, i + 0.5], "active", None, None, None) for i in range(6)]
+    roles = [(i, "Dev", [], [], [], 2, [i + 1.0, 1.0], True) for i in range(2)]
+    candidate = spark.createDataFrame([(1, ["go"], [1.0, 1.0])], "candidate_id long, skills array<string>, embedding array<double>")
+    day = F.lit("2024-01-01").cast("timestamp")
+    frames = lambda p, r: (spark.createDataFrame(p, posting), spark.createDataFrame(r, role))
+    old = scoring.score_pairs(*frames(rows[:4], roles), candidate, day, keys=True)
+    old = spark.createDataFrame(old.collect(), old.schema)
+    keys = lambda df: sorted((r["job_id"], r["target_role_id"]) for r in df.collect())
+    # Without a new role only new postings are due; with one, every posting for it, and new ones for all.
+    for now, due in ((roles, [(i, k) for i in (4, 5) for k in (0, 1)]), ([*roles, (7, *roles[0][1:])], [(i, k) for i in range(6) for k in (0, 1, 7) if i > 3 or k == 7])):
+        assert keys(scoring.rescored(old, *frames(rows, now), candidate, day)[0]) == due
+        got = scoring.maintained_scores(old, *frames(rows, now), candidate, day)
+        assert keys(got) == [(i, r[0]) for i in range(6) for r in now]
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1

@@ -124,6 +124,29 @@ def test_vectors(spark):
     assert sum(x * x for x in h[0]["v"]) == pytest.approx(1.0) and sum(h[1]["v"]) == 0.0
 
 
+def test_length_of_a_vector_is_computed_once(spark):
+    """Not for each of its places: a long vector then took a time that grows with the square of its length."""
+    import time
+
+    rows = spark.range(8).select(F.transform(F.sequence(F.lit(1), F.lit(8192)), lambda x: (x + F.col("id")).cast("double")).alias("v")).localCheckpoint()
+    began = time.time()
+    got = rows.select(V.normalized(F.col("v")).alias("v")).select(V.norm(F.col("v")).alias("n")).agg(F.min("n"), F.max("n")).first()
+    assert time.time() - began < 20 and all(abs(n - 1) < 1e-9 for n in got)
+    odd = spark.createDataFrame([([0.0, 0.0],), ([],), (None,), ([1.0, None],)], "v array<double>").select(V.normalized(F.col("v"))).collect()
+    assert [r[0] for r in odd] == [[0.0, 0.0], [], None, [1.0, None]]
+
+
+def test_words_are_looked_for_where_they_may_stand(spark):
+    """Signs that stand for a found term inside are no mention, the looks before the patterns change nothing else."""
+    cases = {"plain title \x01 here": False, "Java dev": True, "JavaScript dev": False, "JavaScript and JAVA": True, None: False}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert [r[0] for r in rows.select(C.mentions(F.col("t"), F.lit(" java "))).collect()] == list(cases.values())
+    titles = {"sr. dev": "senior", "Entry-Level Dev": "junior", "Dev I": "junior", "stafflead": None, "campus lead": "lead", None: None}
+    assert column(spark, lambda x: C.title_level(x)["level"], list(titles)) == list(titles.values())
+    places = {"Paris-France": True, "tel-aviv": False, "New-York, USA": True, "south-korea": True, "Paris / Tel Aviv": False, "somewhere": False, None: False}
+    assert column(spark, C.clearly_abroad, list(places)) == list(places.values())
+
+
 def test_recency(spark):
     rows = spark.createDataFrame([("2024-01-10 00:00:00",), ("2024-01-09 23:00:00",), ("2023-12-31 00:00:00",), (None,)], "t string")
     got = rows.select(C.recency_score(F.col("t").cast("timestamp"), F.lit("2024-01-10 12:00:00").cast("timestamp"))["score"]).collect()

@@ -1,7 +1,10 @@
-"""Arrays of floats as vectors. Native expressions; sums run in array order, in double."""
+"""Arrays of floats as vectors. Native expressions, but for products with fixed vectors; sums run in array order, in double."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,45 @@ def normalized(a: Column) -> Column:
     return F.get(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))), F.lit(0))
 
 
+def _products(a: pa.Array, fixed: list[np.ndarray | None], rows_at_once: int = 1024) -> pa.Array:
+    """Rows are the places of a list of vectors; sums run along them one place at a time, as those of dot do."""
+    sizes = pc.fill_null(pc.list_value_length(a), -1).to_numpy(zero_copy_only=False)
+    first = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+    flat = a.flatten()
+    values, missing = flat.to_numpy(zero_copy_only=False).astype(np.float64), flat.is_null().to_numpy(zero_copy_only=False)
+    out, none = np.zeros((len(a), len(fixed))), np.ones((len(a), len(fixed)), bool)
+    for n in np.unique(sizes[sizes >= 0]):
+        those = [j for j, y in enumerate(fixed) if y is not None and len(y) == n]
+        every = np.flatnonzero(sizes == n)
+        for rows in np.split(every, range(rows_at_once, len(every), rows_at_once)) if those else ():
+            at = first[rows] + np.arange(n)[:, None]
+            x, length = values[at], np.zeros(len(rows))
+            for place in x:
+                length += place * place
+            length = np.sqrt(length)
+            x = x / np.where(length == 0, 1.0, length)
+            sums, ys = np.zeros((len(those), len(rows))), np.array([fixed[j] for j in those]).T
+            for y, place in zip(ys, x, strict=True):
+                sums += y[:, None] * place
+            out[np.ix_(rows, those)] = sums.T
+            none[np.ix_(rows, those)] = missing[at].any(0)[:, None]
+    ends = np.arange(len(a) + 1, dtype=np.int32) * len(fixed)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel(), mask=none.ravel()))
+
+
+def products(a: Column, fixed: list[list[float | None] | None]) -> Column:
+    """array of dot(normalized(a), y) for each of a few fixed vectors, the same to the bit: by Arrow batches, a vector is read once for all of them.
+
+    Null where one of both is, or has a null place, or their lengths differ.
+    """
+    ys = [None if y is None or None in y else np.array(y, np.float64) for y in fixed]
+
+    def of(x: pa.Array) -> pa.Array:
+        return _products(x, ys)
+
+    return F.arrow_udf(of, "array<double>")(a)
+
+
 def mean_pool(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """key and the mean of its vectors, of length one; a single vector stays as it is."""
     places = rows.select(key, F.posexplode(vector).alias("at", "x")).groupBy(key, "at").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))

@@ -54,15 +54,21 @@ def final_score(fit: Column, quality_: Column, w: Weights = Weights()) -> Column
     return F.round(100 * (w.gate_floor + (1 - w.gate_floor) * fit) * quality_, 1)
 
 
-def _similarity(a: Column, b: Column, between: tuple[float, float]) -> Column:
-    """Of vectors of length one, or zero."""
-    return F.when(a.isNull() | b.isNull(), 0.5).otherwise(vectors.calibrate(F.greatest(F.lit(0.0), F.least(F.lit(1.0), vectors.dot(a, b))), *between))
+def _similarity(a: Column, b: Column, between: tuple[float, float], product: Column | None = None) -> Column:
+    """Of vectors of length one, or zero. product: theirs, where it is known."""
+    raw = vectors.dot(a, b) if product is None else product
+    return F.when(a.isNull() | b.isNull(), 0.5).otherwise(vectors.calibrate(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), *between))
 
 
 def _compact(*parts: Column) -> Column:
     return F.array_compact(F.concat(*parts))
 
 
+def _if_any(x: Column) -> Column:
+    """An array of x, empty where that is null."""
+    return F.when(x.isNotNull(), F.array(x)).otherwise(F.array().cast("array<string>"))
+
+
 def job_skills(required: Column, preferred: Column, *texts: Column) -> Column:
     listed = F.transform(F.concat(F.coalesce(required, F.array()), F.coalesce(preferred, F.array())), classify.normalize_skill)
     return F.array_union(listed, classify.extract_skills(F.concat_ws(" ", *texts)))
@@ -109,6 +115,7 @@ def asked_roles(roles: DataFrame, candidate: DataFrame, w: Weights) -> DataFrame
 
 
 def _asking(candidate: DataFrame) -> DataFrame:
+    """What a candidate's part of a score is made of."""
     return candidate.select(F.col("candidate_id").alias("__candidate"), F.col("skills").alias("have"), vectors.normalized(F.col("embedding")).alias("candidate_embedding"))
 
 
@@ -119,8 +126,8 @@ def score_pairs(postings: DataFrame, roles: DataFrame, candidate: DataFrame, as_
     where they are. What depends on a posting and the candidate alone is computed before the roles multiply it.
     candidate: candidate_id, skills array<string>, embedding. judged: PAIR and probability, of what was judged.
     """
-    few = roles.limit(MOST_ROLES + 1).count() <= MOST_ROLES and candidate.limit(2).count() <= 1
-    rows = _score(open_postings(postings, as_of), asked_roles(roles, candidate, w), candidate, few, w)
+    asked = asked_roles(roles, candidate, w)
+    rows = _score(open_postings(postings, as_of), asked, candidate, _few(asked, candidate), w)
     out = with_judgement(rows, judged, w)
     return out if keys else out.drop("job_key", "role_key")
 
@@ -141,14 +148,23 @@ def rescored(old: DataFrame, postings: DataFrame, roles: DataFrame, candidate: D
     return rows, old.select(*PAIR).join(kept.select(*PAIR), PAIR, "left_anti").join(rows.select(*PAIR), PAIR, "left_anti")
 
 
+def _few(asked: DataFrame, candidate: DataFrame) -> dict[int | None, list[float] | None] | None:
+    """Vectors by role_key, and the candidate's by None; nothing if there are several candidates or more than MOST_ROLES."""
+    one = _asking(candidate).select("candidate_embedding").limit(2).collect()
+    some = asked.select("role_key", "role_embedding").limit(MOST_ROLES + 1).collect() if len(one) <= 1 else []
+    if len(one) > 1 or len(some) > MOST_ROLES:
+        return None
+    return {None: one[0][0] if one else None} | dict(map(tuple, some))
+
+
 def _split(old: DataFrame, postings: DataFrame, roles: DataFrame, candidate: DataFrame, as_of: Column, w: Weights) -> tuple[DataFrame, DataFrame]:
     """The rows of old that still hold, and those that have to be scored: of changed postings with all roles, and of changed roles with all postings."""
     p, r = open_postings(postings, as_of), asked_roles(roles, candidate, w)
-    few = roles.limit(MOST_ROLES + 1).count() <= MOST_ROLES and candidate.limit(2).count() <= 1
+    few = _few(r, candidate)
     jobs, asked = old.select("job_id", "job_key").distinct(), old.select("candidate_profile_id", "target_role_id", "role_key").distinct()
     p = p.withColumnRenamed("id", "job_id")
     job, role = ["job_id", "job_key"], ["candidate_profile_id", "target_role_id", "role_key"]
-    kept = old.join(p.select(*job), job, "left_semi").join(F.broadcast(r.select(*role)) if few else r.select(*role), role, "left_semi")
+    kept = old.join(p.select(*job), job, "left_semi").join(F.broadcast(r.select(*role)) if few is not None else r.select(*role), role, "left_semi")
     # Postings move once: what is new is marked, and the pairs without anything new are left out.
     yes = F.lit(True)
     marked = p.join(jobs.withColumn("__known", yes), job, "left").withColumnRenamed("job_id", "id")
@@ -161,36 +177,47 @@ def _split(old: DataFrame, postings: DataFrame, roles: DataFrame, candidate: Dat
 MATCH_COLUMNS = (*PAIR, *SCORES, "reasons", "concerns", "job_key", "role_key")
 
 
-def _score(open_: DataFrame, asked: DataFrame, candidate: DataFrame, few: bool, w: Weights, unless: Column | None = None, marks: tuple[str, ...] = ()) -> DataFrame:
+def _score(open_: DataFrame, asked: DataFrame, candidate: DataFrame, few: dict | None, w: Weights, unless: Column | None = None, marks: tuple[str, ...] = ()) -> DataFrame:
     """MATCH_COLUMNS of all pairs of postings and roles, but those that unless says, from marks of the postings and columns of asked.
 
-    few: whether the roles are proven to be no more than MOST_ROLES, and the candidate to be one.
+    few: of _few. Where it has them, vectors are multiplied with all of them at once; else pair by pair, and the sizes decide how the tables are joined.
     """
-    sent = F.broadcast if few else lambda x: x  # past that the sizes decide how they are joined
+    sent = F.broadcast if few is not None else lambda x: x
+    place_of = {key: k for k, key in enumerate(few or {})}
     text = F.coalesce(F.when(F.col("qualifications") != "", F.col("qualifications")), F.when(F.col("normalized_description") != "", F.col("normalized_description")), "description")
     p = open_.select(
-        F.col("id").alias("job_id"), "job_key", "age", *marks, vectors.normalized(F.col("embedding")).alias("embedding"),
+        F.col("id").alias("job_id"), "job_key", "age", *marks,
+        *((vectors.normalized(F.col("embedding")).alias("embedding"),) if few is None else (F.col("embedding"), vectors.products(F.col("embedding"), list(few.values())).alias("__products"))),
         *(x.alias(n) for n, x in zip(("words", "all_words"), classify.role_words(F.col("title"), F.col("department")), strict=True)),
         job_skills(F.col("required_skills"), F.col("preferred_skills"), F.col("normalized_description"), F.col("qualifications"), F.col("responsibilities")).alias("asked"),
         classify.assess_level(F.col("title"), text).alias("level"),
         classify.location_score(F.col("country"), F.col("location_text"), F.col("remote_type")).alias("place"),
     )
     p = p.crossJoin(sent(_asking(candidate)))
-    p = p.withColumns({
-        "candidate_semantic_score": _similarity(F.col("candidate_embedding"), F.col("embedding"), w.candidate_range),
-        "skill": classify.skill_score(F.col("have"), F.col("asked")),
-    }).drop("candidate_embedding", "have", "asked")
+    said = lambda part, yes, no: (F.when(F.col(f"{part}.score") >= yes, F.col(f"{part}.why")), F.when(F.col(f"{part}.score") <= no, F.col(f"{part}.why")))
+    place_for, place_against = said("place", 0.7, 0.3)
+    missing = F.transform(F.slice("skill.missing", 1, 4), lambda x: F.concat(x, F.lit(" experience requested")))
+    p = p.withColumn("skill", classify.skill_score(F.col("have"), F.col("asked"))).withColumns({
+        "candidate_semantic_score": _similarity(F.col("candidate_embedding"), F.col("embedding"), w.candidate_range, None if few is None else F.get("__products", F.lit(place_of[None]))),
+        "skill_score": F.col("skill.score"), "location_score": F.col("place.score"), "recency_score": F.col("age.score"),
+        "for_first": F.array_compact(F.slice("skill.matched", 1, 6)), "for_last": _compact(F.array(place_for), F.array(F.when(F.col("age.score") >= 0.85, F.col("age.why")))),
+        "against_first": F.array_compact(missing), "against_last": _if_any(place_against),
+    })
+    p = p.drop("candidate_embedding", "have", "asked", "skill", "place", "age")
+    if few is not None:  # of the roles' vectors no more than which product is theirs
+        keys = F.array(*(F.lit(k) for k in few if k is not None)).cast("array<bigint>")
+        at = F.array_position(keys, F.col("role_key")).cast("int")  # the candidate's product is before them, at 0
+        p, asked = p.withColumn("embedding", F.when(F.col("embedding").isNotNull(), True)), asked.withColumns({"__at": at, "role_embedding": F.when(F.col("role_embedding").isNotNull(), True)})
     both = p.join(sent(asked), F.col("__candidate").eqNullSafe(F.col("candidate_profile_id")))
     if unless is not None:
         both = both.where(~unless)
     both = both.withColumns({
-        "intent_semantic_score": _similarity(F.col("role_embedding"), F.col("embedding"), w.intent_range),
+        "intent_semantic_score": _similarity(F.col("role_embedding"), F.col("embedding"), w.intent_range, None if few is None else F.get("__products", F.col("__at"))),
         "role": classify.role_score_of(F.col("words"), F.col("all_words"), F.col("canonical_name"), F.col("aliases"), F.col("positive_keywords"), F.col("negative_keywords")),
         "seniority": classify.level_score(F.col("level.level"), F.col("level.years"), F.col("level.signal"), F.col("max_expected_years")),
     })
     both = both.withColumn("role_score", role_fit(F.col("role.score"), F.col("role.vetoed"), F.col("intent_semantic_score"), w))
     none = F.lit(None).cast("string")
-    said = lambda part, yes, no: (F.array(F.when(F.col(f"{part}.score") >= yes, F.col(f"{part}.why"))), F.array(F.when(F.col(f"{part}.score") <= no, F.col(f"{part}.why"))))
     free = ~F.col("role.vetoed")
     like = F.lit("reads like the target role, even though the title doesn't say so")
     role_for = F.when(free & (F.col("role.score") >= 0.7), F.col("role.why")).when(free & (F.col("role_score") >= 0.5), like).otherwise(none)
@@ -199,13 +226,10 @@ def _score(open_: DataFrame, asked: DataFrame, candidate: DataFrame, few: bool,
         .when(F.col("role_score") <= 0.35, F.lit("doesn't look like the role you're looking for")).when(F.col("role.score") <= 0.3, F.col("role.why"))
     )
     level_for, level_against = said("seniority", 0.7, 0.3)
-    place_for, place_against = said("place", 0.7, 0.3)
-    missing = F.transform(F.slice("skill.missing", 1, 4), lambda x: F.concat(x, F.lit(" experience requested")))
     rows = both.select(
-        *PAIR, "candidate_semantic_score", "intent_semantic_score", F.col("skill.score").alias("skill_score"), "role_score",
-        F.col("seniority.score").alias("seniority_score"), F.col("place.score").alias("location_score"), F.col("age.score").alias("recency_score"),
-        _compact(F.slice("skill.matched", 1, 6), F.array(role_for), level_for, place_for, F.array(F.when(F.col("age.score") >= 0.85, F.col("age.why")))).alias("reasons"),
-        _compact(missing, F.array(role_against), level_against, place_against).alias("concerns"), "job_key", "role_key",
+        *PAIR, "candidate_semantic_score", "intent_semantic_score", "skill_score", "role_score", F.col("seniority.score").alias("seniority_score"), "location_score", "recency_score",
+        F.concat("for_first", _if_any(role_for), _if_any(level_for), "for_last").alias("reasons"),
+        F.concat("against_first", _if_any(role_against), _if_any(level_against), "against_last").alias("concerns"), "job_key", "role_key",
     )
     return rows.withColumn("final_score", rules_score(w)).select(*MATCH_COLUMNS)
 

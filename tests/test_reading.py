@@ -136,6 +136,22 @@ def test_length_of_a_vector_is_computed_once(spark):
     assert [r[0] for r in odd] == [[0.0, 0.0], [], None, [1.0, None]]
 
 
+def test_products_with_fixed_vectors(spark):
+    """The same to the bit as dot, for vectors of any length, without length, with null places, and where there is none."""
+    import random
+
+    rng = random.Random(3)
+    vec = lambda n: [rng.gauss(0, 1) for _ in range(n)]
+    rows = [vec(5) for _ in range(3000)] + [vec(3), [], None, [0.0] * 5, [1.0, None, 1.0, 1.0, 1.0], vec(5)]
+    fixed = [vec(5), vec(3), None, [], [1.0, None, 0.0, 0.0, 0.0], vec(5)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, v array<double>")
+    kind = "array<double>"
+    plain = [F.lit(None).cast("double") if y is None else V.dot(V.normalized(F.col("v")), F.array(*map(F.lit, y)).cast(kind)) for y in fixed]
+    got = df.select("id", V.products(F.col("v"), fixed).alias("p"), F.array(*plain).alias("q")).collect()
+    assert len(got) == len(rows) and all(r["p"] == r["q"] for r in got)
+    assert df.where("id < 0").select(V.products(F.col("v"), fixed)).collect() == []
+
+
 def test_words_are_looked_for_where_they_may_stand(spark):
     """Signs that stand for a found term inside are no mention, the looks before the patterns change nothing else."""
     cases = {"plain title \x01 here": False, "Java dev": True, "JavaScript dev": False, "JavaScript and JAVA": True, None: False}

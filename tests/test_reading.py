@@ -128,7 +128,7 @@ def test_length_of_a_vector_is_computed_once(spark):
     """Not for each of its places: a long vector then took a time that grows with the square of its length."""
     import time
 
-    rows = spark.range(8).select(F.transform(F.sequence(F.lit(1), F.lit(8192)), lambda x: (x + F.col("id")).cast("double")).alias("v")).localCheckpoint()
+    rows = spark.range(8).select(F.transform(F.sequence(F.lit(1), F.lit(32768)), lambda x: (x + F.col("id")).cast("double")).alias("v")).localCheckpoint()
     began = time.time()
     got = rows.select(V.normalized(F.col("v")).alias("v")).select(V.norm(F.col("v")).alias("n")).agg(F.min("n"), F.max("n")).first()
     assert time.time() - began < 20 and all(abs(n - 1) < 1e-9 for n in got)

@@ -86,6 +86,30 @@ def test_page_title_is_its_sql_on_odd_markup(spark, tmp_path):
     assert got == dict(con.sql(catalog.SQL["page_title"]).fetchall()) and got[0] == 'a &amp; b &quot;c&quot; d&amp'
 
 
+def test_page_title_takes_every_step(spark, tmp_path):
+    import duckdb
+
+    from postlark.plans import catalog
+
+    og = lambda content: f'<meta content="{content}" property="og:title">'
+    cases = [
+        ("<h1>Jobs</h1><h2>Backend <b>Developer</b></h2>", "Backend Developer"), ("<h1><span>Data</span> <i>Engineer</i></h1>", "Data Engineer"),
+        ("<h2>Careers</h2><h3></h3><h2>" + "x" * 121 + "</h2><h3>Fourth</h3><h2>Fifth</h2>", "Fourth"), ("<h2>jobs</h2>" * 4 + "<h3>Fifth</h3>" + og("Of the graph") + "<title>T</title>", "Of the graph"),
+        ("<h1>Careers</h1>" + og(" QA &amp; more\n") + "<title>T | x</title>", "QA & more"), (og("\n") + "<meta property=og:title><title>Ops - Acme | x</title>", "Ops"),
+        ("<!-- <h1>no</h1> --><script>'<h1>no</h1>'</script><h1>yes<li>on<li></h1>", "yes on"), ("<ul><li><h1>One<li>Two</ul>", "One"), ("<div><h1>One</div>Two", "One"), ("<h1 title='a>b'>One</h1>", "One"),
+        ("<![foo[ z ]]><h1>One</h1>", "One"), ("<h1/><h3 class=a/>Three</h3>", "Three"), ("<h1>1<2 &lt;b>c<!-- --></i>d</>e</h1>", "1<2 <b>c de"), ("<p>text</p>", None),
+    ]
+    rows = [(i, "u", b) for i, (b, _) in enumerate(cases)] + [(0, "u", "<h1>Again</h1>"), (1, "u", cases[1][0]), (None, "u", "<h3>None's</h3>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(repr((r["page_id"], r["title"])) for r in catalog.QUERIES["page_title"](spark, str(tmp_path)).collect())
+    assert got == sorted(map(repr, [(i, t) for i, (_, t) in enumerate(cases)] + [(0, "Again"), (1, "Data Engineer"), (None, "None's")])) == sorted(map(repr, con.sql(catalog.SQL["page_title"]).fetchall()))
+    listed = spark.createDataFrame([(0, "From the list"), (13, "Jobs")], "page_id long, title string")
+    told = {r["page_id"]: r["title"] for r in pages.page_titles(spark.createDataFrame(rows[:14], "page_id long, url string, html string"), listed).collect()}
+    assert (told[0], told[1], told[13]) == ("From the list", "Data Engineer", "Jobs")
+
+
 def test_partitions_of_pages_follow_their_length(spark, monkeypatch):
     p = spark.createDataFrame([(i, "https://a.com", f"<html><body><article><h1>T {i}</h1><p>{'word ' * 40}</p></article></body></html>" if i else None) for i in range(60)], "page_id long, url string, html string")
     few = {r["page_id"]: r["text"] for r in pages.page_texts(p).collect()}
